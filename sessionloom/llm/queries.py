@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.decontamination import decontaminate
+from sessionloom.llm.jaccard import jaccard_classes
 from sessionloom.llm.nearest import nearest
 from sessionloom.llm.packing import pack
+from sessionloom.llm.repeats import remove_repeats
 from sessionloom.llm.sharding import histogram_shards
 from sessionloom.llm.toxicity import score_toxicity, train_toxicity
 from sessionloom.llm.url_filters import url_filter
@@ -49,6 +51,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -66,6 +72,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -76,7 +86,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op4_toxicity, op6_warc, op7_decontamination, op9_packing, op10_nearest)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op4_toxicity, op5_suffix_dedup, op6_warc, op7_decontamination, op8_jaccard_join, op9_packing, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
