@@ -13,6 +13,7 @@ from sessionloom.llm.nearest import nearest
 from sessionloom.llm.packing import pack
 from sessionloom.llm.repeats import remove_repeats
 from sessionloom.llm.sharding import histogram_shards
+from sessionloom.llm.token_files import token_round_trip
 from sessionloom.llm.toxicity import score_toxicity, train_toxicity
 from sessionloom.llm.url_filters import url_filter
 from sessionloom.llm.warc import archive_round_trip
@@ -44,6 +45,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(_table(spark, sf_dir, "documents"), 24)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     weights = train_toxicity(documents, _table(spark, sf_dir, "labels"), usable=remainder() != 2)
@@ -86,7 +91,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op4_toxicity, op5_suffix_dedup, op6_warc, op7_decontamination, op8_jaccard_join, op9_packing, op10_nearest)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_token_files, op4_toxicity, op5_suffix_dedup, op6_warc, op7_decontamination, op8_jaccard_join, op9_packing, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
