@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 #: Odd multipliers for polynomial hashing modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)

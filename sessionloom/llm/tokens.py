@@ -2,76 +2,204 @@
 
 from __future__ import annotations
 
-import numpy as np
+import json
+import re
 
-#: Words that a worker remembers; beyond it starts afresh.
-REMEMBERED_WORDS = 600_000
+import numpy as np
 
-_encoders: dict[tuple[str, str | None], TextEncoder] = {}
+from sessionloom.llm.common import mix, powers
+
+#: Parts of texts that a worker remembers (about 60 bytes each); beyond it starts afresh.
+REMEMBERED = 1_500_000
+_SLOTS = 1 << 22
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+#: Parts that need no normalising but lower case: ASCII without ' and <, and Latin-1 letters; and what the pattern below makes of them.
+_SIMPLE = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The pattern of the tokenizer for which this holds.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_encoders: dict[str, TextEncoder] = {}
+
+
+class HashTable:
+    """Numbers of 64-bit keys, with numpy lookups: open addressing, probed for all keys at once."""
+
+    def __init__(self, slots: int = _SLOTS):
+        self.keys, self.values, self.mask, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), slots - 1, 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for unknown ones."""
+        slot = (keys >> np.uint64(20)).astype(np.int64) & self.mask
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], -1).astype(np.int64)
+        open_ = np.flatnonzero((there != keys) & (there != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            there = self.keys[slot[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (there != 0)]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number new, distinct keys in their order."""
+        numbers = np.arange(self.size, self.size + len(keys), dtype=np.int32)
+        self.size += len(keys)
+        slot = (keys >> np.uint64(20)).astype(np.int64) & self.mask
+        open_ = np.arange(len(keys))
+        while len(open_):
+            at = slot[open_]
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[open_[free]]
+            mine = self.keys[at] == keys[open_]
+            self.values[at[mine]] = numbers[open_[mine]]
+            open_ = open_[~mine]
+            slot[open_] = (slot[open_] + 1) & self.mask
 
 
 class _Numbered(dict):
-    """Numbers words in order of appearance."""
+    """Numbers pieces in order of appearance; ``fresh`` has those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.fresh.append(piece)
         return number
 
 
+class _Lists:
+    """Short lists of numbers, one after the other; grows by doubling."""
+
+    def __init__(self):
+        self.n, self.total = 0, 0
+        self.flat, self.begin, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def extend(self, length: np.ndarray, flat: np.ndarray) -> None:
+        n, total = self.n + len(length), self.total + len(flat)
+        for name, size in (("flat", total), ("begin", n), ("length", n)):
+            old = getattr(self, name)
+            if size > len(old):
+                new = np.zeros(max(size, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.length[self.n : n] = length
+        self.begin[self.n : n] = self.total + np.cumsum(length) - length
+        self.flat[self.total : total] = flat
+        self.n, self.total = n, total
+
+    def gather(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these numbers one after the other, and their len + 1 offsets."""
+        ends = np.zeros(len(of) + 1, np.int64)
+        length = self.length[of]
+        np.cumsum(length, out=ends[1:])
+        at = np.arange(ends[-1])
+        at += np.repeat(self.begin[of] - ends[:-1], length)
+        return self.flat[at], ends
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what stands between ASCII white space."""
+    inside = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    ends[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
 class TextEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    With ``splits_at_space`` the tokenizer must drop white space and treat what stands between as separate, as
-    word_bpe_49k.json does. Then a text's ids are those of its parts between ASCII white space, one after the
-    other, and each different part is encoded once.
+    A tokenizer that drops white space and treats what stands between as separate, as word_bpe_49k.json does, gives a
+    text the ids of its parts between ASCII white space one after the other; each different part is encoded
+    once and found again by its 64-bit hash. Parts of plain letters, digits and signs are put together from pieces that the
+    tokenizer's own model has encoded; any other part goes through the whole tokenizer. Other tokenizers get whole texts.
     """
 
-    def __init__(self, tokenizer_file: str, splits_at_space: bool = True):
+    def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.splits_at_space = splits_at_space
+        shape = json.loads(self.tokenizer.to_str())
+        split = ((shape.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_part = split.get("pattern") == {"Regex": _PATTERN} and split.get("invert") is True and split.get("behavior") == "Removed"
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {ord(c): "".join(p for p, _ in level.pre_tokenize_str(c)) for c in map(chr, range(33, 256)) if c.isalpha() or ord(c) < 127}
+        self.piece_numbers, self.pieces = _Numbered(), _Lists()
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers, self.ids, self.length = _Numbered(), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self.begin = np.zeros(0, np.int64)
-
-    def _learn(self) -> None:
-        known = len(self.length)
-        new = [w.decode("utf-8", "replace") for w in list(self.numbers)[known:]]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.length = np.concatenate([self.length, np.fromiter(map(len, found), np.int64, len(found))])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32)])
-            self.begin = np.cumsum(self.length) - self.length
+        self.table, self.known = HashTable(), _Lists()
+        if len(self.piece_numbers) > REMEMBERED // 2:
+            self.piece_numbers, self.pieces = _Numbered(), _Lists()
+
+    def _learn(self, parts: list[str]) -> None:
+        simple = [_SIMPLE.fullmatch(p) is not None for p in parts]
+        found: list[int] = []
+        counts = []
+        number = self.piece_numbers.__getitem__
+        for part, plain in zip(parts, simple):
+            before = len(found)
+            if plain:
+                found.extend(map(number, _PIECES.findall(part.lower())))
+            counts.append(len(found) - before)
+        fresh, self.piece_numbers.fresh = self.piece_numbers.fresh, []
+        tokenize, table = self.tokenizer.model.tokenize, self.bytes_of
+        coded = [[t.id for t in tokenize(p.translate(table))] for p in fresh]
+        self.pieces.extend(np.fromiter(map(len, coded), np.int64, len(coded)), np.fromiter((i for x in coded for i in x), np.uint32))
+        flat, ends = self.pieces.gather(np.array(found, np.int64))
+        cuts = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        rest = [k for k, plain in enumerate(simple) if not plain]
+        if not rest:
+            self.known.extend(np.diff(cuts), flat)
+            return
+        other = {k: e.ids for k, e in zip(rest, self.tokenizer.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False))}
+        length = np.diff(cuts)
+        length[rest] = [len(other[k]) for k in rest]
+        out = np.zeros(length.sum(), np.uint32)
+        special = np.zeros(len(parts), bool)
+        special[rest] = True
+        of = np.repeat(special, length)
+        out[~of] = flat
+        out[of] = np.fromiter((i for k in rest for i in other[k]), np.uint32)
+        self.known.extend(length, out)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the len + 1 offsets of the texts in them."""
-        whole = data.tobytes()
-        ends = offsets.tolist()
-        if not self.splits_at_space:
+        if not self.by_part:
+            whole, ends = data.tobytes(), offsets.tolist()
             found = [e.ids for e in self.tokenizer.encode_batch_fast([whole[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], add_special_tokens=False)]
             return np.fromiter((i for x in found for i in x), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int64)
-        if len(self.numbers) > REMEMBERED_WORDS:
+        start, end = _parts(data, offsets)
+        up, down = powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * up[: len(data)], out=total[1:])
+        keys = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) | np.uint64(1)
+        if self.table.size > REMEMBERED:
             self._forget()
-        words: list[int] = []
-        counts = np.zeros(len(ends), np.int64)
-        number = self.numbers.__getitem__
-        for k in range(len(ends) - 1):
-            words.extend(map(number, whole[ends[k] : ends[k + 1]].split()))
-            counts[k + 1] = len(words)
-        self._learn()
-        of = np.array(words, np.int64)
-        length = self.length[of] if len(of) else np.zeros(0, np.int64)
-        ends_of = np.concatenate([[0], np.cumsum(length)])
-        at = np.arange(ends_of[-1]) + np.repeat(self.begin[of] - ends_of[:-1], length) if len(of) else np.zeros(0, np.int64)
-        return self.ids[at], ends_of[counts]
-
-
-def encoder(tokenizer_file: str, splits_at_space: bool = True) -> TextEncoder:
+        of = self.table.find(keys)
+        unknown = np.flatnonzero(of < 0)
+        if len(unknown):
+            fresh, first = np.unique(keys[unknown], return_index=True)
+            at = unknown[first]
+            self._learn([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist())])
+            self.table.add(fresh)
+            of[unknown] = self.table.find(keys[unknown])
+        ids, ends = self.known.gather(of)
+        return ids, ends[np.searchsorted(start, offsets)]
+
+
+def encoder(tokenizer_file: str) -> TextEncoder:
     """The worker's encoder of this file."""
-    key = (tokenizer_file, splits_at_space)
-    if key not in _encoders:
-        _encoders[key] = TextEncoder(tokenizer_file, splits_at_space)
-    return _encoders[key]
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = TextEncoder(tokenizer_file)
+    return _encoders[tokenizer_file]
