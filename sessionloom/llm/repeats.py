@@ -19,7 +19,7 @@ GRAM = 20
 #: Windows of a run at most.
 RUN = 512
 #: Bytes of runs in one suffix array.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Different runs of one least gram beyond which its windows are dealt one by one, by their own hashes.
 SPREAD = 2048
 #: Text bytes that one partition of runs stands for.
@@ -298,21 +298,20 @@ def _search_shards(length: int):
     return search
 
 
-def repeated_spans(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """(doc, start, windows): runs of windows of ``length`` bytes, each of which also starts earlier.
+def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Of rows with doc (not null) and t (the text): (doc, start, windows), runs of windows of ``length`` bytes, each of which also starts earlier.
 
     Windows are put together to runs with the same least gram, which says where a run goes, so equal windows of any two
     texts meet in one shard and no pair of shards has to be compared. Equal runs are settled before and
     after that exchange: the first stays, the others repeat it. Where a gram has several different runs, their bytes are
-    fetched, and a shard of them gets a suffix array with common prefixes: suffixes that share ``length`` bytes are neighbours, and all but the
+    fetched (by a join that takes all columns of ``rows``, so that the caller can use its exchange again), and a shard of them gets a suffix array with common prefixes: suffixes that share ``length`` bytes are neighbours, and all but the
     earliest repeat it. The windows of a gram with over SPREAD different runs are dealt to shards one by one by a 128-bit hash instead.
     """
-    spark = documents.sparkSession
-    rows = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), text_or_empty(text).alias("t"))
+    spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     folder = fresh_dir(spark, "repeats")
-    runs = rows.mapInArrow(_find_runs(length), RUNS).repartition(parts, "least").mapInArrow(_sort_runs, SORTED)
+    runs = rows.select("doc", "t").mapInArrow(_find_runs(length), RUNS).repartition(parts, "least").mapInArrow(_sort_runs, SORTED)
     runs.write.parquet(folder)
     runs = spark.read.parquet(folder)
     unsettled = runs.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "least", "kind")).alias("runs"))
@@ -367,7 +366,7 @@ def remove_repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_
     else:
         marked = rows.join(hashed.select("doc", "least"), "doc", "left").withColumn("main", F.coalesce(F.col("least") == F.xxhash64("t"), F.lit(True)))
         told, rest = marked.where("main").drop("least", "main"), marked.where("NOT main").drop("least", "main")
-    spans = repeated_spans(told, "t", "doc", length).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    spans = repeated_spans(told, length).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     joined = told.join(spans, "doc", "left")
     if rest is not None:
         joined = joined.unionByName(rest.withColumn("runs", F.lit(None).cast(joined.schema["runs"].dataType)))
