@@ -18,9 +18,13 @@ QUERY_BLOCK = 16_384
 #: Bits to which a rotated query's components are rounded.
 QUERY_BITS = 4
 #: Width of the error bound in standard deviations of the estimate.
-EPSILON = 4.0
+EPSILON = 3.0
 #: Pairs of query and code that one vectorised step handles.
-STEP_PAIRS = 1 << 20
+STEP_PAIRS = 1 << 18
+#: Pairs whose original vectors are compared at once: small enough for a core's cache.
+EXACT_PAIRS = 4096
+#: Share of a block's pairs to be reranked beyond which a matrix product does it.
+DENSE_SHARE = 1 / 64
 SEED = 20240527
 
 INDEX = "vec_id long, vector binary, code binary, radius double, agreement double, shift double"
@@ -42,11 +46,14 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products in double precision, components added in order."""
-    total = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        total += a[:, k] * b[:, k]
+def exact_scores(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray) -> np.ndarray:
+    """Inner products of rows a[at] and b[bt] in double precision, components added in order."""
+    total = np.zeros(len(at))
+    for i in range(0, len(at), EXACT_PAIRS):
+        part = a[at[i : i + EXACT_PAIRS]] * b[bt[i : i + EXACT_PAIRS]]
+        sums = total[i : i + EXACT_PAIRS]
+        for column in np.ascontiguousarray(part.T):
+            sums += column
     return total
 
 
@@ -120,9 +127,10 @@ class QueryBlock:
     def estimate(self, rows: slice, codes: np.ndarray, ones: np.ndarray, radius: np.ndarray, agreement: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
         """Estimates of the inner products of some queries with some coded vectors, and bounds of their errors."""
         bits = np.zeros((len(self.planes[0][rows]), len(codes)), np.int32)
-        for b, plane in enumerate(self.planes):
+        for b in reversed(range(len(self.planes))):
+            bits <<= 1
             for w in range(codes.shape[1]):
-                bits += np.bitwise_count(plane[rows, w, None] & codes[None, :, w]).astype(np.int32) << b
+                bits += np.bitwise_count(self.planes[b][rows, w, None] & codes[None, :, w])
         signed = 2 * (bits * self.step[rows, None] + ones * self.low[rows, None]) - self.sum[rows, None]
         scale = radius / agreement
         value = self.with_centre[rows, None] + signed * (scale / np.sqrt(dim))
@@ -143,7 +151,7 @@ def _search(shipped, k: int, dim: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: QueryBlock = shipped.value
         n = len(block.ids)
-        #: the k-th best lower bound so far of each query
+        #: no more than the k-th best score so far of each query
         floor = np.full(n, -np.inf)
         kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         for batch in batches:
@@ -157,17 +165,28 @@ def _search(shipped, k: int, dim: int):
             for at in range(0, n, width):
                 rows = slice(at, min(n, at + width))
                 value, error = block.estimate(rows, codes, ones, radius, agreement, dim)
-                own = block.ids[rows, None] == vec[None, :]
-                low = np.where(own, -np.inf, value - error)
-                if len(vec) > k:
-                    floor[rows] = np.maximum(floor[rows], np.partition(low, len(vec) - k, axis=1)[:, len(vec) - k])
-                q, v = np.nonzero((value + error >= floor[rows, None]) & ~own)
+                value[block.ids[rows, None] == vec[None, :]] = -np.inf
+                if len(vec) > k and not np.isfinite(floor[rows]).all():
+                    # exact scores of the k best estimates: no more than the k-th of them is needed to be among the best
+                    top = np.argpartition(value, len(vec) - k, axis=1)[:, len(vec) - k :]
+                    score = exact_scores(block.vectors, np.repeat(np.arange(rows.start, rows.stop), k), raw, top.reshape(-1)).reshape(-1, k)
+                    score[~np.isfinite(np.take_along_axis(value, top, 1))] = -np.inf
+                    floor[rows] = np.maximum(floor[rows], score.min(1))
+                near = value + error >= floor[rows, None]
+                near &= np.isfinite(value)
+                if near.mean() > DENSE_SHARE:
+                    # rerank the block as one matrix product; what may be among the k best after its rounding is scored in order below
+                    product = np.where(near, block.vectors[rows] @ raw.T, -np.inf)
+                    least = floor[rows]
+                    if len(vec) > k:
+                        least = np.maximum(least, np.partition(product, len(vec) - k, axis=1)[:, len(vec) - k])
+                    near = product >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None]
+                    near &= np.isfinite(product)
+                q, v = np.nonzero(near)
                 q += at
-                for i in range(0, len(q), STEP_PAIRS):
-                    qs, vs = q[i : i + STEP_PAIRS], v[i : i + STEP_PAIRS]
-                    score = exact_scores(block.vectors[qs], raw[vs])
-                    best = _best(qs, vec[vs], score, k)
-                    found.append([qs[best], vec[vs][best], score[best]])
+                score = exact_scores(block.vectors, q, raw, v)
+                best = _best(q, vec[v], score, k)
+                found.append([q[best], vec[v][best], score[best]])
             kept = [np.concatenate(x) for x in zip(*found)]
             best = _best(*kept, k)
             kept = [x[best] for x in kept]
@@ -185,7 +204,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, vec_id: str
 
     Both tables have vec_id and an array of numbers; the vector of the query's own vec_id is no candidate. Every
     vector is coded; estimates come from the packed bits (queries rounded to 4 bits a component) and the correction
-    scalars, and a vector is reranked on the original numbers if its upper bound reaches the k-th best lower bound
+    scalars, and a vector is reranked on the original numbers if the upper bound of its estimate reaches the k-th best score
     that its partition has seen. Queries go in blocks of ``query_block``, each broadcast to one pass over the codes;
     a pass sends k rows per query and partition to the final choice, so no group is gathered whole.
 
