@@ -69,11 +69,12 @@ def entropy(probabilities: Column) -> Column:
 
 def count_loops(sequence: Column) -> Column:
     """How many runs of 2 to 5 elements are followed at once by the same run."""
-    total = F.lit(0)
-    for n in range(2, 6):
+
+    def loops(n: int) -> Column:
         starts = F.when(F.size(sequence) >= 2 * n, F.sequence(F.lit(1), F.size(sequence) - 2 * n + 1)).otherwise(F.array().cast("array<int>"))
-        total = total + F.size(F.filter(starts, lambda i, n=n: F.slice(sequence, i, n) == F.slice(sequence, i + n, n)))
-    return total
+        return F.size(F.filter(starts, lambda i: F.slice(sequence, i, n) == F.slice(sequence, i + n, n)))
+
+    return loops(2) + loops(3) + loops(4) + loops(5)
 
 
 def has_tail_loop(sequence: Column) -> Column:
