@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import fresh_dir
+from sessionloom.llm.common import fresh_dir, short_batches
 from sessionloom.llm.decontamination import decontaminate
 from sessionloom.llm.jaccard import jaccard_classes
 from sessionloom.llm.packing import pack
@@ -23,6 +23,7 @@ TOXIC = 0.5
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; weights are learnt from the labelled documents, without the held-out quarter."""
+    short_batches(spark)
     weights = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=remainder() != 2)
     return score_toxicity(docs, weights, keep=tuple(docs.columns)).where(F.col("score") < TOXIC).select(docs.columns)
 

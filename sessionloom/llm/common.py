@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text makes a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Odd multipliers for polynomial hashing modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -44,6 +46,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _release() -> None:
+    """Freed memory back to the system: Python workers live on after a task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow, with the memory that it has freed given back at its end."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            _release()
+
+    return run
+
+
+def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Arrow batches of fewer rows than the usual 10,000, since rows hold whole texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_or_empty(column: str | Column) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.coalesce(column.cast("string"), F.lit(""))
@@ -88,7 +119,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         inverse = np.full(size, _BASE_INV, np.uint64)
         inverse[0] = 1
         kept = np.cumprod(base), np.cumprod(inverse)
-        if size > 16 * STEP_BYTES:
+        if size > 32 * STEP_BYTES:
             return kept
         _powers, _inverses = kept
     return _powers, _inverses

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import buffers, ngrams, steps, text_or_empty, words
+from sessionloom.llm.common import buffers, ngrams, steps, text_or_empty, tidy, words
 
 #: Bytes of item text whose windows are broadcast at once (some 20 times that in memory); more items make further passes over the rows of the same tasks.
 BROADCAST_BYTES = 2 << 20
@@ -119,7 +119,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
 
     def add():
         nonlocal rows, passes
-        rows = rows.mapInArrow(_scan(spark.sparkContext.broadcast(ItemWindows(ids, texts, window))), schema)
+        rows = rows.mapInArrow(tidy(_scan(spark.sparkContext.broadcast(ItemWindows(ids, texts, window)))), schema)
         passes += 1
 
     for r in source:

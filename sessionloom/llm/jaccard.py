@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import cut, mix, ngrams, steps, text_or_empty, words
+from sessionloom.llm.common import cut, mix, ngrams, steps, text_or_empty, tidy, words
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -22,7 +22,7 @@ BACKGROUND = 0.3
 BLOCK_MEMBERS = 1024
 BLOCK_BYTES = 24 << 20
 #: Bytes of text of a step, small enough for its hashes to stay in a core's cache.
-HASH_STEP = 1 << 20
+HASH_STEP = 1 << 19
 #: Numbers that a dense block of the incidence matrix may have.
 DENSE = 4 << 20
 
@@ -98,7 +98,7 @@ def signatures(documents: DataFrame, text: str, doc_id: str, n: int, bands: int,
                     [rows_.column("doc_id"), pa.array(full[0], mask=empty), pa.array(full[1], mask=empty), pa.array(size.astype(np.int64)), lists], names=["doc_id", "node", "node_low", "grams", "bands"]
                 )
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(sign, SIGNATURES)
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(tidy(sign), SIGNATURES)
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -228,7 +228,7 @@ def jaccard_classes(documents: DataFrame, text: str = "text", doc_id: str = "doc
                                 out, held = [], 0
                 yield _rows(out, SHIPPED_ARROW)
 
-    shipped = wanted.join(texts, "doc_id").mapInArrow(ship, SHIPPED)
+    shipped = wanted.join(texts, "doc_id").mapInArrow(tidy(ship), SHIPPED)
     place = ["band", "key", "low", "high"]
     dealt = shipped.repartition(*place).sortWithinPartitions(*place, "node")
 
@@ -246,7 +246,7 @@ def jaccard_classes(documents: DataFrame, text: str = "text", doc_id: str = "doc
         if len(members) > 1:
             yield _rows(_verify(list(members.values()), now[0], now[2] != now[3], threshold), LINKS_ARROW)
 
-    links = cut(dealt.mapInArrow(verify, LINKS))
+    links = cut(dealt.mapInArrow(tidy(verify), LINKS))
     roots = connected(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     summed = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "rep", "copies").join(summed, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

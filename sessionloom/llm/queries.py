@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.llm.common import short_batches
 from sessionloom.llm.decontamination import decontaminate
 from sessionloom.llm.jaccard import jaccard_classes
 from sessionloom.llm.nearest import nearest
@@ -23,6 +24,7 @@ URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import fresh_dir, mix, powers, steps, text_or_empty
+from sessionloom.llm.common import fresh_dir, mix, powers, steps, text_or_empty, tidy
 from sessionloom.llm.suffix_arrays import common_prefixes, suffix_array
 
 LENGTH = 100
@@ -19,7 +19,7 @@ GRAM = 20
 #: Windows of a run at most.
 RUN = 512
 #: Bytes of runs in one suffix array.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Different runs of one least gram beyond which its windows are dealt one by one, by their own hashes.
 SPREAD = 2048
 #: Text bytes that one partition of runs stands for.
@@ -311,12 +311,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     folder = fresh_dir(spark, "repeats")
-    runs = rows.select("doc", "t").mapInArrow(_find_runs(length), RUNS).repartition(parts, "least").mapInArrow(_sort_runs, SORTED)
+    runs = rows.select("doc", "t").mapInArrow(tidy(_find_runs(length)), RUNS).repartition(parts, "least").mapInArrow(tidy(_sort_runs), SORTED)
     runs.write.parquet(folder)
     runs = spark.read.parquet(folder)
     unsettled = runs.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "least", "kind")).alias("runs"))
-    looked = rows.join(unsettled, "doc").mapInArrow(_take_bytes(length), PARTS)
-    found = looked.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_search_shards(length), COVERED)
+    looked = rows.join(unsettled, "doc").mapInArrow(tidy(_take_bytes(length)), PARTS)
+    found = looked.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(tidy(_search_shards(length)), COVERED)
     return runs.where("kind = 0").select("doc", "start", "windows").unionAll(found)
 
 
@@ -375,4 +375,4 @@ def remove_repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_
     more = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")] + ([("kept_text", "string")] if with_text else [])
     names = [f.name for f in fields] + [n for n, _ in more]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} {t}" for n, t in more])
-    return joined.mapInArrow(_settle(length, with_text, names), schema)
+    return joined.mapInArrow(tidy(_settle(length, with_text, names)), schema)

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import cut, fresh_dir, steps, text_or_empty
+from sessionloom.llm.common import cut, fresh_dir, steps, text_or_empty, tidy
 from sessionloom.llm.id_coder import BLOCK_IDS, HEAD_BYTES, block_bytes, decode_block, encode_block
 from sessionloom.llm.tokens import encoder
 
@@ -113,7 +113,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_file: str, te
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder.rstrip('/')}/{name}"]), pa.array([documents_], pa.int64()), pa.array([written], pa.int64())], names=["part", "path", "documents", "ids"])
 
-    return cut(dealt.mapInArrow(write, "part int, path string, documents long, ids long"))
+    return cut(dealt.mapInArrow(tidy(write), "part int, path string, documents long, ids long"))
 
 
 def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -143,7 +143,7 @@ def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     spread = files.select("part", "path").repartition(max(1, len(before)), "part")
-    return spread.mapInArrow(read, schema)
+    return spread.mapInArrow(tidy(read), schema)
 
 
 def manifest(files: DataFrame) -> str:

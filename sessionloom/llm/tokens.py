@@ -10,8 +10,10 @@ import numpy as np
 from sessionloom.llm.common import mix, powers
 
 #: Parts of texts that a worker remembers (about 60 bytes each); beyond it starts afresh.
-REMEMBERED = 1_500_000
-_SLOTS = 1 << 22
+REMEMBERED = 900_000
+_SLOTS = 1 << 21
+#: Pieces that a worker remembers, as text.
+REMEMBERED_PIECES = 150_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -139,10 +141,10 @@ class TextEncoder:
 
     def _forget(self) -> None:
         self.table, self.known = HashTable(), _Lists()
-        if len(self.piece_numbers) > REMEMBERED // 2:
-            self.piece_numbers, self.pieces = _Numbered(), _Lists()
 
     def _learn(self, parts: list[str]) -> None:
+        if len(self.piece_numbers) > REMEMBERED_PIECES:
+            self.piece_numbers, self.pieces = _Numbered(), _Lists()
         simple = [_SIMPLE.fullmatch(p) is not None for p in parts]
         found: list[int] = []
         counts = []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import Words, mix, ngrams, steps, text_or_empty, words
+from sessionloom.llm.common import Words, mix, ngrams, steps, text_or_empty, tidy, words
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, text: str = "text",
         return pa.table({"index": pa.array(at, pa.int64()), "weight": pa.array(w[at], pa.float64())})
 
     shard = F.pmod(F.xxhash64("label_of", F.lit(7)), F.lit(p.shards)).cast("int")
-    features = rows.select(shard.alias("shard"), "label_of", "y", "t").mapInArrow(hashed, "shard int, label_of long, y int, features binary")
+    features = rows.select(shard.alias("shard"), "label_of", "y", "t").mapInArrow(tidy(hashed), "shard int, label_of long, y int, features binary")
     learnt = features.groupBy("shard").applyInArrow(learn, "index long, weight double")
     mean = learnt.groupBy("index").agg((F.sum("weight") / p.shards).alias("weight"), F.count("*").alias("n"))
     return {r["index"]: r["weight"] for r in mean.where(F.col("n") * 2 >= p.shards).collect()}
@@ -128,4 +128,4 @@ def score_toxicity(documents: DataFrame, weights: dict[int, float], text: str =
     rows = documents.select(F.col(doc_id).alias("doc_id"), *[c for c in keep if c != "doc_id"], text_or_empty(text).alias("score_text"))
     names = rows.columns[:-1]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(scored, f"{fields}, score double")
+    return rows.mapInArrow(tidy(scored), f"{fields}, score double")

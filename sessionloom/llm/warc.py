@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import cut, fresh_dir, text_or_empty
+from sessionloom.llm.common import cut, fresh_dir, text_or_empty, tidy
 
 #: Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -187,7 +187,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, pa
         files = writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in files], pa.string()), *(pa.array([f[i] for f in files], pa.int64()) for i in (1, 2))], names=["path", "records", "bytes"])
 
-    return cut(rows.mapInArrow(write, "path string, records long, bytes long"))
+    return cut(rows.mapInArrow(tidy(write), "path string, records long, bytes long"))
 
 
 def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
@@ -212,7 +212,7 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
                         found, held = [], 0
                 yield emit(found)
 
-    return files.select("path").mapInArrow(read, PAGES_READ)
+    return files.select("path").mapInArrow(tidy(read), PAGES_READ)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
