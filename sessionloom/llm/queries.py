@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.llm import oracles
 from sessionloom.llm.common import short_batches
 from sessionloom.llm.decontamination import decontaminate
 from sessionloom.llm.jaccard import jaccard_classes
@@ -97,4 +98,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_url_filters": oracles.url_filters(URL_RULES),
+        "op5_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op6_warc": oracles.WARC,
+        "op7_decontamination": oracles.DECONTAMINATION,
+        "op8_jaccard_join": oracles.JACCARD,
+        "op10_nearest": oracles.NEAREST,
+    }
