@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionloom.llm.common import cut, steps, text_or_empty
+from sessionloom.llm.common import cut, steps, text_or_empty, tidy
 from sessionloom.llm.tokens import encoder
 
 #: A kind of sequence: the lengths in it, in order, and how many sequences are of the kind.
 Pattern = tuple[tuple[int, ...], int]
 
 
-def _exact(counts: np.ndarray, capacity: int) -> list[Pattern]:
-    """Consume, longest length first, what one, two or three other pieces fill up exactly; counts are reduced."""
+def _exact(counts: np.ndarray, capacity: int, most: int) -> list[Pattern]:
+    """Consume, longest length first, what one other piece fills up exactly, then two others, then three, up to ``most``; counts are reduced."""
     patterns: list[Pattern] = []
 
     def take(*lengths: int) -> None:
@@ -38,29 +38,35 @@ def _exact(counts: np.ndarray, capacity: int) -> list[Pattern]:
         spectrum = np.fft.rfft(there, size)
         return np.fft.irfft(spectrum * spectrum, size)[: len(there)] > 0.5
 
-    sums, age = pair_sums(), 0
-    for length in range(capacity - 1, 0, -1):
-        gap = capacity - length
-        if counts[length]:
-            take(length, gap)
-        if counts[length] and sums[gap]:
-            for a in np.flatnonzero((counts[1 : gap // 2 + 1] > 0) & (counts[gap - 1 : gap - gap // 2 - 1 : -1] > 0)) + 1:
-                if not counts[length]:
-                    break
-                take(length, int(a), int(gap - a))
+    def pairs(length: int, left: int, *more: int) -> None:
+        """Fill ``left`` by two pieces beside the given ones, while there are any."""
+        low = np.arange(1, left // 2 + 1)
+        for b in low[(counts[low] > 0) & (counts[left - low] > 0)].tolist():
+            take(length, *more, b, left - b)
+            if not counts[length] or any(not counts[m] for m in more):
+                return
+
+    for length in range(capacity - 1, capacity // 2 - 1, -1):
         if counts[length]:
-            firsts = np.flatnonzero((counts[1:gap] > 0) & sums[gap - 1 : 0 : -1]) + 1
-            for a in firsts[firsts >= gap // 3][::-1]:
-                left = int(gap - a)
-                for b in np.flatnonzero((counts[1 : left // 2 + 1] > 0) & (counts[left - 1 : left - left // 2 - 1 : -1] > 0)) + 1:
-                    take(length, int(a), int(b), int(left - b))
-                    if not counts[length] or not counts[a]:
+            take(length, capacity - length)
+    if most >= 2:
+        for length in range(capacity - 2, 0, -1):
+            if counts[length]:
+                pairs(length, capacity - length)
+    if most >= 3:
+        sums = pair_sums()
+        for n, length in enumerate(range(capacity - 3, 0, -1)):
+            gap = capacity - length
+            if counts[length]:
+                first = np.arange(1, gap - 1)
+                first = first[(counts[first] > 0) & sums[gap - first] & (3 * first >= gap)]
+                for a in first[::-1].tolist():
+                    if counts[a]:
+                        pairs(length, gap - a, a)
+                    if not counts[length]:
                         break
-                if not counts[length]:
-                    break
-        age += 1
-        if age % 64 == 0:
-            sums = pair_sums()
+            if n % 64 == 63:
+                sums = pair_sums()
     return patterns
 
 
@@ -95,9 +101,18 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
 
 
 def plan_packing(counts: np.ndarray, capacity: int) -> list[Pattern]:
-    """Patterns that place every piece: counts[n] pieces have length n, 1 <= n <= capacity."""
-    counts = np.array(counts, np.int64)
-    return _exact(counts, capacity) + _best_fit(counts, capacity)
+    """Patterns that place every piece: counts[n] pieces have length n, 1 <= n <= capacity.
+
+    Exact fillings use up short pieces that best fit might have put to better use, so plans with
+    fillings by one, by up to two and by up to three pieces are made, and the one with the fewest sequences holds.
+    """
+    best = None
+    for most in (3, 2, 1):
+        left = np.array(counts, np.int64)
+        plan = _exact(left, capacity, most) + _best_fit(left, capacity)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+    return best
 
 
 def _slots(patterns: list[Pattern], capacity: int) -> tuple[np.ndarray, ...]:
@@ -144,7 +159,7 @@ def token_pieces(documents: DataFrame, tokenizer_file: str, text: str = "text",
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"],
                 )
 
-    return rows.mapInArrow(cut_up, PIECES)
+    return rows.mapInArrow(tidy(cut_up), PIECES)
 
 
 def pack(documents: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -181,4 +196,4 @@ def pack(documents: DataFrame, tokenizer_file: str, text: str = "text", doc_id:
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
