@@ -37,8 +37,8 @@ class Model:
     def __init__(self, symbols: int, lanes: int):
         self.symbols, self.bits = symbols, max(18, (4 * symbols - 1).bit_length())
         self.shift = np.uint64(self.bits)
-        self.guess1, self.trust1 = np.zeros(_ORDER1, np.int64), np.zeros(_ORDER1, np.uint8)
-        self.guess2, self.trust2 = np.zeros(_ORDER2, np.int64), np.zeros(_ORDER2, np.uint8)
+        # the id last seen after a context, times _CONFIDENCES, plus the trust in it
+        self.after1, self.after2 = np.zeros(_ORDER1, np.int32), np.zeros(_ORDER2, np.int32)
         self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.counts = np.zeros(symbols, np.int64)
         # choices seen: by trust in order 2, trust in order 1 and agreement
@@ -94,17 +94,18 @@ class Model:
         last1 = self.last1[:n]
         self.at1 = last1 & (_ORDER1 - 1)
         self.at2 = (self.last2[:n] * 40503 + last1 * 65537 + (last1 >> 3)) & (_ORDER2 - 1)
-        guess2, guess1 = self.guess2[self.at2], self.guess1[self.at1]
-        self.was2, self.was1 = self.trust2[self.at2], self.trust1[self.at1]
-        state = (self.was2.astype(np.int64) * (2 * _CONFIDENCES) + 2 * self.was1 + (guess1 == guess2)) * 3
+        self.said2, self.said1 = self.after2[self.at2], self.after1[self.at1]
+        guess2, guess1 = self.said2 >> 3, self.said1 >> 3
+        self.was2, self.was1 = self.said2 & 7, self.said1 & 7
+        state = (self.was2 * (2 * _CONFIDENCES) + 2 * self.was1 + (guess1 == guess2)) * 3
         return guess2, guess1, state
 
     def update(self, n: int, ids: np.ndarray, guess2: np.ndarray, guess1: np.ndarray, coded: np.ndarray) -> None:
         """Learn the ids of this step; coded is state times three plus the choice. Where lanes share a context, the last lane's word holds."""
-        for guess, trust, at, was, said in ((self.guess2, self.trust2, self.at2, self.was2, guess2), (self.guess1, self.trust1, self.at1, self.was1, guess1)):
-            right = said == ids
-            trust[at] = np.where(right, np.minimum(was + 1, _CONFIDENCES - 1), was >> 1)
-            guess[at] = np.where(right | (was > 1), said, ids)
+        new = ids << 3
+        for after, at, said, was, guess in ((self.after2, self.at2, self.said2, self.was2, guess2), (self.after1, self.at1, self.said1, self.was1, guess1)):
+            half = was >> 1
+            after[at] = np.where(guess == ids, said + (was < _CONFIDENCES - 1), np.where(was > 1, said - was, new) + half)
         self.last2[:n] = self.last1[:n]
         self.last1[:n] = ids
         self.pending.append((coded, ids))
@@ -120,10 +121,10 @@ def _shape(n: int) -> tuple[int, int]:
 
 
 def encode_block(ids: np.ndarray, symbols: int) -> bytes:
-    """A block of 1 to 2**32 - 1 ids below ``symbols``."""
+    """A block of 1 to 2**32 - 1 ids below ``symbols``, which is 2**28 at most."""
     n = len(ids)
     lanes, steps = _shape(n)
-    table = np.zeros(lanes * steps, np.int64)
+    table = np.zeros(lanes * steps, np.int32)
     table[:n] = ids
     table = np.ascontiguousarray(table.reshape(lanes, steps).T)
     model = Model(symbols, lanes)
@@ -138,12 +139,10 @@ def encode_block(ids: np.ndarray, symbols: int) -> bytes:
         unit = span[:a] >> np.uint64(CHOICE_BITS)
         low[:a] += unit * model.below[coded]
         span[:a] = unit * model.odds[coded]
-        own = np.flatnonzero(choice == 2)
-        if len(own):
-            y = x[own]
-            unit = span[own] >> model.shift
-            low[own] += unit * model.share_below[y]
-            span[own] = unit * model.share[y]
+        literal = choice == 2
+        unit = (span[:a] >> model.shift) * literal
+        low[:a] += unit * model.share_below[x]
+        np.copyto(span[:a], unit * model.share[x], where=literal)
         lo, sp = low[:a], span[:a]
         same = (lo ^ (lo + sp)) >> _TOP == 0
         out = np.flatnonzero(same | (sp < _BOTTOM))
@@ -190,7 +189,7 @@ def decode_block(head: bytes, payload: bytes) -> np.ndarray:
     for _ in range(4):
         code = (code << _WORD) | words[next_]
         next_ += 1
-    table = np.zeros((steps, lanes), np.int64)
+    table = np.zeros((steps, lanes), np.int32)
     model = Model(symbols, lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     most = np.uint64((1 << CHOICE_BITS) - 1)
@@ -203,15 +202,13 @@ def decode_block(head: bytes, payload: bytes) -> np.ndarray:
         coded = state + choice
         low[:a] += unit * model.below[coded]
         span[:a] = unit * model.odds[coded]
-        x = np.where(choice == 0, guess2, guess1)
-        own = np.flatnonzero(choice == 2)
-        if len(own):
-            unit = span[own] >> model.shift
-            value = np.minimum((code[own] - low[own]) // unit, np.uint64((1 << model.bits) - 1))
-            y = model.of_value()[value.astype(np.int64)].astype(np.int64)
-            low[own] += unit * model.share_below[y]
-            span[own] = unit * model.share[y]
-            x[own] = y
+        literal = choice == 2
+        unit = span[:a] >> model.shift
+        value = np.minimum((code[:a] - low[:a]) // np.maximum(unit, _ONE), np.uint64((1 << model.bits) - 1))
+        x = np.where(literal, model.of_value()[value.astype(np.int64)], np.where(choice == 0, guess2, guess1))
+        unit *= literal
+        low[:a] += unit * model.share_below[x]
+        np.copyto(span[:a], unit * model.share[x], where=literal)
         lo, sp = low[:a], span[:a]
         same = (lo ^ (lo + sp)) >> _TOP == 0
         out = np.flatnonzero(same | (sp < _BOTTOM))

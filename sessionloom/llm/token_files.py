@@ -105,7 +105,9 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_file: str, te
         for batch in batches:
             for rows_, data, offsets in steps(batch, "t"):
                 ids, ends = codes.encode(data, offsets)
-                waiting.append((rows_.column("doc_id").fill_null(_NO_ID).to_numpy(), np.diff(ends) + 1, np.insert(ids, ends[1:], np.uint32(end_id))))
+                whole = np.full(len(ids) + len(ends) - 1, end_id, np.uint32)
+                whole[np.arange(len(ids)) + np.repeat(np.arange(len(ends) - 1), np.diff(ends))] = ids
+                waiting.append((rows_.column("doc_id").fill_null(_NO_ID).to_numpy(), np.diff(ends) + 1, whole))
                 if sum(len(w[2]) for w in waiting) >= BLOCK_IDS:
                     flush()
         flush()

@@ -10,10 +10,10 @@ import numpy as np
 from sessionloom.llm.common import mix, powers
 
 #: Parts of texts that a worker remembers (about 60 bytes each); beyond it starts afresh.
-REMEMBERED = 900_000
+REMEMBERED = 1_200_000
 _SLOTS = 1 << 21
 #: Pieces that a worker remembers, as text.
-REMEMBERED_PIECES = 150_000
+REMEMBERED_PIECES = 250_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
