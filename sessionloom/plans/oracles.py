@@ -306,6 +306,14 @@ ORACLES: dict[str, str] = {
       SELECT session_id, least(x, 100)::INT AS complexity, model, CASE model WHEN 'mini' THEN 0.85 WHEN 'medium' THEN 0.7 ELSE 0.75 END::DOUBLE AS confidence, CASE model WHEN 'mini' THEN 60 WHEN 'medium' THEN 25 ELSE 0 END::INT AS saving_percent FROM m""",
     "live_metrics": f"""WITH {LOG} SELECT session_id, id, round(sum_prompt + sum_completion, 6) AS context_tokens, tool_calls, round(sum_prompt * 5 + sum_completion * 15, 6) AS cost, elapsed_ms AS latency, retries::BIGINT AS retries, round(usage, 6) AS context_usage,
       round(CASE WHEN tool_calls + edits > 0 THEN retries / (tool_calls + edits) ELSE 0 END, 6)::DOUBLE AS retry_rate, round(least(sum_prompt / 50000, 1), 6) AS prompt_growth_rate, round(least((files_read + files_edited) / 30, 1), 6) AS file_entropy, 0.0::DOUBLE AS subagent_pressure FROM fin""",
+    "multi_health": f"""WITH {LOG}, l AS (SELECT *, len(rt) AS l, CASE WHEN tool_calls + edits > 0 THEN retries / (tool_calls + edits) ELSE 0 END AS rate FROM fin2),
+      m AS (SELECT *, l >= 8 AND ((rt[-2:] = rt[-4:-3] AND rt[-4:-3] = rt[-6:-5]) OR (l >= 9 AND rt[-3:] = rt[-6:-4] AND rt[-6:-4] = rt[-9:-7]) OR (l >= 12 AND rt[-4:] = rt[-8:-5] AND rt[-8:-5] = rt[-12:-9])) AS lp FROM l)
+      SELECT session_id, floor((1 - rate) * 60 + CASE WHEN lp THEN 10 ELSE 40 END + 0.5)::DOUBLE AS h_execution, floor((1 - least(usage, 1)) * 100 + 0.5)::DOUBLE AS h_context, floor(100 - least(least((files_read + files_edited) / 30, 1) * 100, 60) + 0.5)::DOUBLE AS h_memory, 90::DOUBLE AS h_planning FROM m""",
+    "prediction_triggers": f"""WITH RECURSIVE {LOG}, e AS (SELECT session_id, id, ts_ms, version, sum_prompt + sum_completion AS tk FROM st),
+      f AS (SELECT session_id, 0::BIGINT AS v, min(ts_ms) AS lts, 0::BIGINT AS lv, 0.0::DOUBLE AS lt, NULL::BIGINT AS id, NULL::VARCHAR AS reason FROM e GROUP BY 1
+        UNION ALL SELECT session_id, v, CASE WHEN r IS NULL THEN lts ELSE ts_ms END, CASE WHEN r IS NULL THEN lv ELSE v END, CASE WHEN r IS NULL THEN lt ELSE tk END, id, r FROM (
+          SELECT e.session_id, e.version AS v, e.ts_ms, e.tk, e.id, f.lts, f.lv, f.lt, CASE WHEN e.version - f.lv >= 5 THEN 'events' WHEN e.tk - f.lt >= 5000 THEN 'tokens' WHEN e.ts_ms - f.lts >= 30000 AND e.version > f.lv THEN 'time' END AS r FROM f JOIN e ON e.session_id = f.session_id AND e.version = f.v + 1))
+      SELECT session_id, id, reason FROM f WHERE reason IS NOT NULL""",
     "phase_timeline": f"""WITH {LOG}, n AS (SELECT *, CASE type WHEN 'session_start' THEN 'Planning' WHEN 'tool_call' THEN 'CallingTool' WHEN 'tool_result' THEN 'WaitingTool' WHEN 'edit' THEN 'Editing' WHEN 'error' THEN 'Failed' END AS nm FROM lg),
       b AS (SELECT *, count(nm) OVER (PARTITION BY session_id ORDER BY ts_ms, id ROWS UNBOUNDED PRECEDING) AS g FROM n),
       i AS (SELECT *, coalesce(max(nm) OVER w, 'Idle') AS ba, bool_or(type = 'llm_request') OVER w AS th, bool_or(type = 'session_end') OVER w AS en FROM b WINDOW w AS (PARTITION BY session_id, g ORDER BY ts_ms, id ROWS UNBOUNDED PRECEDING)),
