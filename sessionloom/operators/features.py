@@ -31,26 +31,30 @@ def ordered(events: DataFrame) -> DataFrame:
     )
 
 
+def _session_sums() -> list[Column]:
+    return [
+        F.min("ts_ms").alias("first_ts"),
+        F.max("ts_ms").alias("last_ts"),
+        count_if(is_type("completion")).alias("completion_count"),
+        count_if(is_type("retry")).alias("retry_count"),
+        count_if(is_type("accept")).alias("accept_count"),
+        count_if(is_type("reject")).alias("reject_count"),
+    ]
+
+
+def _session_rates(sums: DataFrame) -> DataFrame:
+    return sums.withColumns(
+        {
+            "duration": F.col("last_ts") - F.col("first_ts"),
+            "accept_rate": ratio(F.col("accept_count"), F.col("accept_count") + F.col("reject_count")),
+            "retry_rate": ratio(F.col("retry_count"), F.col("completion_count")),
+        }
+    )
+
+
 def session_features(events: DataFrame) -> DataFrame:
     """First and last time, duration, counts and rates per session; a rate without denominator is 0."""
-    return (
-        events.groupBy("session_id")
-        .agg(
-            F.min("ts_ms").alias("first_ts"),
-            F.max("ts_ms").alias("last_ts"),
-            count_if(is_type("completion")).alias("completion_count"),
-            count_if(is_type("retry")).alias("retry_count"),
-            count_if(is_type("accept")).alias("accept_count"),
-            count_if(is_type("reject")).alias("reject_count"),
-        )
-        .withColumns(
-            {
-                "duration": F.col("last_ts") - F.col("first_ts"),
-                "accept_rate": ratio(F.col("accept_count"), F.col("accept_count") + F.col("reject_count")),
-                "retry_rate": ratio(F.col("retry_count"), F.col("completion_count")),
-            }
-        )
-    )
+    return _session_rates(events.groupBy("session_id").agg(*_session_sums()))
 
 
 def tool_kind() -> Column:
@@ -69,47 +73,55 @@ def tool_features(events: DataFrame) -> DataFrame:
     return kinds.groupBy("session_id").agg(*[count_if(F.col("kind") == k).alias(f"{k}_calls") for k in ("terminal", "git", "mcp", "filesystem")])
 
 
-def behavior_features(events: DataFrame) -> DataFrame:
-    """The eight measures of a session's course, in one pass over the ordered events.
+SESSION_COLUMNS = ("first_ts", "last_ts", "completion_count", "retry_count", "accept_count", "reject_count", "duration", "accept_rate", "retry_rate")
+BEHAVIOR_COLUMNS = ("avg_read_before_ask", "avg_retry_distance", "tool_switch_frequency", "context_expansion_speed", "workflow_entropy", "retry_burst_score", "edit_after_accept_ratio", "workflow_length")
 
-    Reads before an ask count if an ask follows; retry distance is the mean gap of places; entropy of the types is
-    relative to ln(number of events); burst is the longest run of retries by all retries; edits after accepts by accepts that have a successor.
-    """
+
+def _course(events: DataFrame) -> DataFrame:
+    """Session and behaviour features and the type of the last event, by one exchange and one aggregation over the ordered events."""
     rows = ordered(events)
     of_type, of_run = Window.partitionBy("session_id", "event_type"), Window.partitionBy("session_id", "run")
     rows = rows.withColumns({"type_n": F.count("*").over(of_type), "run_n": F.count("*").over(of_run)})
     retry = is_type("retry")
     after_accept = F.col("prev_type") == "accept"
-    return (
-        rows.groupBy("session_id")
-        .agg(
-            F.count("*").alias("workflow_length"),
-            count_if(is_type(*ASKS)).alias("asks"),
-            count_if(is_type(*READS) & (F.col("pos") < F.col("last_ask"))).alias("reads"),
-            count_if(retry).alias("retries"),
-            F.max(F.when(retry, F.col("pos"))).alias("last_retry"),
-            F.min(F.when(retry, F.col("pos"))).alias("first_retry"),
-            count_if(F.col("prev_type") != F.col("event_type")).alias("switches"),
-            F.sum(F.coalesce("prompt_tokens", "token_count", F.lit(0.0))).alias("tokens"),
-            F.sum(-F.ln(F.col("type_n") / F.col("n")) / F.col("n")).alias("entropy"),
-            F.max(F.when(retry, F.col("run_n"))).alias("longest"),
-            count_if(after_accept).alias("accepts_followed"),
-            count_if(after_accept & is_type("edit")).alias("edits_after"),
-        )
-        .select(
-            "session_id",
-            ratio(F.col("reads"), F.col("asks")).alias("avg_read_before_ask"),
-            F.when(F.col("retries") > 1, (F.col("last_retry") - F.col("first_retry")) / (F.col("retries") - 1)).otherwise(0.0).alias("avg_retry_distance"),
-            F.when(F.col("workflow_length") > 1, F.col("switches") / (F.col("workflow_length") - 1)).otherwise(0.0).alias("tool_switch_frequency"),
-            (F.col("tokens") / F.col("workflow_length")).alias("context_expansion_speed"),
-            F.when(F.col("workflow_length") > 1, F.col("entropy") / F.ln(F.col("workflow_length"))).otherwise(0.0).alias("workflow_entropy"),
-            ratio(F.coalesce("longest", F.lit(0)), F.col("retries")).alias("retry_burst_score"),
-            ratio(F.col("edits_after"), F.col("accepts_followed")).alias("edit_after_accept_ratio"),
-            "workflow_length",
-        )
+    sums = rows.groupBy("session_id").agg(
+        *_session_sums(),
+        F.count("*").alias("workflow_length"),
+        count_if(is_type(*ASKS)).alias("asks"),
+        count_if(is_type(*READS) & (F.col("pos") < F.col("last_ask"))).alias("reads"),
+        F.max(F.when(retry, F.col("pos"))).alias("last_retry"),
+        F.min(F.when(retry, F.col("pos"))).alias("first_retry"),
+        count_if(F.col("prev_type") != F.col("event_type")).alias("switches"),
+        F.sum(F.coalesce("prompt_tokens", "token_count", F.lit(0.0))).alias("tokens"),
+        F.sum(-F.ln(F.col("type_n") / F.col("n")) / F.col("n")).alias("entropy"),
+        F.max(F.when(retry, F.col("run_n"))).alias("longest"),
+        count_if(after_accept).alias("accepts_followed"),
+        count_if(after_accept & is_type("edit")).alias("edits_after"),
+        F.max(F.when(F.col("pos") == F.col("n"), F.col("event_type"))).alias("last_type"),
+    )
+    length = F.col("workflow_length")
+    return _session_rates(sums).withColumns(
+        {
+            "avg_read_before_ask": ratio(F.col("reads"), F.col("asks")),
+            "avg_retry_distance": F.when(F.col("retry_count") > 1, (F.col("last_retry") - F.col("first_retry")) / (F.col("retry_count") - 1)).otherwise(0.0),
+            "tool_switch_frequency": F.when(length > 1, F.col("switches") / (length - 1)).otherwise(0.0),
+            "context_expansion_speed": F.col("tokens") / length,
+            "workflow_entropy": F.when(length > 1, F.col("entropy") / F.ln(length)).otherwise(0.0),
+            "retry_burst_score": ratio(F.coalesce("longest", F.lit(0)), F.col("retry_count")),
+            "edit_after_accept_ratio": ratio(F.col("edits_after"), F.col("accepts_followed")),
+        }
     )
 
 
+def behavior_features(events: DataFrame) -> DataFrame:
+    """The eight measures of a session's course.
+
+    Reads before an ask count if an ask follows; retry distance is the mean gap of places; entropy of the types is
+    relative to ln(number of events); burst is the longest run of retries by all retries; edits after accepts by accepts that have a successor.
+    """
+    return _course(events).select("session_id", *BEHAVIOR_COLUMNS)
+
+
 def prompt_features(events: DataFrame) -> DataFrame:
     """Per prompt the first chat's numbers, the share of tokens in context and of history in tokens."""
     chats = events.where(is_type("chat")).withColumn("prompt", F.coalesce("prompt_id", F.concat(F.lit("prompt-"), F.col("ts_ms").cast("string"))))
@@ -141,14 +153,13 @@ def workspace_features(events: DataFrame) -> DataFrame:
 
 
 def session_view(events: DataFrame) -> DataFrame:
-    """Session features with behaviour features beside them; both are keyed by session, so the join needs no exchange of its own."""
-    return session_features(events).join(behavior_features(events), "session_id", "left")
+    """Session and behaviour features side by side, of one pass over the events."""
+    return _course(events).select("session_id", *SESSION_COLUMNS, *BEHAVIOR_COLUMNS)
 
 
 def failure_classes(events: DataFrame) -> DataFrame:
     """The first failure class whose thresholds a session meets, with its confidence and evidence."""
-    last = events.groupBy("session_id").agg(F.max_by("event_type", F.struct("ts_ms", "id")).alias("last_type"))
-    rows = session_view(events).join(last, "session_id")
+    rows = _course(events)
     burst, rate, speed, spread = (F.col(c) for c in ("retry_burst_score", "retry_rate", "context_expansion_speed", "workflow_entropy"))
     kind = (
         F.when((burst > 0.5) & (rate > 0.3), "retry_loop")

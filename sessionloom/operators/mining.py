@@ -155,14 +155,13 @@ ROI_FEATURES = (
 def context_roi(events: DataFrame, least: float = 0.1, top: int = 8) -> DataFrame:
     """Features whose correlation with the accept rate over sessions exceeds ``least``; 0 without variance, nothing for under two sessions.
 
-    One aggregation takes means, one the centred sums of all features at once.
+    One aggregation takes the covariances and deviations of all features, merged from partial moments.
     """
     view = session_view(events).select([F.col(c).cast("double").alias(c) for c in ROI_FEATURES])
-    means = view.agg(F.count("*").alias("sessions_n"), *[F.avg(c).alias(f"m_{c}") for c in ROI_FEATURES])
-    centred = view.crossJoin(F.broadcast(means)).select("sessions_n", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in ROI_FEATURES])
-    sums = centred.agg(F.max("sessions_n").alias("sessions_n"), *[F.struct(F.sum(F.col(c) * F.col("accept_rate")).alias("xy"), F.sum(F.col(c) * F.col(c)).alias("xx"), F.sum(F.col("accept_rate") * F.col("accept_rate")).alias("yy")).alias(c) for c in ROI_FEATURES])
-    rows = sums.where("sessions_n >= 2").select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), f"{c}.xy", f"{c}.xx", f"{c}.yy") for c in ROI_FEATURES])).alias("r")).select("r.*")
-    found = rows.select("feature", ratio(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("contribution"))
+    rate = F.col("accept_rate")
+    sums = view.agg(F.count("*").alias("sessions_n"), *[F.struct(F.covar_pop(F.col(c), rate).alias("xy"), (F.stddev_pop(c) * F.stddev_pop(rate)).alias("d")).alias(c) for c in ROI_FEATURES])
+    rows = sums.where("sessions_n >= 2").select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), f"{c}.xy", f"{c}.d") for c in ROI_FEATURES])).alias("r")).select("r.*")
+    found = rows.select("feature", ratio(F.col("xy"), F.col("d")).alias("contribution"))
     return found.where(F.abs("contribution") > least).orderBy(F.desc(F.abs("contribution")), "feature").limit(top)
 
 
