@@ -12,8 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _events(raw: DataFrame) -> DataFrame:
+    return raw.select(
         F.col("event_id").alias("id"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"),
@@ -36,7 +41,7 @@ def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 3 == 1, "edit")
         .otherwise("tool_call")
     )
-    rows = _events(spark, sf_dir).withColumn("event_type", kind)
+    rows = _events(table(spark, sf_dir, "events")).withColumn("event_type", kind)
     asks = F.col("event_type").isin("chat", "completion")
     chat = F.col("event_type") == "chat"
     return complete(
@@ -59,6 +64,10 @@ def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agent_log_of(table(spark, sf_dir, "events"))
+
+
+def agent_log_of(events: DataFrame) -> DataFrame:
     """The same events as an agent's log: clicks are LLM requests, purchases edits, views and even errors tool calls, odd errors errors, signups starts, ends or tool results."""
     raw, k = F.col("raw"), F.col("k")
     kind = (
@@ -68,7 +77,7 @@ def agent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(raw == "error", F.when(k % 2 == 0, "tool_call").otherwise("error"))
         .otherwise(F.when(k % 10 == 0, "session_start").when(k % 10 == 1, "session_end").otherwise("tool_result"))
     )
-    rows = _events(spark, sf_dir).withColumn("type", kind)
+    rows = _events(events).withColumn("type", kind)
     llm, call, edit = (F.col("type") == t for t in ("llm_request", "tool_call", "edit"))
     return rows.select(
         "id",

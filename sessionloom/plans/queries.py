@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import count_loops, has_tail_loop, tail_repeats
 from sessionloom.operators import canonical, features, graph, mining, modelsize, realtime, store, trust, vectors
-from sessionloom.plans.adapter import agent_log, canonical_events, table, turns
+from sessionloom.plans.adapter import agent_log, agent_log_of, canonical_events, event_stream, table, turns
 from sessionloom.plans.oracles import ORACLES
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,6 +314,14 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, "l_orderkey").join(customers, "c_custkey").join(parts, "l_partkey").groupBy("c_mktsegment", "p_brand").agg(F.count("*").alias("n"))
 
 
+@query("streaming_session_state")
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sessionloom.streaming.sessions import final_states
+
+    rows = final_states(agent_log_of(event_stream(spark, sf_dir)))
+    return rounded(rows.select("session_id", "events", "sum_prompt", "sum_completion", "tool_calls", "read_files", "edits", "retries", "first_ms", "last_ms", "usage"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

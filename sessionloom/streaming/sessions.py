@@ -6,6 +6,8 @@ count once.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,7 +71,7 @@ def _fold(keep_ms: int) -> Callable:
         recent = list(recent or [])
         for pdf in batches:
             pdf = pdf.sort_values(["ts_ms", "id"])
-            kind, ok = pdf["type"], pdf["success"].fillna(True).astype(bool)
+            kind, ok = pdf["type"], pdf["success"].map(lambda said: said is None or said != said or bool(said)).astype(bool)
             call, edit, llm = kind == "tool_call", kind == "edit", kind == "llm_request"
             events += len(pdf)
             prompt += float(pdf.loc[llm, "prompt_tokens"].fillna(0).sum())
@@ -128,3 +130,22 @@ def start_event_store(log: DataFrame, events_path: str, features_path: str, chec
 def start_alerts(log: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
     """Alerts of each micro-batch's events to a sink (a table, a console, a notifier), once per batch."""
     return log.writeStream.foreachBatch(lambda batch, n: sink(alert_rows(batch), n)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which all executors share; in a temporary folder where that is unset, as in tests."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def final_states(log: DataFrame) -> DataFrame:
+    """Run a bounded stream to its end and return the last state of each session, read from the written updates."""
+    spark, folder = log.sparkSession, shared_folder(log.sparkSession, "session-states")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
+
+    query = session_state(log).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    updates = spark.read.parquet(f"{folder}/updates")
+    names = [c for c in updates.columns if c not in ("session_id", "batch", "closed")]
+    return updates.groupBy("session_id").agg(F.max_by(F.struct(*names), F.struct("batch", "events")).alias("s")).select("session_id", "s.*")
