@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import buffers, ngrams, steps, text_or_empty, tidy, words
 
-#: Bytes of item text whose windows are broadcast at once (some 20 times that in memory); more items make further passes over the rows of the same tasks.
+#: Bytes of item text whose windows are broadcast at once (some 100 times that in memory); more items make further passes.
 BROADCAST_BYTES = 2 << 20
 
 
@@ -69,8 +69,8 @@ def _scan(shipped):
                 columns = {name: rows.column(name) for name in rows.schema.names}
                 columns["dc_words"] = pa.array(np.diff(found.first), pa.int64())
                 if hits:
-                    columns["dc_spans"] = pa.array([[dict(zip(("from_word", "to_word", "from_byte", "to_byte"), s)) for s in map(_four, x)] for x in spans], SPANS)
-                    columns["dc_items"] = pa.array(items, pa.list_(pa.int64()))
+                    columns["dc_spans"] = pa.array([[dict(zip(("from_word", "to_word", "from_byte", "to_byte"), s)) for s in map(_four, x)] or None for x in spans], SPANS)
+                    columns["dc_items"] = pa.array([x or None for x in items], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([columns[n] for n in rows.schema.names], names=rows.schema.names)
 
     return scan
@@ -96,13 +96,42 @@ def _union(old: list, new: list) -> list:
     return out
 
 
+def _also(found: DataFrame | None, rows: DataFrame, shipped, schema) -> DataFrame:
+    """Hits of one more pass, once a text, added to those found."""
+    texts = rows.mapInArrow(tidy(_scan(shipped)), schema).where("dc_spans IS NOT NULL")
+    hits = texts.select(F.sha2("dc_text", 256).alias("dc_key"), F.col("dc_spans").alias("more_spans"), F.col("dc_items").alias("more_items")).dropDuplicates(["dc_key"])
+    return hits if found is None else found.unionAll(hits)
+
+
+def _with_later(rows: DataFrame, later: DataFrame) -> DataFrame:
+    """Rows of the first pass with the hits of the other passes, joined by the digest of the text."""
+    more = later.groupBy("dc_key").agg(F.flatten(F.collect_list("more_spans")).alias("more_spans"), F.flatten(F.collect_list("more_items")).alias("more_items"))
+    joined = rows.withColumn("dc_key", F.sha2("dc_text", 256)).join(more, "dc_key", "left").drop("dc_key")
+    names = rows.columns
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {n: batch.column(n) for n in names}
+            at = [k for k, x in enumerate(batch.column("more_spans")) if x.is_valid]
+            if at:
+                spans, items = (batch.column(n).to_pylist() for n in ("dc_spans", "dc_items"))
+                new_spans, new_items = (batch.column(n).to_pylist() for n in ("more_spans", "more_items"))
+                for k in at:
+                    spans[k] = [dict(zip(("from_word", "to_word", "from_byte", "to_byte"), s)) for s in _union(spans[k] or [], list(map(_four, new_spans[k])))]
+                    items[k] = sorted({*(items[k] or []), *new_items[k]})
+                columns |= {"dc_spans": pa.array(spans, SPANS), "dc_items": pa.array(items, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return joined.mapInArrow(tidy(merge), rows.schema)
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, remove: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Find benchmark windows in whole documents and, if asked, take them out.
 
     Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters. A window is ``window`` consecutive words
     of an item; an item of fewer words, but not none, is one window. Window hashes are broadcast, each hit is verified
     on the words themselves. Items whose text exceeds ``broadcast_bytes`` together are scanned for in several passes,
-    each with a broadcast below that bound (a longer single item makes a pass alone), chained without a shuffle.
+    each in tasks of its own with a broadcast below that bound (a longer single item makes a pass alone); their hits meet by the text's digest.
 
     Returns the columns of ``documents`` and dc_words, dc_hit_words, dc_items (item ids that occur, ascending),
     dc_spans (hit word runs, with their bytes), dc_contaminated. ``remove='spans'`` also cuts the bytes of hit runs from
@@ -113,24 +142,27 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     spans_of = benchmark.where(f"`{item_id}` IS NOT NULL AND `{item_text}` IS NOT NULL").select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("t"))
     rows = documents.withColumns({"dc_text": text_or_empty(text), "dc_words": F.lit(None).cast("long"), "dc_spans": F.lit(None).cast(_SPANS_SQL), "dc_items": F.lit(None).cast("array<bigint>")})
     schema = rows.schema
-    passes, ids, texts, size = 0, [], [], 0
-    # toLocalIterator holds one partition at a time; a pass is cut at the bound
-    source = spans_of.orderBy("id", "t").toLocalIterator()
+    ids, texts, size, later = [], [], 0, None
 
-    def add():
-        nonlocal rows, passes
-        rows = rows.mapInArrow(tidy(_scan(spark.sparkContext.broadcast(ItemWindows(ids, texts, window)))), schema)
-        passes += 1
+    def windows():
+        return spark.sparkContext.broadcast(ItemWindows(ids, texts, window))
 
-    for r in source:
+    # the iterator holds one partition at a time; a pass is cut at the bound
+    scanned = None
+    for r in spans_of.orderBy("id", "t").toLocalIterator():
         if ids and size + len(r["t"]) * 2 > broadcast_bytes:
-            add()
+            if scanned is None:
+                scanned = rows.mapInArrow(tidy(_scan(windows())), schema)
+            else:
+                later = _also(later, rows, windows(), schema)
             ids, texts, size = [], [], 0
         ids.append(r["id"])
         texts.append(r["t"])
         size += len(r["t"]) * 2
-    if ids or not passes:
-        add()
+    if scanned is None:
+        rows = rows.mapInArrow(tidy(_scan(windows())), schema)
+    else:
+        rows = _with_later(scanned, _also(later, rows, windows(), schema))
     spans = F.coalesce("dc_spans", F.array().cast(_SPANS_SQL))
     out = rows.withColumns(
         {"dc_spans": spans, "dc_items": F.coalesce("dc_items", F.array().cast("array<bigint>")), "dc_hit_words": F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["to_word"] - s["from_word"]), "dc_contaminated": F.size(spans) > 0}

@@ -12,8 +12,6 @@ from sessionloom.llm.common import mix, powers
 #: Parts of texts that a worker remembers (about 60 bytes each); beyond it starts afresh.
 REMEMBERED = 1_200_000
 _SLOTS = 1 << 21
-#: Pieces that a worker remembers, as text.
-REMEMBERED_PIECES = 250_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -21,6 +19,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Parts that need no normalising but lower case: ASCII without ' and <, and Latin-1 letters; and what the pattern below makes of them.
 _SIMPLE = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The commonest shape of such parts: letters, then signs or nothing.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]*)")
 #: The pattern of the tokenizer for which this holds.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -63,17 +63,16 @@ class HashTable:
             slot[open_] = (slot[open_] + 1) & self.mask
 
 
-class _Numbered(dict):
-    """Numbers pieces in order of appearance; ``fresh`` has those not yet encoded."""
+class _Signs(dict):
+    """Ids of runs of signs, each encoded once."""
 
-    def __init__(self):
+    def __init__(self, encode):
         super().__init__()
-        self.fresh: list[str] = []
+        self.encode = encode
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = len(self)
-        self.fresh.append(piece)
-        return number
+    def __missing__(self, signs: str) -> list[int]:
+        self[signs] = ids = self.encode(signs)
+        return ids
 
 
 class _Lists:
@@ -122,8 +121,8 @@ class TextEncoder:
 
     A tokenizer that drops white space and treats what stands between as separate, as word_bpe_49k.json does, gives a
     text the ids of its parts between ASCII white space one after the other; each different part is encoded
-    once and found again by its 64-bit hash. Parts of plain letters, digits and signs are put together from pieces that the
-    tokenizer's own model has encoded; any other part goes through the whole tokenizer. Other tokenizers get whole texts.
+    once and found again by its 64-bit hash. Parts of plain letters, digits and signs are cut as the tokenizer would cut them and
+    given to its model; any other part goes through the whole tokenizer. Other tokenizers get whole texts.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -136,44 +135,37 @@ class TextEncoder:
         self.by_part = split.get("pattern") == {"Regex": _PATTERN} and split.get("invert") is True and split.get("behavior") == "Removed"
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {ord(c): "".join(p for p, _ in level.pre_tokenize_str(c)) for c in map(chr, range(33, 256)) if c.isalpha() or ord(c) < 127}
-        self.piece_numbers, self.pieces = _Numbered(), _Lists()
+        self.signs = _Signs(self._piece)
         self._forget()
 
     def _forget(self) -> None:
         self.table, self.known = HashTable(), _Lists()
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self.piece_numbers) > REMEMBERED_PIECES:
-            self.piece_numbers, self.pieces = _Numbered(), _Lists()
-        simple = [_SIMPLE.fullmatch(p) is not None for p in parts]
-        found: list[int] = []
-        counts = []
-        number = self.piece_numbers.__getitem__
-        for part, plain in zip(parts, simple):
-            before = len(found)
-            if plain:
-                found.extend(map(number, _PIECES.findall(part.lower())))
-            counts.append(len(found) - before)
-        fresh, self.piece_numbers.fresh = self.piece_numbers.fresh, []
-        tokenize, table = self.tokenizer.model.tokenize, self.bytes_of
-        coded = [[t.id for t in tokenize(p.translate(table))] for p in fresh]
-        self.pieces.extend(np.fromiter(map(len, coded), np.int64, len(coded)), np.fromiter((i for x in coded for i in x), np.uint32))
-        flat, ends = self.pieces.gather(np.array(found, np.int64))
-        cuts = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        rest = [k for k, plain in enumerate(simple) if not plain]
-        if not rest:
-            self.known.extend(np.diff(cuts), flat)
-            return
-        other = {k: e.ids for k, e in zip(rest, self.tokenizer.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False))}
-        length = np.diff(cuts)
-        length[rest] = [len(other[k]) for k in rest]
-        out = np.zeros(length.sum(), np.uint32)
-        special = np.zeros(len(parts), bool)
-        special[rest] = True
-        of = np.repeat(special, length)
-        out[~of] = flat
-        out[of] = np.fromiter((i for k in rest for i in other[k]), np.uint32)
-        self.known.extend(length, out)
+        tokenize, table, signs, word = self.tokenizer.model.tokenize, self.bytes_of, self.signs, _WORD.fullmatch
+        found: list[list[int]] = []
+        rest = []
+        for part in parts:
+            if shape := word(part):
+                letters, tail = shape.groups()
+                letters = letters.lower()
+                ids = [t.id for t in tokenize(letters if letters.isascii() else letters.translate(table))]
+                found.append(ids + signs[tail] if tail else ids)
+            elif _SIMPLE.fullmatch(part):
+                found.append([i for piece in _PIECES.findall(part.lower()) for i in self._piece(piece)])
+            else:
+                rest.append(len(found))
+                found.append([])
+        if rest:
+            for k, e in zip(rest, self.tokenizer.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False)):
+                found[k] = e.ids
+        flat: list[int] = []
+        for ids in found:
+            flat.extend(ids)
+        self.known.extend(np.fromiter(map(len, found), np.int64, len(found)), np.array(flat, np.uint32))
+
+    def _piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.bytes_of))]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the len + 1 offsets of the texts in them."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import Words, mix, ngrams, steps, text_or_empty, tidy, words
+from sessionloom.llm.common import Words, mix, steps, text_or_empty, tidy, words
 
 
 @dataclass(frozen=True)
