@@ -296,7 +296,7 @@ ORACLES: dict[str, str] = {
       SELECT round(v, 6) AS avg_shift, w AS worst_feature, CASE WHEN v >= 0.6 THEN 'high' WHEN v >= 0.3 THEN 'medium' WHEN v >= 0.15 THEN 'low' ELSE 'none' END AS severity FROM a""",
     "model_drift": f"WITH {SCORED}, a AS (SELECT avg(correct) AS a FROM scored) SELECT round(a, 6) AS accuracy, round(0.9 - a, 6) AS drop, CASE WHEN 0.9 - a >= 0.1 THEN 'high' WHEN 0.9 - a >= 0.05 THEN 'medium' WHEN 0.9 - a >= 0.025 THEN 'low' ELSE 'none' END AS severity FROM a",
     "ablation": f"WITH {SIZE} SELECT session_id, 'prompt_tokens' AS feature, round(prompt_tokens / 1000, 6)::DOUBLE AS contribution FROM size UNION ALL SELECT session_id, 'tool_calls', tool_calls * 2.0 FROM size UNION ALL SELECT session_id, 'edits', edits * 15.0 FROM size",
-    "running_state": f"WITH {LOG} SELECT id, session_id, version, round(sum_prompt, 6) AS sum_prompt, round(sum_completion, 6) AS sum_completion, tool_calls, read_files, edits, retries::BIGINT AS retries, files_read::BIGINT AS files_read, files_edited::BIGINT AS files_edited, round(usage, 6) AS usage, elapsed_ms FROM st",
+    "running_state": f"WITH {LOG} SELECT id, session_id, version::INT AS version, round(sum_prompt, 6) AS sum_prompt, round(sum_completion, 6) AS sum_completion, tool_calls, read_files, edits, retries::BIGINT AS retries, files_read::BIGINT AS files_read, files_edited::BIGINT AS files_edited, round(usage, 6) AS usage, elapsed_ms FROM st",
     "streaming_session_state": f"WITH {LOG} SELECT session_id, version AS events, round(sum_prompt, 6) AS sum_prompt, round(sum_completion, 6) AS sum_completion, tool_calls, read_files, edits, retries::BIGINT AS retries, ts_ms - elapsed_ms AS first_ms, ts_ms AS last_ms, round(usage, 6) AS usage FROM fin",
     "rule_alerts": f"WITH {LOG} SELECT session_id, split_part(a, ':', 1) AS rule_id, split_part(a, ':', 2) AS severity, count(*) AS n FROM al WHERE a IS NOT NULL GROUP BY 1, 2, 3",
     "health_score": f"""WITH {LOG}, h AS (SELECT session_id, CAST(floor((1 - least(usage, 1)) * 100 * 0.4 + (1 - CASE WHEN tool_calls > 0 THEN retries / tool_calls ELSE 0 END) * 100 * 0.2 + CASE WHEN coalesce(loops, 0) > 0 THEN 30 ELSE 100 END * 0.2
