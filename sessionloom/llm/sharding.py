@@ -11,7 +11,7 @@ from sessionloom.llm.common import cut, text_or_empty
 #: A splitter is good if the bytes below it miss the target by no more than this share of a shard.
 TOLERANCE = 0.001
 #: Candidate boundaries that a round puts between the bounds of one splitter.
-PROBES = 64
+PROBES = 256
 #: Rows that one range of a shard should have: what one task of the last exchange sorts.
 RANGE_ROWS = 2_000_000
 
@@ -62,15 +62,14 @@ def splitters(rows: DataFrame, targets: list[float], slack: float) -> list[tuple
 
 def _round(rows, key, state, targets, slack, close, descend):
     """One round: counts between candidates of all open targets; returns the narrowed bounds of those still open."""
+    # open bounds never overlap, so the one a key is in is found by a binary search, however many there are
     edges = sorted({(lo, hi) for lo, hi, _ in state.values()})
-    cases, grid = None, {}
-    for n, (lo, hi) in enumerate(edges):
-        width = max(1, -(-(hi - lo) // PROBES))
-        grid[(lo, hi)] = (n, width)
-        inside = (F.col(key) >= lo) & (F.col(key) < hi)
-        cell = F.struct(F.lit(n).alias("n"), F.expr(f"(`{key}` - ({lo})) div {width}").alias("cell"))
-        cases = F.when(inside, cell) if cases is None else cases.when(inside, cell)
-    cells = rows.select(cases.alias("c"), "size").where("c IS NOT NULL").groupBy("c.n", "c.cell").agg(F.sum("size").alias("bytes"))
+    widths = [max(1, -(-(hi - lo) // PROBES)) for lo, hi in edges]
+    grid = {edge: (n, width) for n, (edge, width) in enumerate(zip(edges, widths))}
+    at = _at_or_below([(lo, -(1 << 63)) for lo, _ in edges], F.col(key), F.lit(0)) - 1
+    low, high, width = (F.get(F.lit([int(x) for x in xs]).cast("array<bigint>"), F.col("n")) for xs in ([lo for lo, _ in edges], [hi for _, hi in edges], widths))
+    found = rows.select(at.alias("n"), F.col(key).alias("k"), "size").where((F.col("n") >= 0) & (F.col("k") < high))
+    cells = found.groupBy("n", F.call_function("div", F.col("k") - low, width).alias("cell")).agg(F.sum("size").alias("bytes"))
     counted: dict[int, dict[int, int]] = {}
     for r in cells.collect():
         counted.setdefault(r["n"], {})[r["cell"]] = r["bytes"]
