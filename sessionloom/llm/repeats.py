@@ -60,11 +60,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _own_repeats(grams: np.ndarray, least: np.ndarray, valid: np.ndarray, start: np.ndarray, reach: int) -> np.ndarray:
-    """Which runs may repeat themselves: those with two neighbouring places of a least gram in one window (a text of a short period)."""
+    """Which runs may repeat themselves: those with two neighbouring places of a least gram in one window or in windows next to each other (a text of a short period)."""
     edge = np.zeros(reach - 1, np.uint64)
     most = ~sliding_least(~np.concatenate([edge, np.where(valid, least, 0), edge]), reach)
     places = np.flatnonzero(most == grams)
-    twin = np.flatnonzero((grams[places[1:]] == grams[places[:-1]]) & (np.diff(places) < reach))
+    twin = np.flatnonzero((grams[places[1:]] == grams[places[:-1]]) & (np.diff(places) <= reach))
     marks = np.zeros(len(start) + 1, np.int64)
     if len(twin):
         np.add.at(marks, np.maximum(np.searchsorted(start, places[twin + 1] - reach + 1, side="right") - 1, 0), 1)

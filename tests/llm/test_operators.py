@@ -221,6 +221,15 @@ def test_repeats_of_periodic_texts(spark, monkeypatch, spread):
     check_repeats(spark, docs + [(90, "abcdefgh " * 40), (91, None), (92, "x" * 99)])
 
 
+def test_repeats_of_periods_as_long_as_a_window_has_grams(spark):
+    rng = random.Random(81)
+    lines = {(period, times): "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=period - 1)) + "\n" for period in range(79, 84) for times in range(2, 9)}
+    docs = [(i, line * times) for i, ((_, times), line) in enumerate(lines.items())]
+    # no two texts share a gram, so each run of windows is the only one of its least gram
+    assert all(brute.repeats([d])[d[0]] == want for d, want in zip(docs, brute.repeats(docs).values()))
+    check_repeats(spark, docs)
+
+
 def test_repeats_of_repeated_ids(spark):
     text = "".join(random.Random(8).choices("abcdefgh", k=150))
     got = repeats.remove_repeats(table(spark, [(1, text), (1, text), (2, text), (2, "other"), (None, text)])).collect()
