@@ -22,9 +22,14 @@ TOXIC = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC; weights are learnt from the labelled documents, without the held-out quarter."""
+    """Documents whose toxicity score is below TOXIC; weights are learnt from the labelled documents, without the held-out quarter.
+
+    Where no weights can be learnt (``labels`` is empty or has no usable row outside that quarter), nothing is known of any document and all stay.
+    """
     short_batches(spark)
     weights = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=remainder() != 2)
+    if not weights:
+        return docs
     return score_toxicity(docs, weights, keep=tuple(docs.columns)).where(F.col("score") < TOXIC).select(docs.columns)
 
 

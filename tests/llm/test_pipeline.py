@@ -40,6 +40,15 @@ def test_stages_keep_columns(spark):
         assert stage(spark, docs, DATA).columns == docs.columns
 
 
+@pytest.mark.parametrize("rows", ["doc_id IS NULL AND doc_id IS NOT NULL", "crc32(encode(cast(doc_id AS string), 'UTF-8')) % 4 = 2", "toxic IS NULL"])
+def test_toxicity_without_usable_labels_keeps_all(spark, tmp_path, rows):
+    docs, labels = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "labels"))
+    labels.where(rows).write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and got.count() == docs.count() > 0
+    assert got.exceptAll(docs).isEmpty()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracles(spark, name):
     duckdb = pytest.importorskip("duckdb")
