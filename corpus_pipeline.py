@@ -15,10 +15,7 @@ from sessionloom.llm.jaccard import jaccard_classes
 from sessionloom.llm.packing import pack
 from sessionloom.llm.queries import remainder, tokenizer_path
 from sessionloom.llm.repeats import remove_repeats
-from sessionloom.llm.toxicity import score_toxicity, train_toxicity
-
-#: Documents that score as much or more are rejected.
-TOXIC = 0.5
+from sessionloom.llm.toxicity import TOXIC, score_toxicity, train_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from sessionloom.llm.packing import pack
 from sessionloom.llm.repeats import remove_repeats
 from sessionloom.llm.sharding import histogram_shards
 from sessionloom.llm.token_files import token_round_trip
-from sessionloom.llm.toxicity import score_toxicity, train_toxicity
+from sessionloom.llm.toxicity import TOXIC, score_toxicity, train_toxicity
 from sessionloom.llm.url_filters import url_filter
 from sessionloom.llm.warc import archive_round_trip
 
@@ -56,7 +56,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     weights = train_toxicity(documents, _table(spark, sf_dir, "labels"), usable=remainder() != 2)
     scored = score_toxicity(documents, weights)
-    return scored.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,9 @@ class FtrlParameters:
     l2: float = 0.1
 
 
+#: Documents that score as much or more are toxic, to the operator's query and to the pipeline.
+TOXIC = 0.3
+
 #: What tells single words, pairs and skipping pairs apart.
 _KINDS = tuple(np.uint64(k) for k in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5))
 

@@ -40,6 +40,15 @@ def test_stages_keep_columns(spark):
         assert stage(spark, docs, DATA).columns == docs.columns
 
 
+def test_toxicity_stage_rejects_what_the_operator_predicts(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    left = {r["doc_id"] for r in corpus_pipeline.toxicity(spark, docs, folder).select("doc_id").collect()}
+    scored = queries.op4_toxicity(spark, folder).collect()
+    assert any(0.3 <= r["score"] < 0.5 for r in scored)
+    assert left == {r["doc_id"] for r in scored if not r["predicted"]}
+
+
 @pytest.mark.parametrize("rows", ["doc_id IS NULL AND doc_id IS NOT NULL", "crc32(encode(cast(doc_id AS string), 'UTF-8')) % 4 = 2", "toxic IS NULL"])
 def test_toxicity_without_usable_labels_keeps_all(spark, tmp_path, rows):
     docs, labels = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "labels"))
