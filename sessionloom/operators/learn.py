@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from sessionloom.functions import ratio, softmax, squared_distance
 from sessionloom.operators.modelsize import CLASSES
+from sessionloom.operators.vectors import affinity_sums
 
 PER_SAMPLE_C = 100.0
 
@@ -141,26 +142,32 @@ def standardized(rows: DataFrame, features: list[str]) -> DataFrame:
     return wide.withColumn("x", x).select(*rows.columns, "x")
 
 
-#: Rows that propagation takes: their pairs are its work, so more are the caller's to sample or to split.
+#: Rows up to which propagation keeps the affinities of all pairs; for more it works them out anew in each round.
 PROPAGATION_ROWS = 20_000
 
 
 def propagate_labels(rows: DataFrame, features: list[str], key: str = "session_id", anchor: str = "anchor", sigma: float = 1.0, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
     """Label distributions spread from anchors (class index, null for others) over affinities exp(-d^2 / (2 sigma^2)); anchors keep theirs.
 
-    A bounded method: over PROPAGATION_ROWS rows it refuses. Affinities are worked out once and checkpointed; each round is a join and an aggregation, cut by a checkpoint.
-    Rows without any affinity have no label.
+    Up to PROPAGATION_ROWS rows, affinities are worked out once and checkpointed, and each round is a join and an aggregation; beyond, each round goes through all pairs
+    in passes (``vectors.affinity_sums``) that keep sums per row only. A checkpoint cuts each round. Rows without any affinity have no label.
     """
-    if rows.count() > PROPAGATION_ROWS:
-        raise ValueError(f"label propagation is for up to {PROPAGATION_ROWS} rows")
     points = standardized(rows, features).select(key, anchor, "x")
-    other = points.select(F.col(key).alias("other"), F.col("x").alias("o"))
-    pairs = points.crossJoin(other).where(F.col(key) != F.col("other")).select(key, "other", F.exp(-squared_distance(F.col("x"), F.col("o")) / (2 * sigma * sigma)).alias("w"))
-    pairs = pairs.where("w > 0").checkpoint()
+    kept = rows.count() <= PROPAGATION_ROWS
+    if kept:
+        other = points.select(F.col(key).alias("other"), F.col("x").alias("o"))
+        pairs = points.crossJoin(other).where(F.col(key) != F.col("other")).select(key, "other", F.exp(-squared_distance(F.col("x"), F.col("o")) / (2 * sigma * sigma)).alias("w"))
+        pairs = pairs.where("w > 0").checkpoint()
+    else:
+        points = points.checkpoint()
     start = [F.when(F.col(anchor) == i, 1.0).when(F.col(anchor).isNull(), 1 / 3).otherwise(0.0).alias(f"p{i}") for i in range(3)]
     now = points.select(key, anchor, *start).checkpoint()
     for _ in range(rounds):
-        spread = pairs.join(now.select(F.col(key).alias("other"), "p0", "p1", "p2"), "other").groupBy(key).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(f"p{i}")).alias(f"s{i}") for i in range(3)])
+        if kept:
+            spread = pairs.join(now.select(F.col(key).alias("other"), "p0", "p1", "p2"), "other").groupBy(key).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(f"p{i}")).alias(f"s{i}") for i in range(3)])
+        else:
+            others = now.select(F.col(key).alias("other"), F.array("p0", "p1", "p2").alias("p")).join(points.select(F.col(key).alias("other"), F.col("x").alias("o")), "other")
+            spread = affinity_sums(points, others, 3, sigma, key, "x").where("total > 0").withColumnRenamed("total", "w")
         moved = now.join(spread, key, "left").select(
             key, anchor, *[F.when(F.col(anchor).isNotNull(), F.col(f"p{i}")).otherwise(F.coalesce(F.col(f"s{i}") / F.col("w"), F.lit(0.0))).alias(f"p{i}") for i in range(3)], F.greatest(*[F.abs(F.coalesce(F.col(f"s{i}") / F.col("w"), F.lit(0.0)) - F.col(f"p{i}")) for i in range(3)]).alias("gap")
         ).checkpoint()

@@ -60,15 +60,36 @@ def knn_vote(train: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
     return best.select("query", F.col(f"b.{label}").alias("predicted"), F.col("b.p").alias("confidence"))
 
 
+#: Rows that one pass broadcasts, about: others are dealt to passes by a hash of their key.
+PASS_ROWS = 4_096
+
+
+def affinity_sums(rows: DataFrame, others: DataFrame, classes: int, sigma: float = 1.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """For each row the sum ``total`` of its affinities exp(-d^2 / (2 sigma^2)) to all others, and s0, s1, ... of affinity times each of the ``p`` of others.
+
+    ``others`` has other (a key), o (a vector) and p. They are broadcast in passes of about PASS_ROWS; of a pass only sums per row are kept, in a checkpoint
+    if there is more than one pass. Work is rows x others. Rows that have no other are left out.
+    """
+    names = ["total"] + [f"s{i}" for i in range(classes)]
+    passes, sums = max(1, -(-others.count() // PASS_ROWS)), None
+    for n in range(passes):
+        some = others.where(F.pmod(F.xxhash64("other"), F.lit(passes)) == n) if passes > 1 else others
+        pairs = rows.select(key, vector).crossJoin(F.broadcast(some)).where(F.col(key) != F.col("other"))
+        pairs = pairs.withColumn("w", F.exp(-squared_distance(F.col(vector), F.col("o")) / (2 * sigma * sigma)))
+        part = pairs.groupBy(key).agg(F.sum("w").alias("total"), *[F.sum(F.col("w") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(classes)])
+        sums = part if sums is None else sums.unionByName(part).groupBy(key).agg(*[F.sum(c).alias(c) for c in names])
+        if passes > 1:
+            sums = sums.checkpoint()
+    return sums
+
+
 def propagation_step(rows: DataFrame, labels: list[int], sigma: float = 1.0, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """One step of label propagation for a bounded set: anchors (label not null) keep theirs, others get the affinity-weighted mean of all others' distributions.
+    """One step of label propagation: anchors (label not null) keep theirs, others get the affinity-weighted mean of all others' distributions.
 
-    The rows are the set under study, checked by the caller to fit a broadcast; affinity is exp(-d^2 / (2 sigma^2)).
+    Rows that share a key give one row, with the largest label among them. Affinity is exp(-d^2 / (2 sigma^2)); see ``affinity_sums`` for how any number of rows is gone through.
     """
     one_hot = F.array(*[F.when(F.col(label) == k, 1.0).when(F.col(label).isNull(), 1.0 / len(labels)).otherwise(0.0) for k in labels])
-    spread = rows.select(F.col(key).alias("other"), F.col(vector).alias("o"), one_hot.alias("p"))
-    pairs = rows.crossJoin(F.broadcast(spread)).where(F.col(key) != F.col("other"))
-    w = F.exp(-squared_distance(F.col(vector), F.col("o")) / (2 * sigma * sigma))
-    sums = pairs.withColumn("w", w).groupBy(key).agg(F.first(label).alias("own"), F.sum("w").alias("total"), *[F.sum(F.col("w") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(len(labels))])
+    sums = affinity_sums(rows, rows.select(F.col(key).alias("other"), F.col(vector).alias("o"), one_hot.alias("p")), len(labels), sigma, key, vector)
+    sums = sums.join(rows.groupBy(key).agg(F.max(label).alias("own")), key)
     mean = [F.when(F.col("own").isNull(), F.when(F.col("total") > 0, F.col(f"s{i}") / F.col("total")).otherwise(0.0)).when(F.col("own") == k, 1.0).otherwise(0.0) for i, k in enumerate(labels)]
     return sums.select(key, F.array(*mean).alias("distribution"))

@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from sessionloom import functions as fn
-from sessionloom.operators import learn, modelsize, store, trust
+from sessionloom.operators import learn, modelsize, store, trust, vectors
 from sessionloom.operators.vectors import similar_to
 from sessionloom.sources.tables import synthetic_sizes
 
@@ -61,6 +63,30 @@ def test_propagation_and_pseudo_labels(spark):
     assert more.where("weight < 1").count() <= 50 and more.count() > sizes.where("pmod(xxhash64(session_id), 2) = 0").count()
 
 
+def test_propagation_over_all_labels_in_passes(spark, monkeypatch):
+    table = pytest.importorskip("pandas").read_parquet("/root/testdata/sf0.001/embeddings.parquet")
+    monkeypatch.setattr(vectors, "PASS_ROWS", 200)
+    got = entry.queries()["label_propagation_all"](spark, "/root/testdata/sf0.001").toPandas().pivot(index="vec_id", columns="class", values="p").sort_index()
+    table = table.sort_values("vec_id")
+    x, y = np.stack(table["embedding"]).astype(float), table["label"].to_numpy()
+    assert list(got.index) == list(table["vec_id"]) and list(got.columns) == sorted(set(y)) == list(range(10))
+    w = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 2)
+    np.fill_diagonal(w, 0)
+    own, anchor = np.eye(10)[y], (table["vec_id"] % 2 == 0).to_numpy()[:, None]
+    want = np.where(anchor, own, w @ np.where(anchor, own, 0.1) / w.sum(1, keepdims=True))
+    assert np.abs(got.to_numpy() - want).max() < 1e-5
+
+
+def test_propagation_of_more_rows_than_pairs_are_kept_for(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"s{i}", float(i % 2) * 8 + i / 100, (i % 2) * 2 if i < 4 else None) for i in range(20)], "session_id string, f double, anchor int")
+    run = lambda: {r["session_id"]: r["probabilities"] for r in learn.propagate_labels(rows, ["f"], rounds=3, sigma=0.5).collect()}
+    want = run()
+    monkeypatch.setattr(learn, "PROPAGATION_ROWS", 10)
+    monkeypatch.setattr(vectors, "PASS_ROWS", 8)
+    got = run()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_calibration(spark):
     rows = spark.createDataFrame([(i % 2, [0.99, 0.01] if i % 4 < 2 else [0.01, 0.99]) for i in range(40)], "actual int, probabilities array<double>")
     assert trust.fit_temperature(rows) > 2
