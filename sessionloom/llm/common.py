@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text makes a step of its own.
 STEP_BYTES = 1 << 19
-#: Odd multipliers for polynomial hashing modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 1 << 12
+_CHUNK_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,26 +106,6 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         at = end
 
 
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, STEP_BYTES + 1)
-        base = np.full(size, _BASE, np.uint64)
-        base[0] = 1
-        inverse = np.full(size, _BASE_INV, np.uint64)
-        inverse[0] = 1
-        kept = np.cumprod(base), np.cumprod(inverse)
-        if size > 32 * STEP_BYTES:
-            return kept
-        _powers, _inverses = kept
-    return _powers, _inverses
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes."""
     x = x ^ (x >> np.uint64(31))
@@ -134,6 +115,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of the data on, as one number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the bytes of each span, eight at a time, each mixed in before the next; spans over LONG_SPAN by BLAKE2.
+
+    Of spans of up to eight bytes no two different ones of a length have the same hash.
+    """
+    size, chunks = end - start, _chunks(data)
+    out = mix((size.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15))
+    out = mix(out ^ (chunks[start] & _CHUNK_MASK[np.minimum(size, 8)]))
+    long = np.flatnonzero(size > LONG_SPAN)
+    for k in long.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    at, open_ = 8, np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    while len(open_):
+        left = np.minimum(size[open_] - at, 8)
+        out[open_] = mix((out[open_] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (chunks[start[open_] + at] & _CHUNK_MASK[left]))
+        at += 8
+        open_ = open_[size[open_] > at]
+    return out
+
+
+def same_spans(one: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, start2: np.ndarray, end2: np.ndarray, spare: bool = False) -> np.ndarray:
+    """Whether the bytes of each span are those of its opposite; ``spare`` says that eight bytes at the end of ``other`` belong to no span, so it need not be copied."""
+    size, a = end - start, _chunks(one)
+    b = np.ndarray(len(other) - 7, "<u8", other, strides=(1,)) if spare else _chunks(other)
+    same = size == end2 - start2
+    for k in np.flatnonzero(same & (size > LONG_SPAN)).tolist():
+        same[k] = np.array_equal(one[start[k] : end[k]], other[start2[k] : end2[k]])
+    open_ = np.flatnonzero(same & (size <= LONG_SPAN))
+    at = 0
+    while len(open_):
+        mask = _CHUNK_MASK[np.minimum(size[open_] - at, 8)]
+        equal = (a[start[open_] + at] ^ b[start2[open_] + at]) & mask == 0
+        same[open_[~equal]] = False
+        at += 8
+        open_ = open_[equal & (size[open_] > at)]
+    return same
+
+
 #: Maps A-Z to a-z; 0 marks bytes that are in no word. Words are runs of 0-9, a-z and bytes of non-ASCII characters.
 WORD_BYTES = np.zeros(256, np.uint8)
 WORD_BYTES[0x30:0x3A] = np.arange(0x30, 0x3A)
@@ -168,16 +193,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(folded * up[:n], out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    hashed = span_hashes(folded, start, end)
     return Words(folded, start, end, hashed, np.searchsorted(start, offsets))
 
 
 def ngrams(hashed: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words; texts' ends are the caller's matter."""
-    out = np.zeros(max(0, len(hashed) - n + 1), np.uint64)
+    out = np.full(max(0, len(hashed) - n + 1), n, np.uint64)
     for k in range(n):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + hashed[k : len(hashed) - n + 1 + k]
+        out ^= hashed[k : len(hashed) - n + 1 + k]
+        out = mix(out) * np.uint64(0xD6E8FEB86659FD93)
     return mix(out)

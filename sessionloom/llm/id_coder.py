@@ -1,11 +1,13 @@
 """An adaptive context-mixing range coder for token ids, in numpy over many lanes at once.
 
-A block is cut into lanes that are coded in step, each with a range coder of its own, under one model that all lanes
-share and that starts afresh with every block. The model predicts an id from the two before it (order 2), from the one before it (order 1),
-each with a confidence, and by how frequent ids are in the block so far (order 0). The coder codes first
-which prediction is right (order 2, order 1, or neither), then in the last case the id itself by its order-0 frequency. The odds of the
-first choice are a mixture of three estimates, by both confidences together and by either alone, with weights
-that follow how well each has fared. All arithmetic is on integers, so any machine decodes what another has coded.
+A block gives each of its ids a code of digits 1 to 15 by how often it has it, and codes the digits one after the other.
+What has followed is counted for each place in the code in three contexts: after any id (order 0), after the one id before (order 1) and
+after the two ids before (order 2). The three distributions of the next digit are mixed into one, by shares that depend on how much the
+contexts of order 1 and 2 have seen and that follow how well each has foretold (expectation maximisation); the mixture drives a range coder.
+
+The block is cut into lanes that are coded in step, each with a range coder of its own, under counts that all lanes share. Every
+block starts afresh and has a checksum. Arithmetic is on integers, so any machine decodes what another has coded.
+Eight counts of a byte each lie in a 64-bit number and are spread to fields of 16 bits, four at a time, for arithmetic.
 """
 
 from __future__ import annotations
@@ -16,155 +18,331 @@ import zlib
 import numpy as np
 
 #: Fixed values of the format.
-MAGIC = b"TIDB"
+MAGIC = b"TIDM"
 _HEAD = struct.Struct("<4sIIIII")  # magic, ids, symbols, lanes, payload bytes, CRC-32 of the payload
-LANES, STEPS = 4096, 128
-BLOCK_IDS = 1 << 20
-CHOICE_BITS = 12
-_CONFIDENCES = 8
-_ORDER1, _ORDER2 = 1 << 16, 1 << 18
-_TOP = np.uint64(48)
-_BOTTOM = np.uint64(1 << 40)
-_WORD = np.uint64(16)
-_ONE = np.uint64(1)
-#: floor(256 * log2(n)) for n up to 2**CHOICE_BITS, in exact integers.
-_LOG = np.array([0] + [(n**256).bit_length() - 1 for n in range(1, (1 << CHOICE_BITS) + 1)], np.int64)
+#: Lanes at most, and ids of a lane at least.
+LANES, STEPS = 4096, 1024
+BLOCK_IDS = 1 << 22
+DIGITS = 15
+#: Rows of counts after one id and after two; a row is the sum of its counts and the counts of the digits, a byte each.
+_ROWS1, _ROWS2 = 18, 19
+#: A row whose sum reaches this is halved.
+_FULL = 250
+#: Sums of a row in classes, for the shares; at most so much mass has a mixture.
+_CLASSES = 8
+_MASS = 1 << 15
+_LEVELS = 16
+_WORD, _BOTTOM = np.uint64(32), np.uint64(1 << 24)
+_EVEN = np.uint64(0x00FF00FF00FF00FF)
+_FIELDS = np.uint64(0x0001000100010001)
+_LOW16 = np.uint64(0xFFFF)
+#: Digits by word and field: words hold the even bytes of a row's first and second half, then the odd bytes.
+_DIGIT = np.array([8 * (w & 1) + (w >> 1) + 2 * f for w in range(4) for f in range(4)], np.int64)
+_PLACE = np.argsort(_DIGIT)
+#: How often an id was, from its class in a block's head: steps of about a fifth.
+_COUNTS = [0, 1]
+while _COUNTS[-1] < 1 << 33:
+    _COUNTS.append(max(_COUNTS[-1] + 1, _COUNTS[-1] * 6 // 5))
+_COUNTS = np.array(_COUNTS, np.int64)
+
+
+class Code:
+    """A prefix code of digits from the ids' classes of frequency: each id's digits (the first in the lowest four bits), and the tree of nodes (root 0)."""
+
+    def __init__(self, classes: np.ndarray):
+        used = np.flatnonzero(classes)
+        weights = _COUNTS[classes[used]]
+        # so no id has over 16 digits
+        weights = np.maximum(weights, max(1, int(weights.sum()) >> 24))
+        order = np.argsort(weights, kind="stable")
+        ids, leaves = used[order].tolist(), weights[order].tolist()
+        spare = -(len(ids) - 1) % (DIGITS - 1) if len(ids) > 1 else DIGITS - 1
+        ids, leaves = [-1] * spare + ids, [0] * spare + leaves
+        # two queues: leaves in ascending order, and inner nodes, which come about in ascending order
+        inner: list[int] = []
+        below: list[list[int]] = []
+        leaf = node = 0
+        for _ in range((len(ids) - 1) // (DIGITS - 1)):
+            total, children = 0, []
+            for _ in range(DIGITS):
+                if leaf < len(ids) and (node >= len(inner) or leaves[leaf] <= inner[node]):
+                    total += leaves[leaf]
+                    children.append(~leaf)
+                    leaf += 1
+                else:
+                    total += inner[node]
+                    children.append(node)
+                    node += 1
+            inner.append(total)
+            below.append(children)
+        self.nodes = n = len(inner)
+        self.child = np.full(16 * n, -1, np.int64)
+        self.weight = np.zeros(16 * n, np.int64)
+        self.digits = np.zeros(len(classes), np.uint64)
+        path = [0] * n
+        depth = [0] * n
+        for k in range(n - 1, -1, -1):  # parents come after their children
+            for d, c in enumerate(below[k], 1):
+                if c >= 0:
+                    path[c], depth[c] = path[k] | d << 4 * depth[k], depth[k] + 1
+                    self.child[16 * (n - 1 - k) + d], self.weight[16 * (n - 1 - k) + d] = n - 1 - c, inner[c]
+                elif ids[~c] >= 0:
+                    self.digits[ids[~c]] = path[k] | d << 4 * depth[k]
+                    self.child[16 * (n - 1 - k) + d], self.weight[16 * (n - 1 - k) + d] = ~ids[~c], leaves[~c]
+
+
+def classes_of(counts: np.ndarray) -> np.ndarray:
+    """The class of frequency of each id (0 for those without a count)."""
+    return np.searchsorted(_COUNTS, counts, side="right").astype(np.uint8) - np.uint8(1)
 
 
 class Model:
-    """What coder and decoder know alike before each step."""
-
-    def __init__(self, symbols: int, lanes: int):
-        self.symbols, self.bits = symbols, max(18, (4 * symbols - 1).bit_length())
-        self.shift = np.uint64(self.bits)
-        # the id last seen after a context, times _CONFIDENCES, plus the trust in it
-        self.after1, self.after2 = np.zeros(_ORDER1, np.int32), np.zeros(_ORDER2, np.int32)
-        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.counts = np.zeros(symbols, np.int64)
-        # choices seen: by trust in order 2, trust in order 1 and agreement
-        self.seen = np.zeros((_CONFIDENCES, _CONFIDENCES, 2, 3), np.int64)
-        self.costs = np.zeros(3, np.int64)
-        self.estimates: list[np.ndarray] | None = None
-        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
-        self.steps, self.next = 0, 1
-        self._rebuild()
-
-    def _rebuild(self) -> None:
-        new = np.zeros_like(self.seen)
-        if self.pending:
-            states, ids = (np.concatenate(x) for x in zip(*self.pending))
-            new = np.bincount(states, minlength=new.size).reshape(new.shape)
-            self.counts += np.bincount(ids, minlength=self.symbols)
-            self.pending = []
-        if self.estimates is not None:
-            spent = [int((new * (256 * CHOICE_BITS - _LOG[e])).sum()) for e in self.estimates]
-            self.costs = self.costs // 2 + np.array(spent, np.int64)
-        self.seen += new
-        prior = np.array([1, 1, 6], np.int64)
-        each = [self.seen, self.seen.sum((1, 2), keepdims=True), self.seen.sum((0, 2), keepdims=True)]
-        room = (1 << CHOICE_BITS) - 3
-        self.estimates = []
-        for e in each:
-            e = np.broadcast_to(e, self.seen.shape) + prior
-            self.estimates.append(1 + e * room // e.sum(-1, keepdims=True))
-        worse = (self.costs - self.costs.min()) // 4096
-        weights = 4096 >> np.minimum(worse, 12)
-        mixed = sum(int(w) * e for w, e in zip(weights, self.estimates)) // int(weights.sum())
-        mixed = np.maximum(mixed, 1).reshape(-1, 3)
-        mixed[:, 2] = (1 << CHOICE_BITS) - mixed[:, 0] - mixed[:, 1]
-        self.odds = np.ascontiguousarray(mixed.reshape(-1).astype(np.uint64))
-        below = np.cumsum(mixed, 1) - mixed
-        self.below = np.ascontiguousarray(below.reshape(-1).astype(np.uint64))
-        # order 0: every id has a share, the rest goes by counts, what is left over to the most frequent
-        total, room = int(self.counts.sum()), (1 << self.bits) - self.symbols
-        share = 1 + (self.counts * room // total if total else np.full(self.symbols, room // self.symbols))
-        share[int(self.counts.argmax())] += (1 << self.bits) - int(share.sum())
-        self.share, self.share_below = share.astype(np.uint64), (np.cumsum(share) - share).astype(np.uint64)
-        self._of_value = None
-        self._share = share
-
-    def of_value(self) -> np.ndarray:
-        """The id at each place of the order-0 scale."""
-        if self._of_value is None:
-            self._of_value = np.repeat(np.arange(self.symbols, dtype=np.int32), self._share)
-        return self._of_value
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the first n lanes: the guesses of order 2 and order 1, and three times the state they are in."""
-        last1 = self.last1[:n]
-        self.at1 = last1 & (_ORDER1 - 1)
-        self.at2 = (self.last2[:n] * 40503 + last1 * 65537 + (last1 >> 3)) & (_ORDER2 - 1)
-        self.said2, self.said1 = self.after2[self.at2], self.after1[self.at1]
-        guess2, guess1 = self.said2 >> 3, self.said1 >> 3
-        self.was2, self.was1 = self.said2 & 7, self.said1 & 7
-        state = (self.was2 * (2 * _CONFIDENCES) + 2 * self.was1 + (guess1 == guess2)) * 3
-        return guess2, guess1, state
-
-    def update(self, n: int, ids: np.ndarray, guess2: np.ndarray, guess1: np.ndarray, coded: np.ndarray) -> None:
-        """Learn the ids of this step; coded is state times three plus the choice. Where lanes share a context, the last lane's word holds."""
-        new = ids << 3
-        for after, at, said, was, guess in ((self.after2, self.at2, self.said2, self.was2, guess2), (self.after1, self.at1, self.said1, self.was1, guess1)):
-            half = was >> 1
-            after[at] = np.where(guess == ids, said + (was < _CONFIDENCES - 1), np.where(was > 1, said - was, new) + half)
-        self.last2[:n] = self.last1[:n]
-        self.last1[:n] = ids
-        self.pending.append((coded, ids))
+    """What coder and decoder know alike before each digit."""
+
+    def __init__(self, code: Code, lanes: int):
+        self.code = code
+        self.rows1, self.rows2 = np.zeros(1 << _ROWS1, np.complex128), np.zeros(1 << _ROWS2, np.complex128)  # 16 bytes each
+        step = np.zeros((16, 16), np.uint8)
+        step[:, 0] = 1
+        step[np.arange(16), np.arange(16)] = 1
+        self.step = step.view(np.complex128).reshape(-1)
+        self.hash = (np.arange(code.nodes, dtype=np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        self.node = np.zeros(lanes, np.int64)
+        self.last, self.after1, self.after2 = (np.zeros(lanes, np.uint32) for _ in range(3))
+        self.class_of = np.minimum(np.frexp(np.arange(256))[1], _CLASSES - 1)  # 0, 1, 2-3, 4-7 and so on
+        weight = code.weight.reshape(-1, 16)
+        self.counts = weight * 512 // np.maximum(weight.sum(1, keepdims=True), 1)
+        self.pending: list[np.ndarray] = []
+        self.won = np.zeros((3, _CLASSES, _CLASSES), np.int64)
+        guess = np.arange(_CLASSES)
+        one, two = np.minimum(guess * 2, 12)[:, None], np.minimum(guess * 3, 12)[None, :]
+        self.won[2] = 4 * np.broadcast_to(two, (_CLASSES, _CLASSES))
+        self.won[1] = 4 * (16 - two) * one // 16
+        self.won[0] = 64 - self.won[1] - self.won[2]
+        self.steps, self.shares_at, self.counts_at = 0, 0, 0
+        self._shape(lanes)
+
+    def _shape(self, lanes: int) -> None:
+        self.lanes = lanes
+        self.mask = np.tile(np.array([0x00FF00FF00FF0000, 0x00FF00FF00FF00FF], np.uint64), lanes)
+        self.at = np.arange(lanes) * 2
+        self.word = np.array([0, 1, 2 * lanes, 2 * lanes + 1])
+
+    def _refresh(self) -> None:
+        """New shares, every now and then, and new counts of order 0."""
+        if self.steps >= self.shares_at:
+            self.shares_at += min(max(8, self.steps // 2), 64)
+            total = self.won.sum(0)
+            share = [(self.won[k] * _MASS // total) for k in range(3)]
+            sums = np.maximum(np.arange(256), 1)
+            classes = self.class_of
+            self.share1 = (share[1][classes, :] // sums[:, None]).astype(np.uint64).reshape(-1)
+            self.share2 = (share[2].T[classes, :] // sums[:, None]).astype(np.uint64).reshape(-1)
+            self.level = np.minimum(share[0] * _LEVELS // _MASS, _LEVELS - 1).reshape(-1)
+            self.won = self.won * 7 // 8 + 1
+        if self.steps >= self.counts_at:
+            self.counts_at += min(max(16, self.steps, self.code.nodes // 4), max(256, self.code.nodes // 4))
+            if self.pending:
+                self.counts += 8 * np.bincount(np.concatenate(self.pending), minlength=self.counts.size).reshape(self.counts.shape)
+                self.pending = []
+            total = np.maximum(self.counts.sum(1), 1)[:, None, None]
+            mass = (2 * np.arange(_LEVELS) + 1)[None, :, None] * (_MASS // (2 * _LEVELS))
+            field = 1 + self.counts[:, None, :] * mass // total
+            field[:, :, 0] = 0
+            field = field[:, :, _DIGIT].astype(np.uint16).reshape(-1, 4, 4)
+            words = np.ascontiguousarray(field).view(np.uint64).reshape(-1, 4)
+            self.low0, self.high0 = (np.ascontiguousarray(words[:, k : k + 2]).view(np.complex128).reshape(-1) for k in (0, 2))
+
+    def predict(self) -> None:
+        """The mixed distribution of each lane's next digit: sums within the words, and the mass before each word."""
+        if self.steps >= self.shares_at or self.steps >= self.counts_at:
+            self._refresh()
+        n, node = 2 * self.lanes, self.node
+        place = self.hash.take(node)
+        self.at1 = (((self.after1 ^ place) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _ROWS1)).astype(np.int64)
+        self.at2 = (((self.after2 ^ place) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _ROWS2)).astype(np.int64)
+        self.row1, self.row2 = self.rows1.take(self.at1).view(np.uint64), self.rows2.take(self.at2).view(np.uint64)
+        sum1, sum2 = (row.view(np.uint8)[::16].astype(np.int64) for row in (self.row1, self.row2))
+        self.class1, self.class2 = self.class_of.take(sum1), self.class_of.take(sum2)
+        sum1 *= _CLASSES
+        sum1 += self.class2
+        sum2 *= _CLASSES
+        sum2 += self.class1
+        at0 = self.class1 * _CLASSES
+        at0 += self.class2
+        at0 = self.level.take(at0)
+        at0 += node * _LEVELS
+        mass = np.empty(2 * n, np.uint64)
+        low, high = mass[:n], mass[n:]
+        low[:] = self.low0.take(at0).view(np.uint64)
+        high[:] = self.high0.take(at0).view(np.uint64)
+        self.by1, self.by2 = self.share1.take(sum1), self.share2.take(sum2)
+        by = np.empty(n, np.uint64)
+        for row, share in ((self.row1, self.by1), (self.row2, self.by2)):
+            by[::2] = share
+            by[1::2] = share
+            part = row & self.mask
+            part *= by
+            low += part
+            np.right_shift(row, np.uint64(8), out=part)
+            part &= _EVEN
+            part *= by
+            high += part
+        mass *= _FIELDS
+        self.mass = mass
+        top = mass >> np.uint64(48)
+        before = np.empty(2 * n, np.uint64)
+        before[0:n:2] = 0
+        before[1:n:2] = top[0:n:2]
+        np.add(top[0:n:2], top[1:n:2], out=before[n::2])
+        np.add(before[n::2], top[n::2], out=before[n + 1 :: 2])
+        self.before = before
+        self.total = before[n + 1 :: 2] + top[n + 1 :: 2]
+
+    def part(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mass before each lane's digit, and of it."""
+        place = _PLACE.take(digit)
+        at = self.word.take(place >> 2)
+        at += self.at
+        field = ((place & 3) << 4).astype(np.uint64)
+        sums = self.mass.take(at)
+        below = ((sums << np.uint64(16)) >> field) & _LOW16
+        own = ((sums >> field) & _LOW16) - below
+        below += self.before.take(at)
+        return below, own
+
+    def digit(self, value: np.ndarray) -> np.ndarray:
+        """The digit whose mass holds each lane's value."""
+        n, before = 2 * self.lanes, self.before
+        word = (value >= before[1:n:2]).astype(np.int64)
+        word += value >= before[n::2]
+        word += value >= before[n + 1 :: 2]
+        at = self.word.take(word)
+        at += self.at
+        sums = self.mass.take(at)
+        rest = value - before.take(at)
+        word <<= 2
+        for shift in (0, 16, 32):
+            word += rest >= (sums >> np.uint64(shift)) & _LOW16
+        return _DIGIT.take(word)
+
+    def learn(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count each lane's digit; returns the lanes whose id ends with it, and those ids. Where lanes share a context, the last lane's word holds."""
+        if not self.steps & 7 or self.steps < 64:
+            self._credit(digit)
         self.steps += 1
-        if self.steps >= self.next:
-            self._rebuild()
-            self.next += min(self.steps, 16)
+        at = self.node * 16 + digit
+        self.pending.append(at.astype(np.int32))
+        step = self.step.take(digit).view(np.uint64)
+        for rows, where, row in ((self.rows1, self.at1, self.row1), (self.rows2, self.at2, self.row2)):
+            row += step
+            full = np.flatnonzero(row.view(np.uint8)[::16] >= _FULL)
+            if len(full):
+                cells = row.view(np.uint8).reshape(-1, 16)[full] >> 1
+                cells[:, 0] = cells[:, 1:].sum(1)
+                row.view(np.uint8).reshape(-1, 16)[full] = cells
+            rows[where] = row.view(np.complex128)
+        self.node = self.code.child.take(at)
+        done = np.flatnonzero(self.node < 0)
+        ids = ~self.node[done]
+        if len(done):
+            self.node[done] = 0
+            new = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x27D4EB2F)
+            new ^= new >> np.uint32(15)
+            self.after2[done] = (self.last[done] * np.uint32(0x165667B1)) ^ (new * np.uint32(0x2545F491))
+            self.after1[done] = self.last[done] = new
+        return done, ids
+
+    def _credit(self, digit: np.ndarray) -> None:
+        """How much of what the mixture gave to the digits came from each order, by class."""
+        own = self.part(digit)[1].astype(np.int64)
+        lane = np.arange(self.lanes) * 16 + digit
+        parts = [self.row1.view(np.uint8)[lane] * self.by1.astype(np.int64), self.row2.view(np.uint8)[lane] * self.by2.astype(np.int64)]
+        at = self.class1 * _CLASSES + self.class2
+        for k, part in enumerate([own - parts[0] - parts[1], *parts]):
+            self.won[k] += np.bincount(at, part * 64 // own, _CLASSES * _CLASSES).astype(np.int64).reshape(_CLASSES, _CLASSES)
+
+    def keep(self, lanes: np.ndarray) -> None:
+        """Go on with these lanes only."""
+        self.node, self.last, self.after1, self.after2 = (x[lanes] for x in (self.node, self.last, self.after1, self.after2))
+        self._shape(len(self.node))
+
 
+def _lane_ends(length: np.ndarray) -> np.ndarray:
+    """Where lanes end, so that all have about as many digits to code; length has each id's."""
+    total = np.cumsum(length, dtype=np.int64)
+    lanes = min(LANES, max(1, len(length) // STEPS))
+    return np.unique(np.searchsorted(total, total[-1] * np.arange(1, lanes + 1) // lanes, side="left") + 1)
 
-def _shape(n: int) -> tuple[int, int]:
-    lanes = min(LANES, max(1, n // STEPS))
-    return lanes, -(-n // lanes)
+
+def _open(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lanes' next 32 bits are settled, or have to be, since the span is too small; and which are settled of themselves."""
+    settled = (low ^ (low + span)) >> _WORD == 0
+    return np.flatnonzero(settled | (span < _BOTTOM)), settled
+
+
+def _shift(low: np.ndarray, span: np.ndarray, out: np.ndarray, settled: np.ndarray) -> None:
+    lo, sp = low[out], span[out]
+    sp = np.where(settled[out], sp, (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
+    low[out], span[out] = lo << _WORD, sp << _WORD
 
 
 def encode_block(ids: np.ndarray, symbols: int) -> bytes:
-    """A block of 1 to 2**32 - 1 ids below ``symbols``, which is 2**28 at most."""
-    n = len(ids)
-    lanes, steps = _shape(n)
-    table = np.zeros(lanes * steps, np.int32)
-    table[:n] = ids
-    table = np.ascontiguousarray(table.reshape(lanes, steps).T)
-    model = Model(symbols, lanes)
+    """A block of 1 to 2**31 ids below ``symbols``, which is 2**28 at most."""
+    n, ids = len(ids), np.asarray(ids)
+    classes = classes_of(np.bincount(ids, minlength=symbols))
+    code = Code(classes)
+    digits = code.digits[ids]
+    size = np.zeros(len(classes), np.int64)
+    for k in range(16):
+        size += (code.digits >> np.uint64(4 * k)) > 0
+    ends = end = _lane_ends(size[ids])
+    lanes = len(ends)
+    model = Model(code, lanes)
+    at = np.append(0, ends[:-1])
+    who_am, now = np.arange(lanes, dtype=np.uint16), digits[at]
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     who, words = [], []
-    for s in range(steps):
-        a = -(-(n - s) // steps)
-        x = table[s, :a]
-        guess2, guess1, state = model.predict(a)
-        choice = np.where(guess2 == x, 0, np.where(guess1 == x, 1, 2))
-        coded = state + choice
-        unit = span[:a] >> np.uint64(CHOICE_BITS)
-        low[:a] += unit * model.below[coded]
-        span[:a] = unit * model.odds[coded]
-        literal = choice == 2
-        unit = (span[:a] >> model.shift) * literal
-        low[:a] += unit * model.share_below[x]
-        np.copyto(span[:a], unit * model.share[x], where=literal)
-        lo, sp = low[:a], span[:a]
-        same = (lo ^ (lo + sp)) >> _TOP == 0
-        out = np.flatnonzero(same | (sp < _BOTTOM))
+
+    def put(lanes_: np.ndarray) -> None:
+        who.append(who_am[lanes_])
+        words.append((low[lanes_] >> _WORD).astype(np.uint32))
+
+    while len(at):
+        model.predict()
+        digit = (now & np.uint64(15)).astype(np.int64)
+        now >>= np.uint64(4)
+        below, own = model.part(digit)
+        span //= model.total
+        below *= span
+        low += below
+        span *= own
+        out, settled = _open(low, span)
         while len(out):
-            lo, sp = low[out], span[out]
-            sp = np.where(same[out], sp, (~lo + _ONE) & (_BOTTOM - _ONE))
-            who.append(out.astype(np.uint16))
-            words.append((lo >> _TOP).astype(np.uint16))
-            lo, sp = lo << _WORD, sp << _WORD
-            low[out], span[out] = lo, sp
-            again = (lo ^ (lo + sp)) >> _TOP == 0
-            same[out] = again
-            out = out[again | (sp < _BOTTOM)]
-        model.update(a, x, guess2, guess1, coded)
-    last = low + np.uint64((1 << 32) - 1)
-    every = np.arange(lanes).astype(np.uint16)
-    who += [every, every]
-    words += [(last >> _TOP).astype(np.uint16), (last >> np.uint64(32)).astype(np.uint16)]
+            put(out)
+            _shift(low, span, out, settled)
+            out, settled = _open(low, span)
+        done, _ = model.learn(digit)
+        at[done] += 1
+        ended = at[done] >= end[done]
+        if ended.any():
+            gone = done[ended]
+            # the first number of 32 bits above low, if all that may follow lies in the span; else low itself
+            short = span[gone] >> np.uint64(33) > 0
+            low[gone[short]] += np.uint64((1 << 32) - 1)
+            put(gone)
+            low[gone] <<= _WORD
+            put(gone[~short])
+            going = at < end
+            at, end, who_am, now, low, span = (x[going] for x in (at, end, who_am, now, low, span))
+            model.keep(going)
+            done = (np.cumsum(going) - 1)[done[~ended]]
+        now[done] = digits[at[done]]
     who_, words_ = np.concatenate(who), np.concatenate(words)
-    order = np.argsort(who_, kind="stable")
-    lengths = np.bincount(who_, minlength=lanes).astype("<u4")
-    payload = lengths.tobytes() + words_[order].astype("<u2").tobytes()
+    table = zlib.compress(classes.tobytes(), 6)
+    sizes, counts = np.bincount(who_, minlength=lanes).astype("<u4"), np.diff(ends, prepend=0).astype("<u4")
+    lists = zlib.compress(counts.tobytes() + sizes.tobytes(), 6)
+    payload = struct.pack("<II", len(table), len(lists)) + table + lists + words_[np.argsort(who_, kind="stable")].astype("<u4").tobytes()
     return _HEAD.pack(MAGIC, n, symbols, lanes, len(payload), zlib.crc32(payload)) + payload
 
 
@@ -181,47 +359,39 @@ def decode_block(head: bytes, payload: bytes) -> np.ndarray:
     magic, n, symbols, lanes, size, check = _HEAD.unpack(head)
     if magic != MAGIC or len(payload) != size or zlib.crc32(payload) != check:
         raise ValueError("damaged block of ids")
-    steps = -(-n // lanes)
-    lengths = np.frombuffer(payload, "<u4", lanes).astype(np.int64)
-    words = np.concatenate([np.frombuffer(payload, "<u2", offset=4 * lanes), np.zeros(8, np.uint16)]).astype(np.uint64)
-    next_ = np.cumsum(lengths) - lengths
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << _WORD) | words[next_]
-        next_ += 1
-    table = np.zeros((steps, lanes), np.int32)
-    model = Model(symbols, lanes)
+    table, lists = struct.unpack_from("<II", payload)
+    code = Code(np.frombuffer(zlib.decompress(payload[8 : 8 + table]), np.uint8))
+    counts, sizes = np.frombuffer(zlib.decompress(payload[8 + table : 8 + table + lists]), "<u4").astype(np.int64).reshape(2, lanes)
+    words = np.concatenate([np.frombuffer(payload[8 + table + lists :], "<u4"), np.zeros(2, np.uint32)]).astype(np.uint64)
+    next_ = np.cumsum(sizes) - sizes
+    value = (words[next_] << _WORD) | words[next_ + 1]
+    next_ += 2
+    model = Model(code, lanes)
+    end = np.cumsum(counts)
+    at = end - counts
+    ids = np.zeros(n, np.uint32)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    most = np.uint64((1 << CHOICE_BITS) - 1)
-    for s in range(steps):
-        a = -(-(n - s) // steps)
-        guess2, guess1, state = model.predict(a)
-        unit = span[:a] >> np.uint64(CHOICE_BITS)
-        value = np.minimum((code[:a] - low[:a]) // unit, most)
-        choice = (value >= model.below[state + 1]).astype(np.int64) + (value >= model.below[state + 2])
-        coded = state + choice
-        low[:a] += unit * model.below[coded]
-        span[:a] = unit * model.odds[coded]
-        literal = choice == 2
-        unit = span[:a] >> model.shift
-        value = np.minimum((code[:a] - low[:a]) // np.maximum(unit, _ONE), np.uint64((1 << model.bits) - 1))
-        x = np.where(literal, model.of_value()[value.astype(np.int64)], np.where(choice == 0, guess2, guess1))
-        unit *= literal
-        low[:a] += unit * model.share_below[x]
-        np.copyto(span[:a], unit * model.share[x], where=literal)
-        lo, sp = low[:a], span[:a]
-        same = (lo ^ (lo + sp)) >> _TOP == 0
-        out = np.flatnonzero(same | (sp < _BOTTOM))
+    while len(at):
+        model.predict()
+        span //= model.total
+        digit = model.digit(np.minimum((value - low) // span, model.total - np.uint64(1)))
+        below, own = model.part(digit)
+        below *= span
+        low += below
+        span *= own
+        out, settled = _open(low, span)
         while len(out):
-            lo, sp = low[out], span[out]
-            sp = np.where(same[out], sp, (~lo + _ONE) & (_BOTTOM - _ONE))
-            lo, sp = lo << _WORD, sp << _WORD
-            low[out], span[out] = lo, sp
-            code[out] = (code[out] << _WORD) | words[np.minimum(next_[out], len(words) - 1)]
+            _shift(low, span, out, settled)
+            value[out] = (value[out] << _WORD) | words[np.minimum(next_[out], len(words) - 1)]
             next_[out] += 1
-            again = (lo ^ (lo + sp)) >> _TOP == 0
-            same[out] = again
-            out = out[again | (sp < _BOTTOM)]
-        table[s, :a] = x
-        model.update(a, x, guess2, guess1, coded)
-    return table.T.reshape(-1)[:n].astype(np.uint32)
+            out, settled = _open(low, span)
+        done, found = model.learn(digit)
+        place = at[done]
+        ids[place] = found
+        place += 1
+        at[done] = place
+        if (place >= end[done]).any():
+            going = at < end
+            at, end, next_, value, low, span = (x[going] for x in (at, end, next_, value, low, span))
+            model.keep(going)
+    return ids

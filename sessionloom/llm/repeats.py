@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings across documents, by suffix arrays over content-dealt shards."""
+"""Exact removal of repeated byte strings across documents, by suffix arrays of content-dealt shards, merged by binary search."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import fresh_dir, mix, powers, steps, text_or_empty, tidy
-from sessionloom.llm.suffix_arrays import common_prefixes, suffix_array
+from sessionloom.llm.common import fresh_dir, mix, same_spans, span_hashes, steps, text_or_empty, tidy
+from sessionloom.llm.suffix_arrays import common_prefixes, occurs, suffix_array
 
 LENGTH = 100
 #: Bytes of the grams whose least hash in a window says to which shard the window goes.
@@ -20,8 +20,8 @@ GRAM = 20
 RUN = 512
 #: Bytes of runs in one suffix array.
 SHARD_BYTES = 1 << 19
-#: Different runs of one least gram beyond which its windows are dealt one by one, by their own hashes.
-SPREAD = 2048
+#: Different runs of one least gram beyond which its windows are dealt one by one, by all their bytes.
+SPREAD = 1 << 15
 #: Text bytes that one partition of runs stands for.
 PART_BYTES = 16 << 20
 
@@ -73,14 +73,14 @@ def _own_repeats(grams: np.ndarray, least: np.ndarray, valid: np.ndarray, start:
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring windows of ``length`` bytes that have the same least gram: text, first window, number of windows, least gram, hash of the bytes covered, and if the run may repeat itself.
+    """Runs of neighbouring windows of ``length`` bytes that have the same least gram: text, first window, number of windows, least gram, 128-bit BLAKE2 digest of the bytes covered (two numbers a run), and if the run may repeat itself.
 
     Every window is in one run, and equal windows have equal least grams, in whatever texts they are.
     """
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty, empty, empty, empty, empty, empty.astype(bool)
+        return empty, empty, empty, empty, empty.reshape(0, 2), empty.astype(bool)
     grams = gram_hashes(data, gram)
     least = sliding_least(grams, length - gram + 1)
     ok = np.zeros(len(least) + 1, np.int32)
@@ -102,17 +102,15 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int =
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         text, start, stop = np.repeat(text, pieces), np.repeat(start, pieces) + nth * RUN, np.repeat(stop, pieces)
         stop, own = np.minimum(stop, start + RUN), np.repeat(own, pieces)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_HASH[data] * up[:n], out=total[1:])
-    content = mix((total[stop - 1 + length] - total[start]) * down[start] + (stop - start).astype(np.uint64))
-    return text, start - offsets[text], stop - start, least[start].view(np.int64), content.view(np.int64), own
+    raw, digest = memoryview(data.tobytes()), hashlib.blake2b
+    content = b"".join([digest(raw[i:j], digest_size=16).digest() for i, j in zip(start.tolist(), (stop - 1 + length).tolist())])
+    return text, start - offsets[text], stop - start, least[start].view(np.int64), np.frombuffer(content, np.int64).reshape(-1, 2), own
 
 
 #: Added to a run's number of windows if it may repeat itself.
 OWN = 1 << 20
 
-RUNS = "doc long, start int, windows int, least long, content long"
+RUNS = "doc long, start int, windows int, least long, content long, content_low long"
 #: kind: 0 all windows repeat earlier ones; 1 to be looked into, dealt by the least gram; 2 the same, dealt by window
 SORTED = "doc long, start int, windows int, least long, kind int"
 
@@ -128,10 +126,20 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(got) if got else None
 
 
-def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+def _columns(table: pa.Table | pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [table.column(n).to_numpy() for n in names]
 
 
+def _equal_runs(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Of rows in ``order``: which agree in all keys with the one before."""
+    same = np.zeros(len(order), bool)
+    same[1:] = True
+    for key in keys:
+        key = key[order]
+        same[1:] &= key[1:] == key[:-1]
+    return same
+
+
 def _later(order: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of rows in ``order`` (by group, doc, start), with ``same`` telling where a group goes on: the first of each group, and which rows start later than their group's first."""
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
@@ -144,18 +152,16 @@ def _sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = _gather(batches)
     if table is None:
         return
-    doc, start, windows, least, content = _columns(table, "doc", "start", "windows", "least", "content")
+    doc, start, windows, least, content, low = _columns(table, "doc", "start", "windows", "least", "content", "content_low")
     done = windows < 0
     if done.any():
         yield _batch(SORTED, doc[done], start[done], -windows[done], least[done], np.zeros(done.sum(), np.int32))
-        doc, start, windows, least, content = (c[~done] for c in (doc, start, windows, least, content))
+        doc, start, windows, least, content, low = (c[~done] for c in (doc, start, windows, least, content, low))
     if not len(doc):
         return
     own, windows = windows >= OWN, windows & (OWN - 1)
-    order = np.lexsort((start, doc, content, least))
-    le, co = least[order], content[order]
-    same = np.zeros(len(order), bool)
-    same[1:] = (le[1:] == le[:-1]) & (co[1:] == co[:-1])
+    order = np.lexsort((start, doc, low, content, least))
+    same = _equal_runs(order, least, content, low)
     first, later = _later(order, same, doc, start)
     rows = order[later]
     yield _batch(SORTED, doc[rows], start[rows], windows[rows], least[rows], np.zeros(len(rows), np.int32))
@@ -175,18 +181,16 @@ def _find_runs(length: int):
                     continue
                 doc = rows.column("doc").to_numpy()[text]
                 # what repeats an earlier run of this step travels as such, so no run of a hot group does so often
-                order = np.lexsort((start, doc, content, least))
-                le, co = least[order], content[order]
-                same = np.zeros(len(order), bool)
-                same[1:] = (le[1:] == le[:-1]) & (co[1:] == co[:-1])
+                order = np.lexsort((start, doc, content[:, 1], content[:, 0], least))
+                same = _equal_runs(order, least, content[:, 0], content[:, 1])
                 _, later = _later(order, same, doc, start)
                 twin = same & ~later
                 rest = order[~(later | twin)]
-                yield _batch(RUNS, doc[rest], start[rest].astype(np.int32), windows[rest] + OWN * own[rest], least[rest], content[rest])
+                yield _batch(RUNS, doc[rest], start[rest].astype(np.int32), windows[rest] + OWN * own[rest], least[rest], content[rest, 0], content[rest, 1])
                 rows_ = order[later]
                 if len(rows_):
                     # dealt by their own place: a negative count marks them
-                    yield _batch(RUNS, doc[rows_], start[rows_], -windows[rows_], mix(doc[rows_].view(np.uint64) * np.uint64(31) + start[rows_].astype(np.uint64)).view(np.int64), content[rows_])
+                    yield _batch(RUNS, doc[rows_], start[rows_], -windows[rows_], mix(doc[rows_].view(np.uint64) * np.uint64(31) + start[rows_].astype(np.uint64)).view(np.int64), content[rows_, 0], content[rows_, 1])
 
     return find
 
@@ -194,39 +198,52 @@ def _find_runs(length: int):
 PARTS = "route long, doc long, start int, windows int, bytes binary"
 
 
+def _single_windows(data: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """Windows that travel one by one, dealt by a hash of all their bytes. What repeats an earlier window of this step, byte for byte, travels as a run of settled windows without bytes."""
+    hashed = span_hashes(data, at, at + length)
+    order = np.lexsort((place, doc, hashed))
+    same = _equal_runs(order, hashed)
+    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    _, later = _later(order, same, doc, place)
+    later &= same_spans(data, at[order], at[order] + length, data, at[first], at[first] + length)
+    if later.any():
+        runs = _as_runs(doc[order[later]], place[order[later]])
+        d, s, n = _columns(runs, "doc", "start", "windows")
+        yield _batch(PARTS, mix(d.view(np.uint64) * np.uint64(31) + s.astype(np.uint64)).view(np.int64), d, s, -n, [b""] * len(d))
+    rest, raw = order[~later], data.tobytes()
+    for k in range(0, len(rest), RUN * 8):
+        some = rest[k : k + RUN * 8]
+        yield _batch(PARTS, hashed[some].view(np.int64), doc[some], place[some].astype(np.int32), np.ones(len(some), np.int32), [raw[x : x + length] for x in at[some].tolist()])
+
+
 def _take_bytes(length: int):
-    """The bytes of the runs that are to be looked into; those dealt by window go as (hash, hash, place) without bytes."""
+    """The bytes of the runs that are to be looked into: whole runs, dealt by their least gram; or single windows."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in steps(batch, "t"):
+                single: list[tuple[np.ndarray, ...]] = []
                 for doc, runs, a, b in zip(rows.column("doc").to_pylist(), rows.column("runs"), offsets[:-1].tolist(), offsets[1:].tolist()):
-                    own = data[a:b]
                     inner = runs.values
                     start, windows, least, kind = (inner.field(n).to_numpy() for n in ("start", "windows", "least", "kind"))
-                    fits = start + windows + length - 1 <= len(own)
+                    fits = start + windows + length - 1 <= b - a
                     plain = np.flatnonzero((kind == 1) & fits)
-                    raw = own.tobytes()
                     if len(plain):
+                        raw = data[a:b].tobytes()
                         yield _batch(PARTS, least[plain], np.full(len(plain), doc), start[plain], windows[plain], [raw[s : s + w + length - 1] for s, w in zip(start[plain].tolist(), windows[plain].tolist())])
                     spread = np.flatnonzero((kind == 2) & fits)
                     if len(spread):
                         n = windows[spread].astype(np.int64)
-                        at = np.repeat(start[spread] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                        up, down = powers(len(own) + 1)
-                        hashes = []
-                        for salt in (0, 0x5DEECE66D):
-                            total = np.zeros(len(own) + 1, np.uint64)
-                            np.cumsum(mix(_BYTE_HASH[own] ^ np.uint64(salt)) * up[: len(own)], out=total[1:])
-                            hashes.append(mix((total[at + length] - total[at]) * down[at]))
-                        second = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(at), [None, pa.py_buffer(hashes[1].tobytes())]).cast(pa.binary())
-                        yield _batch(PARTS, hashes[0].view(np.int64), np.full(len(at), doc), at.astype(np.int32), np.full(len(at), -1, np.int32), second)
+                        place = np.repeat(start[spread] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                        single.append((place + a, np.full(len(place), doc), place))
+                if single:
+                    yield from _single_windows(data, *(np.concatenate(x) for x in zip(*single)), length)
 
     return take
 
 
-def repeated_windows(contents: list[bytes], doc: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a shard of runs: the windows (doc, place) that an equal window with a smaller (doc, place) precedes, by suffix array and common prefixes."""
+def shard_windows(contents: list[bytes], doc: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """A shard's text; and of its windows, in the order of their suffixes: place in the text, run, document, place there, and whether an equal window of the shard with a smaller (document, place) precedes it, by suffix array and common prefixes."""
     text = np.frombuffer(b"".join(contents), np.uint8)
     size = np.array([len(c) for c in contents], np.int64)
     begin = np.cumsum(size) - size
@@ -236,17 +253,13 @@ def repeated_windows(contents: list[bytes], doc: np.ndarray, start: np.ndarray,
     run = np.searchsorted(begin, array, side="right") - 1
     within = array - begin[run]
     full = within < windows[run]
-    group, d, s = group[full], doc[run[full]], start[run[full]] + within[full]
-    edge = np.ones(len(group), bool)
-    edge[1:] = group[1:] != group[:-1]
-    several = ~edge
-    several[:-1] |= ~edge[1:]
-    group, d, s = group[several], d[several], s[several]
+    array, group, run = array[full], group[full], run[full]
+    d, s = doc[run], start[run] + within[full]
     order = np.lexsort((s, d, group))
-    same = np.zeros(len(order), bool)
-    same[1:] = group[order][1:] == group[order][:-1]
-    _, later = _later(order, same, d, s)
-    return d[order[later]], s[order[later]]
+    _, later = _later(order, _equal_runs(order, group), d, s)
+    repeats = np.zeros(len(array), bool)
+    repeats[order[later]] = True
+    return text, array, run, d, s, repeats
 
 
 COVERED = "doc long, start int, windows int"
@@ -255,6 +268,8 @@ COVERED = "doc long, start int, windows int"
 def _as_runs(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
+    if not len(doc):
+        return _batch(COVERED, doc, place.astype(np.int32), place.astype(np.int32))
     edge = np.ones(len(doc), bool)
     edge[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)
     first = np.flatnonzero(edge)
@@ -262,38 +277,51 @@ def _as_runs(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     return _batch(COVERED, doc[first], place[first].astype(np.int32), (place[last] - place[first] + 1).astype(np.int32))
 
 
-def _search_shards(length: int):
+def _search_shards(length: int, shard_bytes: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs arrive sorted by route; a shard is as many whole routes as SHARD_BYTES hold."""
+        """Runs arrive sorted by route, document and place, and are cut into shards of ``shard_bytes``. A route that goes on from one shard to
+        the next has its windows of the next looked up in the suffix orders of those before."""
         waiting: list[tuple[int, int, int, int, bytes]] = []
-        held, spread = 0, []
-
-        def shard() -> pa.RecordBatch:
-            doc, start, windows = (np.array([w[k] for w in waiting], np.int64) for k in (1, 2, 3))
-            return _as_runs(*repeated_windows([w[4] for w in waiting], doc, start, windows, length))
+        held = 0
+        before: list[tuple[np.ndarray, np.ndarray]] = []
+        before_route = None
+
+        def shard(goes_on: int | None) -> pa.RecordBatch:
+            nonlocal before, before_route
+            route, doc, start, windows = (np.array([w[k] for w in waiting], np.int64) for k in range(4))
+            text, place, run, d, s, repeats = shard_windows([w[4] for w in waiting], doc, start, windows, length)
+            if before and route[0] == before_route:
+                asked = np.flatnonzero((route[run] == before_route) & ~repeats)
+                for other, ordered in before:
+                    hit = occurs(text, place[asked], other, ordered, length)
+                    repeats[asked[hit]] = True
+                    asked = asked[~hit]
+            if goes_on is None or goes_on != before_route:
+                before = []
+            before_route = goes_on
+            if goes_on is not None:
+                kept = np.flatnonzero((route[run] == goes_on) & ~repeats)
+                first = int(np.searchsorted(route, goes_on))
+                cut = sum(len(w[4]) for w in waiting[:first])
+                if len(kept):
+                    before.append((text[cut:].copy(), place[kept] - cut))
+            return _as_runs(d[repeats], s[repeats])
 
         for batch in batches:
             windows = batch.column("windows").to_numpy()
-            alone = np.flatnonzero(windows < 0)
-            if len(alone):
-                part = batch.take(pa.array(alone))
-                second = np.frombuffer(b"".join(part.column("bytes").to_pylist()), np.int64)
-                spread.append((part.column("route").to_numpy(), second, part.column("doc").to_numpy(), part.column("start").to_numpy()))
-            for row in zip(*(c.to_pylist() for c in batch.take(pa.array(np.flatnonzero(windows >= 0))).columns)):
-                if held >= SHARD_BYTES and row[0] != waiting[-1][0]:
-                    yield shard()
+            settled = np.flatnonzero(windows < 0)
+            if len(settled):
+                doc, start = (batch.column(n).to_numpy()[settled] for n in ("doc", "start"))
+                yield _batch(COVERED, doc, start, -windows[settled])
+                batch = batch.take(pa.array(np.flatnonzero(windows > 0)))
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held >= shard_bytes:
+                    yield shard(row[0] if row[0] == waiting[-1][0] else None)
                     waiting, held = [], 0
                 waiting.append(row)
                 held += len(row[4])
         if waiting:
-            yield shard()
-        if spread:
-            one, two, doc, start = (np.concatenate(x) for x in zip(*spread))
-            order = np.lexsort((start, doc, two, one))
-            same = np.zeros(len(order), bool)
-            same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-            _, later = _later(order, same, doc, start)
-            yield _as_runs(doc[order[later]], start[order[later]])
+            yield shard(None)
 
     return search
 
@@ -302,10 +330,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """Of rows with doc (not null) and t (the text): (doc, start, windows), runs of windows of ``length`` bytes, each of which also starts earlier.
 
     Windows are put together to runs with the same least gram, which says where a run goes, so equal windows of any two
-    texts meet in one shard and no pair of shards has to be compared. Equal runs are settled before and
-    after that exchange: the first stays, the others repeat it. Where a gram has several different runs, their bytes are
+    texts meet in one shard or in shards that follow one another in one task; no other pair of shards has to be merged. Runs equal as a whole, by a 128-bit
+    digest, are settled before and after that exchange: the first stays, the others repeat it. Where a gram has several different runs, their bytes are
     fetched (by a join that takes all columns of ``rows``, so that the caller can use its exchange again), and a shard of them gets a suffix array with common prefixes: suffixes that share ``length`` bytes are neighbours, and all but the
-    earliest repeat it. The windows of a gram with over SPREAD different runs are dealt to shards one by one by a 128-bit hash instead.
+    earliest repeat it. Windows of a gram whose runs fill more than one shard are looked up in the suffix orders of the shards before, by binary search.
+    A gram with over SPREAD different runs would fill a task; its windows travel one by one, each with its bytes, to shards dealt by a hash of all their bytes.
     """
     spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -316,7 +345,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = spark.read.parquet(folder)
     unsettled = runs.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "least", "kind")).alias("runs"))
     looked = rows.join(unsettled, "doc").mapInArrow(tidy(_take_bytes(length)), PARTS)
-    found = looked.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(tidy(_search_shards(length)), COVERED)
+    found = looked.repartition(parts, "route").sortWithinPartitions("route", "doc", "start").mapInArrow(tidy(_search_shards(length, SHARD_BYTES)), COVERED)
     return runs.where("kind = 0").select("doc", "start", "windows").unionAll(found)
 
 

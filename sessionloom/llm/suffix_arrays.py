@@ -91,3 +91,38 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarra
     by_position = np.maximum(found[last] - (np.arange(n) - last), 0)
     by_position[before < 0] = 0
     return by_position[array]
+
+
+def occurs(text: np.ndarray, places: np.ndarray, other: np.ndarray, ordered: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes at each place of the text are at one of the ``ordered`` places of the other, which are in the order of what follows them: by binary search for all places at once."""
+    if not len(ordered):
+        return np.zeros(len(places), bool)
+    mine, theirs = (np.ndarray(len(t) + 1, ">u8", np.concatenate([t, np.zeros(8, np.uint8)]), strides=(1,)) for t in (text, other))
+    chunks = [*range(0, length - 7, 8)] + ([length - 8] if length % 8 else []) if length >= 8 else None
+    if chunks is None:
+        raise ValueError("windows of under eight bytes")
+
+    def compared(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the bytes at each of ``at`` are less, equal or more than those at ``to``."""
+        sign, open_ = np.zeros(len(at), np.int8), np.arange(len(at))
+        for k in chunks:
+            x, y = mine[at[open_] + k].astype(np.uint64), theirs[to[open_] + k].astype(np.uint64)
+            sign[open_] = (x > y).astype(np.int8) - (x < y)
+            open_ = open_[x == y]
+            if not len(open_):
+                break
+        return sign
+
+    low, high = np.zeros(len(places), np.int64), np.full(len(places), len(ordered), np.int64)
+    while True:
+        open_ = np.flatnonzero(low < high)
+        if not len(open_):
+            break
+        middle = (low[open_] + high[open_]) >> 1
+        more = compared(places[open_], ordered[middle]) > 0
+        low[open_] = np.where(more, middle + 1, low[open_])
+        high[open_] = np.where(more, high[open_], middle)
+    found = np.flatnonzero(low < len(ordered))
+    out = np.zeros(len(places), bool)
+    out[found] = compared(places[found], ordered[low[found]]) == 0
+    return out

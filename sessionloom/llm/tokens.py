@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from sessionloom.llm.common import mix, powers
+from sessionloom.llm.common import same_spans, span_hashes
 
 #: Parts of texts that a worker remembers (about 60 bytes each); beyond it starts afresh.
 REMEMBERED = 1_200_000
@@ -31,7 +31,7 @@ class HashTable:
     """Numbers of 64-bit keys, with numpy lookups: open addressing, probed for all keys at once."""
 
     def __init__(self, slots: int = _SLOTS):
-        self.keys, self.values, self.mask, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), slots - 1, 0
+        self.keys, self.values, self.mask = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), slots - 1
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, -1 for unknown ones."""
@@ -47,10 +47,8 @@ class HashTable:
             open_ = open_[~hit & (there != 0)]
         return out
 
-    def add(self, keys: np.ndarray) -> None:
-        """Number new, distinct keys in their order."""
-        numbers = np.arange(self.size, self.size + len(keys), dtype=np.int32)
-        self.size += len(keys)
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """New, distinct keys and their numbers."""
         slot = (keys >> np.uint64(20)).astype(np.int64) & self.mask
         open_ = np.arange(len(keys))
         while len(open_):
@@ -76,15 +74,15 @@ class _Signs(dict):
 
 
 class _Lists:
-    """Short lists of numbers, one after the other; grows by doubling."""
+    """Short lists of numbers, one after the other, with eight places to spare; grows by doubling."""
 
-    def __init__(self):
+    def __init__(self, kind: type):
         self.n, self.total = 0, 0
-        self.flat, self.begin, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.flat, self.begin, self.length = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def extend(self, length: np.ndarray, flat: np.ndarray) -> None:
         n, total = self.n + len(length), self.total + len(flat)
-        for name, size in (("flat", total), ("begin", n), ("length", n)):
+        for name, size in (("flat", total + 8), ("begin", n), ("length", n)):
             old = getattr(self, name)
             if size > len(old):
                 new = np.zeros(max(size, 2 * len(old)), old.dtype)
@@ -121,7 +119,7 @@ class TextEncoder:
 
     A tokenizer that drops white space and treats what stands between as separate, as word_bpe_49k.json does, gives a
     text the ids of its parts between ASCII white space one after the other; each different part is encoded
-    once and found again by its 64-bit hash. Parts of plain letters, digits and signs are cut as the tokenizer would cut them and
+    once and found again by a hash and its bytes. Parts of plain letters, digits and signs are cut as the tokenizer would cut them and
     given to its model; any other part goes through the whole tokenizer. Other tokenizers get whole texts.
     """
 
@@ -139,9 +137,13 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.table, self.known = HashTable(), _Lists()
+        self.table, self.known, self.parts = HashTable(), _Lists(np.uint32), _Lists(np.uint8)
+        #: Parts whose hash another part had before.
+        self.others: dict[bytes, int] = {}
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, raw: list[bytes]) -> np.ndarray:
+        """Encode parts and remember them; returns their numbers."""
+        parts = [x.decode("utf-8", "replace") for x in raw]
         tokenize, table, signs, word = self.tokenizer.model.tokenize, self.bytes_of, self.signs, _WORD.fullmatch
         found: list[list[int]] = []
         rest = []
@@ -162,7 +164,18 @@ class TextEncoder:
         flat: list[int] = []
         for ids in found:
             flat.extend(ids)
+        numbers = np.arange(self.known.n, self.known.n + len(raw))
         self.known.extend(np.fromiter(map(len, found), np.int64, len(found)), np.array(flat, np.uint32))
+        self.parts.extend(np.fromiter(map(len, raw), np.int64, len(raw)), np.frombuffer(b"".join(raw), np.uint8))
+        return numbers
+
+    def _find(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of parts by their hashes, -1 for unknown ones; and which parts have the hash of another part."""
+        of = self.table.find(keys)
+        known = np.flatnonzero(of >= 0)
+        begin = self.parts.begin[of[known]]
+        same = same_spans(data, start[known], end[known], self.parts.flat, begin, begin + self.parts.length[of[known]], spare=True)
+        return of, known[~same]
 
     def _piece(self, piece: str) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.bytes_of))]
@@ -174,20 +187,22 @@ class TextEncoder:
             found = [e.ids for e in self.tokenizer.encode_batch_fast([whole[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], add_special_tokens=False)]
             return np.fromiter((i for x in found for i in x), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int64)
         start, end = _parts(data, offsets)
-        up, down = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data + np.uint64(1)) * up[: len(data)], out=total[1:])
-        keys = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) | np.uint64(1)
-        if self.table.size > REMEMBERED:
+        keys = span_hashes(data, start, end) | np.uint64(1)
+        if self.known.n > REMEMBERED:
             self._forget()
-        of = self.table.find(keys)
+        of, twins = self._find(keys, data, start, end)
         unknown = np.flatnonzero(of < 0)
         if len(unknown):
             fresh, first = np.unique(keys[unknown], return_index=True)
             at = unknown[first]
-            self._learn([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist())])
-            self.table.add(fresh)
-            of[unknown] = self.table.find(keys[unknown])
+            self.table.add(fresh, self._learn([data[a:b].tobytes() for a, b in zip(start[at].tolist(), end[at].tolist())]))
+            of[unknown], more = self._find(keys[unknown], data, start[unknown], end[unknown])
+            twins = np.concatenate([twins, unknown[more]])
+        for k in twins.tolist():
+            raw = data[start[k] : end[k]].tobytes()
+            if raw not in self.others:
+                self.others[raw] = int(self._learn([raw])[0])
+            of[k] = self.others[raw]
         ids, ends = self.known.gather(of)
         return ids, ends[np.searchsorted(start, offsets)]
 

@@ -128,6 +128,17 @@ def test_coder_uses_context():
     assert len(id_coder.encode_block(np.tile(phrase, 400), 49408)) < 200_000 * 0.6
 
 
+def test_coder_of_a_source_with_four_followers():
+    rng = np.random.default_rng(1)
+    n, follow, choice = 1 << 20, rng.integers(0, 1000, (1000, 4)), None
+    choice = rng.choice(4, n, p=[0.4, 0.3, 0.2, 0.1])
+    ids = np.zeros(n, np.uint32)
+    for k in range(1, n):
+        ids[k] = follow[ids[k - 1], choice[k]]
+    # 1.85 bits an id, once the followers are known
+    assert 8 * len(id_coder.encode_block(ids, 1000)) < 1.15 * 1.85 * n
+
+
 ODD = ["don't stop", "a<|endoftext|>b", "x y z", "é ́a", "\x00\x1c\x85", "ÀÖØßÿ ²³¹ ªºµ", "12'3 '' 've", "ΣΑΣ İ", "日本語 テスト", "a\r\nb\tc\x0bd\x0ce", "👍🏽 flag", "'", "<|startoftext|>"]
 
 
@@ -145,6 +156,31 @@ def test_encoder(tokenizer, docs):
     assert not other.by_part and ids[: ends[1]].tolist() == other.tokenizer.encode(texts[0], add_special_tokens=False).ids
 
 
+def test_encoder_of_parts_with_equal_polynomials(tokenizer):
+    import pyarrow as pa
+
+    from sessionloom.llm.common import buffers
+
+    texts = [thue_morse(*pair, n) for n in (1024, 2048, 5000) for pair in ("ac", "ca")]
+    ids, ends = tokens.TextEncoder(queries.tokenizer_path()).encode(*buffers(pa.array(texts, pa.large_string())))
+    for k, t in enumerate(texts):
+        assert ids[ends[k] : ends[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_of_parts_with_equal_hashes(tokenizer, docs, monkeypatch):
+    import pyarrow as pa
+
+    from sessionloom.llm.common import buffers
+
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64) << np.uint64(20))
+    texts = ODD + [t for _, t in docs if t]
+    encoder = tokens.TextEncoder(queries.tokenizer_path())
+    for _ in range(2):
+        ids, ends = encoder.encode(*buffers(pa.array(texts, pa.large_string())))
+        for k, t in enumerate(texts):
+            assert ids[ends[k] : ends[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_token_files(spark, frame, docs, tokenizer):
     got = {r["doc_id"]: tuple(r)[1:] for r in token_files.token_round_trip(frame, queries.tokenizer_path()).collect()}
     at = 0
@@ -211,10 +247,11 @@ def test_repeats(spark, docs):
     check_repeats(spark, docs)
 
 
-@pytest.mark.parametrize("spread", [1, 2048])
-def test_repeats_of_periodic_texts(spark, monkeypatch, spread):
-    # the limit only says which of two exact ways a group goes
+@pytest.mark.parametrize(("spread", "shard"), [(1, 1 << 19), (1, 500), (2048, 1 << 19), (2048, 300), (2048, 5000)])
+def test_repeats_of_periodic_texts(spark, monkeypatch, spread, shard):
+    # the limits only say how windows are dealt, and how much text a suffix array has
     monkeypatch.setattr(repeats, "SPREAD", spread)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
     rng = random.Random(5)
     base = ["".join(rng.choice("ab") for _ in range(400)) for _ in range(3)]
     docs = [(i, ("z" * rng.randrange(50, 1500) if i % 9 == 0 else "") + "".join(rng.choice(base)[k : k + rng.randrange(20, 250)] for k in rng.sample(range(300), rng.randrange(0, 5)))) for i in range(80)]
@@ -230,6 +267,27 @@ def test_repeats_of_periods_as_long_as_a_window_has_grams(spark):
     check_repeats(spark, docs)
 
 
+def thue_morse(one, other, n):
+    """A text on which polynomial hashes modulo 2**64 fail: equal sums with its opposite, whatever the odd base."""
+    return "".join((one, other)[bin(k).count("1") & 1] for k in range(n))
+
+
+def test_repeats_of_texts_with_equal_polynomials(spark):
+    check_repeats(spark, [(i, thue_morse(*pair, n)) for i, (pair, n) in enumerate([("hm", 512), ("mh", 512), ("hm", 1024), ("mh", 2048), ("ac", 2048), ("ca", 2048)])])
+
+
+def test_occurs():
+    rng = np.random.default_rng(3)
+    for length in (8, 13, 100):
+        texts = [rng.integers(254, 256, 700).astype(np.uint8), rng.integers(254, 256, 900).astype(np.uint8)]
+        texts[1][300:600] = texts[0][100:400]
+        array = suffix_arrays.suffix_array(texts[1], length)
+        array = array[array <= 900 - length]
+        known = {texts[1][p : p + length].tobytes() for p in array}
+        places = np.arange(700 - length)
+        assert suffix_arrays.occurs(texts[0], places, texts[1], array, length).tolist() == [texts[0][p : p + length].tobytes() in known for p in places]
+
+
 def test_repeats_of_repeated_ids(spark):
     text = "".join(random.Random(8).choices("abcdefgh", k=150))
     got = repeats.remove_repeats(table(spark, [(1, text), (1, text), (2, text), (2, "other"), (None, text)])).collect()
