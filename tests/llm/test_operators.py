@@ -360,9 +360,10 @@ def test_jaccard(spark, docs):
     assert jaccard.jaccard_classes(table(spark, [])).count() == 0
 
 
-def test_jaccard_of_a_large_group_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("members", [2, 4, 8])
+def test_jaccard_of_a_large_group_in_blocks(spark, monkeypatch, members):
     # the limit only says how many tasks a bucket's pairs are spread over
-    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", members)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(120)]
     docs = []
@@ -373,6 +374,38 @@ def test_jaccard_of_a_large_group_in_blocks(spark, monkeypatch):
     check_jaccard(spark, docs + [(50, docs[3][1]), (51, docs[3][1].upper())])
 
 
+def test_jaccard_of_words_with_equal_polynomials(spark):
+    docs = [(i, thue_morse(*pair, n)) for i, (pair, n) in enumerate((pair, n) for n in (1024, 2048) for pair in ("ac", "ca"))]
+    check_jaccard(spark, docs)
+    check_jaccard(spark, [(i, f"one two three {t} four five six seven") for i, t in docs])
+
+
+def test_grams_of_equal_hash_are_told_apart(monkeypatch):
+    texts = [b"a b c d e f g", b"a b c d e f h", b"x y", b"", b"b c d e f g"]
+    want = [(k, g) for k, t in enumerate(texts) for g in brute.shingles(t.decode())]
+    for hashes in (jaccard.gram_hashes, lambda hashed, first, last, n: np.full(len(first), 7, np.uint64)):
+        monkeypatch.setattr(jaccard, "gram_hashes", hashes)
+        owner, gram = jaccard.exact_grams(texts, 5)
+        assert len(owner) == len(want) and len(set(gram.tolist())) == len({g for _, g in want})
+        assert jaccard.shared_counts(owner, gram, 5).tolist() == [[float(len(brute.shingles(a.decode()) & brute.shingles(b.decode()))) for b in texts] for a in texts]
+
+
+def test_jaccard_of_rows_without_and_with_repeated_ids(spark):
+    near = [" ".join(f"w{k}" for k in range(60)) + f" end{j}" for j in range(4)]
+    docs = [(None, near[0]), (3, near[1]), (3, "something else altogether that nobody has said before"), (7, near[2]), (7, near[2]), (None, None), (9, "!")]
+    got = sorted((tuple(r) for r in jaccard.jaccard_classes(table(spark, docs)).collect()), key=str)
+    want = [(None, 3, None, 3), (3, 3, 3, 3), (3, 3, 3, 0), (7, 3, 7, 3), (7, 3, 7, 3), (None, None, None, 0), (9, 9, 9, 0)]
+    assert got == sorted(want, key=str)
+    # of the class the row of the least id stays, and with it the other text of that id
+    left = jaccard.first_of_each_class(table(spark, docs))
+    assert left.columns == table(spark, docs).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, near[1]), (3, docs[2][1]), (None, None), (9, "!")], key=str)
+    assert sorted(tuple(r) for r in jaccard.first_of_each_class(table(spark, [(1, "A"), (5, "A"), (5, "B")])).select("doc_id", "text").collect()) == [(1, "A"), (5, "B")]
+    assert [tuple(r) for r in jaccard.first_of_each_class(table(spark, [(1, "A")] * 3)).select("doc_id", "text").collect()] == [(1, "A")]
+    # two rows of the only texts without an id
+    assert {tuple(r) for r in jaccard.jaccard_classes(table(spark, [(None, near[0]), (None, near[1])])).collect()} == {(None, None, None, 1)}
+
+
 def test_bands():
     bands, rows = jaccard.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999
