@@ -23,13 +23,15 @@ _CHUNK_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset (tests), a temporary folder."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset and all runs on one machine (tests), a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         set_dir = context._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         context.setCheckpointDir(found)
         found = context._jsc.sc().getCheckpointDir().get()

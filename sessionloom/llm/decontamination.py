@@ -19,7 +19,7 @@ BROADCAST_BYTES = 2 << 20
 class ItemWindows:
     """The windows of some benchmark items: for each window length sorted hashes, and the items and words of each."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], window: int):
+    def __init__(self, ids: list[int | None], texts: list[str | None], window: int):
         data, offsets = buffers(pa.array(texts, pa.large_string()))
         found = words(data, offsets)
         self.by_length: dict[int, tuple[np.ndarray, list[list[tuple[bytes, list[int]]]]]] = {}
@@ -31,7 +31,7 @@ class ItemWindows:
             n = min(window, b - a)
             for i, h in enumerate(ngrams(found.hash[a:b], n).tolist()):
                 shape = b" ".join(found.folded[s:e].tobytes() for s, e in zip(found.start[a + i : a + i + n], found.end[a + i : a + i + n]))
-                gathered.setdefault(int(n), {}).setdefault(h, {}).setdefault(shape, set()).add(item)
+                gathered.setdefault(int(n), {}).setdefault(h, {}).setdefault(shape, set()).update(() if item is None else (item,))
         for n, by_hash in gathered.items():
             keys = sorted(by_hash)
             self.by_length[n] = (np.array(keys, np.uint64), [[(shape, sorted(items)) for shape, items in by_hash[h].items()] for h in keys])
@@ -133,13 +133,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     on the words themselves. Items whose text exceeds ``broadcast_bytes`` together are scanned for in several passes,
     each in tasks of its own with a broadcast below that bound (a longer single item makes a pass alone); their hits meet by the text's digest.
 
+    Item ids are integers. An item without an id hits as any other and is in no list of ids.
+
     Returns the columns of ``documents`` and dc_words, dc_hit_words, dc_items (item ids that occur, ascending),
     dc_spans (hit word runs, with their bytes), dc_contaminated. ``remove='spans'`` also cuts the bytes of hit runs from
     the text, ``remove='documents'`` drops contaminated rows. Null texts have no words; repeated rows are judged
     alike; an empty benchmark hits nothing. Columns named dc_* in the input are replaced.
     """
     spark = documents.sparkSession
-    spans_of = benchmark.where(f"`{item_id}` IS NOT NULL AND `{item_text}` IS NOT NULL").select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("t"))
+    spans_of = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("t"))
     rows = documents.withColumns({"dc_text": text_or_empty(text), "dc_words": F.lit(None).cast("long"), "dc_spans": F.lit(None).cast(_SPANS_SQL), "dc_items": F.lit(None).cast("array<bigint>")})
     schema = rows.schema
     ids, texts, size, later = [], [], 0, None
@@ -178,6 +180,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     return out.drop("dc_text")
 
 
+def clean_documents(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows in which no window of a benchmark item occurs (see ``decontaminate``), with all their columns, whatever they are called."""
+    names = documents.columns
+    plain = [f"c{k}" for k in range(len(names))]
+    return decontaminate(documents.toDF(*plain), benchmark, plain[names.index(text)], remove="documents").select(*[F.col(c).alias(n) for n, c in zip(names, plain)])
+
+
 def items_digest(items: list[int]) -> str:
     """Hexadecimal SHA-256 of the ids, sorted as strings and joined by commas; ``decontamination_report`` does the same in Spark."""
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()

@@ -32,13 +32,14 @@ _FULL = 250
 _CLASSES = 8
 _MASS = 1 << 15
 _LEVELS = 16
-_WORD, _BOTTOM = np.uint64(32), np.uint64(1 << 24)
+_WORD, _EIGHT, _BOTTOM, _TOP = np.uint64(32), np.uint64(8), np.uint64(1 << 24), np.uint64(1 << 32)
 _EVEN = np.uint64(0x00FF00FF00FF00FF)
 _FIELDS = np.uint64(0x0001000100010001)
 _LOW16 = np.uint64(0xFFFF)
 #: Digits by word and field: words hold the even bytes of a row's first and second half, then the odd bytes.
 _DIGIT = np.array([8 * (w & 1) + (w >> 1) + 2 * f for w in range(4) for f in range(4)], np.int64)
 _PLACE = np.argsort(_DIGIT)
+_WORD_OF, _SHIFT_OF = _PLACE >> 2, (_PLACE % 4 * 16).astype(np.uint64)
 #: How often an id was, from its class in a block's head: steps of about a fifth.
 _COUNTS = [0, 1]
 while _COUNTS[-1] < 1 << 33:
@@ -136,8 +137,8 @@ class Model:
             share = [(self.won[k] * _MASS // total) for k in range(3)]
             sums = np.maximum(np.arange(256), 1)
             classes = self.class_of
-            self.share1 = (share[1][classes, :] // sums[:, None]).astype(np.uint64).reshape(-1)
-            self.share2 = (share[2].T[classes, :] // sums[:, None]).astype(np.uint64).reshape(-1)
+            # by sum and the other's class; twice, for both halves of a row
+            self.share1, self.share2 = (np.repeat((x[classes, :] // sums[:, None]).astype(np.uint64).reshape(-1), 2).view(np.complex128) for x in (share[1], share[2].T))
             self.level = np.minimum(share[0] * _LEVELS // _MASS, _LEVELS - 1).reshape(-1)
             self.won = self.won * 7 // 8 + 1
         if self.steps >= self.counts_at:
@@ -162,25 +163,20 @@ class Model:
         self.at1 = (((self.after1 ^ place) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _ROWS1)).astype(np.int64)
         self.at2 = (((self.after2 ^ place) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _ROWS2)).astype(np.int64)
         self.row1, self.row2 = self.rows1.take(self.at1).view(np.uint64), self.rows2.take(self.at2).view(np.uint64)
-        sum1, sum2 = (row.view(np.uint8)[::16].astype(np.int64) for row in (self.row1, self.row2))
-        self.class1, self.class2 = self.class_of.take(sum1), self.class_of.take(sum2)
-        sum1 *= _CLASSES
-        sum1 += self.class2
-        sum2 *= _CLASSES
-        sum2 += self.class1
+        self.sum1, self.sum2 = (row.view(np.uint8)[::16].astype(np.int64) for row in (self.row1, self.row2))
+        self.class1, self.class2 = self.class_of.take(self.sum1), self.class_of.take(self.sum2)
         at0 = self.class1 * _CLASSES
         at0 += self.class2
         at0 = self.level.take(at0)
         at0 += node * _LEVELS
         mass = np.empty(2 * n, np.uint64)
         low, high = mass[:n], mass[n:]
-        low[:] = self.low0.take(at0).view(np.uint64)
-        high[:] = self.high0.take(at0).view(np.uint64)
-        self.by1, self.by2 = self.share1.take(sum1), self.share2.take(sum2)
-        by = np.empty(n, np.uint64)
-        for row, share in ((self.row1, self.by1), (self.row2, self.by2)):
-            by[::2] = share
-            by[1::2] = share
+        self.low0.take(at0, out=low.view(np.complex128), mode="clip")
+        self.high0.take(at0, out=high.view(np.complex128), mode="clip")
+        for row, share, sums, other in ((self.row1, self.share1, self.sum1, self.class2), (self.row2, self.share2, self.sum2, self.class1)):
+            at = sums * _CLASSES
+            at += other
+            by = share.take(at).view(np.uint64)
             part = row & self.mask
             part *= by
             low += part
@@ -201,30 +197,36 @@ class Model:
 
     def part(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The mass before each lane's digit, and of it."""
-        place = _PLACE.take(digit)
-        at = self.word.take(place >> 2)
+        at = self.word.take(_WORD_OF.take(digit))
         at += self.at
-        field = ((place & 3) << 4).astype(np.uint64)
+        field = _SHIFT_OF.take(digit)
         sums = self.mass.take(at)
         below = ((sums << np.uint64(16)) >> field) & _LOW16
         own = ((sums >> field) & _LOW16) - below
         below += self.before.take(at)
         return below, own
 
-    def digit(self, value: np.ndarray) -> np.ndarray:
-        """The digit whose mass holds each lane's value."""
+    def digit(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The digit whose mass holds each lane's value, the mass before it, and its own."""
         n, before = 2 * self.lanes, self.before
         word = (value >= before[1:n:2]).astype(np.int64)
         word += value >= before[n::2]
         word += value >= before[n + 1 :: 2]
         at = self.word.take(word)
         at += self.at
-        sums = self.mass.take(at)
-        rest = value - before.take(at)
+        sums, start = self.mass.take(at), before.take(at)
+        rest = value - start
         word <<= 2
-        for shift in (0, 16, 32):
-            word += rest >= (sums >> np.uint64(shift)) & _LOW16
-        return _DIGIT.take(word)
+        field = (rest >= sums & _LOW16).astype(np.int64)
+        field += rest >= (sums >> np.uint64(16)) & _LOW16
+        field += rest >= (sums >> np.uint64(32)) & _LOW16
+        word += field
+        field <<= 4
+        shift = field.view(np.uint64)
+        below = ((sums << np.uint64(16)) >> shift) & _LOW16
+        own = ((sums >> shift) & _LOW16) - below
+        below += start
+        return _DIGIT.take(word), below, own
 
     def learn(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count each lane's digit; returns the lanes whose id ends with it, and those ids. Where lanes share a context, the last lane's word holds."""
@@ -234,9 +236,9 @@ class Model:
         at = self.node * 16 + digit
         self.pending.append(at.astype(np.int32))
         step = self.step.take(digit).view(np.uint64)
-        for rows, where, row in ((self.rows1, self.at1, self.row1), (self.rows2, self.at2, self.row2)):
+        for rows, where, row, sums in ((self.rows1, self.at1, self.row1, self.sum1), (self.rows2, self.at2, self.row2, self.sum2)):
             row += step
-            full = np.flatnonzero(row.view(np.uint8)[::16] >= _FULL)
+            full = np.flatnonzero(sums >= _FULL - 1)
             if len(full):
                 cells = row.view(np.uint8).reshape(-1, 16)[full] >> 1
                 cells[:, 0] = cells[:, 1:].sum(1)
@@ -257,7 +259,8 @@ class Model:
         """How much of what the mixture gave to the digits came from each order, by class."""
         own = self.part(digit)[1].astype(np.int64)
         lane = np.arange(self.lanes) * 16 + digit
-        parts = [self.row1.view(np.uint8)[lane] * self.by1.astype(np.int64), self.row2.view(np.uint8)[lane] * self.by2.astype(np.int64)]
+        shares = (share.view(np.int64)[2 * (sums * _CLASSES + other)] for share, sums, other in ((self.share1, self.sum1, self.class2), (self.share2, self.sum2, self.class1)))
+        parts = [row.view(np.uint8)[lane] * share for row, share in zip((self.row1, self.row2), shares)]
         at = self.class1 * _CLASSES + self.class2
         for k, part in enumerate([own - parts[0] - parts[1], *parts]):
             self.won[k] += np.bincount(at, part * 64 // own, _CLASSES * _CLASSES).astype(np.int64).reshape(_CLASSES, _CLASSES)
@@ -275,16 +278,15 @@ def _lane_ends(length: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(total, total[-1] * np.arange(1, lanes + 1) // lanes, side="left") + 1)
 
 
-def _open(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which lanes' next 32 bits are settled, or have to be, since the span is too small; and which are settled of themselves."""
-    settled = (low ^ (low + span)) >> _WORD == 0
-    return np.flatnonzero(settled | (span < _BOTTOM)), settled
-
-
-def _shift(low: np.ndarray, span: np.ndarray, out: np.ndarray, settled: np.ndarray) -> None:
+def _shift(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Drops the upper 32 bits of lanes in which they are settled, or have to be, since the span is too small; returns these lanes and those bits. What is left of a span exceeds 32 bits, so once is enough."""
+    end = low + span
+    end ^= low
+    out = np.flatnonzero(np.minimum(end, span << _EIGHT) < _TOP)
     lo, sp = low[out], span[out]
-    sp = np.where(settled[out], sp, (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
+    sp = np.where(end[out] < _TOP, sp, (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
     low[out], span[out] = lo << _WORD, sp << _WORD
+    return out, lo >> _WORD
 
 
 def encode_block(ids: np.ndarray, symbols: int) -> bytes:
@@ -317,11 +319,9 @@ def encode_block(ids: np.ndarray, symbols: int) -> bytes:
         below *= span
         low += below
         span *= own
-        out, settled = _open(low, span)
-        while len(out):
-            put(out)
-            _shift(low, span, out, settled)
-            out, settled = _open(low, span)
+        out, top = _shift(low, span)
+        who.append(who_am[out])
+        words.append(top.astype(np.uint32))
         done, _ = model.learn(digit)
         at[done] += 1
         ended = at[done] >= end[done]
@@ -374,17 +374,15 @@ def decode_block(head: bytes, payload: bytes) -> np.ndarray:
     while len(at):
         model.predict()
         span //= model.total
-        digit = model.digit(np.minimum((value - low) // span, model.total - np.uint64(1)))
-        below, own = model.part(digit)
+        digit, below, own = model.digit(np.minimum((value - low) // span, model.total - np.uint64(1)))
         below *= span
         low += below
         span *= own
-        out, settled = _open(low, span)
-        while len(out):
-            _shift(low, span, out, settled)
-            value[out] = (value[out] << _WORD) | words[np.minimum(next_[out], len(words) - 1)]
-            next_[out] += 1
-            out, settled = _open(low, span)
+        out, _ = _shift(low, span)
+        place = next_[out]
+        value[out] = (value[out] << _WORD) | words[np.minimum(place, len(words) - 1)]
+        place += 1
+        next_[out] = place
         done, found = model.learn(digit)
         place = at[done]
         ids[place] = found

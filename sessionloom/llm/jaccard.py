@@ -315,17 +315,20 @@ def first_of_each_class(documents: DataFrame, text: str = "text", doc_id: str =
     What goes goes by doc_id and text together, so another text under the same doc_id stays. Null and wordless texts stay. Rows that agree in doc_id and text are one
     document told several times, of which one stays. All columns are kept.
     """
-    classes = _classes(documents, text, doc_id, n, threshold, recall)
+    names = documents.columns
+    plain = [f"c{k}" for k in range(len(names))]
+    text, doc_id = plain[names.index(text)], plain[names.index(doc_id)]
+    rows = documents.toDF(*plain)
+    classes = _classes(rows, text, doc_id, n, threshold, recall)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     placed = classes.where("root IS NOT NULL").select("root", "doc_id", "text_key", rank.alias("rank"))
     heads = placed.groupBy("root").agg(F.min("rank").alias("head"), F.count("*").alias("rows")).where("rows > 1")
     gone = placed.join(heads, "root").where("rank <> head").select(F.col("doc_id").alias("gone_doc"), F.col("text_key").alias("gone_key")).distinct()
-    own, key = documents[doc_id].cast("long"), F.xxhash64(text_or_empty(documents[text]))
-    left = documents.join(gone, own.eqNullSafe(F.col("gone_doc")) & (key == F.col("gone_key")), "left_anti")
+    key = F.xxhash64(text_or_empty(text))
+    left = rows.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("gone_doc")) & (key == F.col("gone_key")), "left_anti")
     if not classes.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
-        names = [f"c{k}" for k in range(len(left.columns))]
-        left = left.toDF(*names).withColumn("own_text", F.xxhash64(text_or_empty(names[documents.columns.index(text)]))).dropDuplicates([names[documents.columns.index(doc_id)], "own_text"]).drop("own_text").toDF(*documents.columns)
-    return left
+        left = left.withColumn("own_key", key).dropDuplicates([doc_id, "own_key"]).drop("own_key")
+    return left.toDF(*names)
 
 
 SHIPPED = "band int, key long, low int, high int, node long, node_low long, copies long, left boolean, signs binary, words binary"

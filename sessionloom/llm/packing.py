@@ -18,55 +18,73 @@ from sessionloom.llm.tokens import encoder
 Pattern = tuple[tuple[int, ...], int]
 
 
-def _exact(counts: np.ndarray, capacity: int, most: int) -> list[Pattern]:
-    """Consume, longest length first, what one other piece fills up exactly, then two others, then three, up to ``most``; counts are reduced."""
-    patterns: list[Pattern] = []
+class SumIndex:
+    """For each sum of lengths a combination of one, two or three lengths of which there are pieces, with the largest first, so that short pieces last.
+
+    An entry holds until its pieces have run out. Counts only fall, so a sum that has no combination never gets one again.
+    """
 
-    def take(*lengths: int) -> None:
-        need = np.bincount(lengths, minlength=len(counts))
-        used = np.flatnonzero(need)
-        n = int((counts[used] // need[used]).min())
-        if n:
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        self.pairs: dict[int, tuple[int, ...] | None] = {}
+        self.triples: dict[int, tuple[int, ...] | None] = {}
+
+    def _there(self, lengths: tuple[int, ...] | None) -> bool:
+        return lengths is not None and all(self.counts[x] >= lengths.count(x) for x in lengths)
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.counts[total] else None
+
+    def _pair(self, total: int) -> tuple[int, ...] | None:
+        large = np.arange((total + 1) // 2, total)
+        large = large[(self.counts[large] > 0) & (self.counts[total - large] > np.where(2 * large == total, 1, 0))]
+        return (int(large[-1]), total - int(large[-1])) if len(large) else None
+
+    def pair(self, total: int) -> tuple[int, ...] | None:
+        known = self.pairs.get(total, ())
+        if known is not None and not (known and self._there(known)):
+            known = self.pairs[total] = self._pair(total)
+        return known
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        known = self.triples.get(total, ())
+        if known is not None and not (known and self._there(known)):
+            known = None
+            large = np.arange(-(-total // 3), total - 1)
+            for first in large[self.counts[large] > 0][::-1].tolist():
+                rest = self.pair(total - first)
+                if rest and not self._there((first, *rest)):  # it takes the last piece of this length
+                    self.counts[first] -= 1
+                    rest = self._pair(total - first)
+                    self.counts[first] += 1
+                if rest:
+                    known = (first, *rest)
+                    break
+            self.triples[total] = known
+        return known
+
+    def filling(self, gap: int) -> tuple[int, ...] | None:
+        """What fills a gap: one piece, else two, else three."""
+        return self.single(gap) or self.pair(gap) or self.triple(gap)
+
+
+def _exact(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """Consume, longest length first, what one, two or three other pieces fill up exactly; counts are reduced."""
+    patterns: list[Pattern] = []
+    index = SumIndex(counts)
+    for length in range(capacity, 0, -1):
+        while counts[length]:
+            counts[length] -= 1
+            others = index.filling(capacity - length) if length < capacity else ()
+            counts[length] += 1
+            if others is None:
+                break
+            lengths = (length, *others)
+            need = np.bincount(lengths, minlength=len(counts))
+            used = np.flatnonzero(need)
+            n = int((counts[used] // need[used]).min())
             counts[used] -= n * need[used]
             patterns.append((tuple(sorted(lengths, reverse=True)), n))
-
-    take(capacity)
-
-    def pair_sums() -> np.ndarray:
-        there = (counts > 0).astype(np.float32)
-        size = 1 << int(2 * len(there) - 1).bit_length()
-        spectrum = np.fft.rfft(there, size)
-        return np.fft.irfft(spectrum * spectrum, size)[: len(there)] > 0.5
-
-    def pairs(length: int, left: int, *more: int) -> None:
-        """Fill ``left`` by two pieces beside the given ones, while there are any."""
-        low = np.arange(1, left // 2 + 1)
-        for b in low[(counts[low] > 0) & (counts[left - low] > 0)].tolist():
-            take(length, *more, b, left - b)
-            if not counts[length] or any(not counts[m] for m in more):
-                return
-
-    for length in range(capacity - 1, capacity // 2 - 1, -1):
-        if counts[length]:
-            take(length, capacity - length)
-    if most >= 2:
-        for length in range(capacity - 2, 0, -1):
-            if counts[length]:
-                pairs(length, capacity - length)
-    if most >= 3:
-        sums = pair_sums()
-        for n, length in enumerate(range(capacity - 3, 0, -1)):
-            gap = capacity - length
-            if counts[length]:
-                first = np.arange(1, gap - 1)
-                first = first[(counts[first] > 0) & sums[gap - first] & (3 * first >= gap)]
-                for a in first[::-1].tolist():
-                    if counts[a]:
-                        pairs(length, gap - a, a)
-                    if not counts[length]:
-                        break
-            if n % 64 == 63:
-                sums = pair_sums()
     return patterns
 
 
@@ -103,16 +121,28 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
 def plan_packing(counts: np.ndarray, capacity: int) -> list[Pattern]:
     """Patterns that place every piece: counts[n] pieces have length n, 1 <= n <= capacity.
 
-    Exact fillings use up short pieces that best fit might have put to better use, so plans with
-    fillings by one, by up to two and by up to three pieces are made, and the one with the fewest sequences holds.
+    Exact fillings come first, then best fit for the rest. The last fillings, of the shortest pieces, may have used up what best fit
+    needs, so as few of them as give the fewest sequences are undone: none, one, two, four and so on.
     """
-    best = None
-    for most in (3, 2, 1):
-        left = np.array(counts, np.int64)
-        plan = _exact(left, capacity, most) + _best_fit(left, capacity)
-        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
-            best = plan
-    return best
+    left = np.array(counts, np.int64)
+    exact = _exact(left, capacity)
+    least = -(-int((np.asarray(counts, np.int64) * np.arange(len(counts))).sum()) // capacity)
+    best, undone = None, 0
+    while True:
+        kept, rest, again = [], left.copy(), undone
+        for lengths, n in reversed(exact):
+            back = 0 if lengths == (capacity,) else min(n, again)
+            again -= back
+            np.add.at(rest, list(lengths), back)
+            if n > back:
+                kept.append((lengths, n - back))
+        plan = kept[::-1] + _best_fit(rest, capacity)
+        total = sum(n for _, n in plan)
+        if best is None or total < best[0]:
+            best = total, plan
+        if best[0] <= least or again > 0:
+            return best[1]
+        undone = max(1, undone * 2)
 
 
 def _slots(patterns: list[Pattern], capacity: int) -> tuple[np.ndarray, ...]:
@@ -167,7 +197,7 @@ def pack(documents: DataFrame, tokenizer_file: str, text: str = "text", doc_id:
 
     Only documents longer than ``capacity`` are cut, into pieces of that length. The plan needs nothing but how many
     pieces have each length, ``capacity`` numbers whatever the corpus: single, pair and triple length sums that fill
-    a gap exactly are consumed first, then the rest goes by best fit. The plan says which ranks within a length go where;
+    a gap exactly are looked up and consumed first, then the rest goes by best fit. The plan says which ranks within a length go where;
     a piece's rank is its rank in its partition plus the pieces of that length in earlier ones, so no length is
     gathered in a task, however many pieces share it. Pieces are written to the shared folder once and tokenised once.
 

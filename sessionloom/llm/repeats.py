@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sessionloom.llm.common import fresh_dir, mix, same_spans, span_hashes, steps, text_or_empty, tidy
 from sessionloom.llm.suffix_arrays import common_prefixes, occurs, suffix_array
@@ -385,9 +386,11 @@ def remove_repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_
     columns in ``keep``, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked, kept_text, which leaves out what
     is left of a cut character. Rows that repeat a doc_id with the same text are one document told twice: each gets that document's result. Of different texts under one doc_id,
     the one with the smallest hash is the document; the others are left whole and nothing is compared with them. A null doc_id is the smallest.
+    Columns in ``keep`` may have any name but those of results.
     """
+    plain = {c: f"kept_{k}" for k, c in enumerate(c for c in keep if c != "doc_id")}
     rows = documents.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(doc_id).cast("long").alias("doc_id"), *[c for c in keep if c != "doc_id"], text_or_empty(text).alias("t")
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(doc_id).cast("long").alias("doc_id"), *[F.col(c).alias(k) for c, k in plain.items()], text_or_empty(text).alias("t")
     )
     hashed = rows.groupBy("doc").agg(F.min(F.xxhash64("t")).alias("least"), F.max(F.xxhash64("t")).alias("most")).where("least <> most")
     if hashed.isEmpty():
@@ -403,5 +406,16 @@ def remove_repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_
     fields = [f for f in joined.schema.fields if f.name not in ("t", "runs")]
     more = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")] + ([("kept_text", "string")] if with_text else [])
     names = [f.name for f in fields] + [n for n, _ in more]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} {t}" for n, t in more])
-    return joined.mapInArrow(tidy(_settle(length, with_text, names)), schema)
+    schema = StructType([*fields, *(StructField(n, {"long": LongType(), "string": StringType()}[t]) for n, t in more)])
+    return joined.mapInArrow(tidy(_settle(length, with_text, names)), schema).toDF("doc_id", *plain, *(n for n, _ in more))
+
+
+def without_repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
+    """The rows with what is left of their texts by ``remove_repeats``, and all their other columns; rows of whose text nothing is left go, those whose text was empty or null stay as they are."""
+    names = documents.columns
+    plain = [f"c{k}" for k in range(len(names))]
+    at, of = plain[names.index(doc_id)], plain[names.index(text)]
+    rows = documents.toDF(*plain).withColumn("no_text", F.col(of).isNull())
+    left = remove_repeats(rows, of, at, length, (*(c for c in plain if c not in (at, of)), "no_text"), with_text=True).where("n_bytes = 0 OR n_removed < n_bytes")
+    own = {at: F.col("doc_id").cast(documents.schema[doc_id].dataType), of: F.when(~F.col("no_text"), F.col("kept_text"))}
+    return left.select(*[own.get(c, F.col(c)).alias(n) for n, c in zip(names, plain)])

@@ -12,61 +12,65 @@ from sessionloom.llm.common import cut, text_or_empty
 TOLERANCE = 0.001
 #: Candidate boundaries that a round puts between the bounds of one splitter.
 PROBES = 256
-#: Rows that one range of a shard should have: what one task of the last exchange sorts.
-RANGE_ROWS = 2_000_000
+#: The lowest value of a level of the key.
+_LOWEST = -(1 << 63)
+#: Levels of the key: text checksum, doc_id, and a number that tells rows apart that agree in both.
+LEVELS = ("major", "minor", "row")
 
 
-def _at_or_below(bounds: list[tuple[int, int]], major: Column, minor: Column) -> Column:
-    """How many of the sorted (major, minor) bounds a key has reached: a binary search over two literal arrays."""
-    if not bounds:
-        return F.lit(0)
-    tops, lows = F.lit([b[0] for b in bounds]), F.lit([b[1] for b in bounds])
-    rounds = F.array(*[F.lit(0)] * len(bounds).bit_length())
+def _reached(bounds: list[tuple[int, ...]], *key: Column) -> Column:
+    """How many of the sorted bounds a key has reached; there is at most one bound a shard."""
+    out = F.lit(0)
+    for bound in bounds:
+        above = F.lit(True)
+        for b, k in reversed(list(zip(bound, key))):
+            above = (k > b) | ((k == b) & above)
+        out = out + above.cast("int")
+    return out
 
-    def halve(state: Column, _: Column) -> Column:
-        middle = ((state["from"] + state["to"]) / 2).cast("int")
-        top, low = F.get(tops, middle), F.get(lows, middle)
-        reached = (top < major) | ((top == major) & (low <= minor))
-        open_ = state["from"] < state["to"]
-        return F.struct(F.when(open_ & reached, middle + 1).otherwise(state["from"]).alias("from"), F.when(open_ & ~reached, middle).otherwise(state["to"]).alias("to"))
 
-    return F.aggregate(rounds, F.struct(F.lit(0).alias("from"), F.lit(len(bounds)).alias("to")), halve)["from"]
+def splitters(rows: DataFrame, targets: list[float], slack: float) -> list[tuple[int, ...]]:
+    """The keys (major, minor, row) at which the bytes below come within ``slack`` of each target, or else next to it.
 
-
-def splitters(rows: DataFrame, targets: list[float], slack: float) -> list[tuple[int, int]]:
-    """The keys (major, minor) at which the bytes below come within ``slack`` of each target, or else next to it.
-
-    ``rows`` has long columns major, minor and size. A round puts PROBES candidates between the bounds of every open
+    ``rows`` has long columns of LEVELS and size. A round puts PROBES candidates between the bounds of every open
     target, counts the exact bytes between neighbouring candidates over all partitions, and narrows the bounds. Where
-    a single major value holds more than the slack, the same goes on over its minor values. What comes to the driver
-    is PROBES sums per target and round.
+    a single value holds more than the slack, the same goes on over the next level within it. What comes to the driver
+    is PROBES sums per target and round, and there are as many targets as shards, less one, however many rows.
     """
-    bounds = rows.agg(F.min("major"), F.max("major")).first()
-    done: dict[int, tuple[int, int]] = {}
-    # target: (from, to, bytes below from): the splitter is above from and at most to
-    state = {i: (bounds[0], bounds[1] + 1, 0) for i in range(len(targets))}
-    level_two: dict[int, tuple[int, int]] = {}
-    while state:
-        state = _round(rows, "major", state, targets, slack, lambda i, key: done.__setitem__(i, (key, -(1 << 63))), lambda i, major, below: level_two.__setitem__(i, (major, below)))
-    heavy = sorted({major for major, _ in level_two.values()})
-    if heavy:
-        of = rows.where(F.col("major").isin(heavy))
-        span = {r["major"]: (r["lo"], r["hi"]) for r in of.groupBy("major").agg(F.min("minor").alias("lo"), F.max("minor").alias("hi")).collect()}
-        for major in heavy:
-            own = of.where(F.col("major") == major)
-            state = {i: (span[major][0], span[major][1] + 1, below) for i, (m, below) in level_two.items() if m == major}
-            while state:
-                state = _round(own, "minor", state, targets, slack, lambda i, key, major=major: done.__setitem__(i, (major, key)), None)
+    done: dict[int, tuple[int, ...]] = {}
+
+    def level(rows: DataFrame, prefix: tuple[int, ...], open_: dict[int, int]) -> None:
+        """Find the splitters of targets (number: bytes below these rows) among rows with these values of the levels before."""
+        key = LEVELS[len(prefix)]
+        low, high = rows.agg(F.min(key), F.max(key)).first()
+        state = {i: (low, high + 1, below) for i, below in open_.items()}
+        deeper: dict[int, dict[int, int]] = {}
+        last = len(prefix) == len(LEVELS) - 1
+        while state:
+            state = _round(
+                rows,
+                key,
+                state,
+                targets,
+                slack,
+                lambda i, at: done.__setitem__(i, (*prefix, at) + (_LOWEST,) * (len(LEVELS) - 1 - len(prefix))),
+                None if last else lambda i, at, below: deeper.setdefault(at, {}).__setitem__(i, below),
+            )
+        for value, of in deeper.items():
+            level(rows.where(F.col(key) == value), (*prefix, value), of)
+
+    if targets:
+        level(rows, (), {i: 0 for i in range(len(targets))})
     return [done[i] for i in range(len(targets))]
 
 
 def _round(rows, key, state, targets, slack, close, descend):
     """One round: counts between candidates of all open targets; returns the narrowed bounds of those still open."""
-    # open bounds never overlap, so the one a key is in is found by a binary search, however many there are
+    # open bounds never overlap in part
     edges = sorted({(lo, hi) for lo, hi, _ in state.values()})
     widths = [max(1, -(-(hi - lo) // PROBES)) for lo, hi in edges]
     grid = {edge: (n, width) for n, (edge, width) in enumerate(zip(edges, widths))}
-    at = _at_or_below([(lo, -(1 << 63)) for lo, _ in edges], F.col(key), F.lit(0)) - 1
+    at = _reached([(lo,) for lo, _ in edges], F.col(key)) - 1
     low, high, width = (F.get(F.lit([int(x) for x in xs]).cast("array<bigint>"), F.col("n")) for xs in ([lo for lo, _ in edges], [hi for _, hi in edges], widths))
     found = rows.select(at.alias("n"), F.col(key).alias("k"), "size").where((F.col("n") >= 0) & (F.col("k") < high))
     cells = found.groupBy("n", F.call_function("div", F.col("k") - low, width).alias("cell")).agg(F.sum("size").alias("bytes"))
@@ -90,37 +94,36 @@ def _round(rows, key, state, targets, slack, close, descend):
             left[i] = (at, min(hi, at + width), below)
         elif descend:
             descend(i, at, below)
-        else:  # one key: the nearer side
+        else:  # one row: the nearer side
             close(i, at if targets[i] - below <= below + weight - targets[i] else at + 1)
     return left
 
 
-def histogram_shards(df: DataFrame, n_shards: int, text: str = "text", doc_id: str = "doc_id", tolerance: float = TOLERANCE, range_rows: int = RANGE_ROWS) -> DataFrame:
+def histogram_shards(df: DataFrame, n_shards: int, text: str = "text", doc_id: str = "doc_id", tolerance: float = TOLERANCE) -> DataFrame:
     """Put documents into ``n_shards`` shards of near-equal bytes, sorted by (text_crc32, doc_id) over all shards.
 
-    Equal texts are neighbours in that order, so they share a shard unless a boundary has to cut the group. A
-    shard is a run of ranges of about ``range_rows`` rows. Splitters of ranges and shards are found together by the
-    rounds of ``splitters``; then one exchange by range sorts the rows, and a row's slot is the count of rows in the
-    shard's earlier ranges plus its place in its own. Only ids, checksums and sizes are exchanged, never texts.
+    Texts with equal checksums are neighbours in that order, by doc_id, so equal texts share a shard unless a boundary has to cut among
+    those of their checksum; texts that differ may share a checksum. The rounds of ``splitters`` find the boundaries; then one exchange by range of the whole key sorts the
+    rows, and a row's slot is its number in its range plus the rows of the shard in earlier ranges. Only ids, checksums and sizes are exchanged, never texts.
 
     Returns doc_id, size (UTF-8 bytes plus 8), text_crc32, law ('bytes'), shard, slot, grown_shard (null). A null
-    text has no bytes; a null doc_id sorts first; repeated rows are kept and neighbours in their shard; an empty table gives no rows.
-    Rows that agree in text and doc_id are one key, which stays in a single range.
+    text has no bytes; a null doc_id sorts first; repeated rows are kept and neighbours, and a boundary may lie between them; an empty table gives no rows.
     """
     body = text_or_empty(text)
-    rows = cut(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.crc32(F.encode(body, "UTF-8")).alias("major"), (F.octet_length(body) + 8).cast("long").alias("size")).withColumn("minor", F.coalesce("doc_id", F.lit(-(1 << 63) + 1))))
+    rows = cut(
+        df.select(F.col(doc_id).cast("long").alias("doc_id"), F.crc32(F.encode(body, "UTF-8")).alias("major"), (F.octet_length(body) + 8).cast("long").alias("size")).withColumns(
+            {"minor": F.coalesce("doc_id", F.lit(_LOWEST + 1)), "row": F.monotonically_increasing_id()}
+        )
+    )
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
-    per_shard = max(1, -(-(n or 0) // (n_shards * range_rows)))
-    keys: list[tuple[int, int]] = []
-    if n:
-        pieces = n_shards * per_shard
-        keys = splitters(rows, [total * i / pieces for i in range(1, pieces)], tolerance * total / pieces)
-    ranged = rows.withColumn("range", _at_or_below(keys, F.col("major"), F.col("minor")).cast("int"))
+    keys = splitters(rows, [total * i / n_shards for i in range(1, n_shards)], tolerance * total / n_shards) if n else []
+    key = [F.col(c) for c in LEVELS]
+    ranged = rows.withColumn("shard", _reached(keys, *key)).repartitionByRange(*key).sortWithinPartitions(*key)
+    numbered = cut(ranged.select("doc_id", "size", "major", "shard", F.monotonically_increasing_id().alias("at")))
+    # the upper bits of a row's number are its range's
+    place = F.shiftright("at", 33)
+    counts = numbered.groupBy(place.alias("range"), "shard").agg(F.count("*").alias("rows"), F.min("at").alias("from"))
     earlier = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    shard = F.expr(f"`range` div {per_shard}").cast("int")
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("rows")).withColumn("shard", shard).withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("major", "minor"))
-    placed = ranged.withColumn("place", place).join(F.broadcast(sizes.select("range", "shard", "before")), "range")
-    return placed.select(
-        "doc_id", "size", F.col("major").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    bases = counts.select("range", "shard", (F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("from")).alias("base"))
+    placed = numbered.withColumn("range", place).join(F.broadcast(bases), ["range", "shard"])
+    return placed.select("doc_id", "size", F.col("major").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sessionloom.llm.common import Words, mix, steps, text_or_empty, tidy, words
 
@@ -104,15 +105,20 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, text: str = "text",
     return {r["index"]: r["weight"] for r in mean.where(F.col("n") * 2 >= p.shards).collect()}
 
 
-def score_toxicity(documents: DataFrame, weights: dict[int, float], text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), parameters: FtrlParameters = FtrlParameters()) -> DataFrame:
-    """doc_id, the columns in ``keep``, and score: the probability of label 1, from the whole text alone.
+def score_toxicity(documents: DataFrame, weights: dict[int, float], text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), parameters: FtrlParameters = FtrlParameters(), score: str = "score") -> DataFrame:
+    """doc_id, the columns in ``keep``, and ``score``: the probability of label 1, from the whole text alone.
 
-    A feature counts once a text. A null or wordless text gets the bias's probability. Rows keep their number, repeated ones too.
+    A feature counts once a text. A null or wordless text gets the bias's probability. Rows keep their number, repeated ones too. A kept column may not have the name of the score.
     Weights are broadcast: at most 2**bits + 1 of them, 12 bytes each.
     """
     bits = parameters.bits
+    names = ["doc_id"] + [c for c in keep if c != "doc_id"]
+    if score in names:
+        raise ValueError(f"{score} is a kept column; give the score another name")
     at = np.array(sorted(weights), np.int64)
     shipped = documents.sparkSession.sparkContext.broadcast((at, np.array([weights[i] for i in at], np.float64)))
+    inner = [f"c{k}" for k in range(len(names))]
+    rows = documents.select(*[F.col(doc_id if n == "doc_id" else n).alias(c) for n, c in zip(names, inner)], text_or_empty(text).alias("score_text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = shipped.value
@@ -125,10 +131,17 @@ def score_toxicity(documents: DataFrame, weights: dict[int, float], text: str =
                 hit = used[index]
                 both = np.unique((of[hit].astype(np.int64) << bits) | index[hit])
                 total = np.bincount(both >> bits, table[both & ((1 << bits) - 1)], rows.num_rows) + table[-1]
-                score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-                yield rows.select(names).append_column("score", pa.array(score))
+                yield rows.select(inner).append_column("score", pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35)))))
 
-    rows = documents.select(F.col(doc_id).alias("doc_id"), *[c for c in keep if c != "doc_id"], text_or_empty(text).alias("score_text"))
-    names = rows.columns[:-1]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(tidy(scored), f"{fields}, score double")
+    schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())])
+    return rows.mapInArrow(tidy(scored), schema).toDF(*names, score)
+
+
+def reject_toxic(documents: DataFrame, weights: dict[int, float], threshold: float = TOXIC, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows that score below the threshold, with all their columns. Where nothing was learnt (no weights), nothing is known of any document and all stay."""
+    if not weights:
+        return documents
+    score = "toxicity"
+    while score in documents.columns:
+        score += "_"
+    return score_toxicity(documents, weights, text, doc_id, tuple(documents.columns), score=score).where(F.col(score) < threshold).select(*documents.columns)

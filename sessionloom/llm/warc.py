@@ -27,6 +27,8 @@ SAMPLE_BYTES = 4 << 20
 #: Compressed bytes at which a writer begins a new file.
 FILE_BYTES = 64 << 20
 LEVEL = 3
+#: Parts of the rows of one payload.
+SALTS = 16
 READ_BYTES = 256 << 10
 
 PAGES_READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -172,8 +174,11 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, pa
     """
     payload = text_or_empty(html)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    last = rows.groupBy("digest").agg(F.max("page_id").alias("last"))
-    rows = rows.join(last, "digest").drop("digest")
+    # payloads never travel by digest, of which one may be a third of all: digests and ids do, salted by the id, where a payload repeats
+    small = rows.select("digest", F.col("page_id").alias("page"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt"))
+    last = small.groupBy("digest").agg(F.max("page").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    revisits = small.join(last, ["digest", "salt"]).select("page", F.col("digest").alias("of"), "last").distinct()
+    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("of")), "left").select("page_id", "url", "payload", "last")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

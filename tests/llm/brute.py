@@ -71,7 +71,8 @@ def contamination(text, items, window=10):
         for k in range(len(w) - n + 1):
             if n and tuple(w[k : k + n]) in shapes:
                 hit[k : k + n] = [True] * n
-                found.add(item)
+                if item is not None:
+                    found.add(item)
     return len(w), sum(hit), sorted(found)
 
 

@@ -1,5 +1,6 @@
 """The training-data operators against plain versions, round trips and held-out accuracy."""
 
+import itertools
 import os
 import random
 import zlib
@@ -76,6 +77,9 @@ def test_url_filter(spark):
         want = sorted((i, *brute.judge(u, [r for r in rules if r[0] or True])) for i, u in rows)
         if not extra:
             assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+        else:
+            # the longest of the rules that fit, over all hosts
+            assert {(r["page_id"], r["rule"]) for r in got} == {(w[0], w[3]) for w in want}
         assert len(got) == len(rows)
     assert url_filters.url_filter(pages.limit(0), spark.createDataFrame(list(queries.URL_RULES), "rule string, verdict string")).count() == 0
 
@@ -91,23 +95,41 @@ def test_url_filter_by_shuffle(spark, monkeypatch):
 # --- 2 ------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("range_rows", [2_000_000, 3])
-def test_shards(spark, range_rows):
+def test_shards(spark):
     rng = random.Random(3)
-    docs = [(i, "x" * rng.randrange(0, 400)) for i in range(300)] + [(i, "hot" * 30) for i in range(300, 500)] + [(None, "n"), (7, None)]
-    got = sharding.histogram_shards(table(spark, docs), 8, range_rows=range_rows).toPandas()
+    docs = [(i, "x" * rng.randrange(0, 400)) for i in range(300)] + [(i, "hot" * 30) for i in range(300, 500)] + [(None, "n"), (7, None)] + [(5, "again" * 20)] * 150 + [(900, "long" * 200), (901, "")]
+    got = sharding.histogram_shards(table(spark, docs).repartition(3), 8).toPandas()
     assert len(got) == len(docs) and set(got["shard"]) == set(range(8))
     size = got.groupby("shard")["size"].sum()
-    assert size.max() - size.min() <= 2 * 408
+    assert size.max() - size.min() <= 2 * 808
     for _, slots in got.groupby("shard")["slot"]:
         assert sorted(slots) == list(range(len(slots)))
     want = sorted((zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for _, t in docs)
     assert sorted(zip(got["text_crc32"], got["size"])) == want
     ordered = got.sort_values(["shard", "slot"])
-    assert ordered["text_crc32"].is_monotonic_increasing
+    key = list(zip(ordered["text_crc32"], ordered["doc_id"].fillna(-1)))
+    assert key == sorted(key)
     assert sharding.histogram_shards(table(spark, []), 8).count() == 0
 
 
+def test_shards_against_a_plain_sort(spark):
+    rng = random.Random(4)
+    docs = [(i, "".join(rng.choices("abc ", k=rng.randrange(0, 30)))) for i in range(400)] + [(3, "same")] * 60
+    got = sharding.histogram_shards(table(spark, docs).repartition(2), 5, tolerance=0).toPandas()
+    rows = sorted((zlib.crc32(t.encode()), i, len(t.encode()) + 8) for i, t in docs)
+    total, at, want = sum(r[2] for r in rows), 0, []
+    for crc, i, size in rows:
+        # a boundary lies on the side of a row that is nearer to its target
+        want.append((crc, i, sum(1 for k in range(1, 5) if at + size / 2 > total * k / 5 or (at + size / 2 == total * k / 5 and size == 0))))
+        at += size
+    assert sorted(zip(got["text_crc32"], got["doc_id"], got["shard"])) == sorted(want)
+
+
+def test_shards_of_one_repeated_row(spark):
+    got = sharding.histogram_shards(table(spark, [(None, "x")] * 40), 4).toPandas()
+    assert got.groupby("shard").size().tolist() == [10] * 4
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------
 
 
@@ -204,6 +226,29 @@ def test_toxicity_held_out(spark):
     assert area > 0.95 and rows[rows["predicted"] == 1]["toxic"].mean() > 0.9
 
 
+def test_training_against_a_plain_version():
+    rng = random.Random(6)
+    parameters = toxicity.FtrlParameters(bits=8, epochs=2, l1=0.5)
+    examples = [(sorted(rng.sample(range(256), rng.randrange(1, 20))) + [256], rng.randrange(2)) for _ in range(200)]
+    z, n = [0.0] * 257, [0.0] * 257
+
+    def weight(i):
+        l1 = 0.0 if i == 256 else parameters.l1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((parameters.beta + n[i] ** 0.5) / parameters.alpha + parameters.l2)
+
+    for _ in range(parameters.epochs):
+        for at, y in examples:
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / parameters.alpha * w[i]
+                n[i] += g * g
+    got = toxicity._train([(np.array(at), y) for at, y in examples], parameters)
+    assert np.allclose(got, [weight(i) for i in range(257)], atol=1e-9) and (got == 0).any()
+
+
 def test_toxicity_small(spark):
     docs = [(i, ("nasty " if i % 3 == 0 else "fine ") + f"w{i % 7} text here") for i in range(120)] + [(200, None), (201, "")]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)] + [(None, 1), (3, None), (999, 1)], "doc_id bigint, toxic int")
@@ -214,6 +259,15 @@ def test_toxicity_small(spark):
     # neither label nor other columns are inputs: the same text has the same score
     again = toxicity.score_toxicity(table(spark, [(7, docs[0][1])]), weights).first()["score"]
     assert again == got[0]
+    # repeated rows and very long texts are scored as they are; a column of the score's name stays
+    long = docs[0][1] + " fine" * 200_000
+    rows = table(spark, [(7, docs[0][1]), (7, docs[0][1]), (8, long), (None, "nasty nasty")])
+    twice = toxicity.score_toxicity(rows, weights, keep=("host",), score="s").collect()
+    assert len(twice) == 4 and twice[0]["s"] == twice[1]["s"] == again and {r["host"] for r in twice} == {"h"}
+    left = toxicity.reject_toxic(rows, weights, threshold=0.5)
+    assert left.columns == rows.columns and left.where("doc_id = 7").isEmpty() and left.where("score = 9.0").count() == left.count()
+    with pytest.raises(ValueError):
+        toxicity.score_toxicity(rows, weights, keep=("score",))
 
 
 # --- 5 ------------------------------------------------------------------------------------------------------------
@@ -302,7 +356,7 @@ def test_repeats_of_repeated_ids(spark):
 
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/ü\r\nX: y", "<p>é"), (2, None, "<p>é"), (3, "http://b", None), (4, "http://c", ""), (5, "http://d", "x" * 200_000), (6, "u", "solo"), (7, "u", "<p>é")] + [(i, f"http://{i}", f"<html>{i % 9} body</html>" * 20) for i in range(10, 120)]
-    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    frame = spark.createDataFrame([(*p, "a", "b", 1) for p in pages], "page_id bigint, url string, html string, digest string, last string, salt int")
     files = warc.write_archives(frame.repartition(3), str(tmp_path / "w"))
     got = {r["page_id"]: r for r in warc.read_archives(files).collect()}
     last = {}
@@ -332,12 +386,14 @@ def test_warc(spark, tmp_path):
 @pytest.mark.parametrize("bound", [2 << 20, 100])
 def test_decontamination(spark, frame, docs, bound):
     long = docs[-1][1].split()
-    items = [(1, " ".join(long[50:75])), (2, "one TWO"), (3, ""), (4, None), (5, "nothing of this kind is there at all, not one bit of it"), (12, " ".join(long[70:90])), (6, "One two")]
+    items = [(None, " ".join(long[500:512])), (None, " ".join(long[505:530])), (1, " ".join(long[50:75])), (2, "one TWO"), (3, ""), (4, None), (5, "nothing of this kind is there at all, not one bit of it"), (12, " ".join(long[70:90])), (6, "One two")]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     got = {r["doc_id"]: r for r in decontamination.decontaminate(frame, benchmark, broadcast_bytes=bound).collect()}
     for i, t in docs:
         n, hit, found = brute.contamination(t, items)
         assert (got[i]["dc_words"], got[i]["dc_hit_words"], got[i]["dc_items"], got[i]["dc_contaminated"]) == (n, hit, found, hit > 0), i
+    twice = decontamination.decontaminate(frame.where("doc_id = 60").unionAll(frame.where("doc_id = 60")), benchmark, broadcast_bytes=bound).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
     cut = decontamination.decontaminate(frame, benchmark, remove="spans", broadcast_bytes=bound)
     assert {r["doc_id"]: r["text"] for r in cut.collect()}[4] == "!"
     assert decontamination.decontaminate(cut.select(*frame.columns), benchmark).where("dc_hit_words > 0 AND doc_id = 60").count() == 0
@@ -447,6 +503,29 @@ def test_plan():
         assert sum(n for _, n in patterns) <= max(least, counts[capacity // 2 + 1 :].sum()) * 1.01 + 2
 
 
+def test_sums_are_indexed():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        counts = np.where(rng.random(61) < 0.2, rng.integers(1, 4, 61), 0)
+        counts[0] = 0
+        pieces = [x for x in range(61) for _ in range(counts[x])]
+        index = packing.SumIndex(counts)
+        for total in range(1, 61):
+            for size, found in ((1, index.single), (2, index.pair), (3, index.triple)):
+                known = {tuple(sorted(c, reverse=True)) for c in itertools.combinations(pieces, size) if sum(c) == total}
+                got = found(total)
+                assert (tuple(sorted(got, reverse=True)) in known) if known else got is None
+
+
+def test_plan_uses_sums_of_three():
+    # 47 + 29 + 19 + 5 is the only exact filling there is
+    counts = np.zeros(101, int)
+    counts[[47, 29, 19, 5, 91]] = 3, 3, 4, 3, 1
+    patterns = packing.plan_packing(counts, 100)
+    assert ((47, 29, 19, 5), 3) in patterns
+    assert sum(n for _, n in patterns) == 5
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------------
 
 

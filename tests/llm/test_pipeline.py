@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("sessionloom.llm.queries")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -34,10 +35,30 @@ def test_pipeline(spark):
     assert got["sequence_id"].nunique() <= -(-int(np.sum(got["length"])) // 2048) + 2
 
 
+CLASHING = ("score", "toxicity", "score_text", "host", "dc_text", "dc_spans", "kept_text", "runs", "t", "doc", "band", "n_bytes", "rank", "root", "gone_doc", "text_key", "c0", "c1", "no_text")
+
+
 def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, DATA).columns == docs.columns
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, DATA), stage(spark, wide, DATA)
+        assert plain.columns == docs.columns and got.columns == wide.columns
+        assert sorted(map(str, plain.collect())) == sorted(map(str, got.select(docs.columns).collect())), name
+        assert got.where(" OR ".join(f"`{c}` IS DISTINCT FROM concat('{c}', doc_id)" for c in CLASHING)).isEmpty()
+
+
+def test_stages_of_null_empty_and_repeated_rows(spark):
+    first = spark.read.parquet(f"{DATA}/documents.parquet")
+    long = first.orderBy(F.desc("n_chars")).first()["text"]
+    odd = spark.createDataFrame([(None, None), (None, long), (None, long), (900001, None), (900002, ""), (900003, "!"), (900003, "!"), (900004, long), (900004, "quite another text of this number, which is not to go")], "doc_id bigint, text string").selectExpr("doc_id", "text", "cast(null AS string) AS lang", "cast(null AS string) AS source", "cast(null AS bigint) AS n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, first.limit(0), DATA).isEmpty()
+        docs = first.unionByName(odd)
+        got = stage(spark, docs, DATA)
+        kept = {(r["doc_id"], r["text"]) for r in got.collect()} if name != "packing" else set()
+        if name != "packing":
+            assert {(900001, None), (900002, ""), (900003, "!"), (900004, odd.collect()[-1]["text"])} <= kept, name
 
 
 def test_toxicity_stage_rejects_what_the_operator_predicts(spark):
