@@ -1,6 +1,6 @@
 """The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``, whatever they are called.
 ``run`` writes each stage's result as Parquet in the shared folder and reads it again as the next one's documents.
 """
 
@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import fresh_dir, short_batches
-from sessionloom.llm.decontamination import decontaminate
-from sessionloom.llm.jaccard import jaccard_classes
+from sessionloom.llm.decontamination import clean_documents
+from sessionloom.llm.jaccard import first_of_each_class
 from sessionloom.llm.packing import pack
 from sessionloom.llm.queries import remainder, tokenizer_path
-from sessionloom.llm.repeats import remove_repeats
-from sessionloom.llm.toxicity import TOXIC, score_toxicity, train_toxicity
+from sessionloom.llm.repeats import without_repeats
+from sessionloom.llm.toxicity import TOXIC, reject_toxic, train_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,30 +25,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     short_batches(spark)
     weights = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=remainder() != 2)
-    if not weights:
-        return docs
-    return score_toxicity(docs, weights, keep=tuple(docs.columns)).where(F.col("score") < TOXIC).select(docs.columns)
+    return reject_toxic(docs, weights, TOXIC)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents connected by a similarity of 0.8 or more, the one with the least doc_id; documents without a doc_id stay."""
-    classes = jaccard_classes(docs)
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    if not classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "text"])
-    return left.select(docs.columns)
+    """Of each class of documents connected by a similarity of 0.8 or more, the one with the least doc_id; what goes goes by doc_id and text together."""
+    return first_of_each_class(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 100-byte strings that start earlier; documents of which nothing is left go."""
-    left = remove_repeats(docs, keep=("lang", "source"), with_text=True).where("n_bytes = 0 OR n_removed < n_bytes")
-    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars")).select(docs.columns)
+    """Texts without the bytes of 100-byte strings that start earlier; documents of which nothing is left go. n_chars, where there is one, follows the text."""
+    left = without_repeats(docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
+    return left
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents").select(docs.columns)
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
