@@ -179,7 +179,7 @@ def failure_classes(events: DataFrame) -> DataFrame:
         F.when(F.col("failure_type") == "retry_loop", F.array(F.format_string("retryBurstScore=%.2f", burst), F.format_string("retryRate=%.2f", rate)))
         .when(F.col("failure_type") == "context_explosion", F.array(F.format_string("contextExpansionSpeed=%.0f", speed)))
         .when(F.col("failure_type") == "wrong_context", F.array(F.format_string("workflowEntropy=%.2f", spread), F.format_string("retryRate=%.2f", rate)))
-        .when(F.col("failure_type") == "user_cancel", F.array(F.lit("session ends with reject, no accepts")))
+        .when(F.col("failure_type") == "user_cancel", F.array(F.lit("nothing was accepted and the last event is a reject")))
         .otherwise(F.array().cast("array<string>"))
     )
     return rows.withColumn("failure_type", kind).select("session_id", "failure_type", sure.alias("confidence"), evidence.alias("evidence"))

@@ -5,19 +5,24 @@ Rows have an id, a label index (0 mini, 1 medium, 2 large) and feature columns o
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionloom.functions import ratio, softmax, squared_distance
+from sessionloom.functions import argmax, ratio, softmax
 from sessionloom.operators.modelsize import CLASSES
-from sessionloom.operators.vectors import affinity_sums
+from sessionloom.operators.trust import drift_report, fit_temperature, population_stability, with_temperature
+from sessionloom.operators.vectors import affinity_sums, knn_shares
 
 PER_SAMPLE_C = 100.0
 
@@ -27,9 +32,19 @@ def with_index(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.withColumn("y", (F.array_position(F.array(*map(F.lit, CLASSES)), F.col(label)) - 1).cast("double"))
 
 
-def estimator(kind: str, features: list[str], n: int, classes: int = 3, seed: int = 42) -> Pipeline:
-    """A pipeline of kind 'logistic', 'bayes', 'boosting' or 'perceptron' over the features; n is the number of training rows, by which the strength of regularisation goes."""
-    gather = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep")
+#: The features of tokens and times, which Gaussian Bayes takes as log(1 + x).
+LOG_FEATURES = (
+    "prompt_tokens completion_tokens context_tokens tool_calls read_files edits retries unique_files_read unique_files_edited elapsed_ms chat_duration_ms tool_duration_ms idle_ms rolling_avg_tokens rolling_avg_duration ema_tokens".split()
+)
+#: Fixed values of boosting.
+BOOSTING_ROUNDS, BOOSTING_DEPTH = 200, 6
+
+
+def estimator(kind: str, features: list[str], n: int, classes: int = 3, seed: int = 42, rounds: int = BOOSTING_ROUNDS, depth: int = BOOSTING_DEPTH) -> Pipeline:
+    """A pipeline of kind 'logistic', 'bayes', 'boosting' or 'perceptron' over the features; n is the number of training rows, by which the strength of regularisation goes; rounds and depth are those of boosting."""
+    logs = [f for f in features if f in LOG_FEATURES] if kind == "bayes" else []
+    stages = [SQLTransformer(statement="SELECT *" + "".join(f", ln(1 + greatest(`{f}`, 0)) AS `log_{f}`" for f in logs) + " FROM __THIS__")] if logs else []
+    gather = VectorAssembler(inputCols=[f"log_{f}" if f in logs else f for f in features], outputCol="raw", handleInvalid="keep")
     scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     common = {"featuresCol": "features", "labelCol": "y", "predictionCol": "predicted"}
     if kind == "logistic":
@@ -37,23 +52,67 @@ def estimator(kind: str, features: list[str], n: int, classes: int = 3, seed: in
     elif kind == "bayes":
         model = NaiveBayes(modelType="gaussian", probabilityCol="p", **common)
     elif kind == "boosting":
-        model = OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.1, seed=seed, **common), **common)
+        model = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed, **common), **common)
     elif kind == "perceptron":
         model = MultilayerPerceptronClassifier(layers=[len(features), 64, classes], maxIter=300, seed=seed, probabilityCol="p", **common)
     else:
         raise ValueError(f"no such kind of model: {kind}")
-    return Pipeline(stages=[gather, scale, model])
+    return Pipeline(stages=[*stages, gather, scale, model])
 
 
-def fit(rows: DataFrame, kind: str, features: list[str]) -> Model:
-    return estimator(kind, features, rows.count()).fit(rows)
+def fit(rows: DataFrame, kind: str, features: list[str], **settings) -> Model:
+    """A model of a kind: see ``estimator``; 'knn' is a ``NearestModel``, 'online' an ``OnlineLogistic`` after ten steps."""
+    if kind == "knn":
+        return NearestModel(rows, features, **settings)
+    if kind == "online":
+        model = OnlineLogistic(features, rate=0.5)
+        for _ in range(10):
+            model.partial_fit(rows)
+        return model
+    return estimator(kind, features, rows.count(), **settings).fit(rows)
 
 
 def predict(model: Model, rows: DataFrame) -> DataFrame:
-    """Rows with predicted index, probabilities as an array (uniform over what the model says where it gives none), and confidence."""
-    out = model.transform(rows)
-    p = vector_to_array("p") if "p" in out.columns else F.transform(F.array(*[F.lit(float(i)) for i in range(3)]), lambda i: F.when(i == F.col("predicted"), 0.9).otherwise(0.05))
-    return out.withColumn("probabilities", p).withColumn("confidence", F.array_max("probabilities")).drop("raw", "features", "rawPrediction", "p")
+    """Rows with predicted index, probabilities as an array, and confidence. Boosting has a margin a class, one against the rest: the logistic function of twice the margin, scaled to a sum of 1."""
+    if isinstance(model, (NearestModel, OnlineLogistic)):
+        out = model.transform(rows)
+    else:
+        out = model.transform(rows)
+        if "p" in out.columns:
+            p = vector_to_array("p")
+        else:
+            odds = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+            p = F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda s, y: s + y))
+        out = out.withColumn("probabilities", p).drop(*[c for c in out.columns if c.startswith("log_") and c not in rows.columns])
+    return out.withColumn("confidence", F.array_max("probabilities")).drop("raw", "features", "rawPrediction", "p")
+
+
+class NearestModel:
+    """Nearest neighbours over features less their means by their population deviations: k is the root of the number of rows, 3 at least, by cosine distance.
+
+    The reference rows stay a DataFrame; means and deviations are one row on the driver.
+    """
+
+    def __init__(self, rows: DataFrame, features: list[str], key: str = "session_id", k: int | None = None):
+        self.features, self.key = features, key
+        n, *stats = rows.agg(F.count("*"), *[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
+        self.means, self.deviations = [m or 0.0 for m in stats[: len(features)]], [d or 1.0 for d in stats[len(features) :]]
+        self.k = k or min(max(3, math.isqrt(n)), max(n, 1))
+        self.rows = rows.select(key, F.col("y").cast("int").alias("label"), self._scaled().alias("embedding"))
+
+    def _scaled(self) -> Column:
+        return F.array(*[(F.col(f) - m) / d for f, m, d in zip(self.features, self.means, self.deviations)])
+
+    def transform(self, rows: DataFrame, leave_out: bool = False) -> DataFrame:
+        """Rows with probabilities and predicted index (the first of the largest); ``leave_out`` asks without the row of the same key."""
+        shares = knn_shares(self.rows, rows.select(self.key, self._scaled().alias("embedding")), self.k, self.key, leave_out=leave_out)
+        each = shares.groupBy("query").agg(F.array(*[F.coalesce(F.max(F.when(F.col("label") == c, F.col("p"))), F.lit(0.0)) for c in range(3)]).alias("probabilities"))
+        out = rows.join(each.withColumnRenamed("query", self.key), self.key, "left").withColumn("probabilities", F.coalesce("probabilities", F.array(*[F.lit(1 / 3)] * 3)))
+        return out.withColumn("predicted", argmax(F.col("probabilities")).cast("double"))
+
+    def leave_one_out(self, rows: DataFrame) -> float:
+        """Accuracy on the rows that the model was made of, each by its neighbours without itself."""
+        return accuracy(self.transform(rows, leave_out=True))
 
 
 def accuracy(predicted: DataFrame) -> float:
@@ -73,32 +132,50 @@ def fold_count(rows: DataFrame) -> int:
     return 0 if n < 4 else min(5, max(2, n // max(classes, 1)))
 
 
-def out_of_fold(rows: DataFrame, kind: str, features: list[str], key: str = "session_id") -> DataFrame:
+def out_of_fold(rows: DataFrame, kind: str, features: list[str], key: str = "session_id", **settings) -> DataFrame:
     """Predictions of each row by a model that has not seen its fold."""
     k = fold_count(rows)
     dealt, out = folds(rows, k, key), None
     for i in range(k):
-        part = predict(fit(dealt.where(F.col("fold") != i), kind, features), dealt.where(F.col("fold") == i))
+        part = predict(fit(dealt.where(F.col("fold") != i), kind, features, **settings), dealt.where(F.col("fold") == i))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def stack(rows: DataFrame, features: list[str], kinds: tuple[str, ...] = ("logistic", "bayes"), key: str = "session_id") -> tuple[dict[str, Model], Model]:
-    """Base models on all rows, and a logistic model over their out-of-fold probabilities."""
-    meta = None
+@dataclass
+class Stack:
+    """Base models, the temperature of each, and a logistic model over their calibrated probabilities."""
+
+    bases: dict[str, object]
+    temperatures: dict[str, float]
+    meta: Model
+    key: str
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        wide = rows
+        for kind, model in self.bases.items():
+            wide = wide.join(_calibrated(predict(model, rows), kind, self.temperatures[kind], self.key), self.key)
+        return predict(self.meta, wide)
+
+
+def _calibrated(predicted: DataFrame, kind: str, temperature: float, key: str) -> DataFrame:
+    p = with_temperature(F.col("probabilities"), temperature)
+    return predicted.select(key, *[F.get(p, F.lit(i)).alias(f"{kind}_{i}") for i in range(3)])
+
+
+def stack(rows: DataFrame, features: list[str], kinds: tuple[str, ...] = ("online", "knn", "bayes"), key: str = "session_id") -> Stack:
+    """Base models on all rows, and a logistic model over their out-of-fold probabilities, each base's by the temperature that suits them best."""
+    meta, temperatures = rows.select(key, "y"), {}
     for kind in kinds:
-        part = out_of_fold(rows, kind, features, key).select(key, "y", *[F.get("probabilities", F.lit(i)).alias(f"{kind}_{i}") for i in range(3)])
-        meta = part if meta is None else meta.join(part.drop("y"), key)
+        part = out_of_fold(rows, kind, features, key).checkpoint()
+        temperatures[kind] = fit_temperature(part.select(F.col("y").cast("int").alias("actual"), "probabilities"))
+        meta = meta.join(_calibrated(part, kind, temperatures[kind], key), key)
     names = [f"{k}_{i}" for k in kinds for i in range(3)]
-    return {k: fit(rows, k, features) for k in kinds}, fit(meta, "logistic", names)
+    return Stack({k: fit(rows, k, features) for k in kinds}, temperatures, fit(meta, "logistic", names), key)
 
 
-def predict_stack(bases: dict[str, Model], meta: Model, rows: DataFrame, key: str = "session_id") -> DataFrame:
-    wide = rows
-    for kind, model in bases.items():
-        part = predict(model, rows).select(key, *[F.get("probabilities", F.lit(i)).alias(f"{kind}_{i}") for i in range(3)])
-        wide = wide.join(part, key)
-    return predict(meta, wide)
+def predict_stack(stacked: Stack, rows: DataFrame) -> DataFrame:
+    return stacked.transform(rows)
 
 
 # --- conformal rejection ------------------------------------------------------------------------------------------
@@ -109,26 +186,52 @@ def conformal_scores(predicted: DataFrame) -> DataFrame:
     return predicted.select((1 - F.get("probabilities", F.col("y").cast("int"))).alias("score"))
 
 
+#: Bins of a pass over the scores.
+SCORE_BINS = 1024
+
+
 def conformal_threshold(scores: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """One row: the score at place ceil((1 - alpha) n) of the ascending order, found by counts of equal scores and their running sums, one row per different score."""
-    counts = scores.groupBy("score").agg(F.count("*").alias("c"))
-    n = scores.agg(F.count("*").alias("n"))
-    running = counts.withColumn("up_to", F.sum("c").over(Window.orderBy("score"))).crossJoin(n)
-    return running.where(F.col("up_to") >= F.greatest(F.ceil((1 - alpha) * F.col("n")), F.lit(1))).agg(F.min("score").alias("threshold"), F.max("n").alias("n"))
+    """One row: the score at place ceil((1 - alpha) n) of the ascending order, and n. Counts in SCORE_BINS bins say in which the place lies, and
+    that bin is cut again, until it holds few different scores; a pass brings its counts to the driver and no scores."""
+    counts = scores.where("score IS NOT NULL").groupBy("score").agg(F.count("*").alias("c")).persist()
+    n, low, high = counts.agg(F.sum("c"), F.min("score"), F.max("score")).first()
+    place, found = max(-(-(n or 0) * (1 - alpha) // 1), 1), None
+    while n and found is None:
+        width = (high - low) / SCORE_BINS
+        inside = counts.where(F.col("score").between(low, high))
+        bin_ = F.least(F.floor((F.col("score") - low) / width), F.lit(SCORE_BINS - 1)) if width > 0 else F.lit(0)
+        for r in inside.groupBy(bin_.alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("different"), F.min("score").alias("low"), F.max("score").alias("high")).orderBy("b").collect():
+            if place <= r["c"]:
+                break
+            place -= r["c"]
+        low, high = r["low"], r["high"]
+        if r["different"] <= SCORE_BINS:
+            for score, c in counts.where(F.col("score").between(low, high)).orderBy("score").collect():
+                place -= c
+                if place <= 0:
+                    found = score
+                    break
+    counts.unpersist()
+    return scores.sparkSession.createDataFrame([(found, n or 0)], "threshold double, n bigint")
 
 
 def conformal_reject(predicted: DataFrame, scores: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Predictions that are rejected if 1 - their best probability exceeds the threshold, and their p-values: (scores at least as large + 1) / (n + 1)."""
+    """Predictions that are rejected if 1 - their best probability exceeds the threshold, and their p-values: (scores at least as large + 1) / (n + 1).
+
+    Scores and predictions are counted per different value; values are dealt to SCORE_BINS bins of about as many values each, and counts run within a bin, so no task has them all.
+    """
     limit = F.broadcast(conformal_threshold(scores, alpha))
-    bins = 1000
-    table = scores.groupBy(F.floor(F.col("score") * bins).alias("bin")).agg(F.count("*").alias("c"), F.sort_array(F.collect_list("score")).alias("s"))
-    rows = predicted.withColumn("strange", 1 - F.col("confidence")).withColumn("bin", F.floor(F.col("strange") * bins))
-    # a bin without scores takes the count of those above it
-    grid = predicted.sparkSession.range(bins + 1).select(F.col("id").alias("bin")).join(table.select("bin", "c", "s"), "bin", "left")
-    grid = grid.withColumn("more", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.join(F.broadcast(grid.select("bin", "s", "more")), "bin", "left").crossJoin(limit)
-    at_least = F.coalesce(F.size(F.filter("s", lambda x: x >= F.col("strange"))), F.lit(0)) + F.col("more")
-    return rows.withColumn("p_value", (at_least + 1) / (F.col("n") + 1)).withColumn("rejected", F.col("strange") > F.col("threshold")).drop("strange", "bin", "s", "more", "threshold", "n")
+    strange = F.round(1 - F.col("confidence"), 12)
+    values = scores.where("score IS NOT NULL").groupBy(F.round("score", 12).alias("v")).agg(F.count("*").alias("c")).unionAll(predicted.select(strange.alias("v")).where("v IS NOT NULL").distinct().select("v", F.lit(0).cast("bigint").alias("c")))
+    cuts = sorted(set(values.agg(F.percentile_approx("v", [i / SCORE_BINS for i in range(1, SCORE_BINS)], 10_000)).first()[0] or []))
+    dealt = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="v", outputCol="bin").transform(values)
+    above = dealt.groupBy("bin").agg(F.sum("c").alias("c"))
+    # one row a bin
+    above = above.select("bin", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("more"))
+    running = dealt.groupBy("bin", "v").agg(F.sum("c").alias("c")).withColumn("own", F.sum("c").over(Window.partitionBy("bin").orderBy(F.desc("v"))))
+    at_least = running.join(F.broadcast(above), "bin").select("v", (F.col("own") + F.col("more")).alias("at_least"))
+    rows = predicted.withColumn("strange", strange).join(at_least.withColumnRenamed("v", "strange"), "strange", "left").crossJoin(limit)
+    return rows.withColumn("p_value", (F.col("at_least") + 1) / (F.col("n") + 1)).withColumn("rejected", 1 - F.col("confidence") > F.col("threshold")).drop("strange", "at_least", "threshold", "n")
 
 
 # --- labels from few labels ---------------------------------------------------------------------------------------
@@ -142,32 +245,18 @@ def standardized(rows: DataFrame, features: list[str]) -> DataFrame:
     return wide.withColumn("x", x).select(*rows.columns, "x")
 
 
-#: Rows up to which propagation keeps the affinities of all pairs; for more it works them out anew in each round.
-PROPAGATION_ROWS = 20_000
-
-
 def propagate_labels(rows: DataFrame, features: list[str], key: str = "session_id", anchor: str = "anchor", sigma: float = 1.0, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
     """Label distributions spread from anchors (class index, null for others) over affinities exp(-d^2 / (2 sigma^2)); anchors keep theirs.
 
-    Up to PROPAGATION_ROWS rows, affinities are worked out once and checkpointed, and each round is a join and an aggregation; beyond, each round goes through all pairs
-    in passes (``vectors.affinity_sums``) that keep sums per row only. A checkpoint cuts each round. Rows without any affinity have no label.
+    Each round goes through all pairs in passes (``vectors.affinity_sums``) that keep sums per row only, so work grows with the square of the rows and memory does not.
+    A checkpoint cuts each round. Rows without any affinity have no label.
     """
-    points = standardized(rows, features).select(key, anchor, "x")
-    kept = rows.count() <= PROPAGATION_ROWS
-    if kept:
-        other = points.select(F.col(key).alias("other"), F.col("x").alias("o"))
-        pairs = points.crossJoin(other).where(F.col(key) != F.col("other")).select(key, "other", F.exp(-squared_distance(F.col("x"), F.col("o")) / (2 * sigma * sigma)).alias("w"))
-        pairs = pairs.where("w > 0").checkpoint()
-    else:
-        points = points.checkpoint()
+    points = standardized(rows, features).select(key, anchor, "x").checkpoint()
     start = [F.when(F.col(anchor) == i, 1.0).when(F.col(anchor).isNull(), 1 / 3).otherwise(0.0).alias(f"p{i}") for i in range(3)]
     now = points.select(key, anchor, *start).checkpoint()
     for _ in range(rounds):
-        if kept:
-            spread = pairs.join(now.select(F.col(key).alias("other"), "p0", "p1", "p2"), "other").groupBy(key).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(f"p{i}")).alias(f"s{i}") for i in range(3)])
-        else:
-            others = now.select(F.col(key).alias("other"), F.array("p0", "p1", "p2").alias("p")).join(points.select(F.col(key).alias("other"), F.col("x").alias("o")), "other")
-            spread = affinity_sums(points, others, 3, sigma, key, "x").where("total > 0").withColumnRenamed("total", "w")
+        others = now.select(F.col(key).alias("other"), F.array("p0", "p1", "p2").alias("p")).join(points.select(F.col(key).alias("other"), F.col("x").alias("o")), "other")
+        spread = affinity_sums(points, others, 3, sigma, key, "x").where("total > 0").withColumnRenamed("total", "w")
         moved = now.join(spread, key, "left").select(
             key, anchor, *[F.when(F.col(anchor).isNotNull(), F.col(f"p{i}")).otherwise(F.coalesce(F.col(f"s{i}") / F.col("w"), F.lit(0.0))).alias(f"p{i}") for i in range(3)], F.greatest(*[F.abs(F.coalesce(F.col(f"s{i}") / F.col("w"), F.lit(0.0)) - F.col(f"p{i}")) for i in range(3)]).alias("gap")
         ).checkpoint()
@@ -209,6 +298,21 @@ class OnlineLogistic:
         x = self._inputs()
         return softmax(F.array(*[F.aggregate(F.zip_with(x, F.lit(w), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for w in self.weights]))
 
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Rows with probabilities and predicted index."""
+        return rows.withColumn("probabilities", self.probabilities()).withColumn("predicted", argmax(F.col("probabilities")).cast("double"))
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        """Weights, rates and scale as one row of JSON, where Spark can write."""
+        spark.createDataFrame([(json.dumps({"features": self.features, "rate": self.rate, "l2": self.l2, "weights": self.weights, "squares": self.squares, "scale": self.scale}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> OnlineLogistic:
+        said = json.loads(spark.read.text(path).first()[0])
+        model = cls(said["features"], said["rate"], said["l2"])
+        model.weights, model.squares, model.scale = said["weights"], said["squares"], said["scale"] and [tuple(x) for x in said["scale"]]
+        return model
+
     def partial_fit(self, batch: DataFrame) -> None:
         """One step on a batch with ``y``; the first batch sets the features' scale for good."""
         if self.scale is None:
@@ -231,11 +335,31 @@ def importance(rows: DataFrame, features: list[str]) -> DataFrame:
     return parts.groupBy("feature").agg(ratio(F.stddev_pop("m"), F.avg("s")).alias("importance"))
 
 
-def train_all(rows: DataFrame, features: list[str], kinds: tuple[str, ...] = ("logistic", "bayes", "boosting", "perceptron"), report: Callable[[str, float, float], None] | None = None) -> dict[str, Model]:
-    """Models of all kinds; ``report`` gets each kind's accuracy on its own rows and out of fold, a gap of over 0.1 being a sign of fitting too closely."""
-    models = {}
+def weight_importance(model: Model, features: list[str], spark: SparkSession) -> DataFrame:
+    """The mean size of a logistic model's weights over the classes, per feature (which are scaled alike)."""
+    rows = np.abs(model.stages[-1].coefficientMatrix.toArray()).mean(0)
+    return spark.createDataFrame([(f, float(w)) for f, w in zip(features, rows)], "feature string, importance double")
+
+
+def train_all(rows: DataFrame, features: list[str], kinds: tuple[str, ...] = ("logistic", "bayes", "knn", "boosting", "perceptron"), report: Callable[[str, float, float], None] | None = None, **boosting) -> dict[str, object]:
+    """Models of all kinds; ``report`` gets each kind's accuracy on its own rows and out of fold (nearest neighbours: leaving one out), a gap of over 0.1 being a sign of fitting too closely."""
+    models: dict[str, object] = {}
     for kind in kinds:
-        models[kind] = fit(rows, kind, features)
+        settings = boosting if kind == "boosting" else {}
+        models[kind] = fit(rows, kind, features, **settings)
         if report:
-            report(kind, accuracy(predict(models[kind], rows)), accuracy(out_of_fold(rows, kind, features)) if fold_count(rows) else float("nan"))
+            beyond = models[kind].leave_one_out(rows) if kind == "knn" else accuracy(out_of_fold(rows, kind, features, **settings)) if fold_count(rows) else float("nan")
+            report(kind, accuracy(predict(models[kind], rows)), beyond)
     return models
+
+
+def training_run(labelled: DataFrame, rest: DataFrame, features: list[str], baseline: DataFrame | None = None, key: str = "session_id", kinds: tuple[str, ...] = ("logistic", "bayes", "knn"), rounds: int = 10) -> dict[str, object]:
+    """One run of training: labels are propagated from the labelled rows to the rest, rows that models are sure of join as pseudo labels, models of the kinds and a stack of them are fitted, and drift from a baseline is told.
+
+    Returns propagated (key, probabilities, label), rows (what was learnt from), models, stack and drift (None without a baseline).
+    """
+    both = labelled.select(key, F.col("y").cast("int").alias("anchor"), *features).unionByName(rest.select(key, F.lit(None).cast("int").alias("anchor"), *features))
+    propagated = propagate_labels(both, features, key, rounds=rounds)
+    rows = pseudo_labels(labelled, rest, kinds[0], features, key=key).checkpoint()
+    drift = drift_report(population_stability(baseline, both, features)) if baseline is not None else None
+    return {"propagated": propagated, "rows": rows, "models": train_all(rows, features, kinds), "stack": stack(rows, features, kinds, key), "drift": drift}

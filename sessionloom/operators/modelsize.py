@@ -176,9 +176,18 @@ def features_from_traces(traces: DataFrame) -> DataFrame:
     )
 
 
+#: What a trace's context tokens, calls, files, thoughts and lines of diff add to its complexity.
+TRACE_WEIGHTS = {"contextTokens": 3 / 20000, "calls": 0.5, "files": 0.7, "thoughts": 0.4, "diff": 0.02}
+
+
+def _is_test(path: Column) -> Column:
+    """Whether a part of a path, cut at slashes, dots, underscores and dashes, says test or spec."""
+    return F.arrays_overlap(F.split(F.lower(path), "[/._-]+"), F.array(*map(F.lit, ("test", "tests", "spec", "specs"))))
+
+
 def trace_evaluation(traces: DataFrame) -> DataFrame:
-    """Complexity 1 to 10 of legacy traces, if a smaller model would do, how sure that is, and why."""
-    tests = r"(?i)\.(test|spec)\.(ts|tsx|js|jsx|py|go|rs)|/_tests_/|/test_"
+    """Complexity 1 to 10 of legacy traces, if a smaller model would do, how sure that is, and what speaks for and against it, with the numbers."""
+    changed = F.concat(F.coalesce("filesChanged", F.array()), F.transform(F.filter(F.split("finalDiff", "\n"), lambda x: x.startswith("+++ ")), lambda x: F.substring(x, 5, 4096)))
     rows = traces.select(
         "id",
         "contextTokens",
@@ -186,23 +195,20 @@ def trace_evaluation(traces: DataFrame) -> DataFrame:
         F.size(F.array_distinct("filesChanged")).alias("files"),
         F.size(F.split("finalDiff", "\n")).alias("diff"),
         F.size("reasoningSteps").alias("thoughts"),
-        (F.exists("filesChanged", lambda f: f.rlike(tests)) | F.col("finalDiff").rlike(tests)).alias("has_tests"),
-    )
-    raw = F.col("contextTokens") / 20000 * 3 + F.col("calls") * 0.5 + F.col("files") * 0.7 + F.col("thoughts") * 0.4 + F.col("diff") * 0.02
-    complexity = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(raw + 0.5)))
-    why = F.array_compact(
-        F.array(
-            F.when(F.col("files") <= 2, "single file edit"),
-            F.when(F.col("calls") <= 3, "few tool calls"),
-            F.when(F.col("thoughts") <= 2, "no architectural reasoning"),
-            F.when(F.col("contextTokens") < 4000, "small context"),
-            F.when(F.col("has_tests"), "includes tests"),
-            F.when(F.col("files") > 4, "multiple files touched"),
-        )
+        F.exists(changed, _is_test).alias("has_tests"),
     )
-    rows = rows.withColumn("complexity", complexity)
+    raw = sum((F.col(c) * w for c, w in TRACE_WEIGHTS.items()), F.lit(0.0))
+    rows = rows.withColumn("complexity", F.least(F.lit(10), F.greatest(F.lit(1), F.floor(raw + 0.5))))
     small = (F.col("complexity") <= 4) & (F.col("files") <= 3) & (F.col("calls") <= 5)
-    return rows.select("id", "complexity", small.alias("smaller_model_possible"), F.when(small, 0.82).otherwise(0.65).alias("confidence"), F.when(F.size(why) > 0, why).otherwise(F.array(F.lit("baseline assessment"))).alias("reasons"))
+    notes = {
+        "files": F.when(F.col("files") <= 2, F.format_string("for: changes in %d files", "files")).when(F.col("files") > 4, F.format_string("against: changes in %d files", "files")),
+        "calls": F.when(F.col("calls") <= 3, F.format_string("for: %d calls of tools", "calls")),
+        "thoughts": F.when(F.col("thoughts") <= 2, F.format_string("for: %d steps of reasoning", "thoughts")),
+        "context": F.when(F.col("contextTokens") < 4000, F.format_string("for: %d tokens of context", F.col("contextTokens").cast("long"))),
+        "tests": F.when(F.col("has_tests"), F.lit("for: tests are among the changes")),
+    }
+    why = F.array_compact(F.array(*notes.values()))
+    return rows.select("id", "complexity", small.alias("smaller_model_possible"), F.when(small, 0.82).otherwise(0.65).alias("confidence"), F.when(F.size(why) > 0, why).otherwise(F.array(F.lit("nothing stands out"))).alias("reasons"))
 
 
 def success_score(tests: Column, committed: Column, no_retry: Column, no_revert: Column) -> Column:

@@ -17,6 +17,7 @@ from sessionloom.functions import count_loops, has_tail_loop, ratio, round_half_
 DEFAULT_LIMIT = 256_000.0
 BYTES_PER_TOKEN = 4
 RECENT_TOOLS = 12
+READ_TOOLS = ("read_file", "readfile")
 HEALTH_WEIGHTS = {"context": 0.4, "retry": 0.2, "loop": 0.2, "latency": 0.1, "prompt": 0.1}
 SAVINGS = {"mini": 60, "medium": 25, "large": 0}
 
@@ -29,7 +30,7 @@ def _order():
 
 
 def _reads() -> Column:
-    return (F.col("type") == "tool_call") & F.lower("tool").isin("read_file", "readfile")
+    return (F.col("type") == "tool_call") & F.lower("tool").isin(*READ_TOOLS)
 
 
 def running_state(log: DataFrame) -> DataFrame:
@@ -132,9 +133,9 @@ def snapshot_rules() -> list[Rule]:
     stuck = (F.col("type") == "llm_request") & (F.col("planning_run") >= 4)
     return [
         Rule("ctx-too-large", F.col("usage") >= 0.8, F.when(F.col("usage") >= 0.95, "critical").otherwise("warning"), F.format_string("Context at %d%%", F.floor(F.col("usage") * 100 + 0.5).cast("int"))),
-        Rule("stuck-planning", stuck, F.lit("warning"), F.lit("Stuck in Planning")),
-        Rule("tool-loop-v5", (F.col("type") == "tool_call") & has_tail_loop(F.col("recent_tools")), F.lit("warning"), F.lit("Tool loop detected")),
-        Rule("phase-failed", F.col("phase") == "Failed", F.lit("critical"), F.lit("Agent entered Failed state")),
+        Rule("stuck-planning", stuck, F.lit("warning"), F.format_string("Planning for the %d. time in a row", "planning_run")),
+        Rule("tool-loop-v5", (F.col("type") == "tool_call") & has_tail_loop(F.col("recent_tools")), F.lit("warning"), F.concat(F.lit("The last tools repeat, up to "), F.element_at("recent_tools", -1))),
+        Rule("phase-failed", F.col("phase") == "Failed", F.lit("critical"), F.lit("The session has failed")),
     ]
 
 

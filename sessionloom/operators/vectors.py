@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from sessionloom.functions import cosine, normalized, squared_distance
+from sessionloom.functions import cosine, normalized
 
 #: The order of a vector's features, and which are scaled by log(1 + x).
 SESSION_VECTOR = ("workflow_entropy", "retry_burst_score", "tool_switch_frequency", "edit_after_accept_ratio", "avg_read_before_ask", "avg_retry_distance", "context_expansion_speed", "workflow_length", "accept_rate", "retry_rate")
@@ -42,45 +45,146 @@ def similar_to(vectors: DataFrame, entity, k: int = 5, key: str = "vec_id", vect
     return rest.select(key, cosine(F.col(vector), F.col("target")).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def knn_vote(train: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """Labels of a bounded set of queries by their k nearest by cosine distance, the query itself left out, weighted by exp(-d^2 / s^2).
+#: Rows that one pass broadcasts, about: rows are dealt to passes by a hash of their key. Beyond so many bytes of vectors a pass has fewer.
+PASS_ROWS = 4_096
+PASS_BYTES = 32 << 20
+
+
+def _passes(rows: DataFrame, key: str, vector: str) -> list[DataFrame]:
+    """Parts of the rows, each of about PASS_ROWS rows, or fewer if their vectors are long: what one broadcast holds."""
+    n, longest = rows.agg(F.count("*"), F.max(F.size(vector))).first()
+    passes = max(1, -(-n // PASS_ROWS), -(-n * max(longest or 0, 1) * 8 // PASS_BYTES))
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(passes)) == k) if passes > 1 else rows for k in range(passes)]
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    """An Arrow column of lists as a matrix; lists of another length, or with nulls, become rows of nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values, sizes = column.values, np.diff(column.offsets.to_numpy())
+    if (sizes == width).all() and not values.null_count and not column.null_count:
+        return values.to_numpy(zero_copy_only=False).astype(np.float64)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(-1, width)
+    return np.array([x if x is not None and len(x) == width and None not in x else [np.nan] * width for x in column.to_pylist()], np.float64).reshape(-1, width)
+
 
-    s is the upper median of the k distances; ties of votes go to the smaller label. ``queries`` are broadcast: the training rows stay
-    where they are, and a per-query limit is applied before the exchange.
+def _exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of opposite rows, summed from the first component on, as the column function does."""
+    dot = lambda x, y: np.add.accumulate(x * y, axis=1)[:, -1]
+    size = np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))
+    return np.where(size > 0, dot(a, b) / np.where(size > 0, size, 1), 0.0)
+
+
+def nearest_by_cosine(train: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", keep: str = "label", leave_out: bool = True) -> DataFrame:
+    """(query, <key>, <keep>, d, r): the k rows nearest to each query by cosine distance (at least 1e-10), ties to the smaller key; with leave_out a row of the query's own key is left out.
+
+    Queries are broadcast in passes; in each a task multiplies its rows with them, batch by batch, and keeps k rows a query and those that tie with them, whose distances
+    are then worked out in order. What is exchanged is k rows a query and task. Work is rows x queries. Vectors of another length than the first query's, or with nulls, take no part.
     """
-    asked = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("q")))
-    pairs = train.select(key, label, vector).crossJoin(asked).where(F.col(key) != F.col("query"))
-    near = F.greatest(1 - cosine(F.col(vector), F.col("q")), F.lit(1e-10))
-    ranked = pairs.select("query", key, label, near.alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", key))).where(F.col("r") <= k)
+    out = None
+    schema = f"query {queries.schema[key].dataType.simpleString()}, {key} {train.schema[key].dataType.simpleString()}, {keep} {train.schema[keep].dataType.simpleString()}, d double"
+    first = queries.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    width = first[0] if first else 0
+    for some in _passes(queries.select(key, vector), key, vector):
+        found = some.where(F.size(vector) == width).collect()
+        names = [r[0] for r in found]
+        asked = np.array([r[1] for r in found], np.float64).reshape(len(found), width)
+        fine = np.isfinite(asked).all(1) if len(found) else np.zeros(0, bool)
+        shipped = train.sparkSession.sparkContext.broadcast(([n for n, f in zip(names, fine) if f], asked[fine]))
+
+        def search(batches):
+            names, asked = shipped.value
+            length = np.sqrt((asked * asked).sum(1))
+            unit = asked / np.where(length > 0, length, 1)[:, None]
+            place = {n: i for i, n in enumerate(names)}
+            # the best so far of each query: query, key, keep, distance
+            best: list[list[tuple]] = [[] for _ in names]
+            limit = np.full(len(names), np.inf)
+            for batch in batches:
+                if not names:
+                    continue
+                x = _matrix(batch.column(2), width)
+                keys, kept = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                size = np.sqrt((x * x).sum(1))
+                near = 1 - unit @ (x / np.where(size > 0, size, 1)[:, None]).T
+                near[:, ~np.isfinite(x).all(1)] = np.inf
+                if leave_out:
+                    for j, own in enumerate(keys):
+                        if own in place:
+                            near[place[own], j] = np.inf
+                for q in np.flatnonzero((near <= limit[:, None] + 1e-9).any(1)).tolist():
+                    at = np.flatnonzero(np.isfinite(near[q]) & (near[q] <= limit[q] + 1e-9))
+                    if len(at) > k:
+                        at = at[near[q, at] <= np.partition(near[q, at], k - 1)[k - 1] + 1e-9]
+                    exact = np.maximum(1 - _exact_cosine(x[at], np.broadcast_to(asked[q], (len(at), width))), 1e-10)
+                    best[q] = sorted(best[q] + [(d, keys[j], kept[j]) for d, j in zip(exact.tolist(), at.tolist())], key=lambda t: t[:2])[:k]
+                    if len(best[q]) == k:
+                        limit[q] = best[q][-1][0]
+            rows = [(n, own, label, d) for n, found in zip(names, best) for d, own, label in found]
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        fields = train.select(F.col(key).cast(queries.schema[key].dataType).alias("query"), key, keep, F.lit(0.0).alias("d")).schema
+        arrow = to_arrow_schema(fields)
+        part = train.select(key, keep, vector).where(F.col(vector).isNotNull()).mapInArrow(search, schema)
+        out = part if out is None else out.unionAll(part)
+    ranked = out.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", key)))
+    return ranked.where(F.col("r") <= k)
+
+
+def knn_shares(train: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", label: str = "label", leave_out: bool = True) -> DataFrame:
+    """(query, <label>, p): shares of the labels of each query's k nearest by cosine distance, weighted by exp(-d^2 / s^2), where s is the upper median of the k distances."""
+    ranked = nearest_by_cosine(train, queries, k, key, vector, label, leave_out)
     whole = Window.partitionBy("query")
     weighted = ranked.withColumn("n", F.count("*").over(whole)).withColumn("s", F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("d"))).over(whole))
     votes = weighted.withColumn("w", F.exp(-(F.col("d") * F.col("d")) / (F.col("s") * F.col("s")))).groupBy("query", label).agg(F.sum("w").alias("w"))
-    total = F.sum("w").over(Window.partitionBy("query"))
-    best = votes.withColumn("p", F.col("w") / total).groupBy("query").agg(F.max_by(F.struct(label, "p"), F.struct("p", -F.col(label))).alias("b"))
-    return best.select("query", F.col(f"b.{label}").alias("predicted"), F.col("b.p").alias("confidence"))
+    return votes.select("query", label, (F.col("w") / F.sum("w").over(Window.partitionBy("query"))).alias("p"))
 
 
-#: Rows that one pass broadcasts, about: others are dealt to passes by a hash of their key.
-PASS_ROWS = 4_096
+def knn_vote(train: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """The label with the largest of ``knn_shares`` for each query, the query itself left out; ties go to the smaller label."""
+    best = knn_shares(train, queries, k, key, vector, label).groupBy("query").agg(F.max_by(F.struct(label, "p"), F.struct("p", -F.col(label))).alias("b"))
+    return best.select("query", F.col(f"b.{label}").alias("predicted"), F.col("b.p").alias("confidence"))
 
 
 def affinity_sums(rows: DataFrame, others: DataFrame, classes: int, sigma: float = 1.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each row the sum ``total`` of its affinities exp(-d^2 / (2 sigma^2)) to all others, and s0, s1, ... of affinity times each of the ``p`` of others.
 
-    ``others`` has other (a key), o (a vector) and p. They are broadcast in passes of about PASS_ROWS; of a pass only sums per row are kept, in a checkpoint
+    ``others`` has other (a key), o (a vector) and p. They are broadcast in passes; a task multiplies its rows with them, batch by batch, and keeps sums per row only, in a checkpoint
     if there is more than one pass. Work is rows x others. Rows that have no other are left out.
     """
     names = ["total"] + [f"s{i}" for i in range(classes)]
-    passes, sums = max(1, -(-others.count() // PASS_ROWS)), None
-    for n in range(passes):
-        some = others.where(F.pmod(F.xxhash64("other"), F.lit(passes)) == n) if passes > 1 else others
-        pairs = rows.select(key, vector).crossJoin(F.broadcast(some)).where(F.col(key) != F.col("other"))
-        pairs = pairs.withColumn("w", F.exp(-squared_distance(F.col(vector), F.col("o")) / (2 * sigma * sigma)))
-        part = pairs.groupBy(key).agg(F.sum("w").alias("total"), *[F.sum(F.col("w") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(classes)])
-        sums = part if sums is None else sums.unionByName(part).groupBy(key).agg(*[F.sum(c).alias(c) for c in names])
-        if passes > 1:
-            sums = sums.checkpoint()
-    return sums
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names) + ", others long"
+    sums = None
+    passes = _passes(others.select("other", "o", "p"), "other", "o")
+    for some in passes:
+        found = some.where("o IS NOT NULL").collect()
+        width = len(found[0]["o"]) if found else 0
+        shipped = rows.sparkSession.sparkContext.broadcast(([r["other"] for r in found], np.array([r["o"] for r in found], np.float64).reshape(-1, width), np.array([r["p"] for r in found], np.float64).reshape(-1, classes)))
+
+        def affine(batches):
+            known, o, p = shipped.value
+            place: dict = {}
+            for i, n in enumerate(known):
+                place.setdefault(n, []).append(i)
+            square = (o * o).sum(1)
+            for batch in batches:
+                if not known:
+                    continue
+                x, keys = _matrix(batch.column(1), o.shape[1]), batch.column(0).to_pylist()
+                gap = np.maximum((x * x).sum(1)[:, None] + square[None, :] - 2 * (x @ o.T), 0)
+                w = np.exp(-gap / (2 * sigma * sigma))
+                own = np.full(len(keys), len(known))
+                for j, n in enumerate(keys):
+                    if n in place:
+                        w[j, place[n]] = 0
+                        own[j] -= len(place[n])
+                columns = [w.sum(1), *(w @ p).T, own]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns)], names=[key, *names, "others"])
+
+        part = rows.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(affine, schema)
+        sums = part if sums is None else sums.unionAll(part)
+        if len(passes) > 1:
+            sums = sums.groupBy(key).agg(*[F.sum(c).alias(c) for c in (*names, "others")]).checkpoint()
+    return sums.groupBy(key).agg(*[F.sum(c).alias(c) for c in names], F.sum("others").alias("others")).where("others > 0").drop("others")
 
 
 def propagation_step(rows: DataFrame, labels: list[int], sigma: float = 1.0, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:

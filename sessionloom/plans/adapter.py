@@ -17,6 +17,16 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
+def event_slices(spark: SparkSession, sf_dir: str, folder: str, slices: int = 4, files: int = 4) -> DataFrame:
+    """The events table as a stream of so many micro-batches, each a stretch of time, from files that are written to ``folder`` one stretch after the other. Sessions go on from batch to batch."""
+    rows = table(spark, sf_dir, "events")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    stretch = F.least(F.floor((F.col("ts").cast("double") - F.lit(first).cast("double")) * slices / (F.lit(last).cast("double") - F.lit(first).cast("double") + 1)), F.lit(slices - 1))
+    for k in range(slices):
+        rows.where(stretch == k).repartition(files).write.parquet(f"{folder}/{k}")
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(folder)
+
+
 def _events(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("event_id").alias("id"),

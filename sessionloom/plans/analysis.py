@@ -64,9 +64,9 @@ def scan(spark: SparkSession, chats: str | None = None, models: str | None = Non
 # --- evaluation by a language model: what is asked and what is made of answers; asking is the caller's matter ----------
 
 
-def evaluator_prompt() -> Column:
-    """The question about a trace with columns task, tool_calls, files and final_diff."""
-    clean = lambda c: F.substring(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"""'), F.lit('"')), 1, 800)
+def evaluator_prompt(characters: int = 800) -> Column:
+    """The question about a trace with columns task, tool_calls, files and final_diff; of task and diff it quotes so many first characters, as a model's context is bounded."""
+    clean = lambda c: F.substring(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"""'), F.lit('"')), 1, characters)
     return F.concat(F.lit('Rate the complexity of this task from 1 to 10 and say if a smaller model would do. Answer as JSON with complexity, smallerModelPossible, confidence and reason.\nTask: """'), clean("task"), F.lit('"""\nTools: '), F.col("tool_calls").cast("string"), F.lit("\nFiles: "), F.col("files").cast("string"), F.lit('\nDiff: """'), clean("final_diff"), F.lit('"""'))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import count_loops, has_tail_loop, tail_repeats
 from sessionloom.operators import canonical, features, graph, mining, modelsize, realtime, store, trust, vectors
-from sessionloom.plans.adapter import agent_log, agent_log_of, canonical_events, event_stream, table, turns
+from sessionloom.plans.adapter import agent_log, agent_log_of, canonical_events, event_slices, event_stream, table, turns
 from sessionloom.plans.oracles import ORACLES
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,6 +332,15 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("session_id", "events", "sum_prompt", "sum_completion", "tool_calls", "read_files", "edits", "retries", "first_ms", "last_ms", "usage"))
 
 
+@query("streaming_rule_alerts")
+def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules over the state kept from micro-batch to micro-batch."""
+    from sessionloom.streaming.sessions import all_alerts, shared_folder
+
+    got = all_alerts(agent_log_of(event_slices(spark, sf_dir, shared_folder(spark, "event-slices"))))
+    return got.groupBy("session_id", "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -103,38 +103,164 @@ def session_state(log: DataFrame, keep_ms: int = 24 * 3_600_000, delay: str = DE
     return rows.groupBy("session_id").applyInPandasWithState(_fold(keep_ms), UPDATES, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def alert_rows(log_batch: DataFrame) -> DataFrame:
-    """Alerts of a bounded set of sessions' whole logs, as in the batch form."""
-    return realtime.alerts(realtime.running_state(log_batch))
+#: What a session's whole state holds: sums, the last tools, the different files, and the phase. It grows with the different files of a session only.
+RUNNING = (
+    "version bigint, sum_prompt double, sum_completion double, tool_calls bigint, read_files bigint, edits bigint, retries bigint, sum_agents double, limit double, first_ms bigint, last_ms bigint, "
+    "recent_tools array<string>, read_paths array<string>, edited_files array<string>, named string, thought boolean, ended boolean, phase string, planning_run bigint"
+)
+#: An event with the state after it: the columns of ``realtime.running_state`` and ``realtime.phases``.
+EVENT_STATES = (
+    "session_id string, id bigint, ts_ms bigint, type string, tool string, path string, file string, prompt_tokens double, completion_tokens double, model string, success boolean, diff_lines double, version bigint, sum_prompt double, sum_completion double, "
+    "tool_calls bigint, read_files bigint, edits bigint, retries bigint, files_read bigint, files_edited bigint, sum_agents double, limit double, elapsed_ms bigint, recent_tools array<string>, context_tokens double, usage double, phase string, is_transition int, planning_run bigint"
+)
+_EVENT = ["id", "ts_ms", "type", "tool", "path", "file", "prompt_tokens", "completion_tokens", "model", "model_limit", "success", "diff_lines", "sub_agents"]
+
+
+def _said(value):
+    """None for what pandas has as missing."""
+    return None if value is None or value != value else value
+
+
+class _Running:
+    """One session's state, moved on by one event at a time."""
+
+    def __init__(self, kept: tuple | None):
+        names = [c.split()[0] for c in RUNNING.split(", ")]
+        start = (0, 0.0, 0.0, 0, 0, 0, 0, 0.0, realtime.DEFAULT_LIMIT, None, None, [], [], [], "Idle", False, False, None, 0)
+        self.__dict__.update(zip(names, kept or start))
+        self.recent_tools, self.read_paths, self.edited_files = list(self.recent_tools), dict.fromkeys(self.read_paths), dict.fromkeys(self.edited_files)
+
+    def kept(self) -> tuple:
+        lists = {"recent_tools", "read_paths", "edited_files"}
+        return tuple(list(v) if k in lists else v for k, v in self.__dict__.items())
+
+    def step(self, e: dict) -> dict:
+        kind, ok = e["type"], e["success"] is None or bool(e["success"])
+        self.version += 1
+        self.first_ms = e["ts_ms"] if self.first_ms is None else min(self.first_ms, e["ts_ms"])
+        self.last_ms = e["ts_ms"] if self.last_ms is None else max(self.last_ms, e["ts_ms"])
+        self.sum_agents += e["sub_agents"] or 0.0
+        if kind == "llm_request":
+            self.sum_prompt += e["prompt_tokens"] or 0.0
+            self.sum_completion += e["completion_tokens"] or 0.0
+        elif kind == "tool_call":
+            self.tool_calls += 1
+            self.recent_tools = [*self.recent_tools, e["tool"] or "unknown"][-realtime.RECENT_TOOLS :]
+            if (e["tool"] or "").lower() in realtime.READ_TOOLS:
+                self.read_files += 1
+                if path := (e["path"] if e["path"] is not None else e["file"]):
+                    self.read_paths[path] = None
+        elif kind == "edit":
+            self.edits += 1
+            self.edited_files["unknown" if e["file"] is None else e["file"]] = None
+        elif kind == "session_start" and e["model_limit"] is not None:
+            self.limit = e["model_limit"]
+        self.retries += kind in ("tool_call", "edit") and not ok
+        before = self.phase
+        if kind in realtime.ABSOLUTE_PHASES:
+            self.named, self.thought, self.ended = realtime.ABSOLUTE_PHASES[kind], False, False
+        self.thought |= kind == "llm_request"
+        self.ended |= kind == "session_end"
+        self.phase = "Failed" if self.named == "Failed" else "Finished" if self.ended else "Thinking" if self.named == "Planning" and self.thought else self.named
+        moved = self.phase != before
+        if moved:
+            self.planning_run = self.planning_run + 1 if self.phase == "Planning" else 0
+        used = self.sum_prompt + self.sum_completion
+        return e | {
+            **{k: self.__dict__[k] for k in ("version", "sum_prompt", "sum_completion", "tool_calls", "read_files", "edits", "retries", "sum_agents", "limit", "recent_tools", "phase", "planning_run")},
+            "files_read": len(self.read_paths),
+            "files_edited": len(self.edited_files),
+            "elapsed_ms": e["ts_ms"] - self.first_ms,
+            "context_tokens": used,
+            "usage": used / self.limit if self.limit else 0.0,
+            "is_transition": int(moved),
+        }
+
+
+def _run(keep_ms: int) -> Callable:
+    columns = [c.split()[0] for c in EVENT_STATES.split(", ")]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = _Running(state.get if state.exists else None)
+        # a trigger's events of one session come in several batches, which are not in order
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts_ms", "id"], kind="stable")
+        out = [now.step({k: _said(v) for k, v in zip(_EVENT, row)}) | {"session_id": key[0]} for row in rows[_EVENT].astype(object).itertuples(index=False)]
+        state.update(now.kept())
+        state.setTimeoutTimestamp(max(now.last_ms + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def event_states(log: DataFrame, keep_ms: int = 24 * 3_600_000, delay: str = DELAY) -> DataFrame:
+    """Every event of a stream with its session's state after it, however the session is spread over micro-batches: the columns of ``realtime.running_state`` and ``realtime.phases``.
+
+    The state is kept by session until event time has passed its last event by ``keep_ms``. Rules and phases are column expressions over the result, as in the batch form.
+    Within a trigger events are taken in order of time; an event that comes in a later trigger than newer ones counts when it comes.
+    """
+    types = dict(c.split() for c in realtime.LOG_COLUMNS.split(", "))
+    rows = with_event_time(log, delay).select("session_id", "event_time", *[F.col(c) if c in log.columns else F.lit(None).cast(types[c]).alias(c) for c in _EVENT])
+    return rows.groupBy("session_id").applyInPandasWithState(_run(keep_ms), EVENT_STATES, RUNNING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_alerts(log: DataFrame, rules: list[realtime.Rule] | None = None, keep_ms: int = 24 * 3_600_000, delay: str = DELAY) -> DataFrame:
+    """Alerts of the rules over the kept state of each session, as a stream."""
+    return realtime.alerts(event_states(log, keep_ms, delay), rules)
 
 
 def start_event_store(log: DataFrame, events_path: str, features_path: str, checkpoint: str, trigger: dict | None = None):
     """Write canonical events as they come, partitioned by day, and recompute the features of sessions that ended in the batch.
 
     A batch's events are appended under its own number, overwriting a failed attempt of the same batch, so a replay after a lost driver adds nothing twice.
-    Features read back only the days that the ended sessions span.
+    Beside the events, in ``<events_path>-days``, each batch notes the days of its sessions. From these notes come the days that the ended sessions span, and of the
+    events only those days are read back, by the partition column.
     """
+    days_path = events_path.rstrip("/") + "-days"
 
     def keep(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = canonical.bridge_with_chat(batch.withColumn("workspace_id", F.lit("live"))).withColumn("day", F.to_date(F.timestamp_millis("ts_ms"))).withColumn("batch", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(events_path)
+        once_each = lambda df, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+        once_each(rows, "day", "batch").parquet(events_path)
         stored = spark.read.parquet(events_path)
-        ended = stored.where((F.col("batch") == number) & (F.col("event_type") == "session_end")).select("session_id").distinct()
-        whole = canonical.complete(stored.join(ended, "session_id", "left_semi"))
-        features.session_view(whole).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(features_path)
+        own = stored.where(F.col("batch") == number)
+        once_each(own.select("session_id", F.col("day").alias("on"), "batch").distinct(), "batch").parquet(days_path)
+        ended = own.where("event_type = 'session_end'").select("session_id").distinct()
+        days = [r[0] for r in spark.read.parquet(days_path).join(ended, "session_id", "left_semi").select("on").distinct().collect()]
+        if days:
+            whole = canonical.complete(stored.where(F.col("day").isin(days)).join(ended, "session_id", "left_semi"))
+            once_each(features.session_view(whole).withColumn("batch", F.lit(number)), "batch").parquet(features_path)
 
     return log.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def start_alerts(log: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
-    """Alerts of each micro-batch's events to a sink (a table, a console, a notifier), once per batch."""
-    return log.writeStream.foreachBatch(lambda batch, n: sink(alert_rows(batch), n)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def start_alerts(log: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None, rules: list[realtime.Rule] | None = None):
+    """Alerts of each micro-batch, by rules over the sessions' kept state, to a sink (a table, a console, a notifier), once per batch. A batch replayed after a failure goes to the sink with the same number and the same alert ids."""
+    return stream_alerts(log, rules).writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, which all executors share; in a temporary folder where that is unset, as in tests."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in spark.checkpoint.dir, which all executors share; in a temporary folder where that is unset and all runs on one machine, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp()
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def all_alerts(log: DataFrame, rules: list[realtime.Rule] | None = None) -> DataFrame:
+    """Run a bounded stream to its end and return all its alerts, read from what the batches wrote."""
+    spark, folder = log.sparkSession, shared_folder(log.sparkSession, "alerts")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/alerts/batch={number}")
+
+    start_alerts(log, keep, f"{folder}/checkpoint", rules=rules).awaitTermination()
+    return spark.read.parquet(f"{folder}/alerts").drop("batch")
 
 
 def final_states(log: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """State, rules, phases, health, advice and triggers; streams against the batch form."""
 
 import json
+import os
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -166,3 +168,48 @@ def test_event_store_stream(spark, tmp_path):
     kinds = [r["event_type"] for r in spark.read.parquet(str(tmp_path / "events")).orderBy("ts_ms", "ordinal").collect()]
     assert kinds == ["session_start", "chat", "completion", "accept", "session_end"]
     assert spark.read.parquet(str(tmp_path / "features")).first()["accept_rate"] == 1
+
+
+def test_stream_alerts_over_several_batches(spark, tmp_path):
+    from sessionloom.streaming import sessions
+
+    logs = tmp_path / "logs"
+    files = [[{"type": "tool", "at": 10 * n, "tool": "run", "success": False}, {"type": "request", "at": 10 * n + 5, "promptTokens": 60_000}] for n in range(4)]
+    for n, events in enumerate(files):
+        write_log(logs, f"{n}.jsonl", events)
+    order = sorted((logs / "s1").iterdir())
+    for n, f in enumerate(order):
+        os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = sessions.log_stream(spark, str(logs), files_per_trigger=1).withColumn("id", F.col("ts_ms"))
+    got, batches = [], []
+
+    def sink(batch, number):
+        batches.append(number)
+        got.extend((r["rule_id"], r["id"], r["severity"], r["message"]) for r in batch.collect())
+
+    sessions.start_alerts(stream, sink, str(tmp_path / "c")).awaitTermination()
+    batch = agent_logs.parse(agent_logs.read_lines(spark, str(logs))).withColumns({"id": F.col("ts_ms"), "sub_agents": F.lit(None).cast("double")})
+    want = [(r["rule_id"], r["id"], r["severity"], r["message"]) for r in realtime.alerts(realtime.running_state(batch)).collect()]
+    assert len(set(batches)) >= 4 and sorted(got) == sorted(want)
+    assert [x[0] for x in got].count("retry-spike") == 2 and ("context-too-large" in [x[0] for x in got])
+
+
+def test_event_states_equal_running_state_and_phases(spark, tmp_path):
+    from sessionloom.streaming import sessions
+
+    kinds = ["session_start", "llm_request", "tool_call", "tool_result", "edit", "review", "error", "session_end", "other"]
+    rng = random.Random(4)
+    rows = []
+    for k in range(240):
+        kind = rng.choice(kinds)
+        rows.append((k, T + 100 * k + rng.randrange(2), f"s{k % 3}", kind, rng.choice(["read_file", "run", None, "grep"]), rng.choice(["a", "b", "", None]), rng.choice(["x", "y", None]), rng.choice([10.0, None, 20_000.0]), 5.0, "m", rng.choice([None, 1000.0]), rng.choice([True, False, None]), 3.0, rng.choice([None, 1.0])))
+    schema = realtime.LOG_COLUMNS
+    for n in range(4):
+        spark.createDataFrame(rows[60 * n : 60 * n + 60], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sessions.event_states(stream).writeStream.foreachBatch(lambda b, n: b.write.parquet(str(tmp_path / "out" / f"batch={n}"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    whole = spark.createDataFrame(rows, schema)
+    want = realtime.running_state(whole).join(realtime.phases(whole).select("id", "phase", "is_transition", "planning_run"), "id")
+    names = [c.split()[0] for c in sessions.EVENT_STATES.split(", ")]
+    got = spark.read.parquet(str(tmp_path / "out")).select(names)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*[F.col(c).cast(t).alias(c) for c, t in got.dtypes]).collect()))

@@ -22,8 +22,9 @@ def sizes(spark):
 
 @pytest.mark.parametrize("kind, least", [("logistic", 0.8), ("bayes", 0.8), ("boosting", 0.8)])
 def test_models(spark, sizes, kind, least):
-    model = learn.fit(sizes, kind, FEATURES)
+    model = learn.fit(sizes, kind, FEATURES, **({"rounds": 10, "depth": 3} if kind == "boosting" else {}))
     got = learn.predict(model, sizes)
+    assert got.select("confidence").distinct().count() > 3
     assert learn.accuracy(got) > least
     assert got.agg(F.max(F.abs(F.aggregate("probabilities", F.lit(0.0), lambda s, p: s + p) - 1))).first()[0] < 1e-6
 
@@ -34,9 +35,9 @@ def test_perceptron_and_folds(spark, sizes):
 
 
 def test_stack_and_conformal(spark, sizes):
-    bases, meta = learn.stack(sizes, FEATURES)
-    got = learn.predict_stack(bases, meta, sizes)
-    assert learn.accuracy(got) > 0.8
+    stacked = learn.stack(sizes, FEATURES)
+    got = learn.predict_stack(stacked, sizes).checkpoint()
+    assert learn.accuracy(got) > 0.8 and set(stacked.temperatures) == {"online", "knn", "bayes"}
     rows = learn.conformal_reject(got, learn.conformal_scores(got))
     assert 0 <= rows.agg(F.min("p_value")).first()[0] and rows.agg(F.max("p_value")).first()[0] <= 1
     scores = [r[0] for r in learn.conformal_scores(got).collect()]
@@ -77,16 +78,67 @@ def test_propagation_over_all_labels_in_passes(spark, monkeypatch):
     assert np.abs(got.to_numpy() - want).max() < 1e-5
 
 
-def test_propagation_of_more_rows_than_pairs_are_kept_for(spark, monkeypatch):
+def test_propagation_in_passes(spark, monkeypatch):
     rows = spark.createDataFrame([(f"s{i}", float(i % 2) * 8 + i / 100, (i % 2) * 2 if i < 4 else None) for i in range(20)], "session_id string, f double, anchor int")
     run = lambda: {r["session_id"]: r["probabilities"] for r in learn.propagate_labels(rows, ["f"], rounds=3, sigma=0.5).collect()}
     want = run()
-    monkeypatch.setattr(learn, "PROPAGATION_ROWS", 10)
     monkeypatch.setattr(vectors, "PASS_ROWS", 8)
     got = run()
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_nearest_by_cosine_against_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (150, 4)).astype(float)
+    rows = [(i, v.tolist(), int(i % 3)) for i, v in enumerate(x)] + [(150, None, 1), (151, [1.0], 1), (152, [None, 1.0, 1.0, 1.0], 2)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3)
+    monkeypatch.setattr(vectors, "PASS_ROWS", 20)
+    got = {}
+    for r in vectors.nearest_by_cosine(frame, frame.where("vec_id % 2 = 0 AND vec_id < 150"), 5).orderBy("query", "r").collect():
+        got.setdefault(r["query"], []).append((r["vec_id"], r["label"]))
+    for q in range(0, 150, 2):
+        pairs = []
+        for j in range(150):
+            dot = lambda a, b: float(np.add.accumulate(a * b)[-1])
+            size = math.sqrt(dot(x[j], x[j])) * math.sqrt(dot(x[q], x[q]))
+            pairs.append((max(1 - (dot(x[j], x[q]) / size if size else 0.0), 1e-10), j, j % 3))
+        assert got[q] == [(j, label) for _, j, label in sorted(p for p in pairs if p[1] != q)[:5]]
+    assert vectors.knn_vote(frame, frame.where("vec_id = 999"), 3).count() == 0
+
+
+def test_nearest_model(spark, sizes):
+    model = learn.fit(sizes, "knn", FEATURES)
+    assert model.k == 15 and model.leave_one_out(sizes) > 0.7
+    assert learn.accuracy(learn.predict(model, sizes)) >= model.leave_one_out(sizes) - 0.05
+
+
+def test_conformal_counts_of_many_equal_scores(spark, monkeypatch):
+    monkeypatch.setattr(learn, "SCORE_BINS", 8)
+    scores = [0.0] * 500 + [i / 1000 for i in range(300)] + [0.25] * 50 + [1.0]
+    frame = spark.createDataFrame([(s,) for s in scores], "score double")
+    for alpha in (0.01, 0.1, 0.5, 0.9):
+        assert learn.conformal_threshold(frame, alpha).first()["threshold"] == sorted(scores)[math.ceil(len(scores) * (1 - alpha)) - 1]
+    asked = [1.0, 0.99, 0.75, 0.7513, 0.0]
+    got = learn.conformal_reject(spark.createDataFrame([(c,) for c in asked], "confidence double"), frame).collect()
+    for r in got:
+        assert r["p_value"] == pytest.approx((sum(s >= 1 - r["confidence"] - 1e-12 for s in scores) + 1) / (len(scores) + 1))
+    assert len(got) == len(asked)
+    assert learn.conformal_threshold(frame.limit(0)).first()["n"] == 0
+
+
+def test_training_run_and_saved_model(spark, tmp_path):
+    sizes = learn.with_index(synthetic_sizes(spark, 90)).checkpoint()
+    half = "pmod(xxhash64(session_id), 2) = "
+    got = learn.training_run(sizes.where(half + "0"), sizes.where(half + "1").drop("y"), FEATURES, baseline=sizes, kinds=("logistic", "knn"), rounds=2)
+    assert got["propagated"].count() == 90 and got["drift"].first()["recommendation"] in ("stable", "monitor", "retrain")
+    assert learn.accuracy(learn.predict_stack(got["stack"], sizes)) > 0.7
+    assert learn.weight_importance(got["models"]["logistic"], FEATURES, spark).count() == len(FEATURES)
+    model = learn.fit(sizes, "online", FEATURES)
+    model.save(str(tmp_path / "online"), spark)
+    again = learn.OnlineLogistic.load(str(tmp_path / "online"), spark)
+    assert again.weights == model.weights and again.scale == model.scale
+
+
 def test_calibration(spark):
     rows = spark.createDataFrame([(i % 2, [0.99, 0.01] if i % 4 < 2 else [0.01, 0.99]) for i in range(40)], "actual int, probabilities array<double>")
     assert trust.fit_temperature(rows) > 2
@@ -130,7 +182,9 @@ def test_store(spark):
 def test_traces(spark):
     rows = spark.createDataFrame([("t", 1000, 100, 3000, [{"n": "a"}], ["x.ts"], "a\nb", ["r"])], "id string, inputTokens bigint, outputTokens bigint, contextTokens bigint, toolCalls array<map<string,string>>, filesChanged array<string>, finalDiff string, reasoningSteps array<string>")
     got = modelsize.trace_evaluation(rows).first()
-    assert got["complexity"] == 2 and got["smaller_model_possible"] and got["reasons"] == ["single file edit", "few tool calls", "no architectural reasoning", "small context"]
+    assert got["complexity"] == 2 and got["smaller_model_possible"] and [x.split(":")[0] for x in got["reasons"]] == ["for"] * 4
+    tested = rows.withColumn("finalDiff", F.lit("--- a/x\n+++ b/src/x.spec.ts\n+1"))
+    assert "tests" in modelsize.trace_evaluation(tested).first()["reasons"][-1] and not any("tests" in x for x in got["reasons"])
     assert modelsize.features_from_traces(rows).first()["prompt_tokens"] == 1000
     assert spark.range(1).select(modelsize.success_score(*[F.lit(True)] * 4)).first()[0] == pytest.approx(1.0)
 
