@@ -22,7 +22,7 @@ RUN = 512
 #: Bytes of runs in one suffix array.
 SHARD_BYTES = 1 << 19
 #: Different runs of one least gram beyond which its windows are dealt one by one, by all their bytes.
-SPREAD = 1 << 15
+SPREAD = 2048
 #: Text bytes that one partition of runs stands for.
 PART_BYTES = 16 << 20
 
