@@ -129,6 +129,19 @@ def type_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("type").agg(F.count("*").alias("n"))
 
 
+def nodes_of(nodes: DataFrame, node_id: str | None = None, type_: str | None = None) -> DataFrame:
+    """Nodes by id or type."""
+    nodes = nodes.where(F.col("node_id") == node_id) if node_id is not None else nodes
+    return nodes.where(F.col("type") == type_) if type_ is not None else nodes
+
+
+def edges_of(edges: DataFrame, type_: str | None = None, source: str | None = None, target: str | None = None) -> DataFrame:
+    """Edges by type, source or target."""
+    for column, value in (("type", type_), ("source", source), ("target", target)):
+        edges = edges.where(F.col(column) == value) if value is not None else edges
+    return edges
+
+
 def neighbors(edges: DataFrame, nodes: DataFrame, source: str, edge_type: str | None = None) -> DataFrame:
     """Nodes that an edge of the source points to."""
     found = edges.where(F.col("source") == source)

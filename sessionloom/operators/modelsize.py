@@ -247,6 +247,35 @@ def behavior_labels(events: DataFrame, sizes: DataFrame, rewards: dict[str, floa
     return rows.select("session_id", "reward", label.alias("label"), F.when(signals, "behavior").otherwise("heuristic").alias("label_source"))
 
 
+#: Fixed value: events that a session has at least to be learnt from.
+LEAST_EVENTS = 3
+
+
+def with_activity(events: DataFrame, sizes: DataFrame, least_events: int = LEAST_EVENTS) -> DataFrame:
+    """Size features of the sessions that can teach something: with so many events, and not without any tokens, calls and reads."""
+    enough = events.groupBy("session_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_events).select("session_id")
+    active = F.greatest(*[F.coalesce(F.abs(c), F.lit(0.0)) for c in ("prompt_tokens", "completion_tokens", "tool_calls", "read_files")]) > 0
+    return sizes.where(active).join(enough, "session_id", "left_semi")
+
+
+def real_samples(events: DataFrame, by_behavior: bool = True) -> DataFrame:
+    """What to learn from real sessions: features, label, its source and reward; ids of sessions that only the heuristic labels begin with ``heuristic:``, for the pseudo-labeller."""
+    sizes = with_activity(events, session_size_features(events))
+    if by_behavior:
+        labels = behavior_labels(events, sizes)
+    else:
+        labels = heuristic_labels(sizes).select("session_id", F.lit(None).cast("double").alias("reward"), "label", F.lit("heuristic").alias("label_source"))
+    rows = sizes.join(labels, "session_id")
+    return rows.withColumn("session_id", F.when(F.col("label_source") == "heuristic", F.concat(F.lit("heuristic:"), "session_id")).otherwise(F.col("session_id")))
+
+
+def anchors(rows: DataFrame, signals: DataFrame, least_confidence: float = 0.7) -> DataFrame:
+    """rows: session_id, label; signals: session_id, auto_label, confidence. Rows with the label to start propagation from, and if it is an anchor, which the sure automatic choices are."""
+    sure = signals.where(F.col("confidence") >= least_confidence).groupBy("session_id").agg(F.max_by("auto_label", "confidence").alias("auto_label"))
+    known = F.col("auto_label").isNotNull()
+    return rows.join(sure, "session_id", "left").select(*[c for c in rows.columns if c != "label"], F.coalesce("auto_label", "label").alias("label"), known.alias("is_anchor"), F.when(known, "autoMode").otherwise("heuristic").alias("anchor_source"))
+
+
 def label_distribution(label: Column) -> Column:
     """0.9 for the label, 0.05 for either other class."""
     return F.array(*[F.when(label == c, 0.9).otherwise(0.05) for c in CLASSES])

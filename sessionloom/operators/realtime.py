@@ -5,7 +5,10 @@ The batch forms here and the streaming forms in ``sessionloom.streaming`` agree;
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,6 +108,23 @@ class RuleLimits:
     model_words: tuple[str, ...] = ("mini", "large", "sonnet")
 
 
+def limits_from(environment: Mapping[str, str] = os.environ) -> RuleLimits:
+    """Limits by SESSIONLOOM_RULE_ and the name of a limit in capitals, where that is a number (model_words: words between commas); others keep their defaults."""
+    given: dict[str, object] = {}
+    for field in fields(RuleLimits):
+        value = environment.get(f"SESSIONLOOM_RULE_{field.name.upper()}", "").strip()
+        if field.name == "model_words":
+            words = tuple(w.strip().lower() for w in value.split(",") if w.strip())
+            given |= {field.name: words} if words else {}
+        elif value:
+            try:
+                number = float(value)
+            except ValueError:
+                continue
+            given |= {field.name: number if isinstance(field.default, float) else int(number)} if math.isfinite(number) else {}
+    return RuleLimits(**given)
+
+
 def default_rules(limits: RuleLimits = RuleLimits()) -> list[Rule]:
     llm, call, edit = (F.col("type") == t for t in ("llm_request", "tool_call", "edit"))
     failed = (call | edit) & (F.coalesce(F.col("success"), F.lit(True)) == F.lit(False))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,15 @@ DOMAINS = ("workspace", "session", "prompt", "tool", "behavior")
 RETENTION_DAYS = 90
 
 
+def retention_days(environment: Mapping[str, str] = os.environ) -> int | float:
+    """Days to keep: SESSIONLOOM_RETENTION_DAYS if it is a positive number, else the fixed value."""
+    try:
+        days = float(environment.get("SESSIONLOOM_RETENTION_DAYS", ""))
+    except ValueError:
+        return RETENTION_DAYS
+    return days if 0 < days < float("inf") else RETENTION_DAYS
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is last in ``order``; an aggregation with partial results, so a key with many versions is no burden to one task."""
     rest = [c for c in rows.columns if c not in keys]
@@ -17,13 +29,37 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest]).select(rows.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows with new ones in place of those with the same keys; of new rows with equal keys any one, of all columns the greatest."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Old rows with new ones in place of those with the same keys. Of new rows with equal keys the last in ``order`` stays (computed_at or created_at, where there is one, and then the other columns)."""
     rest = [c for c in new.columns if c not in keys]
-    fresh = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest]).select(old.columns)
+    order = order or [c for c in ("computed_at", "created_at") if c in rest]
+    fresh = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest]).select(old.columns)
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
 
 
+def labels_of(labels: DataFrame, domain: str, source: str | None = None, entity_id: str | None = None) -> DataFrame:
+    """Labels (entity_id, domain, source, label, created_at) of a domain, of one source or entity if asked."""
+    for column, value in (("domain", domain), ("source", source), ("entity_id", entity_id)):
+        labels = labels.where(F.col(column) == value) if value is not None else labels
+    return labels
+
+
+def label_histogram(labels: DataFrame, label: str = "label") -> DataFrame:
+    return labels.groupBy(label).agg(F.count("*").alias("n"))
+
+
+def feature_ranges(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Least, greatest and mean value of each feature, a row a feature, from one pass."""
+    got = rows.agg(*[F.struct(F.min(F.col(f).cast("double")).alias("least"), F.max(F.col(f).cast("double")).alias("greatest"), F.avg(F.col(f).cast("double")).alias("mean")).alias(f) for f in features])
+    return got.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), f"{f}.least", f"{f}.greatest", f"{f}.mean") for f in features])))
+
+
+def label_agreement(one: DataFrame, other: DataFrame, key: str = "session_id", label: str = "label") -> DataFrame:
+    """How often two sources agree on the entities that both label: agree, differ."""
+    both = one.select(key, F.col(label).alias("a")).join(other.select(key, F.col(label).alias("b")), key)
+    return both.agg(F.count(F.when(F.col("a") == F.col("b"), 1)).alias("agree"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("differ"))
+
+
 def feature_rows(features: DataFrame, entity: str, domain: str, version: int = 1, computed_at: int = 0) -> DataFrame:
     """Typed features as (domain, entity_id, version, computed_at, features map)."""
     names = [c for c, t in features.dtypes if c != entity and t in ("bigint", "int", "double", "float", "smallint", "tinyint")]

@@ -222,20 +222,113 @@ def counterfactual(rows: DataFrame, decide_, features: list[str], steps: int = 1
     return found.groupBy(key).agg(F.min_by(F.struct("feature", "changed_to", "decision"), F.struct(-F.col("value"), "feature", "step")).alias("c")).select(key, "c.*")
 
 
-def permutation_importance(rows: DataFrame, decide_, features: list[str], actual: str = "actual", key: str = "entity_id", seed: int = 42, rounds: int = 5) -> DataFrame:
-    """Mean loss of accuracy when a feature's values come from other rows: each round pairs rows by rank of two seeded hashes, an exchange instead of a product."""
+def permutation_importance(rows: DataFrame, decide_, features: list[str], actual: str = "actual", key: str = "entity_id", seed: int = 42, rounds: int = 5, buckets: int = 64) -> DataFrame:
+    """Mean loss of accuracy, and its deviation over the rounds, when a feature's values come from other rows, drawn with replacement.
+
+    Rows are dealt to buckets by a hash, so no task ranks all of them; each row draws a row of its bucket by rank in each round, an exchange instead of a product.
+    """
     columns = {f: F.col(f).cast("double") for f in features}
     base = rows.agg(F.avg((decide_(columns) == F.col(actual)).cast("double")).alias("base"))
+    bucket = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets))
+    own = Window.partitionBy("bucket")
+    mine = rows.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(own.orderBy(key))).withColumn("size", F.count("*").over(own))
+    given = mine.select("bucket", F.col("rank").alias("drawn"), *[F.col(f).cast("double").alias(f"o_{f}") for f in features])
     out = None
     for r in range(rounds):
-        # partitions of the rank windows are buckets of a hash, so no task ranks all rows
-        buckets = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(64))
-        mine = rows.withColumn("bucket", buckets).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64(key, F.lit(seed + r)))))
-        other = rows.select(key, *features).withColumn("bucket", buckets).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64(key, F.lit(seed * 31 + r)))))
-        other = other.select("bucket", "rank", *[F.col(f).cast("double").alias(f"o_{f}") for f in features])
-        hits = mine.join(other, ["bucket", "rank"]).agg(*[F.avg((decide_({**columns, f: F.col(f"o_{f}")}) == F.col(actual)).cast("double")).alias(f) for f in features])
+        drawn = F.pmod(F.xxhash64(key, F.lit(seed), F.lit(r)), F.col("size")) + 1
+        hits = mine.withColumn("drawn", drawn.cast("int")).join(given, ["bucket", "drawn"]).agg(*[F.avg((decide_({**columns, f: F.col(f"o_{f}")}) == F.col(actual)).cast("double")).alias(f) for f in features])
         part = hits.unpivot([], features, "feature", "accuracy")
         out = part if out is None else out.unionAll(part)
-    return out.groupBy("feature").agg(F.avg("accuracy").alias("a")).crossJoin(base).select("feature", (F.col("base") - F.col("a")).alias("importance"))
+    return out.groupBy("feature").agg(F.avg("accuracy").alias("a"), F.stddev_pop("accuracy").alias("deviation")).crossJoin(base).select("feature", (F.col("base") - F.col("a")).alias("importance"), "deviation")
+
+
+# --- whole decisions and shadow runs --------------------------------------------------------------------------------
+
+#: Chance that a size does the work, and dollars for a million tokens in and out.
+SUCCESS = {"mini": 0.87, "medium": 0.92, "large": 0.95}
+PRICES = {"mini": (0.15, 0.6), "medium": (3.0, 15.0), "large": (15.0, 75.0)}
+SAVED = {"mini": 60, "medium": 25, "large": 0}
+#: Fixed values of the risk: least confidence, most of the context used.
+RISK_CONFIDENCE, RISK_USAGE = 0.6, 0.7
+
+
+def whole_decisions(fused: DataFrame, rows: DataFrame, score, decide_, features: list[str], temperature: float = 1.0, key: str = "entity_id", prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:
+    """Decisions (see ``decide``) with what they rest on and what they lead to.
+
+    rows has the key and the features; of these prompt_tokens, completion_tokens, retries, has_loop and context_utilization are looked at where they are. ``score`` and ``decide_`` build a score and a size from a dict of columns.
+    Adds reasons (the five features that move the score most, each way), risk_factors and by their number the risk, success, tokens, cost and saving of the chosen size, and counterfactual: the least cut of one feature that leads to a smaller size.
+    """
+    parts = contributions(rows, score, features, key)
+    reasons = parts.where("contribution <> 0").groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct(F.abs("contribution").alias("size"), "feature", "contribution")), asc=False), 1, 5).alias("r"))
+    reasons = reasons.select(key, F.transform("r", lambda x: F.struct(x["feature"].alias("feature"), x["contribution"].alias("contribution"))).alias("reasons"))
+    order = F.array(*map(F.lit, CLASSES))
+    smaller = counterfactual(rows, decide_, features, key=key)
+    smaller = smaller.join(rows.select(key, decide_({f: F.col(f).cast("double") for f in features}).alias("now")), key).where(F.array_position(order, F.col("decision")) < F.array_position(order, F.col("now")))
+    smaller = smaller.select(key, F.struct("feature", "changed_to", "decision").alias("counterfactual"))
+    value = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in rows.columns else F.lit(0.0)
+    seen = rows.select(key, *[value(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "retries", "has_loop", "context_utilization")])
+    got = decide(fused.withColumnRenamed("entity_id", key) if key != "entity_id" else fused, temperature).join(seen, key).join(reasons, key, "left").join(smaller, key, "left")
+    factors = F.array_compact(
+        F.array(
+            F.when(F.col("confidence") < RISK_CONFIDENCE, F.lit("the choice is not sure")),
+            F.when(F.col("retries") > 0, F.format_string("%d tries failed", F.col("retries").cast("int"))),
+            F.when(F.col("has_loop") > 0, F.lit("tools repeat themselves")),
+            F.when(F.col("context_utilization") > RISK_USAGE, F.lit("the context is nearly full")),
+        )
+    )
+    of = lambda table: F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]), F.col("model"))
+    cost = (F.col("prompt_tokens") * of({k: float(v[0]) for k, v in prices.items()}) + F.col("completion_tokens") * of({k: float(v[1]) for k, v in prices.items()})) / 1e6
+    return got.withColumn("risk_factors", factors).select(
+        key,
+        "probabilities",
+        "model",
+        "confidence",
+        "alternatives",
+        F.when(F.size("risk_factors") >= 3, "high").when(F.size("risk_factors") >= 1, "medium").otherwise("low").alias("risk"),
+        "risk_factors",
+        F.coalesce("reasons", F.array().cast("array<struct<feature:string,contribution:double>>")).alias("reasons"),
+        of(SUCCESS).alias("success"),
+        (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"),
+        F.round(cost, 4).alias("cost"),
+        of(SAVED).alias("saving_percent"),
+        F.when(F.col("model") != CLASSES[0], F.col("counterfactual")).alias("counterfactual"),
+    )
+
+
+def within_budget(sampled: DataFrame, budget: int, order: str = "entity_id") -> DataFrame:
+    """Of the rows that ``sampling`` chose, the first so many by ``order`` stay chosen; the others lose to the budget. Both are told by ``reason``."""
+    chosen = sampled.where("sampled").orderBy(order).limit(max(budget, 0)).select(F.col(order).alias("within"))
+    rows = sampled.join(F.broadcast(chosen) if budget <= 100_000 else chosen, F.col(order) == F.col("within"), "left")
+    inside = F.col("within").isNotNull()
+    return rows.withColumn("reason", F.when(inside, "sampled").when(F.col("sampled"), "beyond the budget").otherwise("not drawn")).withColumn("sampled", inside).drop("within")
 
 
+def heuristic_shadow(states: DataFrame, draw: Column, shadow_model: str = "mini") -> DataFrame:
+    """A stand-in for running a task again with another model, for tests: small tasks succeed, of others seven in ten; adds shadow_model and shadow_success. ``draw`` is a number from 0 to 1 per row."""
+    small = (F.col("sum_prompt") < 8000) & (F.col("tool_calls") <= 5) & (F.col("files_edited") <= 2) & (F.col("retries") == 0)
+    return states.withColumns({"shadow_model": F.lit(shadow_model), "shadow_success": small | (draw > 0.3)})
+
+
+def shadow_run(states: DataFrame, rate: float, draw: Column, runner, model: str = "model") -> tuple[DataFrame, DataFrame]:
+    """Check a share of recommendations by running them again. ``states`` has the recommended ``model``; ``runner`` turns the drawn rows into rows with shadow_success, as ``heuristic_shadow`` or a caller's own that asks a model.
+
+    Returns the drawn rows with the label that they teach (the recommended size if the shadow succeeded, else the next larger) and how sure it is; and one row: total, sampled and rate.
+    """
+    marked = states.withColumn("drawn", draw < rate)
+    label = F.when(F.col("shadow_success"), F.col(model)).when(F.col(model) == "mini", "medium").otherwise("large")
+    ran = runner(marked.where("drawn").drop("drawn")).withColumns({"label": label, "label_confidence": F.when(F.col("shadow_success"), 0.95).otherwise(0.6)})
+    stats = marked.agg(F.count("*").alias("total"), count_if(F.col("drawn")).alias("sampled")).withColumn("rate", ratio(F.col("sampled"), F.col("total")))
+    return ran, stats
+
+
+def calibration_report(rows: DataFrame, temperature: float, probabilities: str = "probabilities", actual: str = "actual") -> DataFrame:
+    """One row: calibration error before and after the temperature, and the Brier score before it."""
+    arrays = {"pre": F.col(probabilities), "post": with_temperature(F.col(probabilities), temperature)}
+    told = rows.select(actual, *[p.alias(k) for k, p in arrays.items()])
+    out = None
+    for k in arrays:
+        one = told.select(F.array_max(k).alias("confidence"), (F.array_position(k, F.array_max(k)) - 1 == F.col(actual)).alias("correct"))
+        part = calibration_error(one).withColumnRenamed("ece", f"{k}_ece")
+        out = part if out is None else out.crossJoin(part)
+    gap = F.aggregate(F.transform(probabilities, lambda p, i: F.pow(p - F.when(i == F.col(actual), 1.0).otherwise(0.0), 2)), F.lit(0.0), lambda s, x: s + x) / F.size(probabilities)
+    return out.crossJoin(rows.agg(F.avg(gap).alias("brier"))).withColumn("temperature", F.lit(float(temperature)))

@@ -196,3 +196,60 @@ def test_vector_functions(spark):
     assert list(got) == [1, 0, -1, 1, 0]
     table = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "vec_id string, embedding array<double>")
     assert [r["vec_id"] for r in similar_to(table, "a", 2).collect()] == ["b", "c"] and similar_to(table, "zz").count() == 0
+
+
+def test_whole_decisions_and_shadow_runs(spark):
+    votes = spark.createDataFrame([("a", "r", "large", 0.55), ("a", "h", "mini", 0.5), ("b", "r", "mini", 0.9)], "entity_id string, source string, model string, confidence double")
+    rows = spark.createDataFrame([("a", 60_000.0, 1000.0, 2.0, 1.0, 0.9), ("b", 100.0, 10.0, 0.0, 0.0, 0.1)], "entity_id string, prompt_tokens double, completion_tokens double, retries double, has_loop double, context_utilization double")
+    score = lambda c: c["prompt_tokens"] / 1000 + c["retries"] * 10
+    got = {r["entity_id"]: r for r in trust.whole_decisions(trust.weighted_fusion(votes), rows, score, lambda c: modelsize.label_of(score(c)), ["prompt_tokens", "retries"]).collect()}
+    assert got["a"]["model"] == "large" and got["a"]["risk"] == "high" and len(got["a"]["risk_factors"]) == 4
+    assert got["a"]["reasons"][0]["feature"] == "prompt_tokens" and got["a"]["counterfactual"]["feature"] in ("prompt_tokens", "retries")
+    assert got["b"]["model"] == "mini" and got["b"]["risk"] == "low" and got["b"]["counterfactual"] is None and got["b"]["success"] == 0.87
+    drawn = trust.sampling(spark.createDataFrame([(str(i), [0.4, 0.3, 0.3], 0.4) for i in range(10)], "entity_id string, probabilities array<double>, confidence double"), "random", 0.5, F.lit(0.1))
+    told = trust.within_budget(drawn, 3).groupBy("sampled", "reason").count().collect()
+    assert {(r["sampled"], r["reason"], r["count"]) for r in told} == {(True, "sampled", 3), (False, "beyond the budget", 7)}
+    states = spark.createDataFrame([("s1", "mini", 10.0, 1, 0, 0), ("s2", "medium", 90_000.0, 1, 0, 0)], "session_id string, model string, sum_prompt double, tool_calls int, files_edited int, retries int")
+    ran, stats = trust.shadow_run(states, 0.5, F.lit(0.2), lambda df: trust.heuristic_shadow(df, F.lit(0.1)))
+    assert {(r["session_id"], r["label"]) for r in ran.collect()} == {("s1", "mini"), ("s2", "large")} and stats.first()["rate"] == 1.0
+    cal = trust.calibration_report(spark.createDataFrame([(0, [0.9, 0.1]), (1, [0.9, 0.1])], "actual int, probabilities array<double>"), 4.0).first()
+    assert cal["pre_ece"] == pytest.approx(0.4) and cal["post_ece"] < cal["pre_ece"] and cal["brier"] == pytest.approx((0.01 + 0.81) / 2)
+
+
+def test_samples_anchors_and_settings(spark):
+    from sessionloom.operators import realtime
+
+    sizes = synthetic_sizes(spark, 60)
+    assert set(sizes.columns) == {"session_id", "label", *modelsize.BASE_FEATURES, *modelsize.TEMPORAL_FEATURES} and sizes.na.drop().count() == 60
+    assert {r["label"]: r["n"] for r in store.label_histogram(sizes).collect()} == {"mini": 30, "medium": 18, "large": 12}
+    ranges = {r["feature"]: r for r in store.feature_ranges(sizes, ["prompt_tokens", "context_utilization"]).collect()}
+    assert ranges["prompt_tokens"]["least"] >= 500 and ranges["context_utilization"]["greatest"] <= 0.95
+    assert tuple(store.label_agreement(sizes, sizes.withColumn("label", F.lit("mini"))).first()) == (30, 30)
+    labels = spark.createDataFrame([("a", "session", "x", "mini", 1), ("a", "session", "y", "large", 2)], "entity_id string, domain string, source string, label string, created_at bigint")
+    assert store.labels_of(labels, "session").count() == 2 and store.labels_of(labels, "session", "y").first()["label"] == "large" and store.labels_of(labels, "tool").count() == 0
+    signals = spark.createDataFrame([("synthetic-0", "large", 0.9), ("synthetic-1", "large", 0.5)], "session_id string, auto_label string, confidence double")
+    got = {r["session_id"]: (r["label"], r["is_anchor"]) for r in modelsize.anchors(sizes.select("session_id", "label"), signals).collect()}
+    assert got["synthetic-0"] == ("large", True) and got["synthetic-1"] == ("mini", False) and len(got) == 60
+    assert realtime.limits_from({"SESSIONLOOM_RULE_READS": "7", "SESSIONLOOM_RULE_DIFF_LINES": "x", "SESSIONLOOM_RULE_MODEL_WORDS": " Tiny, "}) == realtime.RuleLimits(reads=7, model_words=("tiny",))
+    assert store.retention_days({"SESSIONLOOM_RETENTION_DAYS": "30"}) == 30 and store.retention_days({"SESSIONLOOM_RETENTION_DAYS": "-1"}) == store.retention_days({}) == 90
+
+
+def test_versioned_tables(spark, tmp_path):
+    from sessionloom.sources import tables
+
+    root = str(tmp_path)
+    rows = spark.createDataFrame([("a", 1, 5, 1.0), ("b", 1, 5, 2.0)], "entity_id string, version int, computed_at bigint, x double")
+    tables.write(rows, root, "features")
+    new = spark.createDataFrame([("a", 1, 9, 3.0), ("a", 1, 7, 8.0), ("c", 1, 1, 4.0)], rows.schema)
+    tables.upsert_table(new, root, "features", ["entity_id", "version"])
+    assert {(r["entity_id"], r["x"]) for r in tables.read(spark, root, "features").collect()} == {("a", 3.0), ("b", 2.0), ("c", 4.0)}
+    # a version without its mark is not read
+    (tmp_path / "features" / "v000000009").mkdir()
+    assert tables.read(spark, root, "features").count() == 3
+    tables.drop_versions(spark, root, "features", 1)
+    assert tables.read(spark, root, "features").count() == 3
+    assert tables.drift_from_baseline(rows, root, ["x"]) is None
+    assert tables.drift_from_baseline(rows.withColumn("x", F.col("x") * 5), root, ["x"]).count() == 1
+    tables.append_feedback(spark.createDataFrame([("s", "mini", 0.9)], "session_id string, predicted string, score double"), root)
+    tables.append_feedback(spark.createDataFrame([("t", "mini", 0.1)], "session_id string, predicted string, score double"), root)
+    assert {r["label"] for r in tables.read(spark, root, "feedback").collect()} == {"mini", "medium"}
