@@ -20,8 +20,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_slices(spark: SparkSession, sf_dir: str, folder: str, slices: int = 4, files: int = 4) -> DataFrame:
     """The events table as a stream of so many micro-batches, each a stretch of time, from files that are written to ``folder`` one stretch after the other. Sessions go on from batch to batch."""
     rows = table(spark, sf_dir, "events")
-    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
-    stretch = F.least(F.floor((F.col("ts").cast("double") - F.lit(first).cast("double")) * slices / (F.lit(last).cast("double") - F.lit(first).cast("double") + 1)), F.lit(slices - 1))
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    stretch = F.floor((at - first) * slices / (last - first + 1)) if first is not None else F.lit(0)
     for k in range(slices):
         rows.where(stretch == k).repartition(files).write.parquet(f"{folder}/{k}")
     return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(folder)
@@ -39,6 +40,11 @@ def _events(raw: DataFrame) -> DataFrame:
     )
 
 
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table by its plain columns: id, ts_ms, session_id, workspace_id, raw (the type), value and k, a number from 0 to 99."""
+    return _events(table(spark, sf_dir, "events"))
+
+
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user are a session: clicks are chats, signups completions, purchases accepts, errors retries or rejects, views reads, edits or tool calls."""
     raw, k = F.col("raw"), F.col("k")

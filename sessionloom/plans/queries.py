@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import count_loops, has_tail_loop, tail_repeats
 from sessionloom.operators import canonical, features, graph, mining, modelsize, realtime, store, trust, vectors
+from sessionloom.plans import source_queries
 from sessionloom.plans.adapter import agent_log, agent_log_of, canonical_events, event_slices, event_stream, table, turns
 from sessionloom.plans.oracles import ORACLES
 
@@ -174,7 +175,7 @@ def _propagate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(step.select("vec_id", F.get(F.lit(labels), F.col("pos")).alias("class"), "p"))
 
 
-def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sources' labels of each labelled document."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     size = F.when(F.col("n_chars") < 1000, "mini").when(F.col("n_chars") < 4000, "medium").otherwise("large")
@@ -189,28 +190,28 @@ def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("weak_label_fusion")
 def _fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     accuracies = spark.sql("SELECT * FROM VALUES ('size', 0.8D), ('quality', 0.7D), ('id', 0.4D) AS t(source, accuracy)")
-    votes = _votes(spark, sf_dir).withColumn("probabilities", modelsize.label_distribution(F.col("label")))
+    votes = votes(spark, sf_dir).withColumn("probabilities", modelsize.label_distribution(F.col("label")))
     return rounded(modelsize.fuse_weak_labels(votes, accuracies).select("entity_id", "label", "confidence"))
 
 
 @query("source_accuracy")
 def _accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(modelsize.source_accuracy(_votes(spark, sf_dir)))
+    return rounded(modelsize.source_accuracy(votes(spark, sf_dir)))
 
 
 @query("weighted_fusion")
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(trust.weighted_fusion(_votes(spark, sf_dir).withColumnRenamed("label", "model")))
+    return rounded(trust.weighted_fusion(votes(spark, sf_dir).withColumnRenamed("label", "model")))
 
 
 @query("bayesian_fusion")
 def _bayesian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(trust.bayesian_fusion(_votes(spark, sf_dir).withColumnRenamed("label", "model")))
+    return rounded(trust.bayesian_fusion(votes(spark, sf_dir).withColumnRenamed("label", "model")))
 
 
 @query("stacking_fusion")
 def _stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(trust.stacking_fusion(_votes(spark, sf_dir).withColumnRenamed("label", "model"), {"size": 0.5, "quality": 0.3, "id": 0.2}))
+    return rounded(trust.stacking_fusion(votes(spark, sf_dir).withColumnRenamed("label", "model"), {"size": 0.5, "quality": 0.3, "id": 0.2}))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,8 +343,8 @@ def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | source_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
+    return {k: v for k, v in ORACLES.items() if k in _QUERIES} | source_queries.SQL
