@@ -173,3 +173,23 @@ def insight(events: DataFrame) -> DataFrame:
     row = totals.crossJoin(score).crossJoin(trend_summary(daily).select("health_direction"))
     text = F.format_string("%d sessions with %d events; workflow anomaly %.3f; health is %s.", "sessions", "events", "anomaly_score", "health_direction")
     return row.withColumn("insight", text)
+
+
+def repeated_sequences(events: DataFrame, of: str = "tool", longest: int = 5) -> DataFrame:
+    """(session_id, loops): how often two to ``longest`` events in a row are followed by the same again, over whole sessions.
+
+    A run of n repeats at once where each of its events equals the one n later, so lead windows and a moving sum tell it, and no session is held as an array.
+    """
+    order = Window.partitionBy("session_id").orderBy("ts_ms", "id")
+    rows = events.select("session_id", "ts_ms", "id", F.coalesce(of, F.lit("unknown")).alias("x"))
+    rows = rows.select("*", *[(F.col("x") == F.lead("x", n).over(order)).cast("int").alias(f"same{n}") for n in range(2, longest + 1)])
+    found = [F.coalesce((F.sum(f"same{n}").over(order.rowsBetween(0, n - 1)) == n).cast("int"), F.lit(0)) for n in range(2, longest + 1)]
+    return rows.select("session_id", sum(found[1:], found[0]).alias("found")).groupBy("session_id").agg(F.sum("found").cast("int").alias("loops"))
+
+
+def last_of(events: DataFrame, n: int, of: str = "tool") -> DataFrame:
+    """(session_id, sequence): the last n values of each session, in order."""
+    back = Window.partitionBy("session_id").orderBy(F.desc("ts_ms"), F.desc("id"))
+    rows = events.select("session_id", "ts_ms", "id", of).withColumn("r", F.row_number().over(back)).where(F.col("r") <= n)
+    got = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "id", of))).alias("s"))
+    return got.select("session_id", F.transform("s", lambda x: x[of]).alias("sequence"))

@@ -10,6 +10,7 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -306,20 +307,30 @@ def predictions(states: DataFrame, health_overall: Column) -> DataFrame:
 def prediction_triggers(states: DataFrame, max_events: int = 5, max_tokens: float = 5000, max_ms: int = 30_000) -> DataFrame:
     """Events at which a prediction is due: so many events, tokens or so much time after the last one; the first event seeds the clock.
 
-    Whether one is due depends on the last that was, so a fold over a session's small structs decides; the array holds four numbers an event.
+    Whether one is due depends on the last that was, so each session's events go through a fold in order, which holds three numbers and no events however long the session is.
     """
-    rows = states.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "id", "version", "context_tokens"))).alias("e"))
-    start = F.struct(F.get("e", F.lit(0))["ts_ms"].alias("ts"), F.lit(0).alias("version"), F.lit(0.0).alias("tokens"), F.array().cast("array<struct<id:bigint,reason:string>>").alias("out"))
-
-    def fold(s: Column, e: Column) -> Column:
-        events, tokens, time = e["version"] - s["version"], e["context_tokens"] - s["tokens"], e["ts_ms"] - s["ts"]
-        reason = F.when(events >= max_events, "events").when(tokens >= max_tokens, "tokens").when((time >= max_ms) & (events > 0), "time")
-        due = reason.isNotNull()
-        return F.struct(
-            F.when(due, e["ts_ms"]).otherwise(s["ts"]).alias("ts"),
-            F.when(due, e["version"]).otherwise(s["version"]).alias("version"),
-            F.when(due, e["context_tokens"]).otherwise(s["tokens"]).alias("tokens"),
-            F.when(due, F.concat(s["out"], F.array(F.struct(e["id"].alias("id"), reason.alias("reason"))))).otherwise(s["out"]).alias("out"),
-        )
-
-    return rows.select("session_id", F.inline(F.aggregate("e", start, fold)["out"]))
+    kind = states.schema["session_id"].dataType.simpleString()
+    rows = states.select("session_id", F.col("id").cast("bigint").alias("id"), F.col("ts_ms").cast("bigint").alias("ts_ms"), F.col("version").cast("bigint").alias("version"), F.coalesce(F.col("context_tokens"), F.lit(0.0)).cast("double").alias("tokens"))
+
+    def fold(batches):
+        session, since = None, (0, 0, 0.0)
+        for batch in batches:
+            out: list[tuple] = []
+            for own, id_, ts, version, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != session:
+                    session, since = own, (ts, 0, 0.0)
+                if version - since[1] >= max_events:
+                    reason = "events"
+                elif tokens - since[2] >= max_tokens:
+                    reason = "tokens"
+                elif ts - since[0] >= max_ms and version > since[1]:
+                    reason = "time"
+                else:
+                    continue
+                out.append((own, id_, reason))
+                since = ts, version, tokens
+            columns = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["session_id", "id", "reason"])
+
+    ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "ts_ms", "id")
+    return ordered.mapInArrow(fold, f"session_id {kind}, id bigint, reason string")

@@ -305,11 +305,14 @@ ORACLES: dict[str, str] = {
     "advice": f"""WITH {LOG}, c AS (SELECT session_id, sum_prompt, tool_calls, files_edited, retries, CASE WHEN sum_prompt < 8000 THEN 10 WHEN sum_prompt < 30000 THEN 30 ELSE 50 END + CASE WHEN tool_calls <= 5 THEN 5 ELSE 20 END + CASE WHEN files_edited <= 2 AND files_read <= 5 THEN 5 ELSE 20 END + CASE WHEN retries > 0 THEN 15 ELSE 0 END AS x FROM fin),
       m AS (SELECT *, CASE WHEN sum_prompt < 8000 AND tool_calls <= 5 AND files_edited <= 2 AND retries = 0 AND x <= 30 THEN 'mini' WHEN x <= 60 THEN 'medium' ELSE 'large' END AS model FROM c)
       SELECT session_id, least(x, 100)::INT AS complexity, model, CASE model WHEN 'mini' THEN 0.85 WHEN 'medium' THEN 0.7 ELSE 0.75 END::DOUBLE AS confidence, CASE model WHEN 'mini' THEN 60 WHEN 'medium' THEN 25 ELSE 0 END::INT AS saving_percent FROM m""",
-    "live_metrics": f"""WITH {LOG} SELECT session_id, id, round(sum_prompt + sum_completion, 6) AS context_tokens, tool_calls, round(sum_prompt * 5 + sum_completion * 15, 6) AS cost, elapsed_ms AS latency, retries::BIGINT AS retries, round(usage, 6) AS context_usage,
-      round(CASE WHEN tool_calls + edits > 0 THEN retries / (tool_calls + edits) ELSE 0 END, 6)::DOUBLE AS retry_rate, round(least(sum_prompt / 50000, 1), 6) AS prompt_growth_rate, round(least((files_read + files_edited) / 30, 1), 6) AS file_entropy, 0.0::DOUBLE AS subagent_pressure FROM fin""",
+    "live_metrics": f"""WITH {LOG}, lm AS (SELECT fin2.*, coalesce(loops, 0) AS lps, len(rt) AS l FROM fin2 LEFT JOIN loops USING (session_id)) SELECT session_id, id, lps::INT AS loops, CASE WHEN tool_calls > 0 THEN round(len(list_distinct(rt)) / tool_calls, 6) ELSE 0 END::DOUBLE AS tool_diversity,
+      (l >= 8 AND ((rt[-2:] = rt[-4:-3] AND rt[-4:-3] = rt[-6:-5]) OR (l >= 9 AND rt[-3:] = rt[-6:-4] AND rt[-6:-4] = rt[-9:-7]) OR (l >= 12 AND rt[-4:] = rt[-8:-5] AND rt[-8:-5] = rt[-12:-9])))::INT AS loop_detected, round(sum_prompt + sum_completion, 6) AS context_tokens, tool_calls, round(sum_prompt * 5 + sum_completion * 15, 6) AS cost, elapsed_ms AS latency, retries::BIGINT AS retries, round(usage, 6) AS context_usage,
+      round(CASE WHEN tool_calls + edits > 0 THEN retries / (tool_calls + edits) ELSE 0 END, 6)::DOUBLE AS retry_rate, round(least(sum_prompt / 50000, 1), 6) AS prompt_growth_rate, round(least((files_read + files_edited) / 30, 1), 6) AS file_entropy, 0.0::DOUBLE AS subagent_pressure FROM lm""",
     "multi_health": f"""WITH {LOG}, l AS (SELECT *, len(rt) AS l, CASE WHEN tool_calls + edits > 0 THEN retries / (tool_calls + edits) ELSE 0 END AS rate FROM fin2),
       m AS (SELECT *, l >= 8 AND ((rt[-2:] = rt[-4:-3] AND rt[-4:-3] = rt[-6:-5]) OR (l >= 9 AND rt[-3:] = rt[-6:-4] AND rt[-6:-4] = rt[-9:-7]) OR (l >= 12 AND rt[-4:] = rt[-8:-5] AND rt[-8:-5] = rt[-12:-9])) AS lp FROM l)
-      SELECT session_id, floor((1 - rate) * 60 + CASE WHEN lp THEN 10 ELSE 40 END + 0.5)::DOUBLE AS h_execution, floor((1 - least(usage, 1)) * 100 + 0.5)::DOUBLE AS h_context, floor(100 - least(least((files_read + files_edited) / 30, 1) * 100, 60) + 0.5)::DOUBLE AS h_memory, 90::DOUBLE AS h_planning FROM m""",
+      , h AS (SELECT session_id, floor((1 - rate) * 60 + CASE WHEN lp THEN 10 ELSE 40 END + 0.5)::DOUBLE AS h_execution, floor(100 - least(sum_prompt / 50000, 1) * 60 + 0.5)::DOUBLE AS h_reasoning, floor((1 - least(usage, 1)) * 100 + 0.5)::DOUBLE AS h_context,
+        floor((1 - least(CASE WHEN tool_calls > 0 THEN len(list_distinct(rt)) / tool_calls ELSE 0 END, 1) / 2) * 50 + CASE WHEN lp THEN 15 ELSE 50 END + 0.5)::DOUBLE AS h_tool, 90::DOUBLE AS h_planning, floor(100 - least(least((files_read + files_edited) / 30, 1) * 100, 60) + 0.5)::DOUBLE AS h_memory FROM m)
+      SELECT *, floor((h_execution + h_reasoning + h_context + h_tool + h_planning + h_memory) / 6 + 0.5)::DOUBLE AS overall FROM h""",
     "prediction_triggers": f"""WITH RECURSIVE {LOG}, e AS (SELECT session_id, id, ts_ms, version, sum_prompt + sum_completion AS tk FROM st),
       f AS (SELECT session_id, 0::BIGINT AS v, min(ts_ms) AS lts, 0::BIGINT AS lv, 0.0::DOUBLE AS lt, NULL::BIGINT AS id, NULL::VARCHAR AS reason FROM e GROUP BY 1
         UNION ALL SELECT session_id, v, CASE WHEN r IS NULL THEN lts ELSE ts_ms END, CASE WHEN r IS NULL THEN lv ELSE v END, CASE WHEN r IS NULL THEN lt ELSE tk END, id, r FROM (

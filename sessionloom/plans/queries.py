@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.functions import count_loops, has_tail_loop, tail_repeats
+from sessionloom.functions import has_tail_loop, tail_repeats
 from sessionloom.operators import canonical, features, graph, mining, modelsize, realtime, store, trust, vectors
 from sessionloom.plans import source_queries
 from sessionloom.plans.adapter import agent_log, agent_log_of, canonical_events, event_slices, event_stream, table, turns
@@ -99,9 +99,9 @@ _QUERIES |= {
     "health_score": _on_log(lambda g: realtime.health(realtime.final_state(realtime.running_state(g))).select("session_id", "health", "health_label")),
     "advice": _on_log(lambda g: realtime.advice(realtime.final_state(realtime.running_state(g)))),
     "phase_timeline": _on_log(realtime.timeline),
-    "live_metrics": _on_log(lambda g: realtime.metrics(realtime.final_state(realtime.running_state(g))).drop("loops", "loop_detected", "tool_diversity").withColumn("cost", F.col("cost") * 1e6)),
+    "live_metrics": _on_log(lambda g: realtime.metrics(realtime.final_state(realtime.running_state(g))).withColumn("cost", F.col("cost") * 1e6)),
     "prediction_triggers": _on_log(lambda g: realtime.prediction_triggers(realtime.running_state(g))),
-    "multi_health": _on_log(lambda g: realtime.multi_health(realtime.metrics(realtime.final_state(realtime.running_state(g)))).select("session_id", "h_execution", "h_context", "h_memory", "h_planning")),
+    "multi_health": _on_log(lambda g: realtime.multi_health(realtime.metrics(realtime.final_state(realtime.running_state(g)))).select("session_id", "h_execution", "h_reasoning", "h_context", "h_tool", "h_planning", "h_memory", "overall")),
 }
 
 
@@ -285,20 +285,18 @@ def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trust.contributions(sizes, lambda c: c["prompt_tokens"] / 1000 + c["tool_calls"] * 2 + c["edits"] * 15, ["prompt_tokens", "tool_calls", "edits"], "session_id"))
 
 
-def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = canonical_events(spark, sf_dir).where("event_type = 'tool_call'")
-    got = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "id", "tool"))).alias("s"))
-    return got.select("session_id", F.transform("s", lambda x: x["tool"]).alias("sequence"))
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_events(spark, sf_dir).where("event_type = 'tool_call'")
 
 
 @query("loop_detection")
 def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sequences(spark, sf_dir).select("session_id", has_tail_loop(F.col("sequence")).alias("has_loop"), tail_repeats(F.col("sequence"), 10, 2).alias("repeats"))
+    return mining.last_of(_calls(spark, sf_dir), 15).select("session_id", has_tail_loop(F.col("sequence")).alias("has_loop"), tail_repeats(F.col("sequence"), 10, 2).alias("repeats"))
 
 
 @query("count_loops")
 def _count_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sequences(spark, sf_dir).select("session_id", count_loops(F.col("sequence")).alias("loops"))
+    return mining.repeated_sequences(_calls(spark, sf_dir))
 
 
 @query("session_store_events")

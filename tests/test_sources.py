@@ -143,3 +143,13 @@ def test_tables(spark, tmp_path):
     assert {r["session_id"]: r["label"] for r in rows.collect()} == {"x": "mini", "y": "medium"}
     tables.write_training_csv(tables.synthetic_sizes(spark, 20), root + "/csv")
     assert spark.read.option("header", "true").csv(root + "/csv").count() == 20
+
+
+def test_tool_categories_and_tags(spark):
+    from sessionloom.plans.source_queries import TOOL_SAMPLES
+
+    got = spark.createDataFrame([(n,) for n in TOOL_SAMPLES], "name string").select("name", workspace.tool_category(F.col("name")).alias("c")).collect()
+    assert {r["name"]: r["c"] for r in got} == TOOL_SAMPLES
+    text = "<skill><name>a</name><file>f</file></skill><skill><description>x</description></skill><skill><name>a</name></skill><skill><name>b"
+    rows = workspace.skills(spark.createDataFrame([("p", text)], "file string, text string")).collect()
+    assert [(r["name"], r["description"], r["skill_file"]) for r in rows] == [("a", None, "f")]
