@@ -16,7 +16,10 @@ from sessionloom.llm.common import Words, mix, steps, text_or_empty, tidy, words
 
 @dataclass(frozen=True)
 class FtrlParameters:
-    """Weights number 2**bits. train_rows bounds the labelled rows that are learnt from (those with the smallest hash of their id); shards of them are learnt apart and averaged."""
+    """Weights number 2**bits. train_rows bounds the labelled rows that are learnt from (those with the smallest hash of their id); shards of them are learnt apart and averaged.
+
+    One shard is the default, as each shard learns from its own rows only: by the bound on rows the one task that learns has at most train_rows lists of hashed features, whatever the corpus.
+    """
 
     bits: int = 20
     train_rows: int = 16_000
