@@ -322,8 +322,9 @@ def first_of_each_class(documents: DataFrame, text: str = "text", doc_id: str =
     classes = _classes(rows, text, doc_id, n, threshold, recall)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     placed = classes.where("root IS NOT NULL").select("root", "doc_id", "text_key", rank.alias("rank"))
-    heads = placed.groupBy("root").agg(F.min("rank").alias("head"), F.count("*").alias("rows")).where("rows > 1")
-    gone = placed.join(heads, "root").where("rank <> head").select(F.col("doc_id").alias("gone_doc"), F.col("text_key").alias("gone_key")).distinct()
+    heads = placed.groupBy("root").agg(F.min("rank").alias("head")).select(F.col("head.doc_id").alias("head_doc"), F.col("head.text_key").alias("head_key"))
+    # by the row and not by the class, of which one may hold a third of all
+    gone = placed.join(heads, F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("text_key") == F.col("head_key")), "left_anti").select(F.col("doc_id").alias("gone_doc"), F.col("text_key").alias("gone_key")).distinct()
     key = F.xxhash64(text_or_empty(text))
     left = rows.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("gone_doc")) & (key == F.col("gone_key")), "left_anti")
     if not classes.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Hexadecimal digits of the short hash prefix that the join is on.
 PREFIX_DIGITS = 8
+#: Parts that the rows of one key are dealt to where rules are not broadcast.
+SALTS = 16
 #: Rules up to this many are broadcast (under 300 bytes each); more are joined by a shuffle on the prefix.
 MAX_BROADCAST_RULES = 200_000
 
@@ -71,7 +73,12 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: st
         .withColumn("r_key", F.substring(F.sha2(F.concat("suffix", "prefix"), 256), 1, PREFIX_DIGITS))
     )
     rules = rules.drop("r_labels", "r_slashes", "r_folder")
-    rules = F.broadcast(rules) if most["n"] <= MAX_BROADCAST_RULES else rules
-    fitting = expanded.join(rules, "r_key").where(F.sha2(F.concat("suffix", F.substring(F.col("path"), F.lit(1), F.col("r_path_length"))), 256) == F.col("r_digest"))
+    if most["n"] <= MAX_BROADCAST_RULES:
+        candidates = expanded.join(F.broadcast(rules), "r_key")
+    else:
+        # a bare host such as com is in a large part of all urls
+        salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        candidates = expanded.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS))).join(salted, ["r_key", "salt"]).drop("salt")
+    fitting = candidates.where(F.sha2(F.concat("suffix", F.substring(F.col("path"), F.lit(1), F.col("r_path_length"))), 256) == F.col("r_digest"))
     best = fitting.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("r_host").alias("h"), "rule", "verdict")).alias("best"))
     return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
