@@ -247,10 +247,10 @@ ORACLES: dict[str, str] = {
       r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS r FROM p QUALIFY r <= 5), s AS (SELECT query, max(CASE WHEN r = 3 THEN d END) AS s FROM r GROUP BY 1),
       v AS (SELECT query, label, sum(exp(-(d * d) / (s * s))) AS w FROM r JOIN s USING (query) GROUP BY 1, 2), t AS (SELECT *, w / sum(w) OVER (PARTITION BY query) AS p FROM v)
       SELECT query, arg_max(label, (p, -label)) AS predicted, round(max(p), 6) AS confidence FROM t GROUP BY 1""",
-    "label_propagation_step": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label END AS label, embedding::DOUBLE[] AS x FROM embeddings WHERE label < 4),
-      p AS (SELECT a.vec_id, a.label AS own, b.label AS bl, exp(-(list_dot_product(a.x, a.x) + list_dot_product(b.x, b.x) - 2 * list_dot_product(a.x, b.x)) / 2) AS w FROM e a, e b WHERE a.vec_id <> b.vec_id),
-      c AS (SELECT vec_id, unnest([0, 1, 2, 3]) AS class, own, bl, w FROM p)
-      SELECT vec_id, class::INT AS class, round(CASE WHEN any_value(own) IS NULL THEN sum(w * CASE WHEN bl IS NULL THEN 0.25 WHEN bl = class THEN 1 ELSE 0 END) / sum(w) WHEN any_value(own) = class THEN 1 ELSE 0 END, 6)::DOUBLE AS p FROM c GROUP BY vec_id, class""",
+    "label_propagation_step": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label END AS label, embedding::DOUBLE[] AS x FROM embeddings), k AS (SELECT DISTINCT label AS class FROM embeddings WHERE label IS NOT NULL), kn AS (SELECT count(*) AS n FROM k),
+      p AS (SELECT a.vec_id, b.label AS bl, exp(-(list_dot_product(a.x, a.x) + list_dot_product(b.x, b.x) - 2 * list_dot_product(a.x, b.x)) / 2) AS w FROM e a, e b WHERE a.vec_id <> b.vec_id),
+      g AS (SELECT vec_id, bl, sum(w) AS w FROM p GROUP BY 1, 2), t AS (SELECT vec_id, sum(w) AS total, coalesce(sum(CASE WHEN bl IS NULL THEN w END), 0) AS open FROM g GROUP BY 1)
+      SELECT e.vec_id, class::INT AS class, round(CASE WHEN e.label IS NULL THEN (coalesce(g.w, 0) + open / n) / total WHEN e.label = class THEN 1 ELSE 0 END, 6)::DOUBLE AS p FROM e JOIN t USING (vec_id) CROSS JOIN k CROSS JOIN kn LEFT JOIN g ON g.vec_id = e.vec_id AND g.bl = class""",
     "model_size_features": f"WITH {SIZE} SELECT session_id, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in "prompt_tokens completion_tokens context_tokens tool_calls read_files edits retries unique_files_read unique_files_edited elapsed_ms context_utilization read_to_edit_ratio retry_rate has_loop sub_agents auto_label_code auto_confidence".split()) + " FROM size",
     "temporal_features": f"""WITH {ORD}, cd AS (SELECT session_id, tool_call_id, max(ts_ms) AS done_ts FROM ev WHERE event_type IN ('accept', 'retry') GROUP BY 1, 2),
       t AS (SELECT o.*, coalesce(next_ts, ts_ms) - ts_ms AS until, ts_ms - prev_ts AS gap, done_ts FROM ord o LEFT JOIN cd USING (session_id, tool_call_id)),
@@ -339,3 +339,4 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES["streaming_rule_alerts"] = ORACLES["rule_alerts"]
+ORACLES["label_propagation_all"] = ORACLES["label_propagation_step"]

@@ -159,20 +159,15 @@ def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vectors.knn_vote(rows, rows.where("vec_id % 50 = 0"), 5))
 
 
+@query("label_propagation_all")
 @query("label_propagation_step")
 def _propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where("label < 4").select("vec_id", "embedding", F.when(F.col("vec_id") % 2 == 0, F.col("label")).alias("label"))
-    return rounded(vectors.propagation_step(rows, [0, 1, 2, 3]).select("vec_id", F.posexplode("distribution").alias("class", "p")))
-
-
-@query("label_propagation_all")
-def _propagate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The step over every row and label of the table; label_propagation_step is the part of it that its SQL tells."""
+    """One step over every row and label of the table; every second row keeps its label."""
     rows = table(spark, sf_dir, "embeddings")
     labels = sorted(r[0] for r in rows.where("label IS NOT NULL").select("label").distinct().collect())
     rows = rows.select("vec_id", "embedding", F.when(F.col("vec_id") % 2 == 0, F.col("label")).alias("label"))
     step = vectors.propagation_step(rows, labels).select("vec_id", F.posexplode("distribution").alias("pos", "p"))
-    return rounded(step.select("vec_id", F.get(F.lit(labels), F.col("pos")).alias("class"), "p"))
+    return rounded(step.select("vec_id", F.get(F.lit(labels), F.col("pos")).cast("int").alias("class"), "p"))
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -483,3 +483,94 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = lambda c: c["prompt_tokens"] / 1000 + c["retries"] * 10
     got = trust.whole_decisions(trust.weighted_fusion(rows.withColumnRenamed("label", "model")), sizes, score, lambda c: modelsize.label_of(score(c)), ["prompt_tokens", "retries"])
     return got.select("entity_id", "model", F.round("confidence", 6).alias("confidence"), "risk")
+
+
+@query("advice_after_alerts", ORACLES["advice"].replace("+ CASE WHEN retries > 0 THEN 15 ELSE 0 END AS x FROM fin", "+ CASE WHEN retries > 0 THEN 15 ELSE 0 END + CASE WHEN session_id IN (SELECT session_id FROM al WHERE a LIKE 'tool-loop:%') THEN 20 ELSE 0 END AS x FROM fin"))
+def _advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advice that counts loops of tools among the alerts."""
+    states = realtime.running_state(agent_log(spark, sf_dir))
+    return realtime.advice(realtime.final_state(states), realtime.alerts(states))
+
+
+def _bridged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log events of all kinds as canonical events: tools by names that tests, terminals, commits and remote tools have."""
+    rows = raw_events(spark, sf_dir)
+    k = F.col("k")
+    kind = F.get(F.array(*map(F.lit, ("session_start", "llm_request", "tool_call", "edit", "session_end"))), k % 5)
+    tool = F.get(F.array(*map(F.lit, ("read_file", "run_tests", "x_terminal", "git_commit", "mcp_ask", "other"))), k % 6)
+    return rows.select("id", "ts_ms", "session_id", "workspace_id", kind.alias("type"), F.when(kind == "tool_call", tool).alias("tool"), (k % 4 != 0).alias("success"), F.when(kind == "session_start", F.array(F.concat(F.lit("lang"), (k % 3).cast("string")))).alias("languages"))
+
+
+_KINDS = f"""WITH {BASE}, c AS (SELECT *, ['session_start', 'completion', 'tool', 'edit', 'session_end'][k % 5 + 1] AS kind, ['read_file', 'run_tests', 'x_terminal', 'git_commit', 'mcp_ask', 'other'][k % 6 + 1] AS tool FROM base),
+  b AS (SELECT id, ts_ms, session_id, workspace_id, k, tool, CASE kind WHEN 'tool' THEN ['read_file', 'run_test', 'terminal', 'commit', 'tool_call', 'tool_call'][k % 6 + 1] WHEN 'edit' THEN CASE WHEN k % 4 <> 0 THEN 'accept' ELSE 'retry' END ELSE kind END AS event_type FROM c)"""
+
+
+@query("bridged_tool_kinds", f"{_KINDS} SELECT event_type, count(*) AS n, count(DISTINCT CASE WHEN event_type IN ('read_file', 'run_test', 'terminal', 'commit', 'tool_call') THEN tool END) AS tools FROM b GROUP BY 1")
+def _tool_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.bridge_one_row(_bridged_log(spark, sf_dir)).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("tool").alias("tools"))
+
+
+@query(
+    "tools_used",
+    f"{_KINDS} SELECT tool AS tool_name, CASE tool WHEN 'x_terminal' THEN 'terminal' WHEN 'git_commit' THEN 'git' WHEN 'run_tests' THEN 'test' WHEN 'mcp_ask' THEN 'mcp' ELSE 'generic' END AS tool_kind, count(DISTINCT session_id) AS sessions FROM b WHERE event_type IN ('run_test', 'terminal', 'commit', 'tool_call') GROUP BY 1, 2",
+)
+def _tools_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.tools_used(canonical.complete(canonical.bridge_one_row(_bridged_log(spark, sf_dir)))).groupBy("tool_name", "tool_kind").agg(F.count("*").alias("sessions"))
+
+
+@query("workspace_languages", f"{_KINDS} SELECT workspace_id, 'lang' || (k % 3) AS name FROM b WHERE event_type = 'session_start' GROUP BY 1, 2")
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.entities(canonical.complete(canonical.bridge_one_row(_bridged_log(spark, sf_dir))))["languages"].select("workspace_id", "name").distinct()
+
+
+@query("missing_fields", f"WITH {BASE} SELECT k % 3 AS kind, count(*) AS n, CASE WHEN k % 3 = 0 THEN count(*) ELSE 0 END AS missing FROM base GROUP BY 1")
+def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw_events(spark, sf_dir).select((F.col("k") % 3).alias("kind"), F.lit("switch_model").alias("event_type"), F.get(F.array(F.lit("{}"), F.lit('{"model":1}'), F.lit('{"model":null,"x":2}')), F.col("k") % 3).alias("json"))
+    got = canonical.missing_fields(rows, canonical.catalog(spark))
+    return got.groupBy("kind").agg(F.count("*").alias("n"), F.count(F.when(F.array_contains("missing", "model"), 1)).alias("missing"))
+
+
+def _all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = features.session_view(canonical_events(spark, sf_dir))
+    return store.feature_rows(view, "session_id", "session", 1, 5).unionByName(store.feature_rows(view, "session_id", "session", 2, 3))
+
+
+@query("features_read_back", f"WITH h AS ({ORACLES['session_view'].strip()}) SELECT session_id AS entity_id, 2 AS version, round(accept_rate, 6)::DOUBLE AS accept_rate FROM h")
+def _read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = store.read_features(_all_features(spark, sf_dir), "session")
+    return got.select("entity_id", "version", F.round(F.col("features")["accept_rate"], 6).alias("accept_rate"))
+
+
+@query("traces_evaluated", "SELECT doc_id AS id, least(10, greatest(1, floor(n_chars / 20000.0 * 3 + (doc_id % 7) * 0.5 + (doc_id % 5) * 0.7 + (doc_id % 3) * 0.4 + (doc_id % 40 + 1) * 0.02 + 0.5)))::BIGINT AS complexity FROM documents")
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda n: (F.col("doc_id") % n).cast("int")
+    files = F.transform(F.slice(F.sequence(F.lit(1), F.lit(9)), 1, part(5)), lambda i: F.concat(F.lit("f"), i.cast("string")))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("n_chars").alias("contextTokens"), F.slice(F.array_repeat(F.lit("c"), 9), 1, part(7)).alias("toolCalls"), files.alias("filesChanged"), F.concat(F.lit("x"), F.repeat(F.lit("\n+"), part(40))).alias("finalDiff"), F.slice(F.array_repeat(F.lit("r"), 9), 1, part(3)).alias("reasoningSteps")
+    )
+    return modelsize.trace_evaluation(rows).select("id", F.col("complexity").cast("bigint").alias("complexity"))
+
+
+@query("evaluations_parsed", "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN (doc_id % 10)::DOUBLE END AS complexity FROM documents")
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sessionloom.plans.analysis import parse_evaluation
+
+    body = _json(complexity=(F.col("doc_id") % 10), smallerModelPossible=F.lit(True))
+    answer = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise("no JSON")
+    return table(spark, sf_dir, "documents").select("doc_id", parse_evaluation(answer)["complexity"].alias("complexity"))
+
+
+@query("sampled_decisions", "SELECT 'random' AS strategy, count(*) FILTER (doc_id % 10 / 10.0 < 0.3) AS sampled FROM labels UNION ALL SELECT 'confidence', count(*) FILTER (doc_id % 10 / 10.0 < least(0.6, greatest(0, (0.7 - greatest(doc_id % 97 / 100.0, 0.99 - doc_id % 97 / 100.0)) / 0.7) * 0.6)) FROM labels")
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, out = _distributions(spark, sf_dir), None
+    for strategy in ("random", "confidence"):
+        part = trust.sampling(rows, strategy, 0.3, F.col("doc_id") % 10 / 10).agg(F.count(F.when(F.col("sampled"), 1)).alias("sampled")).select(F.lit(strategy).alias("strategy"), "sampled")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query("retained_graph", f"WITH {EV} SELECT count(DISTINCT session_id) AS sessions FROM ev WHERE substr(session_id, 2)::INT % 2 = 1")
+def _retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graph.graph(canonical_events(spark, sf_dir))
+    times = nodes.where("type = 'session'").select("node_id", F.when(F.element_at(F.split("node_id", ":u"), 2).cast("int") % 2 == 0, 0).otherwise(10**13).alias("ts_ms"))
+    return store.retain_graph(nodes, edges, times, 10**13)[0].where("type = 'session'").agg(F.count("*").alias("sessions"))
