@@ -185,8 +185,8 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("weak_label_fusion")
 def _fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     accuracies = spark.sql("SELECT * FROM VALUES ('size', 0.8D), ('quality', 0.7D), ('id', 0.4D) AS t(source, accuracy)")
-    votes = votes(spark, sf_dir).withColumn("probabilities", modelsize.label_distribution(F.col("label")))
-    return rounded(modelsize.fuse_weak_labels(votes, accuracies).select("entity_id", "label", "confidence"))
+    told = votes(spark, sf_dir).withColumn("probabilities", modelsize.label_distribution(F.col("label")))
+    return rounded(modelsize.fuse_weak_labels(told, accuracies).select("entity_id", "label", "confidence"))
 
 
 @query("source_accuracy")
