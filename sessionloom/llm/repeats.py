@@ -284,6 +284,7 @@ def _search_shards(length: int, shard_bytes: int):
         the next has its windows of the next looked up in the suffix orders of those before."""
         waiting: list[tuple[int, int, int, int, bytes]] = []
         held = 0
+        last, twin = None, False
         before: list[tuple[np.ndarray, np.ndarray]] = []
         before_route = None
 
@@ -316,11 +317,22 @@ def _search_shards(length: int, shard_bytes: int):
                 yield _batch(COVERED, doc, start, -windows[settled])
                 batch = batch.take(pa.array(np.flatnonzero(windows > 0)))
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held >= shard_bytes:
-                    yield shard(row[0] if row[0] == waiting[-1][0] else None)
-                    waiting, held = [], 0
-                waiting.append(row)
-                held += len(row[4])
+                if last is not None:
+                    same = row[0] == last[0]
+                    # a window that travels alone, with no other of its route, has no equal one anywhere
+                    if same or twin or last[3] > 1:
+                        if held >= shard_bytes:
+                            yield shard(last[0] if last[0] == waiting[-1][0] else None)
+                            waiting, held = [], 0
+                        waiting.append(last)
+                        held += len(last[4])
+                    twin = same
+                last = row
+        if last is not None and (twin or last[3] > 1):
+            if held >= shard_bytes:
+                yield shard(last[0] if last[0] == waiting[-1][0] else None)
+                waiting = []
+            waiting.append(last)
         if waiting:
             yield shard(None)
 
