@@ -53,3 +53,43 @@ JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 NEAREST = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
   p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce([q.x[i] * c.x[i] FOR i IN range(1, 65)], lambda a, b: a + b) AS score FROM e q, e c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p QUALIFY rank <= 20"""
+
+
+CONTROL_TURN = "</s>[INST] ok [/INST]"
+_CONTROLS = ("[INST]", "[/INST]", "</s>", "<s>")
+_ESCAPED = "length({0}) + length({0}) - length(replace({0}, '\\', ''))" + "".join(f" + 2 * ((length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)})" for c in _CONTROLS)
+CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TURN}'), (-1, 1, 'assistant', '{CONTROL_TURN}')),
+  o AS (SELECT *, sha256(role || chr(10) || text) AS tie, {_ESCAPED.format("role")} + {_ESCAPED.format("text")} + {sum(map(len, _CONTROLS[:3]))} AS size FROM t)
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, tie)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, tie) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id"""
+
+COLLOCATIONS = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+  g AS (SELECT lang, unnest([{{'k': k, 'phrase': array_to_string(w[i:i + k - 1], ' ')}} FOR i IN range(1, CAST(len(w) - k + 2 AS BIGINT))]) AS x FROM w, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k),
+  c AS (SELECT lang, x.k AS k, x.phrase AS phrase, count(*) AS f FROM g GROUP BY ALL),
+  n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY 1),
+  d AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE k > 1 AND f >= 10),
+  s AS (SELECT lang, k, phrase, a, ws, j, array_to_string(ws[1:j], ' ') AS x, array_to_string(ws[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM d)),
+  r AS (SELECT s.lang, s.phrase, a, ws, j, cl.f AS l, cr.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(cl.f AS HUGEINT) * cr.f) AS BIGINT) AS score
+    FROM s JOIN c cl ON cl.lang = s.lang AND cl.phrase = x JOIN c cr ON cr.lang = s.lang AND cr.phrase = y),
+  b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+  t AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS i FROM d WHERE k = 3) GROUP BY ALL),
+  e AS (SELECT b.* FROM b LEFT JOIN t USING (lang, phrase) WHERE NOT coalesce(100 * longer >= 50 * a, false))
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM e JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
+def centroids(k: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64, seed: int = 1) -> str:
+    def nearest(n: int) -> str:
+        far = "list_sum(list_transform(list_zip(v, x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"""a{n} AS (SELECT i, vec_id, v, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (SELECT i, vec_id, v, c, CAST({far} AS BIGINT) AS d FROM e, c{n}) GROUP BY ALL)"""
+
+    parts = [
+        f"e AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS x FROM (SELECT v, sha256('{seed}:' || vec_id) AS h FROM e ORDER BY h, v LIMIT {k}))",
+    ]
+    for n in range(rounds):
+        parts.append(nearest(n))
+        parts.append(f"m{n} AS (SELECT c, p, CAST(sum(z) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(range(1, {dim} + 1)) AS p, unnest(v) AS z FROM a{n}) GROUP BY ALL)")
+        parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c, coalesce(y, x) AS x FROM c{n} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS y FROM m{n} GROUP BY 1) USING (c))")
+    parts.append(nearest(rounds))
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""

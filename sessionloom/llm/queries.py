@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import oracles
-from sessionloom.llm.common import short_batches
+from sessionloom.llm.centroids import centroid_clusters
+from sessionloom.llm.chat import digests, read_chats, turn_events, write_chats
+from sessionloom.llm.collocations import collocations
+from sessionloom.llm.common import fresh_dir, short_batches
 from sessionloom.llm.decontamination import decontaminate
 from sessionloom.llm.jaccard import jaccard_classes
 from sessionloom.llm.nearest import nearest
@@ -93,8 +96,25 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(embeddings, embeddings.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = f"'{oracles.CONTROL_TURN}'"
+    more = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    path = fresh_dir(spark, "chats")
+    write_chats(turn_events(rows), path)
+    return digests(read_chats(spark, path))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_token_files, op4_toxicity, op5_suffix_dedup, op6_warc, op7_decontamination, op8_jaccard_join, op9_packing, op10_nearest)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_token_files, op4_toxicity, op5_suffix_dedup, op6_warc, op7_decontamination, op8_jaccard_join, op9_packing, op10_nearest, op11_chat, op12_collocations, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -105,4 +125,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": oracles.DECONTAMINATION,
         "op8_jaccard_join": oracles.JACCARD,
         "op10_nearest": oracles.NEAREST,
+        "op11_chat": oracles.CHAT,
+        "op12_collocations": oracles.COLLOCATIONS,
+        "op13_centroids": oracles.centroids(),
     }
