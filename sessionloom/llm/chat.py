@@ -97,7 +97,9 @@ def _numbered(heads: DataFrame) -> DataFrame:
     spans = Window.partitionBy("c").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     before = heads.groupBy("c", "span").agg(F.max("undone").alias("last")).select("c", "span", F.max("last").over(spans).alias("earlier"))
     near = F.max("undone").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    staying = heads.withColumn("near", near).join(before, ["c", "span"])
+    # what opened at one place has the same events before it
+    peers = Window.partitionBy("c", "span", "position").orderBy("message")
+    staying = heads.withColumn("near", near).withColumn("near", F.first("near").over(peers)).join(before, ["c", "span"])
     staying = cut(staying.where(~F.coalesce(F.greatest("near", "earlier") > F.col("position"), F.lit(False))).select("c", "message", "span", "position"))
     counts = staying.groupBy("c", "span").count().select("c", "span", F.coalesce(F.sum("count").over(spans), F.lit(0)).alias("base"))
     return staying.withColumn("n", F.row_number().over(within)).join(counts, ["c", "span"]).select("c", "message", (F.col("base") + F.col("n")).alias("turn"))

@@ -94,8 +94,8 @@ def _languages(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _slots(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = (hashed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _slots(hashed: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    place = (hashed >> np.uint64(64 - filter_bits)).astype(np.int64)
     return place >> 6, place & 63
 
 
@@ -114,7 +114,7 @@ def _counter(k: int, shipped):
                 if k == 1:
                     at = np.arange(n)
                 else:
-                    slot, bit = _slots(found.hashes(_seeds(names), k - 1))
+                    slot, bit = _slots(found.hashes(_seeds(names), k - 1), int(len(known)).bit_length() + 5)
                     frequent = (known[slot] >> bit.astype(np.uint64)) & np.uint64(1) == 1
                     together = np.ones(max(0, n - k + 1), bool)
                     for j in range(k - 1):
@@ -136,7 +136,7 @@ def _counter(k: int, shipped):
     return tidy(count)
 
 
-def _filter(level: DataFrame, k: int) -> np.ndarray:
+def _filter(level: DataFrame, k: int, filter_bits: int) -> np.ndarray:
     """A bitmap of the hashes of a level's phrases, put together in Spark; a false hit costs a phrase that the count then drops."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +145,11 @@ def _filter(level: DataFrame, k: int) -> np.ndarray:
             data, offsets = buffers(batch.column("phrase"))
             found = Phrases(data, offsets, group)
             hashed = found.hashes(_seeds(names), k)
-            slot, bit = _slots(hashed[np.searchsorted(found.start, offsets[:-1])])
+            slot, bit = _slots(hashed[np.searchsorted(found.start, offsets[:-1])], filter_bits)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array((np.uint64(1) << bit.astype(np.uint64)).view(np.int64))], names=["slot", "bits"])
 
     rows = level.where(F.col("phrase").isNotNull()).select("lang", "phrase").mapInArrow(bits, "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out = np.zeros(1 << (filter_bits - 6), np.uint64)
     out[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -165,7 +165,7 @@ def level_tables(df: DataFrame, max_words: int = 3, min_count: int = 10, text: s
     rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text).alias("text"))
     out: list[DataFrame] = []
     for k in range(1, max_words + 1):
-        shipped = spark.sparkContext.broadcast(_filter(out[-1], k - 1)) if out else None
+        shipped = spark.sparkContext.broadcast(_filter(out[-1], k - 1, FILTER_BITS)) if out else None
         counted = rows.mapInArrow(_counter(k, shipped), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         path = fresh_dir(spark, f"level{k}")
         counted.where((F.col("f") >= min_count) | F.col("phrase").isNull()).write.parquet(path)
