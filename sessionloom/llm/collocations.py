@@ -168,7 +168,8 @@ def level_tables(df: DataFrame, max_words: int = 3, min_count: int = 10, text: s
         shipped = spark.sparkContext.broadcast(_filter(out[-1], k - 1, FILTER_BITS)) if out else None
         counted = rows.mapInArrow(_counter(k, shipped), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         path = fresh_dir(spark, f"level{k}")
-        counted.where((F.col("f") >= min_count) | F.col("phrase").isNull()).write.parquet(path)
+        # few of the counted phrases stay, and as few files
+        counted.where((F.col("f") >= min_count) | F.col("phrase").isNull()).hint("rebalance").write.parquet(path)
         out.append(spark.read.parquet(path))
     return out
 
