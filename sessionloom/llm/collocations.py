@@ -17,6 +17,8 @@ from sessionloom.llm.common import buffers, fresh_dir, mix, same_spans, span_has
 FILTER_BITS = 27
 #: Bytes of text that are counted at once.
 STEP = 1 << 21
+#: Parts in which a language's phrases are ranked before they meet.
+DEALT = 64
 #: Lower-cased bytes, and what a byte is: of a word (0), a gap between words (1), an end of a piece (2).
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -211,7 +213,10 @@ def collocations(df: DataFrame, max_words: int = 3, min_count: int = 10, cover:
     inside = candidates.where(k > 2).withColumn("at", at).select("lang", _words(F.col("at.i"), F.col("at.i") + F.col("at.n")).alias("phrase"), F.col("a").alias("longer"))
     covered = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = scored.join(covered, ["lang", "phrase"], "left").where(~F.coalesce(100 * F.col("longer") >= cover * F.col("a"), F.lit(False)))
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("best.score"), F.desc("a"), F.col("phrase")]
+    # the best of each of DEALT parts of a language, then the best of those
+    part = F.pmod(F.xxhash64("phrase"), F.lit(DEALT))
+    near = kept.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     # one row a language
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", "n", "best.score")
