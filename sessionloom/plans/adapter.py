@@ -25,7 +25,13 @@ def event_slices(spark: SparkSession, sf_dir: str, folder: str, slices: int = 4,
     stretch = F.floor((at - first) * slices / (last - first + 1)) if first is not None else F.lit(0)
     for k in range(slices):
         rows.where(stretch == k).repartition(files).write.parquet(f"{folder}/{k}")
-    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(folder)
+    return event_files(spark, sf_dir, folder, files)
+
+
+def event_files(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> DataFrame:
+    """Files that ``event_slices`` wrote as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _events(raw: DataFrame) -> DataFrame:

@@ -337,6 +337,7 @@ ORACLES: dict[str, str] = {
     "order_trend": "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS price FROM orders GROUP BY 1) SELECT round(regr_slope(price, day - DATE '1992-01-01'), 4) AS slope, count(*) AS days FROM d",
     "customer_part_paths": "SELECT c_mktsegment, p_brand, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
 }
+ORACLES |= {"streaming_triggers": ORACLES["prediction_triggers"], "rehydrated_states": ORACLES["running_state"]}
 
 ORACLES["streaming_rule_alerts"] = ORACLES["rule_alerts"]
 ORACLES["label_propagation_all"] = ORACLES["label_propagation_step"]

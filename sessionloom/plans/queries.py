@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import has_tail_loop, tail_repeats
 from sessionloom.operators import canonical, features, graph, mining, modelsize, realtime, store, trust, vectors
 from sessionloom.plans import source_queries
-from sessionloom.plans.adapter import agent_log, agent_log_of, canonical_events, event_slices, event_stream, table, turns
+from sessionloom.plans.adapter import agent_log, agent_log_of, canonical_events, event_files, event_slices, event_stream, table, turns
 from sessionloom.plans.oracles import ORACLES
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -335,6 +335,33 @@ def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("session_id", "rule_id", "severity").agg(F.count("*").alias("n"))
 
 
+FOREVER_MS = 366 * 24 * 3_600_000
+
+
+@query("streaming_triggers")
+def _stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When predictions come due, from state kept in the store over four micro-batches."""
+    from sessionloom.streaming import stateful
+    from sessionloom.streaming.sessions import shared_folder
+
+    log = agent_log_of(event_slices(spark, sf_dir, shared_folder(spark, "event-slices")))
+    return stateful.live_rows(log, keep_ms=FOREVER_MS).where("reason IS NOT NULL").select("session_id", "id", "reason")
+
+
+@query("rehydrated_states")
+def _rehydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream stopped after half of the events, its state read back, and another stream that goes on from it: every event with its state."""
+    from sessionloom.streaming import stateful
+    from sessionloom.streaming.sessions import shared_folder
+
+    slices, folder = shared_folder(spark, "event-slices"), shared_folder(spark, "halves")
+    event_slices(spark, sf_dir, slices)
+    first = stateful.run(stateful.live_states(agent_log_of(event_files(spark, sf_dir, f"{slices}/[01]")), keep_ms=FOREVER_MS), f"{folder}/first")
+    kept = stateful.kept_states(spark, f"{folder}/first/checkpoint")
+    second = stateful.run(stateful.live_states(agent_log_of(event_files(spark, sf_dir, f"{slices}/[23]")), keep_ms=FOREVER_MS, initial=kept), f"{folder}/second")
+    return rounded(first.unionByName(second).select("id", "session_id", F.col("version").cast("int").alias("version"), "sum_prompt", "sum_completion", "tool_calls", "read_files", "edits", "retries", "files_read", "files_edited", "usage", "elapsed_ms"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _QUERIES | source_queries.QUERIES
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from sessionloom.operators import canonical, features, graph, learn, modelsize, realtime, store, trust, vectors
 from sessionloom.plans.adapter import agent_log, canonical_events, raw_events, table, turns
 from sessionloom.plans.oracles import EV, LOG, ORACLES
-from sessionloom.sources import agent_logs, chat_patches, session_store, tables, transcripts, workspace
+from sessionloom.sources import agent_logs, chat_patches, session_store, tables, tail, transcripts, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,6 +74,34 @@ def _debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TAILED_FILES, TAILED_STEPS = 16, 3
+
+
+@query(
+    "tailed_log_events",
+    f"""WITH {BASE}, d AS (SELECT *, ['session_start', 'llm_request', 'tool_call', 'agent_response', 'session_end', 'turn_start'][k % 6 + 1] AS kind FROM base)
+    SELECT session_id, CASE kind WHEN 'agent_response' THEN 'edit' ELSE kind END AS type, ts_ms, CASE WHEN kind = 'tool_call' THEN 'read_file' END AS tool, CASE WHEN kind = 'tool_call' THEN 'f' || (k % 7) END AS path, CASE WHEN kind = 'agent_response' THEN 'e' || (k % 9) END AS file,
+      CASE WHEN kind = 'llm_request' THEN k * 10 END::DOUBLE AS prompt_tokens, CASE WHEN kind = 'llm_request' THEN k END::DOUBLE AS completion_tokens, CASE WHEN kind = 'llm_request' THEN 'm' || (k % 4) END AS model, CASE WHEN kind = 'session_start' THEN k * 1000 END::DOUBLE AS model_limit,
+      CASE WHEN kind IN ('tool_call', 'agent_response') THEN k % 4 <> 0 END AS success FROM d WHERE kind <> 'turn_start'""",
+)
+def _tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files that grow between triggers, also within a line; each trigger goes on from the checkpoint, and what all have brought is returned."""
+    from sessionloom.streaming.sessions import shared_folder
+
+    folder = shared_folder(spark, "tailed")
+    lines = _debug_lines(spark, sf_dir).withColumn("file", F.concat(F.lit("b"), F.pmod(F.xxhash64("value"), F.lit(TAILED_FILES)).cast("string"), F.lit("/log.jsonl")))
+    files = tail.placed(lines)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    for step in range(1, TAILED_STEPS + 1):
+        tail.grow(files, f"{folder}/logs", step / TAILED_STEPS)
+        log = tail.tail_log(spark, f"{folder}/logs")
+        log.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(log.schema).parquet(f"{folder}/rows").select("session_id", "type", "ts_ms", "tool", "path", "file", "prompt_tokens", "completion_tokens", "model", "model_limit", "success")
+
+
 LEGACY_KINDS = ("request", "tool", "file_edit", "session_start", "session_end", "noise")
 
 

@@ -116,12 +116,12 @@ EVENT_STATES = (
 _EVENT = ["id", "ts_ms", "type", "tool", "path", "file", "prompt_tokens", "completion_tokens", "model", "model_limit", "success", "diff_lines", "sub_agents"]
 
 
-def _said(value):
+def said(value):
     """None for what pandas has as missing."""
     return None if value is None or value != value else value
 
 
-class _Running:
+class Running:
     """One session's state, moved on by one event at a time."""
 
     def __init__(self, kept: tuple | None):
@@ -184,10 +184,10 @@ def _run(keep_ms: int) -> Callable:
         if state.hasTimedOut:
             state.remove()
             return
-        now = _Running(state.get if state.exists else None)
+        now = Running(state.get if state.exists else None)
         # a trigger's events of one session come in several batches, which are not in order
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts_ms", "id"], kind="stable")
-        out = [now.step({k: _said(v) for k, v in zip(_EVENT, row)}) | {"session_id": key[0]} for row in rows[_EVENT].astype(object).itertuples(index=False)]
+        out = [now.step({k: said(v) for k, v in zip(_EVENT, row)}) | {"session_id": key[0]} for row in rows[_EVENT].astype(object).itertuples(index=False)]
         state.update(now.kept())
         state.setTimeoutTimestamp(max(now.last_ms + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=columns)
