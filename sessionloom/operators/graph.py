@@ -57,7 +57,7 @@ def entities(events: DataFrame) -> dict[str, DataFrame]:
     needs = events.where(is_type("session_start")).select("workspace_id", F.explode("dependencies").alias("name")).distinct()
     files = events.where(is_type(*READS, "edit")).select("session_id", F.nullif(F.coalesce("path", "file"), F.lit("")).alias("path"), is_type("edit").alias("edited"))
     return {
-        "sessions": events.groupBy("session_id").agg(F.first("workspace_id").alias("workspace_id"), F.min("ts_ms").alias("started_ms"), F.max("ts_ms").alias("ended_ms"), F.count("*").alias("events")),
+        "sessions": events.groupBy("session_id").agg(F.min_by("workspace_id", F.struct("ts_ms", "id")).alias("workspace_id"), F.min("ts_ms").alias("started_ms"), F.max("ts_ms").alias("ended_ms"), F.count("*").alias("events")),
         "workspaces": events.select("workspace_id").distinct(),
         "prompts": events.where(is_type("chat")).select("id", "session_id", "ts_ms", "prompt_id", "token_count", "context_token"),
         "completions": events.where(is_type("completion")).select("id", "session_id", "ts_ms", "token_count"),

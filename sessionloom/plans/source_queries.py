@@ -12,6 +12,8 @@ from sessionloom.operators import canonical, features, graph, learn, modelsize,
 from sessionloom.plans.adapter import agent_log, canonical_events, raw_events, table, turns
 from sessionloom.plans.oracles import EV, LOG, ORACLES
 from sessionloom.sources import agent_logs, chat_patches, session_store, tables, tail, transcripts, workspace
+from sessionloom.sources.logged import Store, day_of
+from sessionloom.streaming.sessions import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,12 +84,10 @@ TAILED_FILES, TAILED_STEPS = 16, 3
     f"""WITH {BASE}, d AS (SELECT *, ['session_start', 'llm_request', 'tool_call', 'agent_response', 'session_end', 'turn_start'][k % 6 + 1] AS kind FROM base)
     SELECT session_id, CASE kind WHEN 'agent_response' THEN 'edit' ELSE kind END AS type, ts_ms, CASE WHEN kind = 'tool_call' THEN 'read_file' END AS tool, CASE WHEN kind = 'tool_call' THEN 'f' || (k % 7) END AS path, CASE WHEN kind = 'agent_response' THEN 'e' || (k % 9) END AS file,
       CASE WHEN kind = 'llm_request' THEN k * 10 END::DOUBLE AS prompt_tokens, CASE WHEN kind = 'llm_request' THEN k END::DOUBLE AS completion_tokens, CASE WHEN kind = 'llm_request' THEN 'm' || (k % 4) END AS model, CASE WHEN kind = 'session_start' THEN k * 1000 END::DOUBLE AS model_limit,
-      CASE WHEN kind IN ('tool_call', 'agent_response') THEN k % 4 <> 0 END AS success FROM d WHERE kind <> 'turn_start'""",
+      CASE WHEN kind IN ('tool_call', 'agent_response') THEN CAST(k % 4 <> 0 AS VARCHAR) END AS success FROM d WHERE kind <> 'turn_start'""",
 )
 def _tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log files that grow between triggers, also within a line; each trigger goes on from the checkpoint, and what all have brought is returned."""
-    from sessionloom.streaming.sessions import shared_folder
-
     folder = shared_folder(spark, "tailed")
     lines = _debug_lines(spark, sf_dir).withColumn("file", F.concat(F.lit("b"), F.pmod(F.xxhash64("value"), F.lit(TAILED_FILES)).cast("string"), F.lit("/log.jsonl")))
     files = tail.placed(lines)
@@ -99,7 +99,7 @@ def _tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
         tail.grow(files, f"{folder}/logs", step / TAILED_STEPS)
         log = tail.tail_log(spark, f"{folder}/logs")
         log.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(log.schema).parquet(f"{folder}/rows").select("session_id", "type", "ts_ms", "tool", "path", "file", "prompt_tokens", "completion_tokens", "model", "model_limit", "success")
+    return spark.read.schema(log.schema).parquet(f"{folder}/rows").select("session_id", "type", "ts_ms", "tool", "path", "file", "prompt_tokens", "completion_tokens", "model", "model_limit", F.col("success").cast("string").alias("success"))
 
 
 LEGACY_KINDS = ("request", "tool", "file_edit", "session_start", "session_end", "noise")
@@ -248,18 +248,18 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- workspace files ----------------------------------------------------------------------------------------------
 
-CATALOG = '[{"id":"alpha","name":"A","is_chat_fallback":true,"billing":{"token_prices":{"batch_size":100,"default":{"input_price":2,"output_price":3,"cache_price":1}}}},{"id":"beta-large","capabilities":{"family":"beta"},"model_picker_category":"powerful"},{"id":"gamma","model_picker_price_category":"low"}]'
+CATALOG = '[{"id":"alpha","name":"A","is_chat_fallback":true,"billing":{"token_prices":{"batch_size":100,"default":{"input_price":2,"output_price":3,"cache_price":1}}}},{"id":"beta-large","capabilities":{"family":"beta"},"model_picker_category":"powerful"},{"id":"gamma","family":"gam","model_picker_price_category":"low"}]'
 
 
 @query(
     "model_lookup",
-    f"""WITH {BASE}, m AS (SELECT *, ['alpha', 'alpha-2', 'beta', 'my-beta-x', 'delta', NULL][k % 6 + 1] AS model FROM base)
-    SELECT coalesce(model, '-') AS model, ['alpha', 'alpha', 'beta-large', 'beta-large', '-', '-'][k % 6 + 1] AS model_id, count(*) AS n, round(sum(CASE WHEN k % 6 < 2 THEN (greatest(k * 10 - k, 0) * 2 + k * 3 + k) / 100 ELSE 0 END), 4)::DOUBLE AS cost, count(*) FILTER (k % 6 < 2) AS light FROM m GROUP BY 1, 2""",
+    f"""WITH {BASE}, m AS (SELECT *, ['alpha', 'alpha-2', 'beta', 'my-beta-x', 'delta', NULL, 'my-alpha-x', 'an unknown one', 'a gamma model'][k % 9 + 1] AS model FROM base)
+    SELECT coalesce(model, '-') AS model, ['alpha', 'alpha', 'beta-large', 'beta-large', '-', '-', '-', 'alpha', 'gamma'][k % 9 + 1] AS model_id, count(*) AS n, round(sum(CASE WHEN k % 9 IN (0, 1, 7) THEN (greatest(k * 10 - k, 0) * 2 + k * 3 + k) / 100 ELSE 0 END), 4)::DOUBLE AS cost, count(*) FILTER (k % 9 IN (0, 1, 7, 8)) AS light FROM m GROUP BY 1, 2""",
 )
 def _model_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = workspace.models(spark.createDataFrame([("models.json", CATALOG)], "file string, value string"))
     k = F.col("k").cast("double")
-    wanted = raw_events(spark, sf_dir).select("k", F.get(F.array(*map(F.lit, ("alpha", "alpha-2", "beta", "my-beta-x", "delta", None))), F.col("k") % 6).alias("model"))
+    wanted = raw_events(spark, sf_dir).select("k", F.get(F.array(*map(F.lit, ("alpha", "alpha-2", "beta", "my-beta-x", "delta", None, "my-alpha-x", "an unknown one", "a gamma model"))), F.col("k") % 9).alias("model"))
     rows = workspace.find_models(wanted, catalog).join(F.broadcast(catalog.withColumnRenamed("id", "model_id")), "model_id", "left")
     return rows.groupBy(F.coalesce("model", F.lit("-")).alias("model"), F.coalesce("model_id", F.lit("-")).alias("model_id")).agg(
         F.count("*").alias("n"), F.round(F.sum(workspace.cost(k * 10, k, k)), 4).alias("cost"), F.count(F.when(F.coalesce(workspace.lightweight(), F.lit(False)), 1)).alias("light")
@@ -602,3 +602,53 @@ def _retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph.graph(canonical_events(spark, sf_dir))
     times = nodes.where("type = 'session'").select("node_id", F.when(F.element_at(F.split("node_id", ":u"), 2).cast("int") % 2 == 0, 0).otherwise(10**13).alias("ts_ms"))
     return store.retain_graph(nodes, edges, times, 10**13)[0].where("type = 'session'").agg(F.count("*").alias("sessions"))
+
+
+# --- tables that are changed by commits ----------------------------------------------------------------------------
+
+
+@query(
+    "merged_features",
+    f"WITH {BASE} SELECT session_id, CASE WHEN substr(session_id, 2)::BIGINT % 7 = 0 THEN 2 ELSE 1 END AS version, count(*) AS events, CASE WHEN substr(session_id, 2)::BIGINT % 7 = 0 THEN sum(k) ELSE max(k) END::BIGINT AS value FROM base GROUP BY 1",
+)
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all sessions, then new ones of every seventh: the second merge writes only the buckets of those."""
+    store_ = Store(spark, shared_folder(spark, "merged"))
+    number = F.substring("session_id", 2, 20).cast("bigint")
+    rows = raw_events(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("events"), F.max("k").cast("bigint").alias("first"), F.sum("k").alias("second"))
+    store_.merge("features", rows.select("session_id", F.lit(1).alias("version"), "events", F.col("first").alias("value")), ["session_id"])
+    store_.merge("features", rows.where(number % 7 == 0).select("session_id", F.lit(2).alias("version"), "events", F.col("second").alias("value")), ["session_id"])
+    return store_.read("features")
+
+
+RETAINED_DAYS = 7
+
+
+@query(
+    "pruned_store",
+    f"""WITH {BASE}, c AS (SELECT max(ts_ms) - {RETAINED_DAYS} * 86400000 AS cut FROM base), s AS (SELECT session_id, max(ts_ms) AS last FROM base GROUP BY 1), g AS (SELECT DISTINCT session_id, workspace_id FROM base)
+    SELECT 'events' AS name, id::VARCHAR AS entity, ts_ms FROM base, c WHERE ts_ms >= cut UNION ALL SELECT 'embeddings', session_id, last FROM s, c WHERE last >= cut UNION ALL SELECT 'nodes', session_id, last FROM s, c WHERE last >= cut
+    UNION ALL SELECT 'edges', g.session_id || '>' || workspace_id, NULL FROM g JOIN s USING (session_id), c WHERE last >= cut""",
+)
+def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of events, embeddings and a graph after one prune over all of them: what is left of each."""
+    store_ = Store(spark, shared_folder(spark, "pruned"))
+    rows = raw_events(spark, sf_dir)
+    last = rows.groupBy("session_id").agg(F.max("ts_ms").alias("ts_ms"))
+    store_.append("events", rows.select("id", "ts_ms", "session_id"), day_of("ts_ms"))
+    store_.merge("embeddings", last.select(F.col("session_id").alias("entity_id"), F.col("ts_ms").alias("created_at"), F.array(F.lit(1.0)).alias("vector")), ["entity_id"])
+    nodes = last.select(F.col("session_id").alias("node_id"), "ts_ms").unionByName(rows.select(F.col("workspace_id").alias("node_id"), F.lit(None).cast("bigint").alias("ts_ms")).distinct())
+    store_.merge("nodes", nodes, ["node_id"])
+    store_.append("edges", rows.select(F.col("session_id").alias("source"), F.col("workspace_id").alias("target")).distinct(), F.lit("all"))
+    now = rows.agg(F.max("ts_ms")).first()[0] or 0
+    store_.prune(now, RETAINED_DAYS, others={"embeddings": "created_at"}, nodes="nodes", edges="edges")
+    left = [
+        store_.read("events").select(F.lit("events").alias("name"), F.col("id").cast("string").alias("entity"), "ts_ms"),
+        store_.read("embeddings").select(F.lit("embeddings").alias("name"), F.col("entity_id").alias("entity"), F.col("created_at").alias("ts_ms")),
+        store_.read("nodes").where("ts_ms IS NOT NULL").select(F.lit("nodes").alias("name"), F.col("node_id").alias("entity"), "ts_ms"),
+        store_.read("edges").select(F.lit("edges").alias("name"), F.concat("source", F.lit(">"), "target").alias("entity"), F.lit(None).cast("bigint").alias("ts_ms")),
+    ]
+    out = left[0]
+    for part in left[1:]:
+        out = out.unionByName(part)
+    return out

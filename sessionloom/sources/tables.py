@@ -55,7 +55,7 @@ def write(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
 
 
 def upsert_table(new: DataFrame, root: str, name: str, keys: list[str]) -> None:
-    """New rows in place of old ones with the same keys, as a new version of the table."""
+    """New rows in place of old ones with the same keys, as a new version of the table. For one writer at a time; several, or large tables, use ``logged.Store``, which writes only the buckets that change."""
     spark = new.sparkSession
     old = read(spark, root, name) if _versions(spark, location(root, name)) else new.limit(0)
     write(upsert(old, new, keys), root, name)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 # --- models -------------------------------------------------------------------------------------------------------
 
 _PRICES = "struct<batch_size: double, default: struct<input_price: double, output_price: double, cache_price: double>>"
-_MODELS = f"array<struct<id: string, name: string, vendor: string, model_picker_category: string, model_picker_price_category: string, is_chat_fallback: boolean, capabilities: struct<family: string>, billing: struct<token_prices: {_PRICES}>>>"
+_MODELS = f"array<struct<id: string, name: string, vendor: string, model_picker_category: string, model_picker_price_category: string, is_chat_fallback: boolean, family: string, capabilities: struct<family: string>, billing: struct<token_prices: {_PRICES}>>>"
 
 
 def models(files: DataFrame) -> DataFrame:
@@ -18,19 +18,19 @@ def models(files: DataFrame) -> DataFrame:
     best = rows.groupBy("file", F.col("m.id").alias("id")).agg(F.max_by("m", "pos").alias("m"), F.min("pos").alias("pos"))
     price = F.col("m.billing.token_prices")
     return best.select(
-        "file", "id", "pos", "m.name", "m.vendor", F.col("m.capabilities.family").alias("family"), F.col("m.model_picker_category").alias("category"), F.col("m.model_picker_price_category").alias("price_category"), F.coalesce("m.is_chat_fallback", F.lit(False)).alias("fallback"),
+        "file", "id", "pos", "m.name", "m.vendor", F.coalesce("m.capabilities.family", "m.family", F.lit("unknown")).alias("family"), F.col("m.model_picker_category").alias("category"), F.col("m.model_picker_price_category").alias("price_category"), F.coalesce("m.is_chat_fallback", F.lit(False)).alias("fallback"),
         price["batch_size"].alias("batch_size"), price["default"]["input_price"].alias("input_price"), price["default"]["output_price"].alias("output_price"), price["default"]["cache_price"].alias("cache_price"),
     )
 
 
 def find_models(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
-    """wanted: model. The catalogued model of each: by id, else where one id begins with the other, else by a family in the name; the first in the file of those. A catalog has some dozens of rows and is broadcast."""
+    """wanted: model. The catalogued model of each: by id, else where one of name and id begins with the other, else by a family within the name; the first in the file of those. A catalog has some dozens of rows and is broadcast; names are joined by shuffle unless Spark knows them to be few."""
     names = wanted.select("model").where("model IS NOT NULL").distinct()
     known = F.broadcast(catalog.select("id", "family", "pos"))
-    rank = F.when(F.col("model") == F.col("id"), 0).when(F.col("model").startswith(F.col("id")) | F.col("id").startswith(F.col("model")), 1).when(F.contains(F.col("model"), F.col("id")) | F.contains(F.col("model"), F.col("family")), 2)
+    rank = F.when(F.col("model") == F.col("id"), 0).when(F.col("model").startswith(F.col("id")) | F.col("id").startswith(F.col("model")), 1).when(F.contains(F.col("model"), F.col("family")), 2)
     pairs = names.join(known, rank.isNotNull())
     best = pairs.groupBy("model").agg(F.min(F.struct(rank.alias("rank"), "pos", "id")).alias("b")).select("model", F.col("b.id").alias("model_id"))
-    return wanted.join(F.broadcast(best), "model", "left")
+    return wanted.join(best, "model", "left")
 
 
 def cost(input_tokens: Column, output_tokens: Column, cached: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sessionloom.operators import canonical, features, realtime
 from sessionloom.sources.agent_logs import parse
+from sessionloom.sources.logged import Store, day_of
 
 DELAY = "10 minutes"
 
@@ -211,28 +212,40 @@ def stream_alerts(log: DataFrame, rules: list[realtime.Rule] | None = None, keep
     return realtime.alerts(event_states(log, keep_ms, delay), rules)
 
 
-def start_event_store(log: DataFrame, events_path: str, features_path: str, checkpoint: str, trigger: dict | None = None):
-    """Write canonical events as they come, partitioned by day, and recompute the features of sessions that ended in the batch.
+#: Days of event time after which a silent session is taken to have ended.
+OPEN_DAYS = 30
 
-    A batch's events are appended under its own number, overwriting a failed attempt of the same batch, so a replay after a lost driver adds nothing twice.
-    Beside the events, in ``<events_path>-days``, each batch notes the days of its sessions. From these notes come the days that the ended sessions span, and of the
-    events only those days are read back, by the partition column.
+
+def start_event_store(log: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, name: str = "event-store", open_days: int = OPEN_DAYS):
+    """Write canonical events as they come to the ``events`` table of a ``Store``, by day, and recompute the ``features`` of sessions that ended in the batch.
+
+    The table ``sessions`` has the first and last day of each session that was heard of within ``open_days`` of event time. It says which days of events an ended session needs, and only those are read, so a batch's work grows with the
+    sessions that are open and not with all that were ever kept. A session's features are merged by its id: one that ends twice has those of its whole. Each step notes its batch number in the log, so a replay after a lost driver
+    adds nothing twice. A log without workspace_id has ``live``.
     """
-    days_path = events_path.rstrip("/") + "-days"
 
     def keep(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = canonical.bridge_with_chat(batch.withColumn("workspace_id", F.lit("live"))).withColumn("day", F.to_date(F.timestamp_millis("ts_ms"))).withColumn("batch", F.lit(number))
-        once_each = lambda df, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
-        once_each(rows, "day", "batch").parquet(events_path)
-        stored = spark.read.parquet(events_path)
-        own = stored.where(F.col("batch") == number)
-        once_each(own.select("session_id", F.col("day").alias("on"), "batch").distinct(), "batch").parquet(days_path)
-        ended = own.where("event_type = 'session_end'").select("session_id").distinct()
-        days = [r[0] for r in spark.read.parquet(days_path).join(ended, "session_id", "left_semi").select("on").distinct().collect()]
-        if days:
-            whole = canonical.complete(stored.where(F.col("day").isin(days)).join(ended, "session_id", "left_semi"))
-            once_each(features.session_view(whole).withColumn("batch", F.lit(number)), "batch").parquet(features_path)
+        store = Store(spark, root)
+        workspace = F.col("workspace_id") if "workspace_id" in batch.columns else F.lit("live")
+        rows = canonical.bridge_with_chat(batch.withColumn("workspace_id", workspace)).persist()
+        try:
+            store.append("events", rows, day_of("ts_ms"), (f"{name}/events", number))
+            day = day_of("ts_ms")
+            seen = rows.groupBy("session_id").agg(F.min(day).alias("first"), F.max(day).alias("last"))
+            if "sessions" in store.manifest()["tables"]:
+                seen = store.read("sessions").unionByName(seen).groupBy("session_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+            newest = seen.agg(F.max("last")).first()[0]
+            if newest is not None:
+                store.replace("sessions", seen.where(F.date_diff(F.lit(newest).cast("date"), F.col("last").cast("date")) <= open_days), (f"{name}/sessions", number))
+            ended = rows.where("event_type = 'session_end'").select("session_id").distinct()
+            span = F.explode(F.sequence(F.col("first").cast("date"), F.col("last").cast("date")))
+            days = {str(r[0]) for r in store.read("sessions").join(ended, "session_id", "left_semi").select(span.alias("day")).distinct().collect()} if newest is not None else set()
+            if days:
+                whole = canonical.complete(store.read("events", parts=days.__contains__).join(ended, "session_id", "left_semi"))
+                store.merge("features", features.session_view(whole), ["session_id"], writer=(f"{name}/features", number))
+        finally:
+            rows.unpersist()
 
     return log.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -9,8 +9,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sessionloom.operators import realtime
+from sessionloom.operators import canonical, features, realtime
 from sessionloom.sources import agent_logs, tables
+from sessionloom.sources.logged import Store
 
 T = 1_700_000_000_000
 
@@ -163,11 +164,20 @@ def test_event_store_stream(spark, tmp_path):
     logs = tmp_path / "logs"
     write_log(logs, "a.jsonl", [{"type": "session_start", "at": 0}, {"type": "request", "at": 10, "promptTokens": 500}, {"type": "edit", "at": 20, "file": "x"}, {"type": "session_end", "at": 40}])
     stream = sessions.log_stream(spark, str(logs)).withColumn("id", F.col("ts_ms"))
-    query = sessions.start_event_store(stream, str(tmp_path / "events"), str(tmp_path / "features"), str(tmp_path / "c"))
-    query.awaitTermination()
-    kinds = [r["event_type"] for r in spark.read.parquet(str(tmp_path / "events")).orderBy("ts_ms", "ordinal").collect()]
+    root = str(tmp_path / "store")
+    sessions.start_event_store(stream, root, str(tmp_path / "c")).awaitTermination()
+    store = Store(spark, root)
+    kinds = [r["event_type"] for r in store.read("events").orderBy("ts_ms", "ordinal").collect()]
     assert kinds == ["session_start", "chat", "completion", "accept", "session_end"]
-    assert spark.read.parquet(str(tmp_path / "features")).first()["accept_rate"] == 1
+    assert store.read("features").first()["accept_rate"] == 1
+    # the session goes on the next day and ends again: one row of features, over both days
+    write_log(logs, "b.jsonl", [{"type": "request", "at": 86_400_010, "promptTokens": 7}, {"type": "edit", "at": 86_400_020, "file": "y"}, {"type": "session_end", "at": 86_400_040}])
+    sessions.start_event_store(stream, root, str(tmp_path / "c")).awaitTermination()
+    rows = store.read("features").collect()
+    assert len(rows) == 1 and store.read("events").count() == 9
+    whole = features.session_view(canonical.complete(store.read("events"))).first()
+    assert rows[0].asDict() == whole.asDict()
+    assert [tuple(r) for r in store.read("sessions").select("first", "last").collect()] == [("2023-11-14", "2023-11-15")]
 
 
 def test_stream_alerts_over_several_batches(spark, tmp_path):
