@@ -328,7 +328,8 @@ def first_of_each_class(documents: DataFrame, text: str = "text", doc_id: str =
     key = F.xxhash64(text_or_empty(text))
     left = rows.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("gone_doc")) & (key == F.col("gone_key")), "left_anti")
     if not classes.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
-        left = left.withColumn("own_key", key).dropDuplicates([doc_id, "own_key"]).drop("own_key")
+        # a null text is not an empty one
+        left = left.withColumns({"own_key": key, "own_null": F.col(text).isNull()}).dropDuplicates([doc_id, "own_key", "own_null"]).drop("own_key", "own_null")
     return left.toDF(*names)
 
 

@@ -38,13 +38,20 @@ def _record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
+def target_uri(url: str) -> str:
+    """The url as it is written: what is no visible ASCII character is percent-encoded, all else stays, also what is encoded already."""
+    return "".join(c if "!" <= c <= "~" else urllib.parse.quote(c, safe="") for c in url)
+
+
 def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
     """One WARC/1.1 record: the response with its payload, or a revisit with the HTTP head alone."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (b"" if revisit else payload)
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id, digest)), ("WARC-Date", date)]
     if url is not None:
-        fields.append(("WARC-Target-URI", urllib.parse.quote(url, safe="!#$%&'()*+,/:;=?@[]~")))
+        fields.append(("WARC-Target-URI", target_uri(url)))
+        if target_uri(url) != url:  # as it came, to be read back
+            fields.append(("X-URL", urllib.parse.quote(url, safe="")))
     fields += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if page_id is not None:
         fields.append(("X-Page-ID", str(page_id)))
@@ -71,7 +78,7 @@ def decode_record(record: bytes) -> dict:
     url = fields.get("WARC-Target-URI")
     return {
         "page_id": int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None,
-        "url": None if url is None else urllib.parse.unquote(url),
+        "url": urllib.parse.unquote(fields["X-URL"]) if "X-URL" in fields else url,
         "payload_bytes": length,
         "payload_digest": digest,
         "record_type": kind,

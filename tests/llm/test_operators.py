@@ -380,6 +380,13 @@ def test_warc(spark, tmp_path):
     assert [r["record_type"] for r in doubled] == ["response"] * 2
 
 
+def test_urls_of_records():
+    for url, written in (("http://x/a%20b%C3%A9", None), ("http://x/%", None), ("http://x/é ?q=[1]\n%41", "http://x/%C3%A9%20?q=[1]%0A%41"), ("", None)):
+        record = warc.encode_record(1, url, b"p", None, False, "2024-01-01T00:00:00Z")
+        assert warc.decode_record(record)["url"] == url
+        assert f"WARC-Target-URI: {url if written is None else written}\r\n".encode() in record
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------
 
 
@@ -458,6 +465,8 @@ def test_jaccard_of_rows_without_and_with_repeated_ids(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, near[1]), (3, docs[2][1]), (None, None), (9, "!")], key=str)
     assert sorted(tuple(r) for r in jaccard.first_of_each_class(table(spark, [(1, "A"), (5, "A"), (5, "B")])).select("doc_id", "text").collect()) == [(1, "A"), (5, "B")]
     assert [tuple(r) for r in jaccard.first_of_each_class(table(spark, [(1, "A")] * 3)).select("doc_id", "text").collect()] == [(1, "A")]
+    left = jaccard.first_of_each_class(table(spark, [(9, None), (9, ""), (9, ""), (9, None), (1, "A"), (2, "A")])).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, left))) == ["(1, 'A')", "(9, '')", "(9, None)"]
     # two rows of the only texts without an id
     assert {tuple(r) for r in jaccard.jaccard_classes(table(spark, [(None, near[0]), (None, near[1])])).collect()} == {(None, None, None, 1)}
 
