@@ -63,7 +63,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    # a row a document, written by few tasks and not by those that hold the texts
+    return remove_repeats(_table(spark, sf_dir, "documents")).hint("rebalance")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

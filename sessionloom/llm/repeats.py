@@ -354,7 +354,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     folder = fresh_dir(spark, "repeats")
     runs = rows.select("doc", "t").mapInArrow(tidy(_find_runs(length)), RUNS).repartition(parts, "least").mapInArrow(tidy(_sort_runs), SORTED)
-    runs.write.parquet(folder)
+    # files are made by few tasks that hold nothing else: the tasks that sort have texts in memory
+    runs.hint("rebalance").write.parquet(folder)
     runs = spark.read.parquet(folder)
     unsettled = runs.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "least", "kind")).alias("runs"))
     looked = rows.join(unsettled, "doc").mapInArrow(tidy(_take_bytes(length)), PARTS)
