@@ -11,15 +11,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
-from pyspark.ml.feature import Bucketizer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sessionloom.functions import argmax, ratio, softmax
+from sessionloom.operators import classifiers
 from sessionloom.operators.modelsize import CLASSES
 from sessionloom.operators.trust import drift_report, fit_temperature, population_stability, with_temperature
 from sessionloom.operators.vectors import affinity_sums, knn_shares
@@ -27,6 +28,34 @@ from sessionloom.operators.vectors import affinity_sums, knn_shares
 PER_SAMPLE_C = 100.0
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path).first()[0]
+
+
+def save_model(model, path: str, spark: SparkSession) -> None:
+    """Any model of this module, where Spark can write: what it is, and itself."""
+    path = path.rstrip("/")
+    _write_text(spark, f"{path}/kind", type(model).__name__)
+    if isinstance(model, PipelineModel | classifiers.NumbersModel):
+        model.write().overwrite().save(f"{path}/model")
+    else:
+        model.save(f"{path}/model", spark)
+
+
+def load_model(path: str, spark: SparkSession):
+    """What ``save_model`` has written."""
+    path = path.rstrip("/")
+    kind = _read_text(spark, f"{path}/kind")
+    if kind == "PipelineModel":
+        return PipelineModel.load(f"{path}/model")
+    own = {c.__name__: c for c in (NearestModel, OnlineLogistic, Stack, Temperature, Conformal)}
+    return own[kind].load(f"{path}/model", spark) if kind in own else classifiers.load(f"{path}/model", spark)
+
+
 def with_index(rows: DataFrame, label: str = "label") -> DataFrame:
     """Rows with the class index of a label's name."""
     return rows.withColumn("y", (F.array_position(F.array(*map(F.lit, CLASSES)), F.col(label)) - 1).cast("double"))
@@ -40,24 +69,20 @@ LOG_FEATURES = (
 BOOSTING_ROUNDS, BOOSTING_DEPTH = 200, 6
 
 
-def estimator(kind: str, features: list[str], n: int, classes: int = 3, seed: int = 42, rounds: int = BOOSTING_ROUNDS, depth: int = BOOSTING_DEPTH) -> Pipeline:
-    """A pipeline of kind 'logistic', 'bayes', 'boosting' or 'perceptron' over the features; n is the number of training rows, by which the strength of regularisation goes; rounds and depth are those of boosting."""
-    logs = [f for f in features if f in LOG_FEATURES] if kind == "bayes" else []
-    stages = [SQLTransformer(statement="SELECT *" + "".join(f", ln(1 + greatest(`{f}`, 0)) AS `log_{f}`" for f in logs) + " FROM __THIS__")] if logs else []
-    gather = VectorAssembler(inputCols=[f"log_{f}" if f in logs else f for f in features], outputCol="raw", handleInvalid="keep")
-    scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    common = {"featuresCol": "features", "labelCol": "y", "predictionCol": "predicted"}
-    if kind == "logistic":
-        model = LogisticRegression(family="multinomial", maxIter=500, regParam=1 / (PER_SAMPLE_C * max(n, 1)), probabilityCol="p", standardization=False, **common)
-    elif kind == "bayes":
-        model = NaiveBayes(modelType="gaussian", probabilityCol="p", **common)
-    elif kind == "boosting":
-        model = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed, **common), **common)
-    elif kind == "perceptron":
-        model = MultilayerPerceptronClassifier(layers=[len(features), 64, classes], maxIter=300, seed=seed, probabilityCol="p", **common)
-    else:
+def estimator(kind: str, features: list[str], n: int, classes: int = 3, seed: int = 42, rounds: int = BOOSTING_ROUNDS, depth: int = BOOSTING_DEPTH, epochs: int = 300) -> Estimator:
+    """An estimator of kind 'logistic', 'bayes', 'boosting' or 'perceptron' over the features; n is the number of training rows, by which the strength of regularisation goes; rounds and depth are those of boosting, epochs those of the perceptron."""
+    if kind == "bayes":
+        return classifiers.GaussianBayes(features, [f for f in features if f in LOG_FEATURES], classes=classes)
+    if kind == "boosting":
+        return classifiers.Boosting(features, rounds, depth, classes=classes)
+    if kind == "perceptron":
+        return classifiers.Perceptron(features, epochs=epochs, seed=seed, classes=classes)
+    if kind != "logistic":
         raise ValueError(f"no such kind of model: {kind}")
-    return Pipeline(stages=[*stages, gather, scale, model])
+    gather = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep")
+    scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
+    model = LogisticRegression(family="multinomial", maxIter=500, regParam=1 / (PER_SAMPLE_C * max(n, 1)), probabilityCol="p", standardization=False, featuresCol="features", labelCol="y", predictionCol="predicted")
+    return Pipeline(stages=[gather, scale, model])
 
 
 def fit(rows: DataFrame, kind: str, features: list[str], **settings) -> Model:
@@ -69,21 +94,14 @@ def fit(rows: DataFrame, kind: str, features: list[str], **settings) -> Model:
         for _ in range(10):
             model.partial_fit(rows)
         return model
-    return estimator(kind, features, rows.count(), **settings).fit(rows)
+    return estimator(kind, features, rows.count() if kind == "logistic" else 0, **settings).fit(rows)
 
 
 def predict(model: Model, rows: DataFrame) -> DataFrame:
-    """Rows with predicted index, probabilities as an array, and confidence. Boosting has a margin a class, one against the rest: the logistic function of twice the margin, scaled to a sum of 1."""
-    if isinstance(model, (NearestModel, OnlineLogistic)):
-        out = model.transform(rows)
-    else:
-        out = model.transform(rows)
-        if "p" in out.columns:
-            p = vector_to_array("p")
-        else:
-            odds = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
-            p = F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda s, y: s + y))
-        out = out.withColumn("probabilities", p).drop(*[c for c in out.columns if c.startswith("log_") and c not in rows.columns])
+    """Rows with predicted index, probabilities as an array, and confidence."""
+    out = model.transform(rows)
+    if "probabilities" not in out.columns:
+        out = out.withColumn("probabilities", vector_to_array("p"))
     return out.withColumn("confidence", F.array_max("probabilities")).drop("raw", "features", "rawPrediction", "p")
 
 
@@ -93,13 +111,27 @@ class NearestModel:
     The reference rows stay a DataFrame; means and deviations are one row on the driver.
     """
 
-    def __init__(self, rows: DataFrame, features: list[str], key: str = "session_id", k: int | None = None):
+    def __init__(self, rows: DataFrame | None, features: list[str], key: str = "session_id", k: int | None = None):
         self.features, self.key = features, key
+        if rows is None:  # to be filled by ``load``
+            return
         n, *stats = rows.agg(F.count("*"), *[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
         self.means, self.deviations = [m or 0.0 for m in stats[: len(features)]], [d or 1.0 for d in stats[len(features) :]]
         self.k = k or min(max(3, math.isqrt(n)), max(n, 1))
         self.rows = rows.select(key, F.col("y").cast("int").alias("label"), self._scaled().alias("embedding"))
 
+    def save(self, path: str, spark: SparkSession) -> None:
+        """The reference rows as Parquet, the rest as one row of JSON."""
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        _write_text(spark, f"{path}/told", json.dumps({"features": self.features, "key": self.key, "k": self.k, "means": self.means, "deviations": self.deviations}))
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> NearestModel:
+        told = json.loads(_read_text(spark, f"{path}/told"))
+        model = cls(None, told["features"], told["key"])
+        model.k, model.means, model.deviations, model.rows = told["k"], told["means"], told["deviations"], spark.read.parquet(f"{path}/rows")
+        return model
+
     def _scaled(self) -> Column:
         return F.array(*[(F.col(f) - m) / d for f, m, d in zip(self.features, self.means, self.deviations)])
 
@@ -158,6 +190,18 @@ class Stack:
         return predict(self.meta, wide)
 
 
+    def save(self, path: str, spark: SparkSession) -> None:
+        for kind, model in self.bases.items():
+            save_model(model, f"{path}/bases/{kind}", spark)
+        save_model(self.meta, f"{path}/meta", spark)
+        _write_text(spark, f"{path}/told", json.dumps({"kinds": list(self.bases), "temperatures": self.temperatures, "key": self.key}))
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> Stack:
+        told = json.loads(_read_text(spark, f"{path}/told"))
+        return cls({k: load_model(f"{path}/bases/{k}", spark) for k in told["kinds"]}, told["temperatures"], load_model(f"{path}/meta", spark), told["key"])
+
+
 def _calibrated(predicted: DataFrame, kind: str, temperature: float, key: str) -> DataFrame:
     p = with_temperature(F.col("probabilities"), temperature)
     return predicted.select(key, *[F.get(p, F.lit(i)).alias(f"{kind}_{i}") for i in range(3)])
@@ -234,6 +278,65 @@ def conformal_reject(predicted: DataFrame, scores: DataFrame, alpha: float = 0.1
     return rows.withColumn("p_value", (F.col("at_least") + 1) / (F.col("n") + 1)).withColumn("rejected", 1 - F.col("confidence") > F.col("threshold")).drop("strange", "at_least", "threshold", "n")
 
 
+#: Share of the rows by whose predictions temperatures and thresholds are fitted; the others are what the model learns from.
+HELD_OUT = 0.3
+
+
+def held_out(rows: DataFrame, key: str = "session_id", share: float = HELD_OUT) -> tuple[DataFrame, DataFrame]:
+    """(rows to learn from, rows to calibrate with), parted by a hash of the key."""
+    out = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1000)) < int(1000 * share)
+    return rows.where(~out), rows.where(out)
+
+
+class Temperature:
+    """One number by which a model's log probabilities are divided."""
+
+    def __init__(self, value: float):
+        self.value = value
+
+    @classmethod
+    def fit(cls, rows: DataFrame, kind: str, features: list[str], key: str = "session_id", **settings) -> Temperature:
+        """The value that suits a model of the other rows best on those held out."""
+        learnt, out = held_out(rows, key)
+        predicted = predict(fit(learnt, kind, features, **settings), out)
+        return cls(fit_temperature(predicted.select(F.col("y").cast("int").alias("actual"), "probabilities")))
+
+    def transform(self, predicted: DataFrame) -> DataFrame:
+        p = with_temperature(F.col("probabilities"), self.value)
+        return predicted.withColumn("probabilities", p).withColumn("confidence", F.array_max("probabilities"))
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        _write_text(spark, path, json.dumps(self.value))
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> Temperature:
+        return cls(json.loads(_read_text(spark, path)))
+
+
+class Conformal:
+    """Rejection of what looks stranger than a share of the calibration rows; their scores are counted by value."""
+
+    def __init__(self, scores: DataFrame, alpha: float = 0.1):
+        self.scores, self.alpha = scores, alpha
+
+    @classmethod
+    def fit(cls, rows: DataFrame, kind: str, features: list[str], alpha: float = 0.1, key: str = "session_id", **settings) -> Conformal:
+        """Scores of the rows held out, by a model of the others."""
+        learnt, out = held_out(rows, key)
+        return cls(conformal_scores(predict(fit(learnt, kind, features, **settings), out)).checkpoint(), alpha)
+
+    def transform(self, predicted: DataFrame) -> DataFrame:
+        return conformal_reject(predicted, self.scores, self.alpha)
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        self.scores.write.mode("overwrite").parquet(f"{path}/scores")
+        _write_text(spark, f"{path}/told", json.dumps(self.alpha))
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> Conformal:
+        return cls(spark.read.parquet(f"{path}/scores"), json.loads(_read_text(spark, f"{path}/told")))
+
+
 # --- labels from few labels ---------------------------------------------------------------------------------------
 
 
