@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
@@ -167,7 +168,8 @@ def fold_count(rows: DataFrame) -> int:
 def out_of_fold(rows: DataFrame, kind: str, features: list[str], key: str = "session_id", **settings) -> DataFrame:
     """Predictions of each row by a model that has not seen its fold."""
     k = fold_count(rows)
-    dealt, out = folds(rows, k, key), None
+    # every fold reads it several times
+    dealt, out = folds(rows, k, key).checkpoint(), None
     for i in range(k):
         part = predict(fit(dealt.where(F.col("fold") != i), kind, features, **settings), dealt.where(F.col("fold") == i))
         out = part if out is None else out.unionByName(part)
@@ -417,18 +419,71 @@ class OnlineLogistic:
         return model
 
     def partial_fit(self, batch: DataFrame) -> None:
-        """One step on a batch with ``y``; the first batch sets the features' scale for good."""
+        """One step on a batch with ``y``; the first batch with rows sets the features' scale for good. A batch without rows changes nothing."""
+        rows = batch.where(F.col("y").isNotNull()).select(F.col("y").cast("int").alias("y"), classifiers.inputs(self.features).alias("x"))
+        d = len(self.features)
         if self.scale is None:
-            row = batch.agg(*[F.struct(F.avg(f), F.stddev_pop(f)) for f in self.features]).first()
-            self.scale = [(m or 0.0, s or 1.0) for m, s in row]
-        rows = batch.select(self.probabilities().alias("p"), self._inputs().alias("x"), "y")
-        n = len(self.features) + 1
-        sums = rows.agg(*[F.avg((F.get("p", F.lit(c)) - F.when(F.col("y") == c, 1.0).otherwise(0.0)) * F.get("x", F.lit(i))) for c in range(3) for i in range(n)]).first()
-        for c in range(3):
-            for i in range(n):
-                g = (sums[c * n + i] or 0.0) + self.l2 * self.weights[c][i]
-                self.squares[c][i] += g * g
-                self.weights[c][i] -= self.rate * g / self.squares[c][i] ** 0.5
+            stats = rows.agg(F.count("*"), *[F.struct(F.avg(F.get("x", F.lit(i))), F.stddev_pop(F.get("x", F.lit(i)))) for i in range(d)]).first()
+            if not stats[0]:
+                return
+            self.scale = [(m or 0.0, s or 1.0) for m, s in stats[1:]]
+        weights, (means, deviations) = np.array(self.weights), np.array(self.scale).T
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            total = np.zeros(3 * (d + 1) + 1)
+            for part in batches:
+                if part.num_rows:
+                    x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                    x = np.hstack([(x - means) / deviations, np.ones((len(x), 1))])
+                    p = classifiers.softmax_rows(x @ weights.T)
+                    p[np.arange(len(x)), part.column("y").to_numpy()] -= 1
+                    total += np.r_[(p.T @ x).reshape(-1), len(x)]
+            return total
+
+        total = classifiers.summed(rows, sums, 3 * (d + 1) + 1)
+        if not total[-1]:
+            return
+        g = total[:-1].reshape(3, d + 1) / total[-1] + self.l2 * weights
+        squares = np.array(self.squares) + g * g
+        self.weights, self.squares = (weights - self.rate * g / np.sqrt(squares)).tolist(), squares.tolist()
+
+
+def _batches(path: str, spark: SparkSession) -> list[int]:
+    """Numbers of the batches whose model is whole, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+    whole = lambda n: files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return sorted(int(n[6:]) for n in names if n.startswith("batch=") and whole(n))
+
+
+def latest_online(path: str, spark: SparkSession) -> OnlineLogistic | None:
+    """The model after the last batch that a stream has learnt from."""
+    known = _batches(path, spark)
+    return OnlineLogistic.load(f"{path}/batch={known[-1]}", spark) if known else None
+
+
+def learn_from_stream(stream: DataFrame, features: list[str], path: str, checkpoint: str, rate: float = 0.1, l2: float = 0.001, keep: int = 3, trigger: dict | None = None):
+    """Start a stream whose every micro-batch is one step of an ``OnlineLogistic``.
+
+    The model after a batch is written under the batch's number, so a batch that comes again after a failure is not learnt twice: the step starts from the batch before, and is left out where its own model is whole.
+    The last ``keep`` models stay.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = _batches(path, spark)
+        if number in known:
+            return
+        before = [k for k in known if k < number]
+        model = OnlineLogistic.load(f"{path}/batch={before[-1]}", spark) if before else OnlineLogistic(features, rate, l2)
+        model.partial_fit(batch)
+        model.save(f"{path}/batch={number}", spark)
+        for old in before[: max(0, len(before) + 1 - keep)]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={old}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def importance(rows: DataFrame, features: list[str]) -> DataFrame:

@@ -652,3 +652,51 @@ def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in left[1:]:
         out = out.unionByName(part)
     return out
+
+
+# --- learners -----------------------------------------------------------------------------------------------------
+
+_WIDTH = 64
+_POINTS = f"""x AS (SELECT vec_id, label % 3 AS y, unnest(range({_WIDTH})) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"""
+
+
+def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    names = [f"e{i}" for i in range(_WIDTH)]
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    return rows, names
+
+
+@query(
+    "gaussian_bayes",
+    f"""WITH {_POINTS}, s AS (SELECT 1e-6 * max(v) AS e FROM (SELECT var_pop(v) AS v FROM x GROUP BY i)), m AS (SELECT y AS c, i, avg(v) AS mean, var_pop(v) + any_value(e) AS var FROM x, s GROUP BY 1, 2),
+    n AS (SELECT label % 3 AS c, ln(count(*) / (SELECT count(*) FROM embeddings)) AS prior FROM embeddings GROUP BY 1),
+    l AS (SELECT vec_id, c, any_value(prior) + sum(-0.5 * ln(2 * pi() * var) - 0.5 * (v - mean) * (v - mean) / var) AS l FROM x JOIN m USING (i) JOIN n USING (c) GROUP BY 1, 2),
+    p AS (SELECT vec_id, c, exp(l - max(l) OVER (PARTITION BY vec_id)) AS e FROM l) SELECT vec_id, c::INT AS class, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM p""",
+)
+def _bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = _points(spark, sf_dir)
+    found = learn.fit(rows, "bayes", names).transform(rows)
+    return found.select("vec_id", F.posexplode("probabilities").alias("class", "p")).withColumn("p", F.round("p", 6))
+
+
+@query(
+    "online_step",
+    f"""WITH {_POINTS}, t AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM x GROUP BY 1), z AS (SELECT y, i, (v - m) / s AS z FROM x JOIN t USING (i) UNION ALL SELECT label % 3, {_WIDTH}, 1 FROM embeddings),
+    g AS (SELECT c, i, avg((1.0::DOUBLE / 3 - (y = c)::INT) * z) AS g FROM z, range(3) AS k(c) GROUP BY 1, 2) SELECT c::INT AS class, i::INT AS i, round(-0.1 * g / sqrt(1e-8 + g * g), 5) AS weight FROM g""",
+)
+def _online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of the online learner over the whole table as a stream of one micro-batch."""
+    folder = shared_folder(spark, "online")
+    schema = table(spark, sf_dir, "embeddings").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/embeddings.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet")
+    names = [f"e{i}" for i in range(_WIDTH)]
+    rows = stream.select((F.col("label") % 3).alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    learn.learn_from_stream(rows, names, f"{folder}/model", f"{folder}/checkpoint").awaitTermination()
+    model = learn.latest_online(f"{folder}/model", spark)
+    weights = [(c, i, round(float(w), 5)) for c, own in enumerate(model.weights) for i, w in enumerate(own)] if model else []
+    return spark.createDataFrame(weights, "class int, i int, weight double")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()

@@ -164,3 +164,37 @@ def test_in_a_pipeline(frame, tmp_path):
     model.write().overwrite().save(str(tmp_path / "p"))
     again = PipelineModel.load(str(tmp_path / "p"))
     assert np.array_equal(predicted(model, frame)[0], predicted(again, frame)[0])
+
+
+def test_learning_from_a_stream(spark, tmp_path, data):
+    """A batch that comes again is not learnt twice, and the model is that of the same steps by hand."""
+    x, y = data
+    names = list("abcd")
+    for k in range(3):
+        spark.createDataFrame([(int(c), *map(float, r)) for r, c in zip(x[60 * k : 60 * k + 60], y[60 * k : 60 * k + 60])], "y int, a double, b double, c double, d double").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("y int, a double, b double, c double, d double").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    learn.learn_from_stream(stream, names, f"{tmp_path}/m", f"{tmp_path}/c").awaitTermination()
+    by_hand = learn.OnlineLogistic(names)
+    for k in range(3):
+        by_hand.partial_fit(spark.read.parquet(f"{tmp_path}/in/{k}"))
+    got = learn.latest_online(f"{tmp_path}/m", spark)
+    assert np.allclose(got.weights, by_hand.weights, atol=1e-12) and got.scale == by_hand.scale
+    # a checkpoint that was lost: all batches come again, and are known
+    learn.learn_from_stream(stream, names, f"{tmp_path}/m", f"{tmp_path}/c2").awaitTermination()
+    assert learn.latest_online(f"{tmp_path}/m", spark).weights == got.weights
+    by_hand.partial_fit(spark.read.parquet(f"{tmp_path}/in/0").limit(0))
+    assert np.allclose(got.weights, by_hand.weights, atol=1e-12)
+
+
+def test_a_step_is_the_mean_gradient(spark, frame, data):
+    x, y = data
+    model = learn.OnlineLogistic(list("abcd"), rate=0.5, l2=0.01)
+    w, squares = np.zeros((3, 5)), np.full((3, 5), 1e-8)
+    z = np.hstack([(x - x.mean(0)) / x.std(0), np.ones((200, 1))])
+    for _ in range(3):
+        model.partial_fit(frame)
+        p = np.exp(z @ w.T) / np.exp(z @ w.T).sum(1, keepdims=True)
+        g = (p - np.eye(3)[y]).T @ z / 200 + 0.01 * w
+        squares += g * g
+        w = w - 0.5 * g / np.sqrt(squares)
+    assert np.allclose(model.weights, w, atol=1e-9)
