@@ -1,4 +1,8 @@
-"""Nearest neighbours by inner product over randomly rotated one-bit codes with error bounds."""
+"""Nearest neighbours by inner product over randomly rotated one-bit codes with error bounds.
+
+The first code has the signs of a vector's rotated components; each further one has the signs of what the codes before leave. Estimates from more codes have narrower bounds, and a pair is
+looked at by a further code only where the bound of those before lets it through; what passes all of them is reranked on the original vectors.
+"""
 
 from __future__ import annotations
 
@@ -15,19 +19,21 @@ from sessionloom.llm.common import cut
 
 #: Queries that one pass over the codes answers; they are broadcast, at 8 bytes a dimension.
 QUERY_BLOCK = 16_384
+#: One-bit codes of a vector.
+CODES = 6
 #: Bits to which a rotated query's components are rounded.
-QUERY_BITS = 4
+QUERY_BITS = 8
 #: Width of the error bound in standard deviations of the estimate.
-EPSILON = 3.0
+EPSILON = 4.0
+#: Times k: the estimates from which a query's first floor is taken.
+FLOOR_TRIES = 4
 #: Pairs of query and code that one vectorised step handles.
 STEP_PAIRS = 1 << 18
 #: Pairs whose original vectors are compared at once: small enough for a core's cache.
 EXACT_PAIRS = 4096
-#: Share of a block's pairs to be reranked beyond which a matrix product does it.
-DENSE_SHARE = 1 / 64
 SEED = 20240527
 
-INDEX = "vec_id long, vector binary, code binary, radius double, agreement double, shift double"
+INDEX = "vec_id long, vector binary, code binary, scalars binary, radius double"
 
 
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +85,30 @@ def _centre(df: DataFrame, vector: str, dim: int) -> np.ndarray:
     return mean
 
 
-def build_index(embeddings: DataFrame, vec_id: str, vector: str, dim: int, centre: np.ndarray) -> DataFrame:
-    """One-bit codes of every vector that takes part.
+def encode_vectors(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (rows, CODES, words of 64 bits) of rotated unit vectors, and scalars (rows, 3, CODES): the weight of each code, and for the first j codes what
+    their sum is multiplied by for an unbiased estimate, and the standard deviation of that for a query of length 1.
 
-    A vector is centred, scaled to length 1 and rotated; the code has the signs of its components. Kept with it are
-    the distance to the centre (radius), the inner product of the unit vector and its code's vector (agreement), and the
-    inner product of the centre with itself is the query's matter (shift: 0 for a vector at the centre, else 1).
+    With c the weighted sum of codes and r what it leaves of the vector u, the inner product with a query is <q, c> + <q, r>. The part of r along u has the share <u, r> of the wanted product; the rest meets the query
+    at random, as the rotation is random.
     """
+    n, dim = unit.shape
+    left, codes, scalars = unit.copy(), [], np.zeros((n, 3, CODES))
+    for j in range(CODES):
+        signs = left > 0
+        weight = np.abs(left).mean(1)
+        left -= weight[:, None] * np.where(signs, 1.0, -1.0)
+        packed = np.packbits(signs, axis=1)
+        codes.append(np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64))
+        along = np.minimum((unit * left).sum(1), 0.999)
+        gain = 1 / (1 - along)
+        across = np.sqrt(np.maximum((left * left).sum(1) - along * along, 0))
+        scalars[:, :, j] = np.stack([weight, gain, gain * across / np.sqrt(max(dim - 1, 1))], 1)
+    return np.stack(codes, 1), scalars
+
+
+def build_index(embeddings: DataFrame, vec_id: str, vector: str, dim: int, centre: np.ndarray) -> DataFrame:
+    """One-bit codes of every vector that takes part: it is centred, scaled to length 1, rotated and encoded (see ``encode_vectors``); with the codes go their scalars and the distance to the centre."""
     turn = rotation(dim)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,19 +117,27 @@ def build_index(embeddings: DataFrame, vec_id: str, vector: str, dim: int, centr
             ids = batch.column("vec_id").take(pa.array(at))
             off = x - centre
             radius = np.sqrt((off * off).sum(1))
-            unit = off / np.where(radius > 0, radius, 1)[:, None] @ turn
-            agreement = np.abs(unit).sum(1) / np.sqrt(dim)
-            codes = np.packbits(unit > 0, axis=1)
-            codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(radius), pa.array(np.maximum(agreement, 1e-9)), pa.array((radius > 0).astype(float))],
-                names=["vec_id", "vector", "code", "radius", "agreement", "shift"],
-            )
+            codes, scalars = encode_vectors(off / np.where(radius > 0, radius, 1)[:, None] @ turn)
+            binary = [pa.array([v.tobytes() for v in part], pa.binary()) for part in (x, codes, scalars)]
+            yield pa.RecordBatch.from_arrays([ids, *binary, pa.array(radius)], names=["vec_id", "vector", "code", "scalars", "radius"])
 
     rows = embeddings.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
     return rows.mapInArrow(encode, INDEX)
 
 
+class Codes:
+    """The coded vectors of one Arrow batch."""
+
+    def __init__(self, batch: pa.RecordBatch, dim: int):
+        self.ids = batch.column("vec_id").to_numpy()
+        n = len(self.ids)
+        self.vectors = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float64).reshape(-1, dim)
+        self.codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint64).reshape(n, CODES, -(-dim // 64))
+        self.ones = np.bitwise_count(self.codes).sum(2).astype(np.float64)
+        self.weight, self.gain, self.spread = np.frombuffer(b"".join(batch.column("scalars").to_pylist()), np.float64).reshape(n, 3, CODES).transpose(1, 2, 0)
+        self.radius = batch.column("radius").to_numpy()
+
+
 class QueryBlock:
     """Queries made ready for estimates: rotated components in bit planes, with what turns sums of bits into inner products."""
 
@@ -118,24 +149,36 @@ class QueryBlock:
         low, high = turned.min(1), turned.max(1)
         self.low, self.step = low, np.where(high > low, (high - low) / ((1 << QUERY_BITS) - 1), 1)
         level = np.rint((turned - low[:, None]) / self.step[:, None]).astype(np.uint8)
-        self.sum = (level.astype(np.float64) * self.step[:, None] + low[:, None]).sum(1)
-        # rounding moves the inner product with a sign vector by no more than this
-        self.slack = np.abs(level * self.step[:, None] + low[:, None] - turned).sum(1) / np.sqrt(dim)
+        rounded = level * self.step[:, None] + low[:, None]
+        self.sum = rounded.sum(1)
+        # rounding moves the inner product with a vector of signs by no more than this
+        self.slack = np.abs(rounded - turned).sum(1)
         planes = [np.packbits((level >> b) & 1, axis=1) for b in range(QUERY_BITS)]
         self.planes = [np.ascontiguousarray(np.pad(p, ((0, 0), (0, -p.shape[1] % 8)))).view(np.uint64) for p in planes]
 
-    def estimate(self, rows: slice, codes: np.ndarray, ones: np.ndarray, radius: np.ndarray, agreement: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        """Estimates of the inner products of some queries with some coded vectors, and bounds of their errors."""
-        bits = np.zeros((len(self.planes[0][rows]), len(codes)), np.int32)
-        for b in reversed(range(len(self.planes))):
+    def first(self, rows: slice, of: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For some queries and all vectors of a batch, by the first code: the sum so far, the estimate of the inner product, and the bound of its error."""
+        bits = np.zeros((len(self.ids[rows]), len(of.ids)), np.int32)
+        for b in reversed(range(QUERY_BITS)):
             bits <<= 1
-            for w in range(codes.shape[1]):
-                bits += np.bitwise_count(self.planes[b][rows, w, None] & codes[None, :, w])
-        signed = 2 * (bits * self.step[rows, None] + ones * self.low[rows, None]) - self.sum[rows, None]
-        scale = radius / agreement
-        value = self.with_centre[rows, None] + signed * (scale / np.sqrt(dim))
-        spread = np.sqrt(np.maximum(1 - agreement * agreement, 0)) * scale * (EPSILON / np.sqrt(max(dim - 1, 1)))
-        return value, self.norm[rows, None] * spread + self.slack[rows, None] * scale
+            for w in range(of.codes.shape[2]):
+                bits += np.bitwise_count(self.planes[b][rows, w, None] & of.codes[None, :, 0, w])
+        signed = 2 * (bits * self.step[rows, None] + of.ones[:, 0] * self.low[rows, None]) - self.sum[rows, None]
+        so_far = signed * of.weight[0]
+        value = self.with_centre[rows, None] + so_far * (of.radius * of.gain[0])
+        return so_far, value, self.slack[rows, None] * (of.radius * of.gain[0] * of.weight[0]) + self.norm[rows, None] * (EPSILON * of.radius * of.spread[0])
+
+    def further(self, j: int, q: np.ndarray, v: np.ndarray, so_far: np.ndarray, of: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for single pairs, with code j (from 0) added."""
+        bits = np.zeros(len(q), np.int32)
+        for b in reversed(range(QUERY_BITS)):
+            bits <<= 1
+            for w in range(of.codes.shape[2]):
+                bits += np.bitwise_count(self.planes[b][q, w] & of.codes[v, j, w])
+        signed = 2 * (bits * self.step[q] + of.ones[v, j] * self.low[q]) - self.sum[q]
+        so_far = so_far + signed * of.weight[j, v]
+        value = self.with_centre[q] + so_far * (of.radius[v] * of.gain[j, v])
+        return so_far, value, self.slack[q] * (of.radius[v] * of.gain[j, v] * of.weight[: j + 1, v].sum(0)) + self.norm[q] * (EPSILON * of.radius[v] * of.spread[j, v])
 
 
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -147,46 +190,59 @@ def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def _search(shipped, k: int, dim: int):
+def _search(shipped, k: int, dim: int, counted: dict | None = None):
+    """Answers a block of queries over the codes; ``counted`` gets the pairs that each code has let through, and those reranked."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: QueryBlock = shipped.value
         n = len(block.ids)
+        count = counted if counted is not None else {}
         #: no more than the k-th best score so far of each query
         floor = np.full(n, -np.inf)
         kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         for batch in batches:
-            vec = batch.column("vec_id").to_numpy()
-            raw = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float64).reshape(-1, dim)
-            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint64).reshape(len(vec), -1)
-            ones = np.bitwise_count(codes).sum(1)
-            radius, agreement = batch.column("radius").to_numpy(), batch.column("agreement").to_numpy()
+            of = Codes(batch, dim)
             found = [kept]
-            width = max(1, STEP_PAIRS // max(1, len(vec)))
+            width = max(1, STEP_PAIRS // max(1, len(of.ids)))
             for at in range(0, n, width):
                 rows = slice(at, min(n, at + width))
-                value, error = block.estimate(rows, codes, ones, radius, agreement, dim)
-                value[block.ids[rows, None] == vec[None, :]] = -np.inf
-                if len(vec) > k and not np.isfinite(floor[rows]).all():
-                    # exact scores of the k best estimates: no more than the k-th of them is needed to be among the best
-                    top = np.argpartition(value, len(vec) - k, axis=1)[:, len(vec) - k :]
-                    score = exact_scores(block.vectors, np.repeat(np.arange(rows.start, rows.stop), k), raw, top.reshape(-1)).reshape(-1, k)
-                    score[~np.isfinite(np.take_along_axis(value, top, 1))] = -np.inf
-                    floor[rows] = np.maximum(floor[rows], score.min(1))
-                near = value + error >= floor[rows, None]
-                near &= np.isfinite(value)
-                if near.mean() > DENSE_SHARE:
-                    # rerank the block as one matrix product; what may be among the k best after its rounding is scored in order below
-                    product = np.where(near, block.vectors[rows] @ raw.T, -np.inf)
-                    least = floor[rows]
-                    if len(vec) > k:
-                        least = np.maximum(least, np.partition(product, len(vec) - k, axis=1)[:, len(vec) - k])
-                    near = product >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None]
-                    near &= np.isfinite(product)
-                q, v = np.nonzero(near)
-                q += at
-                score = exact_scores(block.vectors, q, raw, v)
-                best = _best(q, vec[v], score, k)
-                found.append([q[best], vec[v][best], score[best]])
+                so_far, value, error = block.first(rows, of)
+                other = block.ids[rows, None] != of.ids[None, :]
+                m = min(FLOOR_TRIES * k, len(of.ids) - 1)
+                if m > k and not np.isfinite(floor[rows]).all():
+                    # of the best estimates by all codes, the k-th lower bound is a floor
+                    value[~other] = -np.inf
+                    top = np.argpartition(value, len(of.ids) - m, axis=1)[:, len(of.ids) - m :]
+                    tq, tv = np.repeat(np.arange(at, rows.stop), m), top.reshape(-1)
+                    part = np.take_along_axis(so_far, top, 1).reshape(-1)
+                    for j in range(1, CODES):
+                        part, estimate, bound = block.further(j, tq, tv, part, of)
+                    lower = np.where(np.isfinite(np.take_along_axis(value, top, 1)), (estimate - bound).reshape(-1, m), -np.inf)
+                    floor[rows] = np.maximum(floor[rows], np.partition(lower, m - k, axis=1)[:, m - k])
+                q, v = np.nonzero((value + error >= floor[rows, None]) & other)
+                so_far, q = so_far[q, v], q + at
+                count["pairs"] = count.get("pairs", 0) + value.size
+                count[1] = count.get(1, 0) + len(q)
+                for j in range(1, CODES):
+                    so_far, value, error = block.further(j, q, v, so_far, of)
+                    near = value + error >= floor[q]
+                    q, v, so_far, value, error = q[near], v[near], so_far[near], value[near], error[near]
+                    count[j + 1] = count.get(j + 1, 0) + len(q)
+                # the k best estimates are reranked first, for a floor that leaves out most others
+                best = _best(q, of.ids[v], value, k)
+                score = np.full(len(q), np.nan)
+                score[best] = exact_scores(block.vectors, q[best], of.vectors, v[best])
+                full = np.bincount(q[best], minlength=n) >= k
+                least = np.full(n, np.inf)
+                np.minimum.at(least, q[best], score[best])
+                floor = np.where(full, np.maximum(floor, least), floor)
+                rest = np.flatnonzero(np.isnan(score) & (value + error >= floor[q]))
+                score[rest] = exact_scores(block.vectors, q[rest], of.vectors, v[rest])
+                ranked = np.flatnonzero(~np.isnan(score))
+                count["reranked"] = count.get("reranked", 0) + len(ranked)
+                q, v, score = q[ranked], v[ranked], score[ranked]
+                best = _best(q, of.ids[v], score, k)
+                found.append([q[best], of.ids[v][best], score[best]])
             kept = [np.concatenate(x) for x in zip(*found)]
             best = _best(*kept, k)
             kept = [x[best] for x in kept]
@@ -203,9 +259,9 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, vec_id: str
     """Each query's k vectors of the largest inner product, by one-bit codes and an exact rerank.
 
     Both tables have vec_id and an array of numbers; the vector of the query's own vec_id is no candidate. Every
-    vector is coded; estimates come from the packed bits (queries rounded to 4 bits a component) and the correction
-    scalars, and a vector is reranked on the original numbers if the upper bound of its estimate reaches the k-th best score
-    that its partition has seen. Queries go in blocks of ``query_block``, each broadcast to one pass over the codes;
+    vector is coded; estimates come from the packed bits (queries rounded to 8 bits a component) and the correction
+    scalars, and a vector is reranked on the original numbers if the upper bounds of its estimates, by one code and then by more, reach the k-th best score
+    that its partition has seen. A bound is four standard deviations wide, so a neighbour is missed with a probability of some 0.00003 where it is the last of the k, and less where it is nearer. Queries go in blocks of ``query_block``, each broadcast to one pass over the codes;
     a pass sends k rows per query and partition to the final choice, so no group is gathered whole.
 
     Vectors that are null, all zero, of another length than the most frequent one, or have null or non-finite

@@ -557,3 +557,32 @@ def test_nearest(spark):
     few = frame.where("vec_id IN (0, 20, 40)")
     assert nearest.nearest(few, few).groupBy("query_id").count().where("count = 2").count() == 3
     assert nearest.nearest(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def test_codes_choose_what_is_reranked():
+    """On vectors without structure, where bounds have the least to hold on to, the codes leave few pairs, and no neighbour is lost."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    ids, centre = np.arange(2000), x.mean(0)
+    off = x - centre
+    radius = np.sqrt((off * off).sum(1))
+    codes, scalars = nearest.encode_vectors(off / radius[:, None] @ nearest.rotation(64))
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 500]), *(pa.array([v.tobytes() for v in p[i : i + 500]], pa.binary()) for p in (x, codes, scalars)), pa.array(radius[i : i + 500])], names=["vec_id", "vector", "code", "scalars", "radius"]) for i in range(0, 2000, 500)]
+
+    class Shipped:
+        value = nearest.QueryBlock(ids[::20], x[::20], centre)
+
+    counted = {}
+    (found,) = nearest._search(Shipped, 20, 64, counted)(iter(batches))
+    scores = x[::20] @ x.T
+    scores[np.arange(100), ids[::20]] = -9
+    best = {int(q): set(np.argsort(-s)[:20].tolist()) for q, s in zip(ids[::20], scores)}
+    got = {}
+    for q, v in zip(found["query_id"].to_pylist(), found["vec_id"].to_pylist()):
+        got.setdefault(q, set()).add(v)
+    assert got == best
+    shares = [counted[j] / counted["pairs"] for j in range(1, nearest.CODES + 1)]
+    assert shares == sorted(shares, reverse=True) and counted["reranked"] / counted["pairs"] < 0.1
