@@ -222,24 +222,42 @@ def counterfactual(rows: DataFrame, decide_, features: list[str], steps: int = 1
     return found.groupBy(key).agg(F.min_by(F.struct("feature", "changed_to", "decision"), F.struct(-F.col("value"), "feature", "step")).alias("c")).select(key, "c.*")
 
 
-def permutation_importance(rows: DataFrame, decide_, features: list[str], actual: str = "actual", key: str = "entity_id", seed: int = 42, rounds: int = 5, buckets: int = 64) -> DataFrame:
-    """Mean loss of accuracy, and its deviation over the rounds, when a feature's values come from other rows, drawn with replacement.
-
-    Rows are dealt to buckets by a hash, so no task ranks all of them; each row draws a row of its bucket by rank in each round, an exchange instead of a product.
+def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Rows with a number from 0 in an order over all of them: sorted by range, numbered within a range, and moved by the rows of the ranges before, of which the driver sees only the counts."""
+    spark = rows.sparkSession
+    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    place = F.shiftright("at", 33)
+    counts = sorted(at.groupBy(place.alias("p")).count().collect())
+    bases, so_far = [], 0
+    for p, n in counts:
+        bases.append((p, so_far - (p << 33)))
+        so_far += n
+    base = F.broadcast(spark.createDataFrame(bases, "p bigint, base bigint"))  # a row a range
+    return at.withColumn("p", place).join(base, "p").withColumn(name, F.col("at") + F.col("base")).drop("p", "at", "base")
+
+
+def draw(key: str, seed: int, round_: Column, n: int) -> Column:
+    """The number of the row that a row draws in a round, of all n."""
+    return F.pmod(F.xxhash64(key, F.lit(seed), round_), F.lit(n))
+
+
+def permutation_importance(rows: DataFrame, decide_, features: list[str], actual: str = "actual", key: str = "entity_id", seed: int = 42, rounds: int = 5) -> DataFrame:
+    """Mean loss of accuracy, and its deviation over the rounds, when a feature's values come from other rows, drawn with replacement from all.
+
+    Rows are numbered over all partitions (see ``numbered``), and each draws a number in each round, so one equi-join on numbers brings what is drawn. ``decide_`` builds the decision from a dict of columns.
+    No rows give no importance.
     """
     columns = {f: F.col(f).cast("double") for f in features}
+    rows = numbered(rows.select(key, actual, *features), [key])
+    n = rows.count()
     base = rows.agg(F.avg((decide_(columns) == F.col(actual)).cast("double")).alias("base"))
-    bucket = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets))
-    own = Window.partitionBy("bucket")
-    mine = rows.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(own.orderBy(key))).withColumn("size", F.count("*").over(own))
-    given = mine.select("bucket", F.col("rank").alias("drawn"), *[F.col(f).cast("double").alias(f"o_{f}") for f in features])
-    out = None
-    for r in range(rounds):
-        drawn = F.pmod(F.xxhash64(key, F.lit(seed), F.lit(r)), F.col("size")) + 1
-        hits = mine.withColumn("drawn", drawn.cast("int")).join(given, ["bucket", "drawn"]).agg(*[F.avg((decide_({**columns, f: F.col(f"o_{f}")}) == F.col(actual)).cast("double")).alias(f) for f in features])
-        part = hits.unpivot([], features, "feature", "accuracy")
-        out = part if out is None else out.unionAll(part)
-    return out.groupBy("feature").agg(F.avg("accuracy").alias("a"), F.stddev_pop("accuracy").alias("deviation")).crossJoin(base).select("feature", (F.col("base") - F.col("a")).alias("importance"), "deviation")
+    given = rows.select(F.col("number").alias("drawn"), *[F.col(f).cast("double").alias(f"o_{f}") for f in features])
+    asked = rows.drop("number").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("drawn", draw(key, seed, F.col("round"), max(n, 1)))
+    hit = lambda f: F.avg((decide_({**columns, f: F.col(f"o_{f}")}) == F.col(actual)).cast("double"))
+    hits = asked.join(given, "drawn").groupBy("round").agg(*[hit(f).alias(f) for f in features])
+    each = hits.unpivot(["round"], features, "feature", "accuracy")
+    # one row
+    return each.groupBy("feature").agg(F.avg("accuracy").alias("a"), F.stddev_pop("accuracy").alias("deviation")).crossJoin(base).select("feature", (F.col("base") - F.col("a")).alias("importance"), "deviation")
 
 
 # --- whole decisions and shadow runs --------------------------------------------------------------------------------
