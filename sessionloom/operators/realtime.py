@@ -200,6 +200,14 @@ def timeline(log: DataFrame) -> DataFrame:
     return changes.withColumn("held_ms", F.lead("ts_ms").over(order) - F.col("ts_ms"))
 
 
+def annotated(log: DataFrame) -> DataFrame:
+    """Every event with the phase it leaves the session in, and where that is another than before, ``annotation``: from what to what."""
+    order = Window.partitionBy("session_id").orderBy("ts_ms", "id")
+    before = F.coalesce(F.lag("phase").over(order), F.lit("Idle"))
+    rows = phases(log).withColumn("before", before)
+    return rows.withColumn("annotation", F.when(F.col("phase") != F.col("before"), F.concat("before", F.lit(" -> "), "phase"))).drop("before")
+
+
 def render_timeline(rows: DataFrame) -> DataFrame:
     """One text per session: a line for each change of phase."""
     line = F.concat(F.col("ts_ms").cast("string"), F.lit(" "), F.rpad("phase", 12, " "), F.lit(" <- "), "type")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import has_tail_loop, tail_repeats
 from sessionloom.operators import canonical, features, graph, mining, modelsize, realtime, store, trust, vectors
-from sessionloom.plans import source_queries
+from sessionloom.plans import source_queries, whole_queries  # noqa: F401 the second registers its queries
 from sessionloom.plans.adapter import agent_log, agent_log_of, canonical_events, event_files, event_slices, event_stream, table, turns
 from sessionloom.plans.oracles import ORACLES
 
