@@ -33,70 +33,69 @@ def splitters(rows: DataFrame, targets: list[float], slack: float) -> list[tuple
     """The keys (major, minor, row) at which the bytes below come within ``slack`` of each target, or else next to it.
 
     ``rows`` has long columns of LEVELS and size. A round puts PROBES candidates between the bounds of every open
-    target, counts the exact bytes between neighbouring candidates over all partitions, and narrows the bounds. Where
-    a single value holds more than the slack, the same goes on over the next level within it. What comes to the driver
+    target, counts the exact bytes between neighbouring candidates over all partitions, and narrows the bounds. Where a single row holds more than the slack, the nearer side of it is taken; where
+    rows of a single value do, the same goes on over the next level within that value, for all such values in the same rounds. What comes to the driver
     is PROBES sums per target and round, and there are as many targets as shards, less one, however many rows.
     """
     done: dict[int, tuple[int, ...]] = {}
-
-    def level(rows: DataFrame, prefix: tuple[int, ...], open_: dict[int, int]) -> None:
-        """Find the splitters of targets (number: bytes below these rows) among rows with these values of the levels before."""
-        key = LEVELS[len(prefix)]
-        low, high = rows.agg(F.min(key), F.max(key)).first()
-        state = {i: (low, high + 1, below) for i, below in open_.items()}
-        deeper: dict[int, dict[int, int]] = {}
-        last = len(prefix) == len(LEVELS) - 1
+    # targets by the values that their key is known to begin with: number and bytes below those rows
+    waiting: dict[tuple[int, ...], dict[int, int]] = {(): dict.fromkeys(range(len(targets)), 0)} if targets else {}
+    for depth, key in enumerate(LEVELS):
+        if not waiting:
+            break
+        prefixes = sorted(waiting)
+        group = F.lit(None).cast("int")
+        for g, prefix in enumerate(prefixes):
+            inside = F.lit(True)
+            for name, value in zip(LEVELS, prefix):
+                inside &= F.col(name) == value
+            group = F.when(inside, g).otherwise(group)
+        level = rows.select(group.alias("g"), F.col(key).alias("k"), "size").where("g IS NOT NULL")
+        ends = {r["g"]: (r["low"], r["high"] + 1) for r in level.groupBy("g").agg(F.min("k").alias("low"), F.max("k").alias("high")).collect()}
+        state = {i: (g, *ends[g], below) for g, prefix in enumerate(prefixes) for i, below in waiting[prefix].items()}
+        deeper: dict[tuple[int, ...], dict[int, int]] = {}
         while state:
-            state = _round(
-                rows,
-                key,
-                state,
-                targets,
-                slack,
-                lambda i, at: done.__setitem__(i, (*prefix, at) + (_LOWEST,) * (len(LEVELS) - 1 - len(prefix))),
-                None if last else lambda i, at, below: deeper.setdefault(at, {}).__setitem__(i, below),
-            )
-        for value, of in deeper.items():
-            level(rows.where(F.col(key) == value), (*prefix, value), of)
-
-    if targets:
-        level(rows, (), {i: 0 for i in range(len(targets))})
+            closed, deep, state = _round(level, state, targets, slack, depth == len(LEVELS) - 1)
+            for i, (g, at) in closed.items():
+                done[i] = (*prefixes[g], at) + (_LOWEST,) * (len(LEVELS) - 1 - depth)
+            for i, (g, at, below) in deep.items():
+                deeper.setdefault((*prefixes[g], at), {})[i] = below
+        waiting = deeper
     return [done[i] for i in range(len(targets))]
 
 
-def _round(rows, key, state, targets, slack, close, descend):
-    """One round: counts between candidates of all open targets; returns the narrowed bounds of those still open."""
+def _round(level: DataFrame, state: dict[int, tuple[int, int, int, int]], targets: list[float], slack: float, last: bool):
+    """One round over rows of g, k and size: counts between candidates of all open targets (group, bounds, bytes below). Returns the targets that are found, those to be sought within a value, and the others with narrower bounds."""
     # open bounds never overlap in part
-    edges = sorted({(lo, hi) for lo, hi, _ in state.values()})
-    widths = [max(1, -(-(hi - lo) // PROBES)) for lo, hi in edges]
+    edges = sorted({(g, lo, hi) for g, lo, hi, _ in state.values()})
+    widths = [max(1, -(-(hi - lo) // PROBES)) for _, lo, hi in edges]
     grid = {edge: (n, width) for n, (edge, width) in enumerate(zip(edges, widths))}
-    at = _reached([(lo,) for lo, _ in edges], F.col(key)) - 1
-    low, high, width = (F.get(F.lit([int(x) for x in xs]).cast("array<bigint>"), F.col("n")) for xs in ([lo for lo, _ in edges], [hi for _, hi in edges], widths))
-    found = rows.select(at.alias("n"), F.col(key).alias("k"), "size").where((F.col("n") >= 0) & (F.col("k") < high))
-    cells = found.groupBy("n", F.call_function("div", F.col("k") - low, width).alias("cell")).agg(F.sum("size").alias("bytes"))
-    counted: dict[int, dict[int, int]] = {}
+    at = _reached([(g, lo) for g, lo, _ in edges], F.col("g"), F.col("k")) - 1
+    of = lambda numbers: F.get(F.lit([int(x) for x in numbers]).cast("array<bigint>"), F.col("n"))
+    found = level.select(at.alias("n"), "g", "k", "size").where((F.col("n") >= 0) & (F.col("g") == of(g for g, _, _ in edges)) & (F.col("k") < of(hi for _, _, hi in edges)))
+    cells = found.groupBy("n", F.call_function("div", F.col("k") - of(lo for _, lo, _ in edges), of(widths)).alias("cell")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    counted: dict[int, dict[int, tuple[int, int]]] = {}
     for r in cells.collect():
-        counted.setdefault(r["n"], {})[r["cell"]] = r["bytes"]
-    left = {}
-    for i, (lo, hi, below) in state.items():
-        n, width = grid[(lo, hi)]
+        counted.setdefault(r["n"], {})[r["cell"]] = (r["bytes"], r["rows"])
+    closed, deep, left = {}, {}, {}
+    for i, (g, lo, hi, below) in state.items():
+        n, width = grid[(g, lo, hi)]
         for cell in sorted(counted.get(n, {})):
-            weight = counted[n][cell]
+            weight, held = counted[n][cell]
             if below + weight > targets[i]:
                 break
             below += weight
         at = lo + cell * width
-        if targets[i] - below <= slack:
-            close(i, at)
-        elif below + weight - targets[i] <= slack:
-            close(i, at + width)
+        under, over = targets[i] - below, below + weight - targets[i]
+        if under <= slack or ((held == 1 or (last and width == 1)) and under <= over):
+            closed[i] = (g, at)
+        elif over <= slack or held == 1 or (last and width == 1):
+            closed[i] = (g, at + width)
         elif width > 1:
-            left[i] = (at, min(hi, at + width), below)
-        elif descend:
-            descend(i, at, below)
-        else:  # one row: the nearer side
-            close(i, at if targets[i] - below <= below + weight - targets[i] else at + 1)
-    return left
+            left[i] = (g, at, min(hi, at + width), below)
+        else:
+            deep[i] = (g, at, below)
+    return closed, deep, left
 
 
 def histogram_shards(df: DataFrame, n_shards: int, text: str = "text", doc_id: str = "doc_id", tolerance: float = TOLERANCE) -> DataFrame:
