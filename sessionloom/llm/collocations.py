@@ -16,7 +16,7 @@ from sessionloom.llm.common import buffers, fresh_dir, mix, same_spans, span_has
 #: Bits of the broadcast filter of frequent phrases, as a power of two: 16 MB, whatever the corpus.
 FILTER_BITS = 27
 #: Bytes of text that are counted at once.
-STEP = 1 << 21
+STEP = 1 << 20
 #: Parts in which a language's phrases are ranked before they meet.
 DEALT = 64
 #: Lower-cased bytes, and what a byte is: of a word (0), a gap between words (1), an end of a piece (2).
@@ -160,7 +160,7 @@ def level_tables(df: DataFrame, max_words: int = 3, min_count: int = 10, text: s
     """Counts (lang, phrase, f) of all phrases of 1, 2, ... words with f >= min_count; the first table also has all words' number under a null phrase.
 
     Level k is a pass over the texts: a phrase is emitted only if its first and its last k - 1 words are in the filter of the level before; what a task
-    has counted of 2 MB of text at a time is summed by phrase before and after the exchange. The filter is a bitmap of fixed size, built in
+    has counted of 1 MB of text at a time is summed by phrase before and after the exchange. The filter is a bitmap of fixed size, built in
     Spark and broadcast; how full it is changes the work, never the counts. Each table is written to the shared folder.
     """
     spark = df.sparkSession
