@@ -6,10 +6,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sessionloom.operators import mining
-from sessionloom.operators.features import failure_classes
+from sessionloom.operators import mining, vectors
+from sessionloom.operators.features import failure_classes, prompt_features, session_view
 from sessionloom.sources import chat_patches, transcripts, workspace
+from sessionloom.sources.logged import Store
 
 
 def summary(events: DataFrame) -> DataFrame:
@@ -34,7 +36,11 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return _files(spark, path, glob).select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    """Lines with their number in the file, from 0. Files are read by lines and in splits, so none has to fit in a row; the number follows the place of the split and the order within it."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    order = Window.partitionBy("file").orderBy("block", "at")
+    return rows.select("file", (F.row_number().over(order) - 1).alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
 def scan(spark: SparkSession, chats: str | None = None, models: str | None = None, prompts: str | None = None, tools: str | None = None, editing: str | None = None, runs: str | None = None, host: str | None = None) -> dict[str, DataFrame]:
@@ -61,6 +67,16 @@ def scan(spark: SparkSession, chats: str | None = None, models: str | None = Non
     return out
 
 
+def embed_all(events: DataFrame, store: Store, created_at: int, model: str = "features", version: int = 1, table: str = "embeddings") -> int:
+    """Vectors of all sessions and prompts of these events, merged into the store: entity_type, entity_id, model, version, created_at, vector. One row an entity and model; returns the store's version."""
+    made = [
+        vectors.session_vectors(session_view(events)).select(F.lit("session").alias("entity_type"), F.col("session_id").alias("entity_id"), "vector"),
+        vectors.prompt_vectors(prompt_features(events)).where("prompt IS NOT NULL").select(F.lit("prompt").alias("entity_type"), F.col("prompt").alias("entity_id"), "vector"),
+    ]
+    rows = made[0].unionByName(made[1]).select("entity_type", "entity_id", F.lit(model).alias("model"), F.lit(version).alias("version"), F.lit(created_at).cast("bigint").alias("created_at"), "vector")
+    return store.merge(table, rows, ["entity_type", "entity_id", "model"])
+
+
 # --- evaluation by a language model: what is asked and what is made of answers; asking is the caller's matter ----------
 
 

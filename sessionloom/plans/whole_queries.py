@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.operators import features, graph, learn, mining, modelsize, realtime, trust, vectors
+from sessionloom.plans import analysis
 from sessionloom.plans.adapter import agent_log, agent_log_of, canonical_events, event_slices, table
 from sessionloom.plans.oracles import LOG, ORACLES
 from sessionloom.plans.source_queries import _BRIDGED, KNN_FEATURES, _distributions, query
@@ -30,6 +31,16 @@ def _prompt_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("prompt", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round("x", 4))
 
 
+@query("stored_embeddings", f"WITH s AS ({ORACLES['session_embedding'].strip()}) SELECT 'session' AS entity_type, session_id AS entity_id, 'features' AS model, CASE WHEN substr(session_id, 2)::INT < 5 THEN 2 ELSE 1 END AS version, pos, x FROM s")
+def _stored_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors computed for all sessions and prompts and kept with model and version, then again for the first sessions as version 2; those of sessions are read back."""
+    store, events = Store(spark, shared_folder(spark, "embeddings")), canonical_events(spark, sf_dir)
+    analysis.embed_all(events, store, 1)
+    analysis.embed_all(events.where(F.substring("session_id", 2, 20).cast("int") < 5), store, 2, version=2)
+    rows = store.read("embeddings").where("entity_type = 'session'")
+    return rows.select("entity_type", "entity_id", "model", "version", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
 _CLASSES = ORACLES["failure_classes"].strip()
 _PROOF = {"retry_loop": "retryBurstScore,retryRate", "context_explosion": "contextExpansionSpeed", "wrong_context": "workflowEntropy,retryRate", "user_cancel": "nothing was accepted and the last event is a reject", "none": ""}
 

@@ -37,6 +37,22 @@ def test_scan(spark, tmp_path):
     assert [r["event_type"] for r in got["transcript_events"].orderBy("line_no").collect()] == ["session_start", "session_end"]
 
 
+def test_line_numbers(spark, tmp_path):
+    """Lines keep their numbers where a file is read in many splits."""
+    (tmp_path / "a.log").write_text("".join(f"line {k}\r\n" if k % 2 else f"line {k}\n" for k in range(3000)) + "\nlast")
+    (tmp_path / "b.log").write_text("one\n\nthree")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000")
+    try:
+        got = analysis._lines(spark, str(tmp_path), "*.log").collect()
+    finally:
+        spark.conf.set(name, before)
+    rows = {(r["file"].rpartition("/")[2], r["line_no"]): r["value"] for r in got}
+    assert [rows["a.log", k] for k in range(3002)] == [f"line {k}" for k in range(3000)] + ["", "last"]
+    assert [rows["b.log", k] for k in range(3)] == ["one", "", "three"] and len(rows) == 3005
+
+
 def test_evaluator(spark):
     row = spark.createDataFrame([('a """quoted""" task', 2, 1, "d")], "task string, tool_calls int, files int, final_diff string").select(analysis.evaluator_prompt()).first()[0]
     assert 'a "quoted" task' in row
