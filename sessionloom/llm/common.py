@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,39 @@ def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return run
 
 
+def filesystem_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or url, and the path there."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """df written to the shared folder by Python workers and read back: its lineage is cut as by ``cut``, but executors' JVMs create no files.
+
+    On local file systems a JVM starts a command for every file that it creates, to set its permissions, and for that moment may count twice; where many tasks with much in memory write, that is what fills an executor.
+    A task's file has a name of its own and is listed only if the task succeeds, so attempts that fail leave nothing that is read.
+    """
+    spark, folder = df.sparkSession, fresh_dir(df.sparkSession, "stash")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, path = filesystem_of(folder)
+        writer = sink = None
+        name = f"{uuid.uuid4().hex}.parquet"
+        for batch in batches:
+            if batch.num_rows:
+                if writer is None:
+                    filesystem.create_dir(path, recursive=True)
+                    sink = filesystem.open_output_stream(f"{path}/{name}")
+                    writer = pq.ParquetWriter(sink, batch.schema)
+                writer.write_batch(batch)
+        if writer is not None:
+            writer.close()
+            sink.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    names = [r[0] for r in df.mapInArrow(tidy(write), "name string").collect()]  # one a task
+    return spark.read.schema(df.schema).parquet(*[f"{folder}/{n}" for n in names]) if names else spark.createDataFrame([], df.schema)
+
+
 def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Arrow batches of fewer rows than the usual 10,000, since rows hold whole texts; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import Words, cut, mix, ngrams, same_spans, span_hashes, steps, text_or_empty, tidy, words
+from sessionloom.llm.common import mix, ngrams, same_spans, span_hashes, stash, steps, text_or_empty, tidy, Words, words
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -193,8 +193,8 @@ def _verify(members: list[tuple], band: int, across: bool, threshold: float, n:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b): the least node connected with it. Large and small stars in turn, each two aggregations and joins, cut by a checkpoint; nothing is gathered per node."""
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    """(node, root) for every node of the undirected edges (a, b): the least node connected with it. Large and small stars in turn, each two aggregations and joins, each round written; nothing is gathered per node."""
+    edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -202,7 +202,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b")
-        edges = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        edges = stash(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -218,7 +218,7 @@ def _classes(documents: DataFrame, text: str, doc_id: str, n: int, threshold: fl
     """``jaccard_classes`` with text_key and root, a number of the class (null for a wordless text)."""
     bands, rows = choose_bands(threshold, recall)
     node = ["node", "node_low"]
-    signed = cut(signatures(documents, text, doc_id, n, bands, rows))
+    signed = stash(signatures(documents, text, doc_id, n, bands, rows))
     nodes = (
         signed.where("node IS NOT NULL")
         .groupBy(*node)
@@ -280,7 +280,7 @@ def _classes(documents: DataFrame, text: str, doc_id: str, n: int, threshold: fl
         if len(members) > 1:
             yield _rows(_verify(list(members.values()), now[0], now[2] != now[3], threshold, n), LINKS_ARROW)
 
-    links = cut(dealt.mapInArrow(tidy(verify), LINKS))
+    links = stash(dealt.mapInArrow(tidy(verify), LINKS))
     roots = connected(links.select(_number("node", "node_low").alias("a"), _number("root", "root_low").alias("b")))
     summed = links.groupBy(*node).agg(F.sum("links").alias("links"))
     known = nodes.select(*node, "copy_of", "copies", _number(*node).alias("number")).join(summed, node, "left").join(roots.withColumnRenamed("node", "number"), "number", "left").withColumn("root", F.coalesce("root", "number"))

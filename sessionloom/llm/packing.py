@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionloom.llm.common import cut, steps, text_or_empty, tidy
+from sessionloom.llm.common import stash, steps, text_or_empty, tidy
 from sessionloom.llm.tokens import encoder
 
 #: A kind of sequence: the lengths in it, in order, and how many sequences are of the kind.
@@ -205,7 +205,7 @@ def pack(documents: DataFrame, tokenizer_file: str, text: str = "text", doc_id:
     repeated rows are packed each; an empty table gives no rows. Other columns are ignored.
     """
     spark = documents.sparkSession
-    pieces = cut(token_pieces(documents, tokenizer_file, text, doc_id, capacity, end_id))
+    pieces = stash(token_pieces(documents, tokenizer_file, text, doc_id, capacity, end_id))
     per_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
     for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect():

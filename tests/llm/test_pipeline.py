@@ -83,7 +83,7 @@ def test_toxicity_without_usable_labels_keeps_all(spark, tmp_path, rows):
 def test_oracles(spark, name):
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
-    for t in "documents embeddings pages benchmark labels".split():
+    for t in "documents embeddings pages benchmark labels conversations".split():
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = queries.queries()[name](spark, DATA).toPandas(), connection.sql(queries.oracle_sql()[name]).df()
     rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df.notna(), None).to_dict("records")))
