@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from sessionloom.llm.common import buffers, ngrams, steps, text_or_empty, tidy, words
 
@@ -70,7 +71,7 @@ def _scan(shipped):
                 columns["dc_words"] = pa.array(np.diff(found.first), pa.int64())
                 if hits:
                     columns["dc_spans"] = pa.array([[dict(zip(("from_word", "to_word", "from_byte", "to_byte"), s)) for s in map(_four, x)] or None for x in spans], SPANS)
-                    columns["dc_items"] = pa.array([x or None for x in items], pa.list_(pa.int64()))
+                    columns["dc_items"] = pa.array([x or None for x in items], rows.schema.field("dc_items").type)
                 yield pa.RecordBatch.from_arrays([columns[n] for n in rows.schema.names], names=rows.schema.names)
 
     return scan
@@ -119,7 +120,7 @@ def _with_later(rows: DataFrame, later: DataFrame) -> DataFrame:
                 for k in at:
                     spans[k] = [dict(zip(("from_word", "to_word", "from_byte", "to_byte"), s)) for s in _union(spans[k] or [], list(map(_four, new_spans[k])))]
                     items[k] = sorted({*(items[k] or []), *new_items[k]})
-                columns |= {"dc_spans": pa.array(spans, SPANS), "dc_items": pa.array(items, pa.list_(pa.int64()))}
+                columns |= {"dc_spans": pa.array(spans, SPANS), "dc_items": pa.array(items, batch.schema.field("dc_items").type)}
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     return joined.mapInArrow(tidy(merge), rows.schema)
@@ -133,7 +134,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     on the words themselves. Items whose text exceeds ``broadcast_bytes`` together are scanned for in several passes,
     each in tasks of its own with a broadcast below that bound (a longer single item makes a pass alone); their hits meet by the text's digest.
 
-    Item ids are integers. An item without an id hits as any other and is in no list of ids.
+    Item ids that are whole numbers stay so; others are strings. An item without an id hits as any other and is in no list of ids.
 
     Returns the columns of ``documents`` and dc_words, dc_hit_words, dc_items (item ids that occur, ascending),
     dc_spans (hit word runs, with their bytes), dc_contaminated. ``remove='spans'`` also cuts the bytes of hit runs from
@@ -141,8 +142,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     alike; an empty benchmark hits nothing. Columns named dc_* in the input are replaced.
     """
     spark = documents.sparkSession
-    spans_of = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("t"))
-    rows = documents.withColumns({"dc_text": text_or_empty(text), "dc_words": F.lit(None).cast("long"), "dc_spans": F.lit(None).cast(_SPANS_SQL), "dc_items": F.lit(None).cast("array<bigint>")})
+    kind = "bigint" if isinstance(benchmark.schema[item_id].dataType, IntegralType) else "string"
+    spans_of = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast(kind).alias("id"), F.col(item_text).cast("string").alias("t"))
+    rows = documents.withColumns({"dc_text": text_or_empty(text), "dc_words": F.lit(None).cast("long"), "dc_spans": F.lit(None).cast(_SPANS_SQL), "dc_items": F.lit(None).cast(f"array<{kind}>")})
     schema = rows.schema
     ids, texts, size, later = [], [], 0, None
 
@@ -167,7 +169,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
         rows = _with_later(scanned, _also(later, rows, windows(), schema))
     spans = F.coalesce("dc_spans", F.array().cast(_SPANS_SQL))
     out = rows.withColumns(
-        {"dc_spans": spans, "dc_items": F.coalesce("dc_items", F.array().cast("array<bigint>")), "dc_hit_words": F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["to_word"] - s["from_word"]), "dc_contaminated": F.size(spans) > 0}
+        {"dc_spans": spans, "dc_items": F.coalesce("dc_items", F.array().cast(f"array<{kind}>")), "dc_hit_words": F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["to_word"] - s["from_word"]), "dc_contaminated": F.size(spans) > 0}
     )
     if remove == "documents":
         out = out.where("NOT dc_contaminated")

@@ -586,3 +586,12 @@ def test_codes_choose_what_is_reranked():
     assert got == best
     shares = [counted[j] / counted["pairs"] for j in range(1, nearest.CODES + 1)]
     assert shares == sorted(shares, reverse=True) and counted["reranked"] / counted["pairs"] < 0.1
+
+
+@pytest.mark.parametrize("broadcast_bytes", [decontamination.BROADCAST_BYTES, 50])
+def test_items_with_names(spark, broadcast_bytes):
+    """Ids that are no numbers are strings, in one pass and in several."""
+    items = [("q-1", "alpha beta gamma"), ("q-2", "one two three four five six seven eight nine ten eleven"), (None, "no name here")]
+    docs = [(1, "say Alpha, beta gamma; one two three four five six seven eight nine ten"), (2, "no name here"), (3, None)]
+    found = decontamination.decontaminate(table(spark, docs), spark.createDataFrame(items, "item_id string, text string"), broadcast_bytes=broadcast_bytes)
+    assert {r["doc_id"]: (r["dc_items"], r["dc_hit_words"]) for r in found.collect()} == {1: (["q-1", "q-2"], 13), 2: ([], 3), 3: ([], 0)}
