@@ -51,6 +51,15 @@ def summed(rows: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     return out
 
 
+#: Rows for which a task of its own is worth while.
+TASK_ROWS = 20_000
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """n rows in no more tasks than they are worth: passes over them are many and short."""
+    return rows.coalesce(max(1, -(-n // TASK_ROWS)))
+
+
 class _Writer(MLWriter):
     def __init__(self, model: NumbersModel):
         super().__init__()
@@ -201,7 +210,7 @@ class Perceptron(Estimator):
         if not n:
             raise ValueError("no rows to learn from")
         means, deviations = np.array(stats[:d]), np.array([s or 1.0 for s in stats[d:]])
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(self.steps))).checkpoint()
+        rows = _dealt(rows.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(self.steps))), n).checkpoint()
         sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
         w, adam, losses = first_weights(d, hidden, classes, self.seed), Adam((d + classes + 1) * hidden + classes, self.rate), []
 
@@ -322,10 +331,10 @@ class Boosting(Estimator):
             return batch.column("y").to_numpy(), np.frombuffer(parts[0], np.uint8).reshape(-1, d).astype(np.int64), np.frombuffer(parts[1], np.float64).reshape(-1, classes)
 
         schema = "y int, bins binary, scores binary"
-        rows = rows.mapInArrow(prepare, schema).checkpoint()
         n = rows.count()
         if not n:
             raise ValueError("no rows to learn from")
+        rows = _dealt(rows.mapInArrow(prepare, schema), n).checkpoint()
         trees: list = []
         losses: list[float] = []
         written = 0
