@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -176,8 +178,8 @@ def features_from_traces(traces: DataFrame) -> DataFrame:
     )
 
 
-#: What a trace's context tokens, calls, files, thoughts and lines of diff add to its complexity.
-TRACE_WEIGHTS = {"contextTokens": 3 / 20000, "calls": 0.5, "files": 0.7, "thoughts": 0.4, "diff": 0.02}
+#: What a trace's calls, files, thoughts and lines of diff add to its complexity, beside 3 for each 20,000 context tokens. Decimals, so that a product such as 3 files of 0.7 is 2.1 and not the double below it.
+TRACE_WEIGHTS = {"calls": Decimal("0.5"), "files": Decimal("0.7"), "thoughts": Decimal("0.4"), "diff": Decimal("0.02")}
 
 
 def _is_test(path: Column) -> Column:
@@ -197,7 +199,7 @@ def trace_evaluation(traces: DataFrame) -> DataFrame:
         F.size("reasoningSteps").alias("thoughts"),
         F.exists(changed, _is_test).alias("has_tests"),
     )
-    raw = sum((F.col(c) * w for c, w in TRACE_WEIGHTS.items()), F.lit(0.0))
+    raw = sum((F.col(c) * F.lit(w) for c, w in TRACE_WEIGHTS.items()), F.col("contextTokens") / 20000 * 3)
     rows = rows.withColumn("complexity", F.least(F.lit(10), F.greatest(F.lit(1), F.floor(raw + 0.5))))
     small = (F.col("complexity") <= 4) & (F.col("files") <= 3) & (F.col("calls") <= 5)
     notes = {
