@@ -48,12 +48,21 @@ def similar_to(vectors: DataFrame, entity, k: int = 5, key: str = "vec_id", vect
 #: Rows that one pass broadcasts, about: rows are dealt to passes by a hash of their key. Beyond so many bytes of vectors a pass has fewer.
 PASS_ROWS = 4_096
 PASS_BYTES = 32 << 20
+#: Numbers of a matrix of rows by broadcast rows that a task has at a time, and neighbours that it keeps for all queries of a pass.
+SLICE_CELLS = 1 << 20
+PASS_FOUND = 1 << 19
 
 
-def _passes(rows: DataFrame, key: str, vector: str) -> list[DataFrame]:
-    """Parts of the rows, each of about PASS_ROWS rows, or fewer if their vectors are long: what one broadcast holds."""
+def _slices(n: int, across: int) -> list[slice]:
+    """Rows of a batch, as many at a time as SLICE_CELLS allows beside so many broadcast rows."""
+    step = max(1, SLICE_CELLS // max(across, 1))
+    return [slice(at, min(at + step, n)) for at in range(0, n, step)]
+
+
+def _passes(rows: DataFrame, key: str, vector: str, most: int | None = None) -> list[DataFrame]:
+    """Parts of the rows, each of about PASS_ROWS rows, or ``most``, or fewer if their vectors are long: what one broadcast holds."""
     n, longest = rows.agg(F.count("*"), F.max(F.size(vector))).first()
-    passes = max(1, -(-n // PASS_ROWS), -(-n * max(longest or 0, 1) * 8 // PASS_BYTES))
+    passes = max(1, -(-n // min(PASS_ROWS, most or PASS_ROWS)), -(-n * max(longest or 0, 1) * 8 // PASS_BYTES))
     return [rows.where(F.pmod(F.xxhash64(key), F.lit(passes)) == k) if passes > 1 else rows for k in range(passes)]
 
 
@@ -76,14 +85,14 @@ def _exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def nearest_by_cosine(train: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", keep: str = "label", leave_out: bool = True) -> DataFrame:
     """(query, <key>, <keep>, d, r): the k rows nearest to each query by cosine distance (at least 1e-10), ties to the smaller key; with leave_out a row of the query's own key is left out.
 
-    Queries are broadcast in passes; in each a task multiplies its rows with them, batch by batch, and keeps k rows a query and those that tie with them, whose distances
+    Queries are broadcast in passes; in each a task multiplies its rows with them, a slice of a batch at a time, and keeps k rows a query and those that tie with them, whose distances
     are then worked out in order. What is exchanged is k rows a query and task. Work is rows x queries. Vectors of another length than the first query's, or with nulls, take no part.
     """
     out = None
     schema = f"query {queries.schema[key].dataType.simpleString()}, {key} {train.schema[key].dataType.simpleString()}, {keep} {train.schema[keep].dataType.simpleString()}, d double"
     first = queries.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
     width = first[0] if first else 0
-    for some in _passes(queries.select(key, vector), key, vector):
+    for some in _passes(queries.select(key, vector), key, vector, max(1, PASS_FOUND // k)):
         found = some.where(F.size(vector) == width).collect()
         names = [r[0] for r in found]
         asked = np.array([r[1] for r in found], np.float64).reshape(len(found), width)
@@ -101,23 +110,25 @@ def nearest_by_cosine(train: DataFrame, queries: DataFrame, k: int, key: str = "
             for batch in batches:
                 if not names:
                     continue
-                x = _matrix(batch.column(2), width)
-                keys, kept = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                size = np.sqrt((x * x).sum(1))
-                near = 1 - unit @ (x / np.where(size > 0, size, 1)[:, None]).T
-                near[:, ~np.isfinite(x).all(1)] = np.inf
-                if leave_out:
-                    for j, own in enumerate(keys):
-                        if own in place:
-                            near[place[own], j] = np.inf
-                for q in np.flatnonzero((near <= limit[:, None] + 1e-9).any(1)).tolist():
-                    at = np.flatnonzero(np.isfinite(near[q]) & (near[q] <= limit[q] + 1e-9))
-                    if len(at) > k:
-                        at = at[near[q, at] <= np.partition(near[q, at], k - 1)[k - 1] + 1e-9]
-                    exact = np.maximum(1 - _exact_cosine(x[at], np.broadcast_to(asked[q], (len(at), width))), 1e-10)
-                    best[q] = sorted(best[q] + [(d, keys[j], kept[j]) for d, j in zip(exact.tolist(), at.tolist())], key=lambda t: t[:2])[:k]
-                    if len(best[q]) == k:
-                        limit[q] = best[q][-1][0]
+                whole = _matrix(batch.column(2), width)
+                for part in _slices(len(whole), len(names)):
+                    x, keys, kept = whole[part], batch.column(0)[part.start : part.stop].to_pylist(), batch.column(1)[part.start : part.stop].to_pylist()
+                    size = np.sqrt((x * x).sum(1))
+                    near = unit @ (x / np.where(size > 0, size, 1)[:, None]).T
+                    np.subtract(1, near, out=near)
+                    near[:, ~np.isfinite(x).all(1)] = np.inf
+                    if leave_out:
+                        for j, own in enumerate(keys):
+                            if own in place:
+                                near[place[own], j] = np.inf
+                    for q in np.flatnonzero(near.min(1) <= limit + 1e-9).tolist():
+                        at = np.flatnonzero(np.isfinite(near[q]) & (near[q] <= limit[q] + 1e-9))
+                        if len(at) > k:
+                            at = at[near[q, at] <= np.partition(near[q, at], k - 1)[k - 1] + 1e-9]
+                        exact = np.maximum(1 - _exact_cosine(x[at], np.broadcast_to(asked[q], (len(at), width))), 1e-10)
+                        best[q] = sorted(best[q] + [(d, keys[j], kept[j]) for d, j in zip(exact.tolist(), at.tolist())], key=lambda t: t[:2])[:k]
+                        if len(best[q]) == k:
+                            limit[q] = best[q][-1][0]
             rows = [(n, own, label, d) for n, found in zip(names, best) for d, own, label in found]
             columns = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
@@ -139,6 +150,34 @@ def knn_shares(train: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec
     return votes.select("query", label, (F.col("w") / F.sum("w").over(Window.partitionBy("query"))).alias("p"))
 
 
+def shares_by_vector(train: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", label: str = "label", leave_out: bool = True) -> DataFrame:
+    """As ``knn_shares``, for rows of which many have equal vectors: work is different vectors of queries x different vectors (and labels) of rows.
+
+    Of rows with one vector and label the k + 1 of smallest keys can be among k neighbours. Equal vectors of queries have the same k + 1 nearest rows, of which a query has all but one: itself if it is there, else the last.
+    """
+    by_key = Window.partitionBy(vector, label).orderBy(key)
+    members = train.where(F.col(vector).isNotNull()).select(key, label, vector, F.row_number().over(by_key).alias("nth"), F.first(key).over(by_key).alias("first")).where(F.col("nth") <= k + 1).checkpoint()
+    spots = members.groupBy(F.col("first").alias(key), label).agg(F.first(vector).alias(vector), F.count("*").alias("m"))
+    asked = queries.where(F.col(vector).isNotNull()).select(key, vector)
+    places = asked.groupBy(vector).agg(F.min(key).alias("place")).checkpoint()
+    near = nearest_by_cosine(spots.drop("m"), places.withColumnRenamed("place", key), k + 1, key, vector, label, leave_out=False).withColumnRenamed("query", "place").withColumnRenamed(key, "first")
+    # rows that are nearer than a spot: k + 1 of them, and it has no part
+    nearer = Window.partitionBy("place").orderBy("d").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    level = Window.partitionBy("place", "d")
+    cut = near.join(spots.select(F.col(key).alias("first"), "m"), "first").withColumn("nearer", F.sum("m").over(nearer) - F.sum("m").over(level)).where(F.col("nearer") <= k)
+    ranked = cut.select("place", "first", label, "d").join(members.select("first", key), "first").withColumn("r", F.row_number().over(Window.partitionBy("place").orderBy("d", key))).where(F.col("r") <= k + 1)
+    listed = ranked.withColumn("without", F.min("r").over(Window.partitionBy("place", "first"))).checkpoint()
+    each = asked.join(places, vector).select(key, "place")
+    own = F.col("without") if leave_out else F.lit(None).cast("int")
+    each = each.join(listed.select("place", key, own.alias("without")), ["place", key], "left").withColumn("without", F.coalesce("without", F.lit(k + 1))).checkpoint()
+    whole = Window.partitionBy("place", "without")
+    kept = each.select("place", "without").distinct().join(listed.select("place", label, "d", "r"), "place").where("r <> without").withColumn("r", F.col("r") - (F.col("r") > F.col("without")).cast("int"))
+    weighted = kept.withColumn("n", F.count("*").over(whole)).withColumn("s", F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("d"))).over(whole))
+    votes = weighted.groupBy("place", "without", label).agg(F.sum(F.exp(-(F.col("d") * F.col("d")) / (F.col("s") * F.col("s")))).alias("w"))
+    shares = votes.withColumn("p", F.col("w") / F.sum("w").over(whole))
+    return each.join(shares, ["place", "without"]).select(F.col(key).alias("query"), label, "p")
+
+
 def knn_vote(train: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """The label with the largest of ``knn_shares`` for each query, the query itself left out; ties go to the smaller label."""
     best = knn_shares(train, queries, k, key, vector, label).groupBy("query").agg(F.max_by(F.struct(label, "p"), F.struct("p", -F.col(label))).alias("b"))
@@ -148,37 +187,49 @@ def knn_vote(train: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
 def affinity_sums(rows: DataFrame, others: DataFrame, classes: int, sigma: float = 1.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each row the sum ``total`` of its affinities exp(-d^2 / (2 sigma^2)) to all others, and s0, s1, ... of affinity times each of the ``p`` of others.
 
-    ``others`` has other (a key), o (a vector) and p. They are broadcast in passes; a task multiplies its rows with them, batch by batch, and keeps sums per row only, in a checkpoint
-    if there is more than one pass. Work is rows x others. Rows that have no other are left out.
+    ``others`` has other (a key), o (a vector) and p, and may have m, how many rows of that vector and p it stands for: a row of the same key then has m - 1 others there. They are broadcast in passes; a task multiplies
+    its rows with them, a slice of a batch at a time, and keeps sums per row only, in a checkpoint if there is more than one pass. Work is rows x others. Rows that have no other are left out.
     """
+    others = others if "m" in others.columns else others.withColumn("m", F.lit(1).cast("bigint"))
     names = ["total"] + [f"s{i}" for i in range(classes)]
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names) + ", others long"
     sums = None
-    passes = _passes(others.select("other", "o", "p"), "other", "o")
+    passes = _passes(others.select("other", "o", "p", "m"), "other", "o")
     for some in passes:
         found = some.where("o IS NOT NULL").collect()
         width = len(found[0]["o"]) if found else 0
-        shipped = rows.sparkSession.sparkContext.broadcast(([r["other"] for r in found], np.array([r["o"] for r in found], np.float64).reshape(-1, width), np.array([r["p"] for r in found], np.float64).reshape(-1, classes)))
+        shipped = rows.sparkSession.sparkContext.broadcast(
+            ([r["other"] for r in found], np.array([r["o"] for r in found], np.float64).reshape(-1, width), np.array([r["p"] for r in found], np.float64).reshape(-1, classes), np.array([r["m"] for r in found], np.float64))
+        )
 
         def affine(batches):
-            known, o, p = shipped.value
+            known, o, p, m = shipped.value
             place: dict = {}
             for i, n in enumerate(known):
                 place.setdefault(n, []).append(i)
             square = (o * o).sum(1)
+            # what w is multiplied with: the number of rows, and that times each of p
+            of = np.column_stack([m, m[:, None] * p])
             for batch in batches:
                 if not known:
                     continue
-                x, keys = _matrix(batch.column(1), o.shape[1]), batch.column(0).to_pylist()
-                gap = np.maximum((x * x).sum(1)[:, None] + square[None, :] - 2 * (x @ o.T), 0)
-                w = np.exp(-gap / (2 * sigma * sigma))
-                own = np.full(len(keys), len(known))
-                for j, n in enumerate(keys):
-                    if n in place:
-                        w[j, place[n]] = 0
-                        own[j] -= len(place[n])
-                columns = [w.sum(1), *(w @ p).T, own]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns)], names=[key, *names, "others"])
+                whole, keys = _matrix(batch.column(1), o.shape[1]), batch.column(0).to_pylist()
+                sums, own = np.empty((len(keys), classes + 1)), np.full(len(keys), int(m.sum()))
+                for part in _slices(len(keys), len(known)):
+                    x = whole[part]
+                    w = x @ o.T
+                    w *= 2
+                    w -= square
+                    w -= (x * x).sum(1)[:, None]
+                    np.minimum(w, 0, out=w)
+                    w /= 2 * sigma * sigma
+                    np.exp(w, out=w)
+                    for j, n in enumerate(keys[part]):
+                        if n in place:
+                            w[j, place[n]] *= 1 - 1 / m[place[n]]
+                            own[part.start + j] -= len(place[n])
+                    sums[part] = w @ of
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in sums.T.copy()), pa.array(own)], names=[key, *names, "others"])
 
         part = rows.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(affine, schema)
         sums = part if sums is None else sums.unionAll(part)
