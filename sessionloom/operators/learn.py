@@ -24,9 +24,11 @@ from sessionloom.functions import argmax, ratio, softmax
 from sessionloom.operators import classifiers
 from sessionloom.operators.modelsize import CLASSES
 from sessionloom.operators.trust import drift_report, fit_temperature, population_stability, with_temperature
-from sessionloom.operators.vectors import affinity_sums, knn_shares
+from sessionloom.operators.vectors import affinity_sums, shares_by_vector
 
 PER_SAMPLE_C = 100.0
+#: Decimals of scaled features by which rows are taken to be at the same place; what rounding takes away is far below what the order of a sum does to a result's last shown digit.
+PLACES = 11
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -134,11 +136,12 @@ class NearestModel:
         return model
 
     def _scaled(self) -> Column:
-        return F.array(*[(F.col(f) - m) / d for f, m, d in zip(self.features, self.means, self.deviations)])
+        """Rounded to PLACES, so that sums in another order give the same vector."""
+        return F.array(*[F.round((F.col(f) - m) / d, PLACES) for f, m, d in zip(self.features, self.means, self.deviations)])
 
     def transform(self, rows: DataFrame, leave_out: bool = False) -> DataFrame:
         """Rows with probabilities and predicted index (the first of the largest); ``leave_out`` asks without the row of the same key."""
-        shares = knn_shares(self.rows, rows.select(self.key, self._scaled().alias("embedding")), self.k, self.key, leave_out=leave_out)
+        shares = shares_by_vector(self.rows, rows.select(self.key, self._scaled().alias("embedding")), self.k, self.key, leave_out=leave_out)
         each = shares.groupBy("query").agg(F.array(*[F.coalesce(F.max(F.when(F.col("label") == c, F.col("p"))), F.lit(0.0)) for c in range(3)]).alias("probabilities"))
         out = rows.join(each.withColumnRenamed("query", self.key), self.key, "left").withColumn("probabilities", F.coalesce("probabilities", F.array(*[F.lit(1 / 3)] * 3)))
         return out.withColumn("predicted", argmax(F.col("probabilities")).cast("double"))
@@ -353,14 +356,15 @@ def standardized(rows: DataFrame, features: list[str]) -> DataFrame:
 def propagate_labels(rows: DataFrame, features: list[str], key: str = "session_id", anchor: str = "anchor", sigma: float = 1.0, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
     """Label distributions spread from anchors (class index, null for others) over affinities exp(-d^2 / (2 sigma^2)); anchors keep theirs.
 
-    Each round goes through all pairs in passes (``vectors.affinity_sums``) that keep sums per row only, so work grows with the square of the rows and memory does not.
-    A checkpoint cuts each round. Rows without any affinity have no label.
+    Rows at the same place (features equal to PLACES decimals) with the same anchor have the same distribution after every round, so a round goes through all pairs of different places, each with the number of its
+    rows, in passes (``vectors.affinity_sums``) that keep sums per place only: work grows with the square of the places and memory does not. A checkpoint cuts each round. Rows without any affinity have no label.
     """
-    points = standardized(rows, features).select(key, anchor, "x").checkpoint()
+    scaled = standardized(rows, features).select(key, anchor, F.transform("x", lambda v: F.round(v, PLACES)).alias("x")).checkpoint()
+    points = scaled.groupBy("x", anchor).agg(F.min(key).alias(key), F.count("*").alias("m")).checkpoint()
     start = [F.when(F.col(anchor) == i, 1.0).when(F.col(anchor).isNull(), 1 / 3).otherwise(0.0).alias(f"p{i}") for i in range(3)]
     now = points.select(key, anchor, *start).checkpoint()
     for _ in range(rounds):
-        others = now.select(F.col(key).alias("other"), F.array("p0", "p1", "p2").alias("p")).join(points.select(F.col(key).alias("other"), F.col("x").alias("o")), "other")
+        others = now.select(F.col(key).alias("other"), F.array("p0", "p1", "p2").alias("p")).join(points.select(F.col(key).alias("other"), F.col("x").alias("o"), "m"), "other")
         spread = affinity_sums(points, others, 3, sigma, key, "x").where("total > 0").withColumnRenamed("total", "w")
         moved = now.join(spread, key, "left").select(
             key, anchor, *[F.when(F.col(anchor).isNotNull(), F.col(f"p{i}")).otherwise(F.coalesce(F.col(f"s{i}") / F.col("w"), F.lit(0.0))).alias(f"p{i}") for i in range(3)], F.greatest(*[F.abs(F.coalesce(F.col(f"s{i}") / F.col("w"), F.lit(0.0)) - F.col(f"p{i}")) for i in range(3)]).alias("gap")
@@ -370,6 +374,8 @@ def propagate_labels(rows: DataFrame, features: list[str], key: str = "session_i
         if gap < tolerance:
             break
     p = F.array("p0", "p1", "p2")
+    places = points.select(F.col("x").alias("at"), F.col(anchor).alias("at_anchor"), F.col(key).alias("place")).join(now.withColumnRenamed(key, "place").drop(anchor), "place")
+    now = scaled.join(places, F.col("x").eqNullSafe(F.col("at")) & F.col(anchor).eqNullSafe(F.col("at_anchor")))
     return now.select(key, p.alias("probabilities"), F.when(F.array_max(p) > 0, F.get(F.array(*map(F.lit, CLASSES)), (F.array_position(p, F.array_max(p)) - 1).cast("int"))).alias("label"))
 
 

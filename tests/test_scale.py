@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sessionloom.operators import vectors
 
 
 def test_complexity_of_traces_on_the_edge_between_two(spark, tmp_path):
@@ -16,3 +17,42 @@ def test_complexity_of_traces_on_the_edge_between_two(spark, tmp_path):
         connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
         want = sorted(connection.sql(f"SELECT id, complexity FROM ({entry.oracle_sql()['traces_evaluated']})").fetchall())
     assert got == want
+
+
+@pytest.mark.parametrize("k, leave_out", [(3, True), (7, True), (7, False), (60, True), (500, True)])
+def test_shares_by_vector_against_shares_by_row(spark, k, leave_out):
+    """Equal vectors with several labels, so ties are cut within a place and around the query itself."""
+    rng = np.random.default_rng(k)
+    places = rng.integers(-2, 3, (9, 3)).astype(float)
+    rows = [(f"s{i}", places[j].tolist(), int(label)) for i, (j, label) in enumerate(zip(rng.integers(0, 9, 120), rng.integers(0, 3, 120)))]
+    frame = spark.createDataFrame([*rows, ("none", None, 1)], "vec_id string, embedding array<double>, label int").repartition(3).cache()
+    asked = frame.where("vec_id <> 's7'")
+    told = lambda got: {(r["query"], r["label"]): r["p"] for r in got.collect()}
+    got, want = (told(f(frame, asked, k, leave_out=leave_out)) for f in (vectors.shares_by_vector, vectors.knn_shares))
+    assert len({q for q, _ in want}) == 119 and got == pytest.approx(want, abs=1e-9)
+
+
+def test_propagation_goes_through_places(spark, monkeypatch):
+    """A round multiplies different places, however many rows are there; the distributions are those of all pairs of rows."""
+    from sessionloom.operators import learn
+
+    seen, plain = [], learn.affinity_sums
+    monkeypatch.setattr(learn, "affinity_sums", lambda rows, others, *a: (seen.append((rows.count(), others.count())), plain(rows, others, *a))[1])
+    rows = [(f"s{i}", float(i % 4), float(i % 2), i % 3 if i % 4 == 0 and i % 3 else None) for i in range(60)]
+    got = {r["session_id"]: r["probabilities"] for r in learn.propagate_labels(spark.createDataFrame(rows, "session_id string, f double, g double, anchor int"), ["f", "g"], rounds=3, tolerance=0).collect()}
+    assert seen == [(6, 6)] * 3
+    x = np.array([r[1:3] for r in rows])
+    x = (x - x.mean(0)) / x.std(0)
+    w = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 2)
+    np.fill_diagonal(w, 0)
+    fixed = np.array([r[3] is not None for r in rows])[:, None]
+    p = start = np.array([[1 / 3] * 3 if r[3] is None else np.eye(3)[r[3]] for r in rows])
+    for _ in range(3):
+        p = np.where(fixed, start, w @ p / w.sum(1, keepdims=True))
+    assert np.abs(np.array([got[r[0]] for r in rows]) - p).max() < 1e-9
+
+
+def test_a_task_has_few_numbers_of_a_matrix_at_a_time():
+    assert sum(s.stop - s.start for s in vectors._slices(10_000, 4_096)) == 10_000
+    assert max((s.stop - s.start) * 4_096 for s in vectors._slices(10_000, 4_096)) <= vectors.SLICE_CELLS
+    assert len(vectors._slices(3, 1 << 30)) == 3
