@@ -488,7 +488,8 @@ KNN_FEATURES = ["prompt_tokens", "completion_tokens", "tool_calls", "edits", "re
 def _knn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each session's shares by its neighbours without itself."""
     sizes = modelsize.session_size_features(canonical_events(spark, sf_dir))
-    rows = learn.with_index(sizes.join(modelsize.heuristic_labels(sizes).select("session_id", "label"), "session_id"))
+    # read for the model and for its questions
+    rows = learn.with_index(sizes.join(modelsize.heuristic_labels(sizes).select("session_id", "label"), "session_id")).select("session_id", "y", *KNN_FEATURES).checkpoint()
     got = learn.fit(rows, "knn", KNN_FEATURES).transform(rows, leave_out=True)
     return got.select("session_id", F.round(F.get("probabilities", F.lit(0)), 5).alias("mini"), F.round(F.get("probabilities", F.lit(2)), 5).alias("large"))
 
