@@ -40,71 +40,62 @@ def file_edit(response: Column) -> tuple[Column, Column]:
     return file, F.when(first.isNotNull(), 0).when(broken, F.regexp_count(response, F.lit(r"\\n"))).cast("double")
 
 
-def parse_debug(lines: DataFrame) -> DataFrame:
-    """Debug-log lines to agent log events; lines that are no JSON object of a known type go."""
-    rows = lines.withColumn("v", F.try_parse_json("value")).where("v IS NOT NULL")
-    kind = _get("$.type", "string")
-    response = _get("$.attrs.response", "string")
-    file, changed = file_edit(response)
-    rows = rows.withColumns({"kind": kind, "edit_path": file, "edit_lines": changed})
-    type_ = (
-        F.when(F.col("kind").isin("session_start", "session_end", "llm_request", "tool_call"), F.col("kind"))
-        .when((F.col("kind") == "agent_response") & F.col("edit_path").isNotNull(), "edit")
-    )
-    call, llm = F.col("kind") == "tool_call", F.col("kind") == "llm_request"
+#: What older logs call the types.
+LEGACY_TYPES = {"request": "llm_request", "llm_request": "llm_request", "tool": "tool_call", "tool_call": "tool_call", "file_edit": "edit", "edit": "edit", "session_start": "session_start", "session_end": "session_end"}
+
+
+def _parsed(lines: DataFrame, current: Column) -> DataFrame:
+    """Lines as agent log events, each parsed once; ``current`` says of a parsed line ``v`` whether it is of the debug format."""
+    rows = lines.withColumn("v", F.try_parse_json("value")).withColumn("current", current)
+    rows = rows.withColumn("kind", F.when(F.col("current"), _get("$.type", "string")).otherwise(F.coalesce(_get("$.kind", "string"), _get("$.type", "string"))))
+    file, changed = file_edit(_get("$.attrs.response", "string"))
+    now, kind = F.col("current"), F.col("kind")
+    rows = rows.withColumn("edit", F.when(now & (kind == "agent_response"), F.struct(file.alias("path"), changed.alias("lines"))))
+    edited = F.col("edit.path").isNotNull()
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in LEGACY_TYPES.items() for x in kv]), kind)
+    type_ = F.when(now, F.when(kind.isin("session_start", "session_end", "llm_request", "tool_call"), kind).when((kind == "agent_response") & edited, "edit")).otherwise(named)
+    rows = rows.withColumn("of", type_)
+    llm, call, edit, start = (F.col("of") == t for t in ("llm_request", "tool_call", "edit", "session_start"))
+
+    def either(path: str, old: str, kind: str) -> Column:
+        return F.when(now, _get(path, kind)).otherwise(_get(old, kind))
+
     args = arguments(_get("$.attrs.args", "string"))
-    return rows.withColumn("type", type_).where("type IS NOT NULL").select(
-        F.coalesce(_get("$.sid", "string"), F.col("session_id")).alias("session_id"),
-        "type",
-        _get("$.ts", "bigint").alias("ts_ms"),
-        F.when(call, F.coalesce(_get("$.name", "string"), F.lit("unknown"))).alias("tool"),
-        F.when(call, F.coalesce(F.try_variant_get(args, "$.path", "string"), F.try_variant_get(args, "$.filePath", "string"), F.try_variant_get(args, "$.file", "string"))).alias("path"),
-        F.when(F.col("type") == "edit", F.col("edit_path")).alias("file"),
-        F.when(llm, F.coalesce(_get("$.attrs.inputTokens", "double"), F.lit(0.0))).alias("prompt_tokens"),
-        F.when(llm, F.coalesce(_get("$.attrs.outputTokens", "double"), F.lit(0.0))).alias("completion_tokens"),
-        F.when(llm, F.coalesce(_get("$.attrs.cachedTokens", "double"), F.lit(0.0))).alias("cached_tokens"),
-        F.when(llm, _get("$.attrs.model", "string")).alias("model"),
-        F.when(F.col("kind") == "session_start", F.coalesce(_get("$.attrs.modelLimit", "double"), F.lit(DEFAULT_LIMIT))).alias("model_limit"),
-        F.when(call | (F.col("type") == "edit"), F.coalesce(_get("$.status", "string"), F.lit("ok")) == "ok").alias("success"),
-        F.when(F.col("type") == "edit", F.col("edit_lines")).alias("diff_lines"),
-        _get("$.dur", "double").alias("duration_ms"),
+    path = F.when(now, F.coalesce(*[F.try_variant_get(args, f"$.{k}", "string") for k in ("path", "filePath", "file")])).otherwise(F.coalesce(_get("$.args.path", "string"), _get("$.args.file", "string")))
+    ok = F.when(now, F.coalesce(_get("$.status", "string"), F.lit("ok")) == "ok").otherwise(F.coalesce(_get("$.success", "boolean"), F.lit(True)))
+    told = F.struct(
+        F.coalesce(either("$.sid", "$.sessionId", "string"), F.col("session_id")).alias("session_id"),
+        F.col("of").alias("type"),
+        F.when(now, _get("$.ts", "bigint")).otherwise(F.coalesce(_get("$.timestamp", "bigint"), _get("$.ts", "bigint"), F.col("modified_ms"))).alias("ts_ms"),
+        F.when(call, F.coalesce(either("$.name", "$.tool", "string"), _get("$.name", "string"), F.lit("unknown"))).alias("tool"),
+        F.when(call, path).alias("path"),
+        F.when(edit, F.when(now, F.col("edit.path")).otherwise(F.coalesce(_get("$.file", "string"), F.lit("unknown")))).alias("file"),
+        F.when(llm, F.coalesce(either("$.attrs.inputTokens", "$.promptTokens", "double"), F.lit(0.0))).alias("prompt_tokens"),
+        F.when(llm, F.coalesce(either("$.attrs.outputTokens", "$.completionTokens", "double"), F.lit(0.0))).alias("completion_tokens"),
+        F.when(llm, F.coalesce(either("$.attrs.cachedTokens", "$.cachedTokens", "double"), F.lit(0.0))).alias("cached_tokens"),
+        F.when(llm, either("$.attrs.model", "$.model", "string")).alias("model"),
+        F.when(start, F.coalesce(either("$.attrs.modelLimit", "$.modelLimit", "double"), F.lit(DEFAULT_LIMIT))).alias("model_limit"),
+        F.when(call | edit, ok).alias("success"),
+        F.when(edit, F.when(now, F.col("edit.lines")).otherwise(F.coalesce(_get("$.diffLines", "double"), F.lit(0.0)))).alias("diff_lines"),
+        either("$.dur", "$.durationMs", "double").alias("duration_ms"),
     )
+    # rows without a type go here: a filter would be moved before the parsing and parse each line again
+    return rows.select(F.inline(F.when(F.col("of").isNotNull(), F.array(told))))
 
 
-#: What older logs call the types.
-LEGACY_TYPES = {"request": "llm_request", "llm_request": "llm_request", "tool": "tool_call", "tool_call": "tool_call", "file_edit": "edit", "edit": "edit", "session_start": "session_start", "session_end": "session_end"}
+def parse_debug(lines: DataFrame) -> DataFrame:
+    """Debug-log lines to agent log events; lines that are no JSON object of a known type go."""
+    return _parsed(lines, F.lit(True))
 
 
 def parse_legacy(lines: DataFrame) -> DataFrame:
     """Flat log lines (kind or type, and fields beside it); an event without its own time has the file's."""
-    rows = lines.withColumn("v", F.try_parse_json("value")).where("v IS NOT NULL")
-    said = F.coalesce(_get("$.kind", "string"), _get("$.type", "string"))
-    type_ = F.try_element_at(F.create_map(*[F.lit(x) for kv in LEGACY_TYPES.items() for x in kv]), said)
-    rows = rows.withColumn("type", type_).where("type IS NOT NULL")
-    llm, call, edit = (F.col("type") == t for t in ("llm_request", "tool_call", "edit"))
-    given = lambda name, kind: _get(f"$.{name}", kind)
-    return rows.select(
-        F.coalesce(given("sessionId", "string"), F.col("session_id")).alias("session_id"),
-        "type",
-        F.coalesce(given("timestamp", "bigint"), given("ts", "bigint"), F.col("modified_ms")).alias("ts_ms"),
-        F.when(call, F.coalesce(given("tool", "string"), given("name", "string"), F.lit("unknown"))).alias("tool"),
-        F.when(call, F.coalesce(_get("$.args.path", "string"), _get("$.args.file", "string"))).alias("path"),
-        F.when(edit, F.coalesce(given("file", "string"), F.lit("unknown"))).alias("file"),
-        F.when(llm, F.coalesce(given("promptTokens", "double"), F.lit(0.0))).alias("prompt_tokens"),
-        F.when(llm, F.coalesce(given("completionTokens", "double"), F.lit(0.0))).alias("completion_tokens"),
-        F.when(llm, F.coalesce(given("cachedTokens", "double"), F.lit(0.0))).alias("cached_tokens"),
-        F.when(llm, given("model", "string")).alias("model"),
-        F.when(F.col("type") == "session_start", F.coalesce(given("modelLimit", "double"), F.lit(DEFAULT_LIMIT))).alias("model_limit"),
-        F.when(call | edit, F.coalesce(given("success", "boolean"), F.lit(True))).alias("success"),
-        F.when(edit, F.coalesce(given("diffLines", "double"), F.lit(0.0))).alias("diff_lines"),
-        given("durationMs", "double").alias("duration_ms"),
-    )
+    return _parsed(lines, F.lit(False))
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """Lines of either format: those with ``attrs`` or ``sid`` are of the current one."""
-    current = lines.withColumn("p", F.try_parse_json("value")).withColumn("current", F.try_variant_get("p", "$.attrs", "variant").isNotNull() | F.try_variant_get("p", "$.sid", "string").isNotNull()).drop("p")
-    return parse_debug(current.where("current").drop("current")).unionByName(parse_legacy(current.where("NOT current").drop("current")))
+    return _parsed(lines, _get("$.attrs", "variant").isNotNull() | _get("$.sid", "string").isNotNull())
 
 
 def parse_generic(lines: DataFrame) -> DataFrame:

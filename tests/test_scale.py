@@ -56,3 +56,11 @@ def test_a_task_has_few_numbers_of_a_matrix_at_a_time():
     assert sum(s.stop - s.start for s in vectors._slices(10_000, 4_096)) == 10_000
     assert max((s.stop - s.start) * 4_096 for s in vectors._slices(10_000, 4_096)) <= vectors.SLICE_CELLS
     assert len(vectors._slices(3, 1 << 30)) == 3
+
+
+@pytest.mark.parametrize("name", ["transcript_events", "legacy_log_events", "debug_log_events"])
+def test_lines_are_read_and_parsed_once(spark, name):
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # log lines also have texts in them that are parsed
+    assert plan.count("Relation [") == 1
+    assert name != "transcript_events" or plan.count("parseJson") == 1
