@@ -15,7 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from sessionloom.operators import realtime
-from sessionloom.streaming.sessions import _EVENT, DELAY, EVENT_STATES, RUNNING, Running, said, shared_folder, with_event_time
+from sessionloom.streaming.sessions import _EVENT, DELAY, EVENT_STATES, RUNNING, Running, as_frame, in_order, said, shared_folder, with_event_time
 
 #: The value of a session: all of its running state but the files, how many of those there are, and when a prediction was last due.
 _FILES = ("read_paths", "edited_files")
@@ -31,17 +31,24 @@ KEPT = f"session_id string, part string, path string, {COUNTERS}"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Files of a session up to which they are read at once; of more, each is asked for.
+READ_AT_ONCE = 256
+
+
 class _Seen:
-    """The different files of a session, in a map of the state store."""
+    """The different files of a session, in a map of the state store, which is asked once for all of few files and never for none."""
 
     def __init__(self, entries, n: int):
-        self.entries, self.n, self.known = entries, n, set()
+        self.entries, self.n, self.known, self.whole = entries, n, set(), n == 0
 
     def __setitem__(self, path: str, _) -> None:
+        if path not in self.known and not self.whole and self.n <= READ_AT_ONCE:
+            self.known.update(k[0] for k in self.entries.keys())
+            self.whole = True
         if path in self.known:
             return
         self.known.add(path)
-        if not self.entries.containsKey((path,)):
+        if self.whole or not self.entries.containsKey((path,)):
             self.entries.updateValue((path,), (True,))
             self.n += 1
 
@@ -62,7 +69,8 @@ class LiveSession(StatefulProcessor):
         self.edited = handle.getMapState("edited", "path string", "seen boolean")
 
     def _load(self) -> tuple[Running, dict]:
-        kept = dict(zip(_NAMES, self.counters.get())) if self.counters.exists() else None
+        held = self.counters.get()
+        kept = dict(zip(_NAMES, held)) if held is not None else None
         running = Running(None)
         if kept:
             running.__dict__.update({k: kept[k] for k in (c.split()[0] for c in _PLAIN)})
@@ -123,17 +131,15 @@ class LiveSession(StatefulProcessor):
         watermark = timerValues.getCurrentWatermarkInMs()
         # rows of a batch come before its timers
         out, running, extra = self._overdue(key, *self._load(), watermark)
-        # a trigger's events of a session come in several batches, which are not in order
-        events = pd.concat([pdf[_EVENT] for pdf in rows], ignore_index=True).sort_values(["ts_ms", "id"], kind="stable")
-        for row in events.astype(object).itertuples(index=False):
-            event = {k: said(v) for k, v in zip(_EVENT, row)}
+        for row in in_order(rows, _EVENT):
+            event = dict(zip(_EVENT, row))
             state = running.step(event) | {"session_id": key[0]}
             out.append(state | {"reason": self._reason(running, extra, event["ts_ms"], state["context_tokens"])})
         if self.timers:
             self._timer(extra, "due_at", max(extra["since_ms"] + self.max_ms, watermark + 1) if running.version > extra["since_version"] else None)
         self._timer(extra, "ends_at", max(running.last_ms + self.keep_ms, watermark + 1))
         self._store(running, extra)
-        yield pd.DataFrame(out, columns=_LIVE)
+        yield as_frame(out, _LIVE)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.counters.exists():
@@ -142,7 +148,7 @@ class LiveSession(StatefulProcessor):
         if self.counters.exists():
             self._store(running, extra)
         if out:
-            yield pd.DataFrame(out, columns=_LIVE)
+            yield as_frame(out, _LIVE)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for row in initialState.astype(object).itertuples(index=False):

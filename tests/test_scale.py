@@ -64,3 +64,35 @@ def test_lines_are_read_and_parsed_once(spark, name):
     # log lines also have texts in them that are parsed
     assert plan.count("Relation [") == 1
     assert name != "transcript_events" or plan.count("parseJson") == 1
+
+
+def test_rows_of_a_key_in_order_whatever_their_batches():
+    pd = pytest.importorskip("pandas")
+    from sessionloom.streaming.sessions import in_order
+
+    batches = [pd.DataFrame({"ts_ms": [5, 1], "id": [2, 9], "x": [None, 1.5]}), pd.DataFrame({"ts_ms": [5], "id": [1], "x": [float("nan")]})]
+    assert in_order(iter(batches), ["id", "ts_ms", "x"]) == [(9, 1, 1.5), (1, 5, None), (2, 5, None)]
+
+
+def test_files_of_a_session_are_asked_for_once():
+    from sessionloom.streaming.stateful import _Seen
+
+    class Entries(dict):
+        asked = 0
+
+        def keys(self):
+            self.asked += 1
+            return iter(list(super().keys()))
+
+        def containsKey(self, key):
+            self.asked += 1
+            return key in self
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    new, old = Entries(), Entries({("a",): (True,), ("b",): (True,)})
+    seen, more = _Seen(new, 0), _Seen(old, 2)
+    for path in ("a", "b", "c", "a"):
+        seen[path] = more[path] = None
+    assert (len(seen), new.asked) == (3, 0) and (len(more), old.asked, set(old)) == (3, 1, {("a",), ("b",), ("c",)})
