@@ -137,9 +137,9 @@ class Store:
     # --- writing ---
 
     def _write(self, table: str, rows: DataFrame, part: Column) -> dict[str, str]:
-        """Rows in a new folder, by part; the folder of each part."""
+        """Rows in a new folder, by part; the folder of each part. A part's rows come together first, as else each task would make a file in each part."""
         folder = f"{table}/{uuid.uuid4().hex}"
-        rows.withColumn(_PART, F.coalesce(part, F.lit("none"))).write.partitionBy(_PART).parquet(f"{self.root}/{folder}")
+        rows.withColumn(_PART, F.coalesce(part, F.lit("none"))).hint("rebalance", _PART).write.partitionBy(_PART).parquet(f"{self.root}/{folder}")
         files, path = self._fs(f"{self.root}/{folder}")
         found = [x.getPath().getName() for x in files.listStatus(path) if x.isDirectory()]
         return {n.partition("=")[2]: f"{folder}/{n}" for n in found if n.startswith(f"{_PART}=")}

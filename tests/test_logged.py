@@ -117,3 +117,11 @@ def test_parts_are_read_by_name(spark, tmp_path):
     store.append("events", events(spark, 0, DAY, 2 * DAY), day_of("ts_ms"))
     assert store.read("events", parts=lambda d: d >= "1970-01-02").count() == 2
     assert logged.BUCKETS == 64
+
+
+def test_a_part_is_one_file_whatever_tasks_rows_come_from(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    numbers = spark.range(400).repartition(8).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
+    store.append("log", numbers, F.format_string("%d", F.col("v") % 4))
+    assert len(list(tmp_path.glob("log/*/*/*.parquet"))) == 4
+    assert got(store, "log", parts="2".__eq__) == sorted((str(v), v) for v in range(2, 400, 4))
