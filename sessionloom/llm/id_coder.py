@@ -1,13 +1,18 @@
 """An adaptive context-mixing range coder for token ids, in numpy over many lanes at once.
 
-A block gives each of its ids a code of digits 1 to 15 by how often it has it, and codes the digits one after the other.
-What has followed is counted for each place in the code in three contexts: after any id (order 0), after the one id before (order 1) and
-after the two ids before (order 2). The three distributions of the next digit are mixed into one, by shares that depend on how much the
-contexts of order 1 and 2 have seen and that follow how well each has foretold (expectation maximisation); the mixture drives a range coder.
-
-The block is cut into lanes that are coded in step, each with a range coder of its own, under counts that all lanes share. Every
-block starts afresh and has a checksum. Arithmetic is on integers, so any machine decodes what another has coded.
-Eight counts of a byte each lie in a 64-bit number and are spread to fields of 16 bits, four at a time, for arithmetic.
+What has followed is counted in three contexts: after any id (order 0), after the one id before (order 1) and after the two ids before
+(order 2). The three distributions of the next id are mixed into one, by shares that depend on how often the contexts of order 1 and 2
+were seen and that follow how well each has foretold (expectation maximisation); the mixture drives a range coder of the kind that
+works on numbers rather than intervals (rANS, the range variant of asymmetric numeral systems).
+
+Such a coder lets an id's mass lie in several places. So the mass of each order is laid out on its own: every time that an id followed
+the context has an equal part of it, equal ids side by side. The id at a place is found at once, without cumulating the mixture, and
+an id's mass is the sum of its parts in the three orders: no order's part is lost and none is coded for.
+
+The block is cut into lanes that are coded in step, each with a number of its own, under counts that all lanes share. Counts are exact
+(contexts are compared, not only hashed) and are brought up to date after steps that lie further and further apart. The numbers of
+order 0 are in a block's head, by classes. Every block starts afresh and has a checksum. Arithmetic is on integers, so any machine
+decodes what another has coded.
 """
 
 from __future__ import annotations
@@ -18,78 +23,30 @@ import zlib
 import numpy as np
 
 #: Fixed values of the format.
-MAGIC = b"TIDM"
+MAGIC = b"TIDR"
 _HEAD = struct.Struct("<4sIIIII")  # magic, ids, symbols, lanes, payload bytes, CRC-32 of the payload
 #: Lanes at most, and ids of a lane at least.
 LANES, STEPS = 4096, 1024
 BLOCK_IDS = 1 << 22
-DIGITS = 15
-#: Rows of counts after one id and after two; a row is the sum of its counts and the counts of the digits, a byte each.
-_ROWS1, _ROWS2 = 18, 19
-#: A row whose sum reaches this is halved.
-_FULL = 250
-#: Sums of a row in classes, for the shares; at most so much mass has a mixture.
-_CLASSES = 8
-_MASS = 1 << 15
-_LEVELS = 16
-_WORD, _EIGHT, _BOTTOM, _TOP = np.uint64(32), np.uint64(8), np.uint64(1 << 24), np.uint64(1 << 32)
-_EVEN = np.uint64(0x00FF00FF00FF00FF)
-_FIELDS = np.uint64(0x0001000100010001)
-_LOW16 = np.uint64(0xFFFF)
-#: Digits by word and field: words hold the even bytes of a row's first and second half, then the odd bytes.
-_DIGIT = np.array([8 * (w & 1) + (w >> 1) + 2 * f for w in range(4) for f in range(4)], np.int64)
-_PLACE = np.argsort(_DIGIT)
-_WORD_OF, _SHIFT_OF = _PLACE >> 2, (_PLACE % 4 * 16).astype(np.uint64)
+#: The mass of a mixture, and the least number of a lane between steps: numbers have 64 bits and are written 32 bits at a time.
+_MASS = 30
+_LEAST = np.uint64(1 << 32)
+#: Counts of a context in classes, for the shares: 0, 1, 2-3, 4-7 and so on.
+_CLASSES = 14
+#: Counts are brought up to date when there are so many times as many steps.
+_GROWTH = 1.5
+#: Every so many steps are looked at for the shares.
+_LOOKED_AT = 4
 #: How often an id was, from its class in a block's head: steps of about a fifth.
 _COUNTS = [0, 1]
 while _COUNTS[-1] < 1 << 33:
     _COUNTS.append(max(_COUNTS[-1] + 1, _COUNTS[-1] * 6 // 5))
 _COUNTS = np.array(_COUNTS, np.int64)
-
-
-class Code:
-    """A prefix code of digits from the ids' classes of frequency: each id's digits (the first in the lowest four bits), and the tree of nodes (root 0)."""
-
-    def __init__(self, classes: np.ndarray):
-        used = np.flatnonzero(classes)
-        weights = _COUNTS[classes[used]]
-        # so no id has over 16 digits
-        weights = np.maximum(weights, max(1, int(weights.sum()) >> 24))
-        order = np.argsort(weights, kind="stable")
-        ids, leaves = used[order].tolist(), weights[order].tolist()
-        spare = -(len(ids) - 1) % (DIGITS - 1) if len(ids) > 1 else DIGITS - 1
-        ids, leaves = [-1] * spare + ids, [0] * spare + leaves
-        # two queues: leaves in ascending order, and inner nodes, which come about in ascending order
-        inner: list[int] = []
-        below: list[list[int]] = []
-        leaf = node = 0
-        for _ in range((len(ids) - 1) // (DIGITS - 1)):
-            total, children = 0, []
-            for _ in range(DIGITS):
-                if leaf < len(ids) and (node >= len(inner) or leaves[leaf] <= inner[node]):
-                    total += leaves[leaf]
-                    children.append(~leaf)
-                    leaf += 1
-                else:
-                    total += inner[node]
-                    children.append(node)
-                    node += 1
-            inner.append(total)
-            below.append(children)
-        self.nodes = n = len(inner)
-        self.child = np.full(16 * n, -1, np.int64)
-        self.weight = np.zeros(16 * n, np.int64)
-        self.digits = np.zeros(len(classes), np.uint64)
-        path = [0] * n
-        depth = [0] * n
-        for k in range(n - 1, -1, -1):  # parents come after their children
-            for d, c in enumerate(below[k], 1):
-                if c >= 0:
-                    path[c], depth[c] = path[k] | d << 4 * depth[k], depth[k] + 1
-                    self.child[16 * (n - 1 - k) + d], self.weight[16 * (n - 1 - k) + d] = n - 1 - c, inner[c]
-                elif ids[~c] >= 0:
-                    self.digits[ids[~c]] = path[k] | d << 4 * depth[k]
-                    self.child[16 * (n - 1 - k) + d], self.weight[16 * (n - 1 - k) + d] = ~ids[~c], leaves[~c]
+_CLASS_OF = np.minimum(np.frexp(np.arange(1 << (_CLASSES - 1)))[1], _CLASSES - 1)
+#: Buckets of a context for each of its runs.
+_BUCKET_BITS = 2
+_BUCKETS = 1 << _BUCKET_BITS
+_SPREAD, _NO_ID, _LOW32 = np.uint32(0x9E3779B1), np.uint32(0xFFFFFFFF), np.uint64(0xFFFFFFFF)
 
 
 def classes_of(counts: np.ndarray) -> np.ndarray:
@@ -97,255 +54,280 @@ def classes_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(_COUNTS, counts, side="right").astype(np.uint8) - np.uint8(1)
 
 
+class Followers:
+    """What followed the contexts of an order, sorted by context and id: each context's times, and the runs of equal ids among them.
+
+    A context's runs are found by their ids in buckets of two places, of which each context has its own. What finds no place there is not found.
+    """
+
+    def __init__(self, keys: np.ndarray, width: np.uint64, times: np.ndarray):
+        """Sorted keys end with the id in ``width`` bits; ``times`` has how many keys each context has, in order."""
+        self.keys, self.only = keys, keys.dtype.type((1 << int(width)) - 1)
+        edge = np.empty(len(keys) + 1, bool)
+        edge[:1] = edge[-1:] = True
+        np.not_equal(keys[1:], keys[:-1], out=edge[1:-1])
+        begin = np.flatnonzero(edge)
+        self.n = n = len(begin) - 1
+        ids = (keys.take(begin[:-1]) & self.only).astype(np.uint32)
+        self.run = np.empty((n + 2, 2), np.uint32)  # where it begins, its id
+        self.run[:-1, 0], self.run[-1, 0] = begin, len(keys)
+        self.run[:-2, 1], self.run[-2:, 1] = ids, _NO_ID
+        self.run = self.run.view(np.uint64).reshape(-1)
+        # each context's times and runs: the first, and their number
+        first = np.zeros(len(times) + 1, np.int64)
+        np.cumsum(times, out=first[1:])
+        runs = np.cumsum(edge[:-1], dtype=np.int32)
+        runs = np.append(np.int32(0), runs).take(first)
+        different = np.diff(runs)
+        self.contexts = np.empty((len(times), 4), np.int32)
+        self.contexts[:, 0], self.contexts[:, 1], self.contexts[:, 2], self.contexts[:, 3] = first[:-1], times, runs[:-1], different
+        self.contexts = self.contexts.view(np.complex128).reshape(-1)
+        self.bits = np.uint32(n.bit_length())
+        self.low = np.uint32((1 << n.bit_length()) - 1)
+        places = np.full(2 * _BUCKETS * n + 2, n, np.uint32)
+        if n:
+            hashes = ids * _SPREAD
+            at = hashes.astype(np.uint64)
+            at *= np.repeat(different, different).astype(np.uint64) * np.uint64(_BUCKETS)
+            at >>= np.uint64(32)
+            at += np.repeat(runs[:-1], different).astype(np.uint64) * np.uint64(_BUCKETS)
+            at <<= np.uint64(1)
+            at = at.view(np.int64)
+            entry = np.arange(n, dtype=np.uint32) | hashes << self.bits
+            places[at] = entry
+            left = np.flatnonzero(places.take(at) != entry)
+            places[at.take(left) + 1] = entry.take(left)
+        self.places = places.view(np.uint64)
+
+    def find(self, first: np.ndarray, different: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The run of each id (or n) after a context with so many runs from the first on; where it begins and its length."""
+        hashes = ids * _SPREAD
+        at = hashes.astype(np.int64)
+        at *= different
+        at >>= 32 - _BUCKET_BITS
+        at += first.astype(np.int64) << _BUCKET_BITS
+        places = self.places.take(at).view(np.uint32)
+        run, other = places[0::2], places[1::2]
+        tag = run ^ hashes << self.bits
+        run = np.where(tag <= self.low, run, other)
+        run &= self.low
+        run = run.astype(np.int64)
+        here = self.run.take(run)
+        there = (here >> np.uint64(32)) == ids
+        there &= different > 0
+        here = (here & _LOW32).view(np.int64)
+        length = (self.run.take(run + 1) & _LOW32).view(np.int64)
+        length -= here
+        length *= there
+        np.copyto(run, self.n, where=~there)
+        return run, here, length
+
+
 class Model:
-    """What coder and decoder know alike before each digit."""
-
-    def __init__(self, code: Code, lanes: int):
-        self.code = code
-        self.rows1, self.rows2 = np.zeros(1 << _ROWS1, np.complex128), np.zeros(1 << _ROWS2, np.complex128)  # 16 bytes each
-        step = np.zeros((16, 16), np.uint8)
-        step[:, 0] = 1
-        step[np.arange(16), np.arange(16)] = 1
-        self.step = step.view(np.complex128).reshape(-1)
-        self.hash = (np.arange(code.nodes, dtype=np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-        self.node = np.zeros(lanes, np.int64)
-        self.last, self.after1, self.after2 = (np.zeros(lanes, np.uint32) for _ in range(3))
-        self.class_of = np.minimum(np.frexp(np.arange(256))[1], _CLASSES - 1)  # 0, 1, 2-3, 4-7 and so on
-        weight = code.weight.reshape(-1, 16)
-        self.counts = weight * 512 // np.maximum(weight.sum(1, keepdims=True), 1)
-        self.pending: list[np.ndarray] = []
-        self.won = np.zeros((3, _CLASSES, _CLASSES), np.int64)
+    """What coder and decoder know alike: ids are numbers 0, 1, ... of the block's symbols, and ``none`` stands before a lane's first."""
+
+    def __init__(self, classes: np.ndarray):
+        self.symbols = np.flatnonzero(classes).astype(np.uint32)
+        self.none = none = len(self.symbols)
+        self.width = np.uint64(max(1, none.bit_length()))
+        # so many different ids that two before and the next do not fit a key: order 0 alone
+        self.contexts = 3 * int(self.width) <= 64
+        self.pair_type = np.uint32 if 2 * int(self.width) <= 32 else np.uint64
+        self.unit = max(20, none.bit_length() + 1)
+        weights = _COUNTS[classes[self.symbols]]
+        mass = 1 + weights * ((1 << self.unit) - none) // int(weights.sum())
+        mass[int(np.argmax(mass))] += (1 << self.unit) - int(mass.sum())
+        self.mass0 = mass.astype(np.uint64) | (np.cumsum(mass) - mass).astype(np.uint64) << np.uint64(32)
+        self.id_at = np.repeat(np.arange(none, dtype=np.uint32), mass)
         guess = np.arange(_CLASSES)
         one, two = np.minimum(guess * 2, 12)[:, None], np.minimum(guess * 3, 12)[None, :]
+        self.won = np.zeros((3, _CLASSES, _CLASSES), np.int64)
         self.won[2] = 4 * np.broadcast_to(two, (_CLASSES, _CLASSES))
         self.won[1] = 4 * (16 - two) * one // 16
         self.won[0] = 64 - self.won[1] - self.won[2]
-        self.steps, self.shares_at, self.counts_at = 0, 0, 0
-        self._shape(lanes)
-
-    def _shape(self, lanes: int) -> None:
-        self.lanes = lanes
-        self.mask = np.tile(np.array([0x00FF00FF00FF0000, 0x00FF00FF00FF00FF], np.uint64), lanes)
-        self.at = np.arange(lanes) * 2
-        self.word = np.array([0, 1, 2 * lanes, 2 * lanes + 1])
-
-    def _refresh(self) -> None:
-        """New shares, every now and then, and new counts of order 0."""
-        if self.steps >= self.shares_at:
-            self.shares_at += min(max(8, self.steps // 2), 64)
-            total = self.won.sum(0)
-            share = [(self.won[k] * _MASS // total) for k in range(3)]
-            sums = np.maximum(np.arange(256), 1)
-            classes = self.class_of
-            # by sum and the other's class; twice, for both halves of a row
-            self.share1, self.share2 = (np.repeat((x[classes, :] // sums[:, None]).astype(np.uint64).reshape(-1), 2).view(np.complex128) for x in (share[1], share[2].T))
-            self.level = np.minimum(share[0] * _LEVELS // _MASS, _LEVELS - 1).reshape(-1)
-            self.won = self.won * 7 // 8 + 1
-        if self.steps >= self.counts_at:
-            self.counts_at += min(max(16, self.steps, self.code.nodes // 4), max(256, self.code.nodes // 4))
-            if self.pending:
-                self.counts += 8 * np.bincount(np.concatenate(self.pending), minlength=self.counts.size).reshape(self.counts.shape)
-                self.pending = []
-            total = np.maximum(self.counts.sum(1), 1)[:, None, None]
-            mass = (2 * np.arange(_LEVELS) + 1)[None, :, None] * (_MASS // (2 * _LEVELS))
-            field = 1 + self.counts[:, None, :] * mass // total
-            field[:, :, 0] = 0
-            field = field[:, :, _DIGIT].astype(np.uint16).reshape(-1, 4, 4)
-            words = np.ascontiguousarray(field).view(np.uint64).reshape(-1, 4)
-            self.low0, self.high0 = (np.ascontiguousarray(words[:, k : k + 2]).view(np.complex128).reshape(-1) for k in (0, 2))
-
-    def predict(self) -> None:
-        """The mixed distribution of each lane's next digit: sums within the words, and the mass before each word."""
-        if self.steps >= self.shares_at or self.steps >= self.counts_at:
-            self._refresh()
-        n, node = 2 * self.lanes, self.node
-        place = self.hash.take(node)
-        self.at1 = (((self.after1 ^ place) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _ROWS1)).astype(np.int64)
-        self.at2 = (((self.after2 ^ place) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _ROWS2)).astype(np.int64)
-        self.row1, self.row2 = self.rows1.take(self.at1).view(np.uint64), self.rows2.take(self.at2).view(np.uint64)
-        self.sum1, self.sum2 = (row.view(np.uint8)[::16].astype(np.int64) for row in (self.row1, self.row2))
-        self.class1, self.class2 = self.class_of.take(self.sum1), self.class_of.take(self.sum2)
-        at0 = self.class1 * _CLASSES
-        at0 += self.class2
-        at0 = self.level.take(at0)
-        at0 += node * _LEVELS
-        mass = np.empty(2 * n, np.uint64)
-        low, high = mass[:n], mass[n:]
-        self.low0.take(at0, out=low.view(np.complex128), mode="clip")
-        self.high0.take(at0, out=high.view(np.complex128), mode="clip")
-        for row, share, sums, other in ((self.row1, self.share1, self.sum1, self.class2), (self.row2, self.share2, self.sum2, self.class1)):
-            at = sums * _CLASSES
-            at += other
-            by = share.take(at).view(np.uint64)
-            part = row & self.mask
-            part *= by
-            low += part
-            np.right_shift(row, np.uint64(8), out=part)
-            part &= _EVEN
-            part *= by
-            high += part
-        mass *= _FIELDS
-        self.mass = mass
-        top = mass >> np.uint64(48)
-        before = np.empty(2 * n, np.uint64)
-        before[0:n:2] = 0
-        before[1:n:2] = top[0:n:2]
-        np.add(top[0:n:2], top[1:n:2], out=before[n::2])
-        np.add(before[n::2], top[n::2], out=before[n + 1 :: 2])
-        self.before = before
-        self.total = before[n + 1 :: 2] + top[n + 1 :: 2]
-
-    def part(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The mass before each lane's digit, and of it."""
-        at = self.word.take(_WORD_OF.take(digit))
-        at += self.at
-        field = _SHIFT_OF.take(digit)
-        sums = self.mass.take(at)
-        below = ((sums << np.uint64(16)) >> field) & _LOW16
-        own = ((sums >> field) & _LOW16) - below
-        below += self.before.take(at)
-        return below, own
-
-    def digit(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The digit whose mass holds each lane's value, the mass before it, and its own."""
-        n, before = 2 * self.lanes, self.before
-        word = (value >= before[1:n:2]).astype(np.int64)
-        word += value >= before[n::2]
-        word += value >= before[n + 1 :: 2]
-        at = self.word.take(word)
-        at += self.at
-        sums, start = self.mass.take(at), before.take(at)
-        rest = value - start
-        word <<= 2
-        field = (rest >= sums & _LOW16).astype(np.int64)
-        field += rest >= (sums >> np.uint64(16)) & _LOW16
-        field += rest >= (sums >> np.uint64(32)) & _LOW16
-        word += field
-        field <<= 4
-        shift = field.view(np.uint64)
-        below = ((sums << np.uint64(16)) >> shift) & _LOW16
-        own = ((sums >> shift) & _LOW16) - below
-        below += start
-        return _DIGIT.take(word), below, own
-
-    def learn(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count each lane's digit; returns the lanes whose id ends with it, and those ids. Where lanes share a context, the last lane's word holds."""
-        if not self.steps & 7 or self.steps < 64:
-            self._credit(digit)
-        self.steps += 1
-        at = self.node * 16 + digit
-        self.pending.append(at.astype(np.int32))
-        step = self.step.take(digit).view(np.uint64)
-        for rows, where, row, sums in ((self.rows1, self.at1, self.row1, self.sum1), (self.rows2, self.at2, self.row2, self.sum2)):
-            row += step
-            full = np.flatnonzero(sums >= _FULL - 1)
-            if len(full):
-                cells = row.view(np.uint8).reshape(-1, 16)[full] >> 1
-                cells[:, 0] = cells[:, 1:].sum(1)
-                row.view(np.uint8).reshape(-1, 16)[full] = cells
-            rows[where] = row.view(np.complex128)
-        self.node = self.code.child.take(at)
-        done = np.flatnonzero(self.node < 0)
-        ids = ~self.node[done]
-        if len(done):
-            self.node[done] = 0
-            new = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x27D4EB2F)
-            new ^= new >> np.uint32(15)
-            self.after2[done] = (self.last[done] * np.uint32(0x165667B1)) ^ (new * np.uint32(0x2545F491))
-            self.after1[done] = self.last[done] = new
-        return done, ids
-
-    def _credit(self, digit: np.ndarray) -> None:
-        """How much of what the mixture gave to the digits came from each order, by class."""
-        own = self.part(digit)[1].astype(np.int64)
-        lane = np.arange(self.lanes) * 16 + digit
-        shares = (share.view(np.int64)[2 * (sums * _CLASSES + other)] for share, sums, other in ((self.share1, self.sum1, self.class2), (self.share2, self.sum2, self.class1)))
-        parts = [row.view(np.uint8)[lane] * share for row, share in zip((self.row1, self.row2), shares)]
-        at = self.class1 * _CLASSES + self.class2
-        for k, part in enumerate([own - parts[0] - parts[1], *parts]):
-            self.won[k] += np.bincount(at, part * 64 // own, _CLASSES * _CLASSES).astype(np.int64).reshape(_CLASSES, _CLASSES)
-
-    def keep(self, lanes: np.ndarray) -> None:
-        """Go on with these lanes only."""
-        self.node, self.last, self.after1, self.after2 = (x[lanes] for x in (self.node, self.last, self.after1, self.after2))
-        self._shape(len(self.node))
-
-
-def _lane_ends(length: np.ndarray) -> np.ndarray:
-    """Where lanes end, so that all have about as many digits to code; length has each id's."""
-    total = np.cumsum(length, dtype=np.int64)
-    lanes = min(LANES, max(1, len(length) // STEPS))
-    return np.unique(np.searchsorted(total, total[-1] * np.arange(1, lanes + 1) // lanes, side="left") + 1)
-
-
-def _shift(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Drops the upper 32 bits of lanes in which they are settled, or have to be, since the span is too small; returns these lanes and those bits. What is left of a span exceeds 32 bits, so once is enough."""
-    end = low + span
-    end ^= low
-    out = np.flatnonzero(np.minimum(end, span << _EIGHT) < _TOP)
-    lo, sp = low[out], span[out]
-    sp = np.where(end[out] < _TOP, sp, (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-    low[out], span[out] = lo << _WORD, sp << _WORD
-    return out, lo >> _WORD
+        self.pairs, self.triples = np.zeros(0, self.pair_type), np.zeros(0, np.uint64)
+        self._count(np.zeros(0, self.pair_type))
+
+    def _count(self, open_: np.ndarray) -> None:
+        """New runs and shares; open_ has the pairs that nothing has followed yet, as their lanes go on."""
+        edges = np.searchsorted(self.pairs >> self.pair_type(self.width), np.arange(self.none + 2))
+        self.order1 = Followers(self.pairs, self.width, np.diff(edges))
+        # a pair is a context of order 2; the last run is that of pairs which are not known
+        begin = (self.order1.run & _LOW32).view(np.int64)
+        times = np.diff(begin)
+        if len(open_):
+            times -= np.bincount(np.searchsorted(self.pairs.take(begin[:-2]), open_), minlength=len(times))
+        self.order2 = Followers(self.triples, self.width, times)
+        total = self.won.sum(0)
+        least = 1 << self.unit
+        share1, share2 = (((self.won[k] << _MASS - 10) // total * ((1 << _MASS) - least) >> _MASS - 10) for k in (1, 2))
+        share1[0, :], share2[:, 0] = 0, 0
+        self.share1, self.share2 = share1.reshape(-1), share2.reshape(-1)
+
+    def add(self, ids: np.ndarray) -> None:
+        """The ids of some more steps, a row a step, with two rows before them."""
+        if not self.contexts:
+            return self._count(self.pairs)
+        pairs = self.pair(ids[1:-1], ids[2:]).reshape(-1)
+        pairs.sort()
+        triples = self.triple(ids[:-2], ids[1:-1], ids[2:])
+        # a lane's first id has no pair before it
+        triples = triples[(ids[1:-1] != self.none).reshape(triples.shape)]
+        triples.sort()
+        # two sorted parts, which a stable sort merges
+        self.pairs, self.triples = np.concatenate([self.pairs, pairs]), np.concatenate([self.triples, triples])
+        self.pairs.sort(kind="stable")
+        self.triples.sort(kind="stable")
+        self._count(self.pair(ids[-2], ids[-1]))
+
+    def known(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The runs of pairs."""
+        _, _, first, different = self.order1.contexts.take(one).view(np.int32).reshape(-1, 4).T
+        return self.order1.find(first, different, two)
+
+    def credit(self, a0: np.ndarray, a1: np.ndarray, a2: np.ndarray, kind: np.ndarray) -> None:
+        """How much of what the mixture gave to ids came from each order, by class."""
+        self.won = self.won // 2 + 1
+        own = a0 + a1 + a2
+        for k, part in enumerate((a0, a1, a2)):
+            self.won[k] += np.bincount(kind, part * 64 // own, _CLASSES * _CLASSES).astype(np.int64).reshape(_CLASSES, _CLASSES)
+
+    def pair(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return one.astype(self.pair_type) << self.pair_type(self.width) | two.astype(self.pair_type)
+
+    def triple(self, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+        key = one.astype(np.uint64)
+        key <<= self.width
+        key |= two
+        key <<= self.width
+        key |= three
+        return key
+
+    def layout(self, last: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the contexts ``last`` and its pair's run: both contexts, their class, what one time has of the mass in order 0, 1 and 2, and where the masses of order 1 and 0 begin."""
+        one, two = (order.contexts.take(x).view(np.int32).reshape(-1, 4).T for order, x in ((self.order1, last), (self.order2, run)))
+        n1, n2 = one[1], two[1]
+        kind = _CLASS_OF.take(n1, mode="clip") * _CLASSES
+        kind += _CLASS_OF.take(n2, mode="clip")
+        each1, each2 = self.share1.take(kind), self.share2.take(kind)
+        each2 //= np.maximum(n2, 1)
+        each1 //= np.maximum(n1, 1)
+        from1 = each2 * n2
+        from0 = each1 * n1
+        from0 += from1
+        each0 = (1 << _MASS) - from0
+        each0 >>= self.unit
+        return one, two, kind, each0, each1, each2, from1, from0
+
+    def parts(self, ids: np.ndarray, of: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """The runs of the ids' pairs; each id's mass in order 0, 1 and 2, and where it lies."""
+        one, two, _, each0, each1, each2, from1, from0 = of
+        run, at1, a1 = self.order1.find(one[2], one[3], ids)
+        _, at2, a2 = self.order2.find(two[2], two[3], ids)
+        a2 *= each2
+        a1 *= each1
+        at2 -= two[0]
+        at2 *= each2
+        at1 -= one[0]
+        at1 *= each1
+        at1 += from1
+        mass0 = self.mass0.take(ids)
+        at0 = (mass0 >> np.uint64(32)).view(np.int64)
+        a0 = (mass0 & _LOW32).view(np.int64)
+        a0 *= each0
+        at0 *= each0
+        at0 += from0
+        return run, a0, a1, a2, at0, at1, at2
+
+
+def _updates(steps: int) -> list[int]:
+    """Steps before which counts are brought up to date, and the last."""
+    at, out = 1, []
+    while at < steps:
+        out.append(at)
+        at = max(at + 1, int(at * _GROWTH))
+    return [*out, steps]
 
 
 def encode_block(ids: np.ndarray, symbols: int) -> bytes:
     """A block of 1 to 2**31 ids below ``symbols``, which is 2**28 at most."""
     n, ids = len(ids), np.asarray(ids)
     classes = classes_of(np.bincount(ids, minlength=symbols))
-    code = Code(classes)
-    digits = code.digits[ids]
-    size = np.zeros(len(classes), np.int64)
-    for k in range(16):
-        size += (code.digits >> np.uint64(4 * k)) > 0
-    ends = end = _lane_ends(size[ids])
-    lanes = len(ends)
-    model = Model(code, lanes)
-    at = np.append(0, ends[:-1])
-    who_am, now = np.arange(lanes, dtype=np.uint16), digits[at]
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    who, words = [], []
-
-    def put(lanes_: np.ndarray) -> None:
-        who.append(who_am[lanes_])
-        words.append((low[lanes_] >> _WORD).astype(np.uint32))
-
-    while len(at):
-        model.predict()
-        digit = (now & np.uint64(15)).astype(np.int64)
-        now >>= np.uint64(4)
-        below, own = model.part(digit)
-        span //= model.total
-        below *= span
-        low += below
-        span *= own
-        out, top = _shift(low, span)
-        who.append(who_am[out])
-        words.append(top.astype(np.uint32))
-        done, _ = model.learn(digit)
-        at[done] += 1
-        ended = at[done] >= end[done]
-        if ended.any():
-            gone = done[ended]
-            # the first number of 32 bits above low, if all that may follow lies in the span; else low itself
-            short = span[gone] >> np.uint64(33) > 0
-            low[gone[short]] += np.uint64((1 << 32) - 1)
-            put(gone)
-            low[gone] <<= _WORD
-            put(gone[~short])
-            going = at < end
-            at, end, who_am, now, low, span = (x[going] for x in (at, end, who_am, now, low, span))
-            model.keep(going)
-            done = (np.cumsum(going) - 1)[done[~ended]]
-        now[done] = digits[at[done]]
-    who_, words_ = np.concatenate(who), np.concatenate(words)
+    model = Model(classes)
+    number = np.zeros(symbols, np.uint32)
+    number[model.symbols] = np.arange(model.none, dtype=np.uint32)
+    lanes = min(LANES, max(1, n // STEPS))
+    steps = -(-n // lanes)
+    counts = np.full(lanes, steps)
+    counts[n - (steps - 1) * lanes :] -= 1
+    # a row a step, after two rows of none; the last step may have fewer lanes
+    rows = np.full((steps + 2, lanes), model.none, np.uint32)
+    begin = np.cumsum(counts) - counts
+    for lane, (a, m) in enumerate(zip(begin.tolist(), counts.tolist())):
+        rows[2 : 2 + m, lane] = ids[a : a + m]
+    full = rows[2 : steps + 1]
+    full[...] = number[full]
+    width = n - (steps - 1) * lanes
+    rows[steps + 1, :width] = number[rows[steps + 1, :width]]
+    own, past1, past2, place = (np.empty((steps, lanes), np.uint32) for _ in range(4))
+    place = np.empty((3, steps, lanes), np.uint32)
+    done = 0
+    for until in _updates(steps):
+        seen = []
+        for a in range(done, until, 64):
+            _model_rows(model, rows, a, min(a + 64, until), width if until == steps else lanes, own, past1, past2, place, seen, done)
+        if until < steps:
+            model.credit(*(np.concatenate(x) for x in zip(*seen)))
+            model.add(rows[done : until + 2])
+        done = until
+    state = np.full(lanes, _LEAST, np.uint64)
+    words = []
+    for k in range(steps - 1, -1, -1):
+        m = width if k == steps - 1 else lanes
+        now, f = state[:m], own[k, :m].astype(np.uint64)
+        out = np.flatnonzero(now >> np.uint64(34) >= f)
+        if len(out):
+            top = now[out]
+            words.append(top.astype(np.uint32)[::-1])
+            now[out] = top >> np.uint64(32)
+        quotient = now // f
+        rest = (now - quotient * f).astype(np.uint32)
+        in2, in1 = rest < past2[k, :m], rest < past1[k, :m]
+        at = place[0, k, :m].copy()
+        np.copyto(at, place[1, k, :m], where=in1)
+        np.copyto(at, place[2, k, :m], where=in2)
+        at += rest
+        quotient <<= np.uint64(_MASS)
+        quotient += at
+        now[...] = quotient
     table = zlib.compress(classes.tobytes(), 6)
-    sizes, counts = np.bincount(who_, minlength=lanes).astype("<u4"), np.diff(ends, prepend=0).astype("<u4")
-    lists = zlib.compress(counts.tobytes() + sizes.tobytes(), 6)
-    payload = struct.pack("<II", len(table), len(lists)) + table + lists + words_[np.argsort(who_, kind="stable")].astype("<u4").tobytes()
+    stream = np.concatenate(words)[::-1] if words else np.zeros(0, np.uint32)
+    payload = struct.pack("<I", len(table)) + table + state.astype("<u8").tobytes() + stream.astype("<u4").tobytes()
     return _HEAD.pack(MAGIC, n, symbols, lanes, len(payload), zlib.crc32(payload)) + payload
 
 
+def _model_rows(model: Model, rows: np.ndarray, a: int, b: int, width: int, own, past1, past2, place, seen: list, done: int) -> None:
+    """Masses and places of the ids of steps a to b."""
+    two, one, ids = rows[a:b], rows[a + 1 : b + 1], rows[a + 2 : b + 2]
+    if width < ids.shape[1] and b == len(rows) - 2:
+        ids = np.where(ids == model.none, 0, ids)
+    two, one, ids = two.reshape(-1), one.reshape(-1), ids.reshape(-1)
+    lanes = rows.shape[1]
+    run, _, _ = model.known(one, ids)
+    before = np.concatenate([model.known(two[:lanes], one[:lanes])[0], run[:-lanes]])
+    of = model.layout(one, before)
+    _, a0, a1, a2, at0, at1, at2 = model.parts(ids, of)
+    a1 += a2
+    flat = slice(a * lanes, b * lanes)
+    past2.reshape(-1)[flat], past1.reshape(-1)[flat], own.reshape(-1)[flat] = a2, a1, a1 + a0
+    for k, at in enumerate((at0 - a1, at1 - a2, at2)):
+        place[k].reshape(-1)[flat] = at
+    looked = [k for k in range(a, b) if not (k - done) % _LOOKED_AT]
+    pick = lambda x: x.reshape(b - a, lanes)[np.array(looked) - a].reshape(-1)
+    if looked:
+        seen.append((pick(a0), pick(a1 - a2), pick(a2), pick(of[2])))
+
+
 def block_bytes(head: bytes) -> int:
     """Bytes of the payload that follows this head."""
     return _HEAD.unpack(head)[4]
@@ -359,37 +341,59 @@ def decode_block(head: bytes, payload: bytes) -> np.ndarray:
     magic, n, symbols, lanes, size, check = _HEAD.unpack(head)
     if magic != MAGIC or len(payload) != size or zlib.crc32(payload) != check:
         raise ValueError("damaged block of ids")
-    table, lists = struct.unpack_from("<II", payload)
-    code = Code(np.frombuffer(zlib.decompress(payload[8 : 8 + table]), np.uint8))
-    counts, sizes = np.frombuffer(zlib.decompress(payload[8 + table : 8 + table + lists]), "<u4").astype(np.int64).reshape(2, lanes)
-    words = np.concatenate([np.frombuffer(payload[8 + table + lists :], "<u4"), np.zeros(2, np.uint32)]).astype(np.uint64)
-    next_ = np.cumsum(sizes) - sizes
-    value = (words[next_] << _WORD) | words[next_ + 1]
-    next_ += 2
-    model = Model(code, lanes)
-    end = np.cumsum(counts)
-    at = end - counts
-    ids = np.zeros(n, np.uint32)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    while len(at):
-        model.predict()
-        span //= model.total
-        digit, below, own = model.digit(np.minimum((value - low) // span, model.total - np.uint64(1)))
-        below *= span
-        low += below
-        span *= own
-        out, _ = _shift(low, span)
-        place = next_[out]
-        value[out] = (value[out] << _WORD) | words[np.minimum(place, len(words) - 1)]
-        place += 1
-        next_[out] = place
-        done, found = model.learn(digit)
-        place = at[done]
-        ids[place] = found
-        place += 1
-        at[done] = place
-        if (place >= end[done]).any():
-            going = at < end
-            at, end, next_, value, low, span = (x[going] for x in (at, end, next_, value, low, span))
-            model.keep(going)
+    table = struct.unpack_from("<I", payload)[0]
+    model = Model(np.frombuffer(zlib.decompress(payload[4 : 4 + table]), np.uint8))
+    state = np.frombuffer(payload, "<u8", lanes, 4 + table).astype(np.uint64)
+    words = np.frombuffer(payload, "<u4", offset=4 + table + 8 * lanes).astype(np.uint32)
+    steps = -(-n // lanes)
+    width = n - (steps - 1) * lanes
+    rows = np.full((steps + 2, lanes), model.none, np.uint32)
+    low = np.uint64((1 << _MASS) - 1)
+    word = done = 0
+    for until in _updates(steps):
+        seen = []
+        run = model.known(rows[done], rows[done + 1])[0]
+        for k in range(done, until):
+            m = width if k == steps - 1 else lanes
+            of = model.layout(rows[k + 1, :m], run[:m])
+            context1, context2, kind, each0, each1, each2, from1, from0 = of
+            slot = (state[:m] & low).view(np.int64)
+            past1, past2 = slot < from0, slot < from1
+            in2, in0 = np.flatnonzero(past2), np.flatnonzero(~past1)
+            in1 = np.flatnonzero(past1 ^ past2)
+            ids = rows[k + 2, :m]
+            at = slot.take(in2) // each2.take(in2) + context2[0].take(in2)
+            ids[in2] = model.triples.take(at) & model.order2.only
+            at = (slot.take(in1) - from1.take(in1)) // each1.take(in1) + context1[0].take(in1)
+            ids[in1] = model.pairs.take(at) & model.order1.only
+            ids[in0] = model.id_at.take((slot.take(in0) - from0.take(in0)) // each0.take(in0))
+            run, a0, a1, a2, at0, at1, at2 = model.parts(ids, of)
+            if not (k - done) % _LOOKED_AT and until < steps:
+                seen.append((a0.copy(), a1.copy(), a2, kind))
+            # the place within what the id has in all
+            at1 -= a2
+            a1 += a2
+            at0 -= a1
+            a0 += a1
+            np.copyto(at0, at1, where=past1)
+            np.copyto(at0, at2, where=past2)
+            slot -= at0
+            now = state[:m]
+            now >>= np.uint64(_MASS)
+            now *= a0.view(np.uint64)
+            now += slot.view(np.uint64)
+            short = np.flatnonzero(now < _LEAST)
+            now[short] = now[short] << np.uint64(32) | words[word : word + len(short)]
+            word += len(short)
+        if until < steps:
+            model.credit(*(np.concatenate(x) for x in zip(*seen)))
+            model.add(rows[done : until + 2])
+        done = until
+    rows = model.symbols.take(rows[2:], mode="clip")
+    ids = np.empty(n, np.uint32)
+    at = 0
+    for lane in range(lanes):
+        m = steps if lane < width else steps - 1
+        ids[at : at + m] = rows[:m, lane]
+        at += m
     return ids
