@@ -33,8 +33,8 @@ _MASS = 30
 _LEAST = np.uint64(1 << 32)
 #: Counts of a context in classes, for the shares: 0, 1, 2-3, 4-7 and so on.
 _CLASSES = 14
-#: Counts are brought up to date when there are so many times as many steps.
-_GROWTH = 1.5
+#: Counts are brought up to date when there are so many times as many steps; more often while there are few ids, from which more is learnt.
+_GROWTH, _GROWTH_OF_FEW, _FEW = 1.75, 1.25, 1 << 17
 #: Every so many steps are looked at for the shares.
 _LOOKED_AT = 4
 #: How often an id was, from its class in a block's head: steps of about a fifth.
@@ -42,11 +42,10 @@ _COUNTS = [0, 1]
 while _COUNTS[-1] < 1 << 33:
     _COUNTS.append(max(_COUNTS[-1] + 1, _COUNTS[-1] * 6 // 5))
 _COUNTS = np.array(_COUNTS, np.int64)
-_CLASS_OF = np.minimum(np.frexp(np.arange(1 << (_CLASSES - 1)))[1], _CLASSES - 1)
-#: Buckets of a context for each of its runs.
-_BUCKET_BITS = 2
-_BUCKETS = 1 << _BUCKET_BITS
-_SPREAD, _NO_ID, _LOW32 = np.uint32(0x9E3779B1), np.uint32(0xFFFFFFFF), np.uint64(0xFFFFFFFF)
+_CLASS_OF = np.minimum(np.frexp(np.arange(1 << (_CLASSES - 1)))[1], _CLASSES - 1).astype(np.int32)
+#: Buckets of a context with so many different followers, if they are few; else the power of two that is four to eight times as much.
+_BUCKETS = np.array([0, 1, 1, 16, 16, 32, 32, 32, 32], np.int32)
+_SPREAD = np.uint32(0x9E3779B1)
 
 
 def classes_of(counts: np.ndarray) -> np.ndarray:
@@ -60,67 +59,69 @@ class Followers:
     A context's runs are found by their ids in buckets of two places, of which each context has its own. What finds no place there is not found.
     """
 
-    def __init__(self, keys: np.ndarray, width: np.uint64, times: np.ndarray):
-        """Sorted keys end with the id in ``width`` bits; ``times`` has how many keys each context has, in order."""
-        self.keys, self.only = keys, keys.dtype.type((1 << int(width)) - 1)
+    def __init__(self, keys: np.ndarray, width: np.uint64, times: np.ndarray, start: int):
+        """Sorted keys end with the id in ``width`` bits; ``times`` has how many keys each context has, in order. Places are numbered from ``start``."""
         edge = np.empty(len(keys) + 1, bool)
         edge[:1] = edge[-1:] = True
         np.not_equal(keys[1:], keys[:-1], out=edge[1:-1])
         begin = np.flatnonzero(edge)
+        self.begin = begin.astype(np.int32)
         self.n = n = len(begin) - 1
-        ids = (keys.take(begin[:-1]) & self.only).astype(np.uint32)
-        self.run = np.empty((n + 2, 2), np.uint32)  # where it begins, its id
-        self.run[:-1, 0], self.run[-1, 0] = begin, len(keys)
-        self.run[:-2, 1], self.run[-2:, 1] = ids, _NO_ID
-        self.run = self.run.view(np.uint64).reshape(-1)
-        # each context's times and runs: the first, and their number
+        ids = (keys.take(begin[:-1]) & keys.dtype.type((1 << int(width)) - 1)).astype(np.uint32)
+        runs = np.zeros((n + 1, 4), np.int32)  # where a run begins, its length and its id; the last stands for those not found
+        np.add(self.begin[:-1], start, out=runs[:-1, 0])
+        np.subtract(self.begin[1:], self.begin[:-1], out=runs[:-1, 1])
+        runs[:-1, 2], runs[-1, 2] = ids.view(np.int32), -1
+        self.runs = runs.view(np.complex128).reshape(-1)
+        # each context's different ids
         first = np.zeros(len(times) + 1, np.int64)
         np.cumsum(times, out=first[1:])
-        runs = np.cumsum(edge[:-1], dtype=np.int32)
-        runs = np.append(np.int32(0), runs).take(first)
-        different = np.diff(runs)
-        self.contexts = np.empty((len(times), 4), np.int32)
-        self.contexts[:, 0], self.contexts[:, 1], self.contexts[:, 2], self.contexts[:, 3] = first[:-1], times, runs[:-1], different
-        self.contexts = self.contexts.view(np.complex128).reshape(-1)
-        self.bits = np.uint32(n.bit_length())
-        self.low = np.uint32((1 << n.bit_length()) - 1)
-        places = np.full(2 * _BUCKETS * n + 2, n, np.uint32)
+        before = np.zeros(len(keys) + 1, np.int32)
+        np.cumsum(edge[:-1], out=before[1:])
+        different = np.diff(before.take(first))
+        # its buckets, a power of two; the first bucket of all is empty
+        size = _BUCKETS.take(np.minimum(different, len(_BUCKETS) - 1))
+        many = np.flatnonzero(different >= len(_BUCKETS))
+        size[many] = 4 << np.frexp(different.take(many) - 1)[1].astype(np.int32)
+        bucket = np.cumsum(size, dtype=np.int32)
+        total = int(bucket[-1]) + 1
+        bucket -= size - 1
+        contexts = np.empty((len(times), 4), np.int32)
+        np.add(first[:-1], start, out=contexts[:, 0], casting="unsafe")
+        contexts[:, 1], contexts[:, 2], contexts[:, 3] = times, bucket * (size > 0), np.maximum(size - 1, 0)
+        self.contexts = contexts.view(np.complex128).reshape(-1)
+        self.bits, self.low = np.uint32(n.bit_length()), np.uint32((1 << n.bit_length()) - 1)
+        places = np.full(2 * total, n, np.uint32)
         if n:
             hashes = ids * _SPREAD
-            at = hashes.astype(np.uint64)
-            at *= np.repeat(different, different).astype(np.uint64) * np.uint64(_BUCKETS)
-            at >>= np.uint64(32)
-            at += np.repeat(runs[:-1], different).astype(np.uint64) * np.uint64(_BUCKETS)
-            at <<= np.uint64(1)
-            at = at.view(np.int64)
-            entry = np.arange(n, dtype=np.uint32) | hashes << self.bits
+            at = (hashes >> np.uint32(8)).view(np.int32)
+            at &= np.repeat(contexts[:, 3], different)
+            at += np.repeat(contexts[:, 2], different)
+            at *= 2
+            entry = np.arange(n, dtype=np.uint32)
+            entry |= hashes << self.bits
             places[at] = entry
             left = np.flatnonzero(places.take(at) != entry)
             places[at.take(left) + 1] = entry.take(left)
         self.places = places.view(np.uint64)
 
-    def find(self, first: np.ndarray, different: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The run of each id (or n) after a context with so many runs from the first on; where it begins and its length."""
+    def find(self, bucket: np.ndarray, mask: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The run of each id (or n) after a context with these buckets; where it begins and its length."""
         hashes = ids * _SPREAD
-        at = hashes.astype(np.int64)
-        at *= different
-        at >>= 32 - _BUCKET_BITS
-        at += first.astype(np.int64) << _BUCKET_BITS
+        at = (hashes >> np.uint32(8)).view(np.int32)
+        at &= mask
+        at += bucket
         places = self.places.take(at).view(np.uint32)
-        run, other = places[0::2], places[1::2]
-        tag = run ^ hashes << self.bits
-        run = np.where(tag <= self.low, run, other)
+        run = places[0::2]
+        hashes <<= self.bits
+        hashes ^= run
+        run = np.where(hashes <= self.low, run, places[1::2])
         run &= self.low
-        run = run.astype(np.int64)
-        here = self.run.take(run)
-        there = (here >> np.uint64(32)) == ids
-        there &= different > 0
-        here = (here & _LOW32).view(np.int64)
-        length = (self.run.take(run + 1) & _LOW32).view(np.int64)
-        length -= here
-        length *= there
+        run = run.view(np.int32)
+        here = self.runs.take(run).view(np.int32).reshape(-1, 4).T
+        there = here[2] == ids.view(np.int32)
         np.copyto(run, self.n, where=~there)
-        return run, here, length
+        return run, here[0], here[1] * there
 
 
 class Model:
@@ -137,8 +138,9 @@ class Model:
         weights = _COUNTS[classes[self.symbols]]
         mass = 1 + weights * ((1 << self.unit) - none) // int(weights.sum())
         mass[int(np.argmax(mass))] += (1 << self.unit) - int(mass.sum())
-        self.mass0 = mass.astype(np.uint64) | (np.cumsum(mass) - mass).astype(np.uint64) << np.uint64(32)
-        self.id_at = np.repeat(np.arange(none, dtype=np.uint32), mass)
+        self.mass0 = np.stack([np.cumsum(mass) - mass, mass], 1).astype(np.int32).view(np.int64).reshape(-1)
+        self.kept = np.uint16 if none < 1 << 16 else np.uint32
+        self.id_at = np.repeat(np.arange(none, dtype=self.kept), mass)
         guess = np.arange(_CLASSES)
         one, two = np.minimum(guess * 2, 12)[:, None], np.minimum(guess * 3, 12)[None, :]
         self.won = np.zeros((3, _CLASSES, _CLASSES), np.int64)
@@ -150,19 +152,25 @@ class Model:
 
     def _count(self, open_: np.ndarray) -> None:
         """New runs and shares; open_ has the pairs that nothing has followed yet, as their lanes go on."""
-        edges = np.searchsorted(self.pairs >> self.pair_type(self.width), np.arange(self.none + 2))
-        self.order1 = Followers(self.pairs, self.width, np.diff(edges))
+        edges = np.searchsorted(self.pairs, np.arange(self.none + 1).astype(self.pair_type) << self.pair_type(self.width))
+        edges = np.append(edges, len(self.pairs))
+        start = 1 << self.unit
+        self.order1 = Followers(self.pairs, self.width, np.diff(edges), start)
         # a pair is a context of order 2; the last run is that of pairs which are not known
-        begin = (self.order1.run & _LOW32).view(np.int64)
-        times = np.diff(begin)
+        begin = self.order1.begin
+        times = np.append(np.diff(begin), np.int32(0))
         if len(open_):
-            times -= np.bincount(np.searchsorted(self.pairs.take(begin[:-2]), open_), minlength=len(times))
-        self.order2 = Followers(self.triples, self.width, times)
+            times -= np.bincount(np.searchsorted(self.pairs.take(begin[:-1]), open_), minlength=len(times)).astype(np.int32)
+        self.order2 = Followers(self.triples, self.width, times, start + len(self.pairs))
         total = self.won.sum(0)
         least = 1 << self.unit
         share1, share2 = (((self.won[k] << _MASS - 10) // total * ((1 << _MASS) - least) >> _MASS - 10) for k in (1, 2))
         share1[0, :], share2[:, 0] = 0, 0
-        self.share1, self.share2 = share1.reshape(-1), share2.reshape(-1)
+        self.share1, self.share2 = (x.astype(np.int32).reshape(-1) for x in (share1, share2))
+
+    def places(self) -> np.ndarray:
+        """The ids at the places of all three orders."""
+        return np.concatenate([self.id_at, *((x & x.dtype.type((1 << int(self.width)) - 1)).astype(self.kept) for x in (self.pairs, self.triples))])
 
     def add(self, ids: np.ndarray) -> None:
         """The ids of some more steps, a row a step, with two rows before them."""
@@ -172,7 +180,9 @@ class Model:
         pairs.sort()
         triples = self.triple(ids[:-2], ids[1:-1], ids[2:])
         # a lane's first id has no pair before it
-        triples = triples[(ids[1:-1] != self.none).reshape(triples.shape)]
+        if not len(self.pairs):
+            triples = triples[(ids[1:-1] != self.none)]
+        triples = triples.reshape(-1)
         triples.sort()
         # two sorted parts, which a stable sort merges
         self.pairs, self.triples = np.concatenate([self.pairs, pairs]), np.concatenate([self.triples, triples])
@@ -182,15 +192,15 @@ class Model:
 
     def known(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
         """The runs of pairs."""
-        _, _, first, different = self.order1.contexts.take(one).view(np.int32).reshape(-1, 4).T
-        return self.order1.find(first, different, two)
+        _, _, bucket, mask = self.order1.contexts.take(one).view(np.int32).reshape(-1, 4).T
+        return self.order1.find(bucket, mask, two)
 
     def credit(self, a0: np.ndarray, a1: np.ndarray, a2: np.ndarray, kind: np.ndarray) -> None:
         """How much of what the mixture gave to ids came from each order, by class."""
         self.won = self.won // 2 + 1
         own = a0 + a1 + a2
         for k, part in enumerate((a0, a1, a2)):
-            self.won[k] += np.bincount(kind, part * 64 // own, _CLASSES * _CLASSES).astype(np.int64).reshape(_CLASSES, _CLASSES)
+            self.won[k] += np.bincount(kind, part.astype(np.int64) * 64 // own, _CLASSES * _CLASSES).astype(np.int64).reshape(_CLASSES, _CLASSES)
 
     def pair(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return one.astype(self.pair_type) << self.pair_type(self.width) | two.astype(self.pair_type)
@@ -210,12 +220,12 @@ class Model:
         kind = _CLASS_OF.take(n1, mode="clip") * _CLASSES
         kind += _CLASS_OF.take(n2, mode="clip")
         each1, each2 = self.share1.take(kind), self.share2.take(kind)
-        each2 //= np.maximum(n2, 1)
-        each1 //= np.maximum(n1, 1)
+        for each, n in ((each1, n1), (each2, n2)):
+            np.floor_divide(each.view(np.uint32), np.maximum(n, 1).view(np.uint32), out=each.view(np.uint32))
         from1 = each2 * n2
         from0 = each1 * n1
         from0 += from1
-        each0 = (1 << _MASS) - from0
+        each0 = np.int32(1 << _MASS) - from0
         each0 >>= self.unit
         return one, two, kind, each0, each1, each2, from1, from0
 
@@ -226,27 +236,25 @@ class Model:
         _, at2, a2 = self.order2.find(two[2], two[3], ids)
         a2 *= each2
         a1 *= each1
-        at2 -= two[0]
+        at2 = at2 - two[0]
         at2 *= each2
-        at1 -= one[0]
+        at1 = at1 - one[0]
         at1 *= each1
         at1 += from1
-        mass0 = self.mass0.take(ids)
-        at0 = (mass0 >> np.uint64(32)).view(np.int64)
-        a0 = (mass0 & _LOW32).view(np.int64)
-        a0 *= each0
-        at0 *= each0
+        mass0 = self.mass0.take(ids).view(np.int32)
+        at0 = mass0[0::2] * each0
         at0 += from0
+        a0 = mass0[1::2] * each0
         return run, a0, a1, a2, at0, at1, at2
 
 
-def _updates(steps: int) -> list[int]:
+def _updates(steps: int, lanes: int) -> list[int]:
     """Steps before which counts are brought up to date, and the last."""
-    at, out = 1, []
-    while at < steps:
-        out.append(at)
-        at = max(at + 1, int(at * _GROWTH))
-    return [*out, steps]
+    out = [steps]
+    while out[-1] > 1:
+        growth = _GROWTH if out[-1] * lanes > _FEW else _GROWTH_OF_FEW
+        out.append(min(out[-1] - 1, int(out[-1] / growth)))
+    return out[::-1]
 
 
 def encode_block(ids: np.ndarray, symbols: int) -> bytes:
@@ -272,7 +280,7 @@ def encode_block(ids: np.ndarray, symbols: int) -> bytes:
     own, past1, past2, place = (np.empty((steps, lanes), np.uint32) for _ in range(4))
     place = np.empty((3, steps, lanes), np.uint32)
     done = 0
-    for until in _updates(steps):
+    for until in _updates(steps, lanes):
         seen = []
         for a in range(done, until, 64):
             _model_rows(model, rows, a, min(a + 64, until), width if until == steps else lanes, own, past1, past2, place, seen, done)
@@ -350,23 +358,25 @@ def decode_block(head: bytes, payload: bytes) -> np.ndarray:
     rows = np.full((steps + 2, lanes), model.none, np.uint32)
     low = np.uint64((1 << _MASS) - 1)
     word = done = 0
-    for until in _updates(steps):
+    for until in _updates(steps, lanes):
         seen = []
         run = model.known(rows[done], rows[done + 1])[0]
+        places = model.places()
         for k in range(done, until):
             m = width if k == steps - 1 else lanes
             of = model.layout(rows[k + 1, :m], run[:m])
             context1, context2, kind, each0, each1, each2, from1, from0 = of
-            slot = (state[:m] & low).view(np.int64)
+            slot = (state[:m] & low).astype(np.int32)
             past1, past2 = slot < from0, slot < from1
-            in2, in0 = np.flatnonzero(past2), np.flatnonzero(~past1)
-            in1 = np.flatnonzero(past1 ^ past2)
+            each, begin = np.where(past1, each1, each0), np.where(past1, context1[0], 0)
+            at = slot - np.where(past1, from1, from0)
+            np.copyto(each, each2, where=past2)
+            np.copyto(begin, context2[0], where=past2)
+            np.copyto(at, slot, where=past2)
+            at = (at.view(np.uint32) // each.view(np.uint32)).view(np.int32)
+            at += begin
             ids = rows[k + 2, :m]
-            at = slot.take(in2) // each2.take(in2) + context2[0].take(in2)
-            ids[in2] = model.triples.take(at) & model.order2.only
-            at = (slot.take(in1) - from1.take(in1)) // each1.take(in1) + context1[0].take(in1)
-            ids[in1] = model.pairs.take(at) & model.order1.only
-            ids[in0] = model.id_at.take((slot.take(in0) - from0.take(in0)) // each0.take(in0))
+            ids[...] = places.take(at)
             run, a0, a1, a2, at0, at1, at2 = model.parts(ids, of)
             if not (k - done) % _LOOKED_AT and until < steps:
                 seen.append((a0.copy(), a1.copy(), a2, kind))
@@ -380,8 +390,8 @@ def decode_block(head: bytes, payload: bytes) -> np.ndarray:
             slot -= at0
             now = state[:m]
             now >>= np.uint64(_MASS)
-            now *= a0.view(np.uint64)
-            now += slot.view(np.uint64)
+            now *= a0.view(np.uint32)
+            now += slot.view(np.uint32)
             short = np.flatnonzero(now < _LEAST)
             now[short] = now[short] << np.uint64(32) | words[word : word + len(short)]
             word += len(short)

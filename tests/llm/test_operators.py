@@ -161,6 +161,34 @@ def test_coder_of_a_source_with_four_followers():
     assert 8 * len(id_coder.encode_block(ids, 1000)) < 1.15 * 1.85 * n
 
 
+
+def test_coder_goes_a_step_an_id(monkeypatch):
+    ids = np.random.default_rng(3).zipf(1.3, 40_000).clip(1, 49408).astype(np.uint32) - 1
+    block, steps, layout = id_coder.encode_block(ids, 49408), [], id_coder.Model.layout
+    monkeypatch.setattr(id_coder.Model, "layout", lambda self, last, run: steps.append(len(last)) or layout(self, last, run))
+    assert (id_coder.decode_block(block[: id_coder.HEAD_BYTES], block[id_coder.HEAD_BYTES :]) == ids).all()
+    assert sum(steps) == len(ids)
+
+
+@pytest.mark.parametrize("n", [70_000, 2_200_000])
+def test_coder_of_many_symbols(n):
+    ids = np.concatenate([np.random.default_rng(n).permutation(n), np.arange(1000), np.arange(1000)]).astype(np.uint32)
+    block = id_coder.encode_block(ids, n)
+    assert (id_coder.decode_block(block[: id_coder.HEAD_BYTES], block[id_coder.HEAD_BYTES :]) == ids).all()
+
+
+def test_blocks_are_even(monkeypatch, tmp_path):
+    sizes, encode = [], token_files.encode_block
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 1000)
+    monkeypatch.setattr(token_files, "encode_block", lambda ids, symbols: sizes.append(len(ids)) or encode(ids, symbols))
+    for n, want in ((0, []), (1, [1]), (1250, [1250]), (1251, [625, 626]), (4100, [1025] * 4)):
+        sizes.clear()
+        ids = np.arange(n, dtype=np.uint32) % 7
+        (tmp_path / "x.ids").write_bytes(token_files.FILE_MAGIC + token_files.encode_segment(np.array([5]), np.array([n]), ids))
+        assert sizes == want
+        assert [(d.tolist(), m.tolist(), i.tolist()) for d, m, i in token_files.read_segments(str(tmp_path / "x.ids"))] == [([5], [n], ids.tolist())]
+
+
 ODD = ["don't stop", "a<|endoftext|>b", "x y z", "é ́a", "\x00\x1c\x85", "ÀÖØßÿ ²³¹ ªºµ", "12'3 '' 've", "ΣΑΣ İ", "日本語 テスト", "a\r\nb\tc\x0bd\x0ce", "👍🏽 flag", "'", "<|startoftext|>"]
 
 
