@@ -9,6 +9,7 @@ import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -353,17 +354,19 @@ def standardized(rows: DataFrame, features: list[str]) -> DataFrame:
     return wide.withColumn("x", x).select(*rows.columns, "x")
 
 
-def propagate_labels(rows: DataFrame, features: list[str], key: str = "session_id", anchor: str = "anchor", sigma: float = 1.0, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
-    """Label distributions spread from anchors (class index, null for others) over affinities exp(-d^2 / (2 sigma^2)); anchors keep theirs.
+def propagate_labels(rows: DataFrame, features: list[str], key: str = "session_id", anchor: str = "anchor", sigma: float = 1.0, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
+    """Label distributions spread from anchors (class index, null for others) over affinities exp(-d^2 / (2 sigma^2)); anchors keep theirs. Rounds go on until none moves a distribution by the tolerance, or for ``rounds``.
 
     Rows at the same place (features equal to PLACES decimals) with the same anchor have the same distribution after every round, so a round goes through all pairs of different places, each with the number of its
     rows, in passes (``vectors.affinity_sums``) that keep sums per place only: work grows with the square of the places and memory does not. A checkpoint cuts each round. Rows without any affinity have no label.
     """
+    if rounds is None and tolerance <= 0:
+        raise ValueError("without a number of rounds there must be a tolerance")
     scaled = standardized(rows, features).select(key, anchor, F.transform("x", lambda v: F.round(v, PLACES)).alias("x")).checkpoint()
     points = scaled.groupBy("x", anchor).agg(F.min(key).alias(key), F.count("*").alias("m")).checkpoint()
     start = [F.when(F.col(anchor) == i, 1.0).when(F.col(anchor).isNull(), 1 / 3).otherwise(0.0).alias(f"p{i}") for i in range(3)]
     now = points.select(key, anchor, *start).checkpoint()
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         others = now.select(F.col(key).alias("other"), F.array("p0", "p1", "p2").alias("p")).join(points.select(F.col(key).alias("other"), F.col("x").alias("o"), "m"), "other")
         spread = affinity_sums(points, others, 3, sigma, key, "x").where("total > 0").withColumnRenamed("total", "w")
         moved = now.join(spread, key, "left").select(

@@ -496,11 +496,11 @@ def _knn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("label_propagation")
 def _propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of every second session spread to all, to the end; SQL has no such loop over distributions, a test has."""
+    """Labels of every second session spread to all, until no distribution moves any more; SQL has no such loop over distributions, a test has."""
     sizes = modelsize.session_size_features(canonical_events(spark, sf_dir))
     rows = sizes.join(modelsize.heuristic_labels(sizes).select("session_id", "label"), "session_id")
     anchor = F.when(F.substring("session_id", 2, 9).cast("int") % 2 == 0, F.array_position(F.array(*map(F.lit, modelsize.CLASSES)), F.col("label")) - 1)
-    return learn.propagate_labels(rows.withColumn("anchor", anchor.cast("int")), KNN_FEATURES, rounds=10).select("session_id", "label")
+    return learn.propagate_labels(rows.withColumn("anchor", anchor.cast("int")), KNN_FEATURES).select("session_id", "label")
 
 
 @query("decisions", f"WITH h AS ({ORACLES['weighted_fusion'].strip()}) SELECT entity_id, model, round(greatest(mini, medium, large), 6) AS confidence, CASE WHEN greatest(mini, medium, large) < 0.6 THEN 'medium' ELSE 'low' END AS risk FROM h")

@@ -52,6 +52,27 @@ def test_propagation_goes_through_places(spark, monkeypatch):
     assert np.abs(np.array([got[r[0]] for r in rows]) - p).max() < 1e-9
 
 
+def test_labels_are_spread_to_the_end(spark, tmp_path):
+    """Four anchors among twenty sessions, which take 47 rounds to settle: after ten of them eight labels are others."""
+    rng = np.random.default_rng(2766)
+    values = np.round(rng.gamma(1, 8000, 24) + 5) * 10
+    users = np.concatenate([np.arange(4) * 2, np.arange(20) * 2 + 1])
+    rows = [(i, int(u), "click", float(v), '{"k": 1}') for i, (u, v) in enumerate(zip(users, values))]
+    frame = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string").withColumn("ts", F.timestamp_seconds("event_id"))
+    frame.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["session_id"]: r["label"] for r in entry.queries()["label_propagation"](spark, str(tmp_path)).collect()}
+    x = (values - values.mean()) / values.std()
+    w = np.exp(-((x[:, None] - x) ** 2) / 2)
+    np.fill_diagonal(w, 0)
+    fixed, own = (users % 2 == 0)[:, None], np.eye(3)[np.digitize(values, [20_000.5, 60_000.5])]
+    p, seen = np.where(fixed, own, 1 / 3), []
+    while len(seen) < 2 or np.abs(seen[-1] - seen[-2]).max() >= 1e-4:
+        p = np.where(fixed, own, w @ p / w.sum(1, keepdims=True))
+        seen.append(p)
+    assert len(seen) == 47 and (seen[9].argmax(1) != p.argmax(1)).sum() == 8
+    assert got == {f"u{u}": ("mini", "medium", "large")[k] for u, k in zip(users, p.argmax(1))}
+
+
 def test_a_task_has_few_numbers_of_a_matrix_at_a_time():
     assert sum(s.stop - s.start for s in vectors._slices(10_000, 4_096)) == 10_000
     assert max((s.stop - s.start) * 4_096 for s in vectors._slices(10_000, 4_096)) <= vectors.SLICE_CELLS
