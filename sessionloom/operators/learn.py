@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sessionloom.functions import argmax, ratio, softmax
-from sessionloom.operators import classifiers
+from sessionloom.operators import classifiers, kernel, propagation
 from sessionloom.operators.modelsize import CLASSES
 from sessionloom.operators.trust import drift_report, fit_temperature, population_stability, with_temperature
 from sessionloom.operators.vectors import affinity_sums, shares_by_vector
@@ -30,6 +30,8 @@ from sessionloom.operators.vectors import affinity_sums, shares_by_vector
 PER_SAMPLE_C = 100.0
 #: Decimals of scaled features by which rows are taken to be at the same place; what rounding takes away is far below what the order of a sum does to a result's last shown digit.
 PLACES = 11
+#: Different places among which labels are spread pair by pair.
+MANY = 4_096
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -357,14 +359,27 @@ def standardized(rows: DataFrame, features: list[str]) -> DataFrame:
 def propagate_labels(rows: DataFrame, features: list[str], key: str = "session_id", anchor: str = "anchor", sigma: float = 1.0, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """Label distributions spread from anchors (class index, null for others) over affinities exp(-d^2 / (2 sigma^2)); anchors keep theirs. Rounds go on until none moves a distribution by the tolerance, or for ``rounds``.
 
-    Rows at the same place (features equal to PLACES decimals) with the same anchor have the same distribution after every round, so a round goes through all pairs of different places, each with the number of its
-    rows, in passes (``vectors.affinity_sums``) that keep sums per place only: work grows with the square of the places and memory does not. A checkpoint cuts each round. Rows without any affinity have no label.
+    Rows at the same place (features equal to PLACES decimals) with the same anchor have the same distribution after every round, so a round goes through different places, each with the number of its rows. Up to MANY
+    of them are taken pair by pair (``vectors.affinity_sums``). Of more, a round's sums come from features of the kernel (``propagation``), and its work grows with the places and not with their square; only where that would take
+    too many features (many dimensions of many values each) all pairs are gone through in passes. A checkpoint cuts each round. Rows without any affinity have no label.
     """
     if rounds is None and tolerance <= 0:
         raise ValueError("without a number of rounds there must be a tolerance")
     scaled = standardized(rows, features).select(key, anchor, F.transform("x", lambda v: F.round(v, PLACES)).alias("x")).checkpoint()
     points = scaled.groupBy("x", anchor).agg(F.min(key).alias(key), F.count("*").alias("m")).checkpoint()
     start = [F.when(F.col(anchor) == i, 1.0).when(F.col(anchor).isNull(), 1 / 3).otherwise(0.0).alias(f"p{i}") for i in range(3)]
+    basis = kernel.features_of(points, "x", len(features), sigma) if points.count() > MANY else None
+    found = propagation.spread(points, basis, anchor, sigma, rounds, tolerance) if basis else None
+    if found is not None:
+        held = scaled.where(F.col(anchor).isNotNull()).select(key, *start)
+        now = held.unionByName(scaled.where(F.col(anchor).isNull()).select(key, "x").join(found, "x").drop("x"))
+    else:
+        now = _propagated_by_pairs(scaled, points, start, key, anchor, sigma, rounds, tolerance)
+    p = F.array("p0", "p1", "p2")
+    return now.select(key, p.alias("probabilities"), F.when(F.array_max(p) > 0, F.get(F.array(*map(F.lit, CLASSES)), (F.array_position(p, F.array_max(p)) - 1).cast("int"))).alias("label"))
+
+
+def _propagated_by_pairs(scaled: DataFrame, points: DataFrame, start: list[Column], key: str, anchor: str, sigma: float, rounds: int | None, tolerance: float) -> DataFrame:
     now = points.select(key, anchor, *start).checkpoint()
     for _ in count() if rounds is None else range(rounds):
         others = now.select(F.col(key).alias("other"), F.array("p0", "p1", "p2").alias("p")).join(points.select(F.col(key).alias("other"), F.col("x").alias("o"), "m"), "other")
@@ -376,10 +391,8 @@ def propagate_labels(rows: DataFrame, features: list[str], key: str = "session_i
         now = moved.drop("gap")
         if gap < tolerance:
             break
-    p = F.array("p0", "p1", "p2")
     places = points.select(F.col("x").alias("at"), F.col(anchor).alias("at_anchor"), F.col(key).alias("place")).join(now.withColumnRenamed(key, "place").drop(anchor), "place")
-    now = scaled.join(places, F.col("x").eqNullSafe(F.col("at")) & F.col(anchor).eqNullSafe(F.col("at_anchor")))
-    return now.select(key, p.alias("probabilities"), F.when(F.array_max(p) > 0, F.get(F.array(*map(F.lit, CLASSES)), (F.array_position(p, F.array_max(p)) - 1).cast("int"))).alias("label"))
+    return scaled.join(places, F.col("x").eqNullSafe(F.col("at")) & F.col(anchor).eqNullSafe(F.col("at_anchor")))
 
 
 def pseudo_labels(labelled: DataFrame, rest: DataFrame, kind: str, features: list[str], rounds: int = 3, most: int = 50, threshold: float = 0.85, decay: float = 0.95, floor: float = 0.65, key: str = "session_id") -> DataFrame:

@@ -487,20 +487,27 @@ KNN_FEATURES = ["prompt_tokens", "completion_tokens", "tool_calls", "edits", "re
 )
 def _knn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each session's shares by its neighbours without itself."""
-    sizes = modelsize.session_size_features(canonical_events(spark, sf_dir))
-    # read for the model and for its questions
-    rows = learn.with_index(sizes.join(modelsize.heuristic_labels(sizes).select("session_id", "label"), "session_id")).select("session_id", "y", *KNN_FEATURES).checkpoint()
+    rows = learn.with_index(labelled_sizes(spark, sf_dir)).select("session_id", "y", *KNN_FEATURES)
     got = learn.fit(rows, "knn", KNN_FEATURES).transform(rows, leave_out=True)
     return got.select("session_id", F.round(F.get("probabilities", F.lit(0)), 5).alias("mini"), F.round(F.get("probabilities", F.lit(2)), 5).alias("large"))
 
 
+def labelled_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and heuristic label of each session, worked out once for all that read them."""
+    sizes = modelsize.session_size_features(canonical_events(spark, sf_dir))
+    return sizes.select("session_id", modelsize.label_of(modelsize.complexity()).alias("label"), *KNN_FEATURES).checkpoint()
+
+
+def anchored_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same; the label of every second session is an anchor."""
+    anchor = F.when(F.substring("session_id", 2, 20).cast("bigint") % 2 == 0, F.array_position(F.array(*map(F.lit, modelsize.CLASSES)), F.col("label")) - 1)
+    return labelled_sizes(spark, sf_dir).withColumn("anchor", anchor.cast("int"))
+
+
 @query("label_propagation")
 def _propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of every second session spread to all, until no distribution moves any more; SQL has no such loop over distributions, a test has."""
-    sizes = modelsize.session_size_features(canonical_events(spark, sf_dir))
-    rows = sizes.join(modelsize.heuristic_labels(sizes).select("session_id", "label"), "session_id")
-    anchor = F.when(F.substring("session_id", 2, 9).cast("int") % 2 == 0, F.array_position(F.array(*map(F.lit, modelsize.CLASSES)), F.col("label")) - 1)
-    return learn.propagate_labels(rows.withColumn("anchor", anchor.cast("int")), KNN_FEATURES).select("session_id", "label")
+    return learn.propagate_labels(anchored_sizes(spark, sf_dir), KNN_FEATURES).select("session_id", "label")
 
 
 @query("decisions", f"WITH h AS ({ORACLES['weighted_fusion'].strip()}) SELECT entity_id, model, round(greatest(mini, medium, large), 6) AS confidence, CASE WHEN greatest(mini, medium, large) < 0.6 THEN 'medium' ELSE 'low' END AS risk FROM h")

@@ -9,7 +9,7 @@ from sessionloom.operators import features, graph, learn, mining, modelsize, rea
 from sessionloom.plans import analysis
 from sessionloom.plans.adapter import agent_log, agent_log_of, canonical_events, event_slices, table
 from sessionloom.plans.oracles import LOG, ORACLES
-from sessionloom.plans.source_queries import _BRIDGED, KNN_FEATURES, _distributions, query
+from sessionloom.plans.source_queries import _BRIDGED, KNN_FEATURES, _distributions, anchored_sizes, query
 from sessionloom.sources import tables
 from sessionloom.sources.logged import Store
 from sessionloom.streaming.sessions import shared_folder, start_event_store
@@ -252,8 +252,5 @@ def _propagated() -> str:
 @query("propagated_labels", _propagated())
 def _propagated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of every second session spread to all in ROUNDS rounds: every distribution."""
-    sizes = modelsize.session_size_features(canonical_events(spark, sf_dir))
-    rows = sizes.join(modelsize.heuristic_labels(sizes).select("session_id", "label"), "session_id")
-    anchor = F.when(F.substring("session_id", 2, 9).cast("int") % 2 == 0, F.array_position(F.array(*map(F.lit, modelsize.CLASSES)), F.col("label")) - 1)
-    found = learn.propagate_labels(rows.withColumn("anchor", anchor.cast("int")), KNN_FEATURES, rounds=ROUNDS, tolerance=0)
+    found = learn.propagate_labels(anchored_sizes(spark, sf_dir), KNN_FEATURES, rounds=ROUNDS, tolerance=0)
     return found.select("session_id", F.posexplode("probabilities").alias("class", "p")).withColumn("p", F.round("p", 4))

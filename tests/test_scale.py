@@ -52,6 +52,35 @@ def test_propagation_goes_through_places(spark, monkeypatch):
     assert np.abs(np.array([got[r[0]] for r in rows]) - p).max() < 1e-9
 
 
+@pytest.mark.parametrize("features", [["f", "g"], ["f", "k", "c"], ["k", "l"]])
+def test_propagation_by_features_against_all_pairs(spark, monkeypatch, features):
+    """Of many different rows no pairs are made: components of many and of few values, equal rows, rows far from all, and one whose affinities are below the features' error."""
+    from sessionloom.operators import learn
+
+    rng = np.random.default_rng(5)
+    n = 600
+    f, g = rng.normal(size=n), rng.gamma(2, 1, n)
+    f[:3], g[3] = [60.0, 61.0, 9.5], 300.0
+    f[20:40], g[20:40] = f[19], g[19]
+    table = {"f": f, "g": g, "k": rng.integers(0, 9, n).astype(float), "l": rng.integers(0, 5, n).astype(float), "c": np.full(n, 7.0)}
+    anchor = [int(a) if b else None for a, b in zip(rng.integers(0, 3, n), rng.random(n) < 0.3)]
+    x = np.column_stack([table[c] for c in features])
+    frame = spark.createDataFrame([(f"s{i}", *map(float, r), a) for i, (r, a) in enumerate(zip(x, anchor))], f"session_id string, {', '.join(f'{c} double' for c in features)}, anchor int")
+    monkeypatch.setattr(learn, "MANY", 10)
+    monkeypatch.setattr(learn, "affinity_sums", None)
+    got = {r["session_id"]: (r["probabilities"], r["label"]) for r in learn.propagate_labels(frame, features, rounds=6, tolerance=0).collect()}
+    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    w = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 2)
+    np.fill_diagonal(w, 0)
+    fixed = np.array([a is not None for a in anchor])[:, None]
+    p = start = np.array([[1 / 3] * 3 if a is None else np.eye(3)[a] for a in anchor])
+    total = w.sum(1, keepdims=True)
+    for _ in range(6):
+        p = np.where(fixed, start, np.divide(w @ p, total, out=np.zeros_like(p), where=total > 0))
+    assert len(got) == n and np.abs(np.array([got[f"s{i}"][0] for i in range(n)]) - p).max() < 1e-8
+    assert all((got[f"s{i}"][1] is None) == (not p[i].any()) for i in range(n))
+
+
 def test_labels_are_spread_to_the_end(spark, tmp_path):
     """Four anchors among twenty sessions, which take 47 rounds to settle: after ten of them eight labels are others."""
     rng = np.random.default_rng(2766)
