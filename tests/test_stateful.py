@@ -105,3 +105,68 @@ def test_setting_comes_back(spark):
     with stateful.rocksdb(spark):
         assert spark.conf.get(name) == stateful.PROVIDER
     assert spark.conf.get(name, None) == before and shared_folder(spark, "x")
+
+
+class Held:
+    """A value or a map of a state store that counts what it is asked."""
+
+    def __init__(self, *_):
+        self.value, self.entries, self.asked = None, {}, 0
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+    def clear(self):
+        self.asked, self.value = self.asked + 1, None
+
+    def keys(self):
+        return iter(list(self.entries))
+
+    def containsKey(self, key):
+        return key in self.entries
+
+    def updateValue(self, key, value):
+        self.entries[key] = value
+
+    def removeKey(self, key):
+        del self.entries[key]
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+        self.getValueState = self.getMapState = Held
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_a_key_of_many_sessions_asks_the_store_twice(monkeypatch):
+    """Fifty sessions of a key: one read and one write of their states. Files beyond the bound are in a map, are counted once whenever they come, and go with their session."""
+    pd = pytest.importorskip("pandas")
+    from sessionloom.streaming.sessions import _EVENT
+
+    monkeypatch.setattr(stateful, "READ_AT_ONCE", 4)
+    handle, live = Handle(), stateful.LiveSession(5, 5000, 30_000, 60_000, False)
+    live.init(handle)
+
+    def batch(watermark, *events):
+        frame = pd.DataFrame([{c: e.get(c) for c in ["session_id", *_EVENT]} for e in events])
+        return {r.id: r for out in live.handleInputRows((1,), iter([frame]), Now(watermark)) for r in out.itertuples()}
+
+    got = batch(0, *[event(100 * s + k, 1_000 + k, "tool_call", session_id=f"s{s}", tool="read_file", path=f"p{k % (6 if s == 7 else 3)}") for s in range(50) for k in range(8)])
+    assert live.held.asked == 2 and len(got) == 400 and {r.files_read for i, r in got.items() if i % 100 == 7} == {3, 6}
+    assert {k[0] for k in live.read.entries} == {"s7"} and len(live.read.entries) == 6 and handle.timers == {61_007}
+    got = batch(0, event(9_000, 2_000, "tool_call", session_id="s7", tool="read_file", path="p1"), event(9_001, 2_001, "tool_call", session_id="s7", tool="read_file", path="new"))
+    assert (got[9_000].files_read, got[9_001].files_read, got[9_001].version) == (6, 7, 10)
+    assert list(live.handleExpiredTimer((1,), Now(61_500), Now(61_007))) == [] and [row[0] for row in live.held.value[0]] == ["s7"] and handle.timers >= {62_001}
+    list(live.handleExpiredTimer((1,), Now(62_001), Now(62_001)))
+    assert live.held.value is None and not live.read.entries
