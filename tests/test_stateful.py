@@ -170,3 +170,21 @@ def test_a_key_of_many_sessions_asks_the_store_twice(monkeypatch):
     assert list(live.handleExpiredTimer((1,), Now(61_500), Now(61_007))) == [] and [row[0] for row in live.held.value[0]] == ["s7"] and handle.timers >= {62_001}
     list(live.handleExpiredTimer((1,), Now(62_001), Now(62_001)))
     assert live.held.value is None and not live.read.entries
+
+
+def test_states_of_a_key_are_handed_over_in_parts():
+    """State to begin with comes in several frames, files before counters: all of it is there, and the next event goes on from it."""
+    pd = pytest.importorskip("pandas")
+    from sessionloom.streaming.sessions import _EVENT
+
+    names = [c.split()[0] for c in stateful.KEPT.split(", ")]
+    known = {c: 0 for c in stateful._NAMES} | {"recent_tools": ["a"], "limit": 8.0, "named": "Idle", "thought": False, "ended": False, "phase": None, "first_ms": 1, "last_ms": 9, "due_at": 5, "ends_at": 70, "since_ms": 1, "version": 4, "files_read": 2}
+    rows = [{"session_id": f"s{s}", "part": part, "path": path} | (known if part == "counters" else {}) for s in range(3) for part, path in (("read", "p"), ("read", "q"), ("counters", None))]
+    handle, live = Handle(), stateful.LiveSession(5, 5000, 30_000, 60_000, False)
+    live.init(handle)
+    for k in range(0, 9, 2):
+        live.handleInitialState((1,), pd.DataFrame(rows[k : k + 2], columns=names), Now(0))
+    assert [row[0] for row in live.held.value[0]] == ["s0", "s1", "s2"] and not handle.timers
+    frame = pd.DataFrame([{c: event(7, 10, "tool_call", session_id="s1", tool="read_file", path=path).get(c) for c in ["session_id", *_EVENT]} for path in ("q", "r")])
+    got = [r for out in live.handleInputRows((1,), iter([frame]), Now(0)) for r in out.itertuples()]
+    assert [(r.version, r.files_read) for r in got] == [(5, 2), (6, 3)]
