@@ -7,9 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from sessionloom.functions import cosine, normalized
+from sessionloom.operators.trust import numbered
 
 #: The order of a vector's features, and which are scaled by log(1 + x).
 SESSION_VECTOR = ("workflow_entropy", "retry_burst_score", "tool_switch_frequency", "edit_after_accept_ratio", "avg_read_before_ask", "avg_retry_distance", "context_expansion_speed", "workflow_length", "accept_rate", "retry_rate")
@@ -150,11 +152,135 @@ def knn_shares(train: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec
     return votes.select("query", label, (F.col("w") / F.sum("w").over(Window.partitionBy("query"))).alias("p"))
 
 
+#: Numbers of the rows' vectors that every task may hold (128 MB), and rows that ask from one vector at a time.
+HELD_NUMBERS, ASKED = 1 << 24, 1 << 12
+#: Rows by which a query's bound is guessed, queries and rows that are multiplied at a time, and what single precision may be off.
+GUESSED, SCAN_QUERIES, SCAN_ROWS, OFF = 1 << 12, 32, 1 << 15, 4e-6
+
+
+class Neighbours:
+    """Rows (vectors, labels, ranks of their keys) that are searched by cosine distance."""
+
+    def __init__(self, x: np.ndarray, labels: np.ndarray, ranks: np.ndarray, k: int):
+        self.x, self.labels, self.ranks, self.k = x, labels, ranks, k
+        self.size = np.sqrt(self._dot(x, x))
+        self.unit = self._unit(x, self.size)
+        n = len(x)
+        self.guess = np.random.default_rng(0).permutation(n)[:GUESSED]
+        share = (k + 1) * len(self.guess) / max(n, 1)
+        # so many of the rows of the guess are surely more than k + 1 of all
+        self.nth = int(share + 4 * np.sqrt(share) + 6)
+
+    @staticmethod
+    def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Summed from the first component on, as the column function does."""
+        out = a[:, 0] * b[..., 0]
+        for i in range(1, a.shape[1]):
+            out = out + a[:, i] * b[..., i]
+        return out
+
+    @staticmethod
+    def _unit(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (x / np.where(size > 0, size, 1)[:, None]).astype(np.float32)
+
+    def _exact(self, at: np.ndarray | slice, query: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some rows the k + 1 nearest in order: distance, rank and label."""
+        both = self.size[at] * size
+        d = np.maximum(1 - np.where(both > 0, self._dot(self.x[at], query) / np.where(both > 0, both, 1), 0.0), 1e-10)
+        ranks, labels = self.ranks[at], self.labels[at]
+        if len(d) > self.k + 1:
+            near = np.flatnonzero(d <= np.partition(d, self.k)[self.k])
+            d, ranks, labels = d[near], ranks[near], labels[near]
+        order = np.lexsort((ranks, d))[: self.k + 1]
+        return d[order], ranks[order], labels[order]
+
+    def search(self, queries: np.ndarray):
+        """Of each query the k + 1 nearest rows. Products in single precision leave out what is surely farther; what stays is worked out in order."""
+        size = np.sqrt(self._dot(queries, queries))
+        unit = self._unit(queries, size)
+        for first in range(0, len(queries), SCAN_QUERIES):
+            some = unit[first : first + SCAN_QUERIES]
+            hits = enough = None
+            if len(self.x) > len(self.guess) and self.nth < len(self.guess):
+                bound = np.partition(some @ self.unit[self.guess].T, len(self.guess) - self.nth, axis=1)[:, len(self.guess) - self.nth]
+                found, enough = [], np.zeros(len(some), int)
+                for at in range(0, len(self.x), SCAN_ROWS):
+                    near = some @ self.unit[at : at + SCAN_ROWS].T
+                    place = np.flatnonzero(near >= (bound - np.float32(OFF))[:, None])
+                    q = place // near.shape[1]
+                    enough += np.bincount(q[near.reshape(-1)[place] >= bound[q]], minlength=len(some))
+                    found.append((q, place % near.shape[1] + at))
+                q, row = (np.concatenate(c) for c in zip(*found))
+                order = np.argsort(q, kind="stable")
+                hits = np.split(row[order], np.searchsorted(q[order], np.arange(1, len(some))))
+            for i in range(len(some)):
+                # where the guess was too narrow, all rows are looked at
+                yield self._exact(hits[i] if hits is not None and enough[i] > self.k else slice(None), queries[first + i], size[first + i])
+
+    def shares(self, d: np.ndarray, ranks: np.ndarray, labels: np.ndarray, asked: list) -> list[list[tuple]]:
+        """For each that asks, by its rank or None, the shares of the labels among its k nearest: those in the list without itself, or without the last."""
+        place = {r: i for i, r in enumerate(ranks.tolist())}
+        out, known = [], {}
+        for own in asked:
+            without = place.get(own, self.k)
+            if without not in known:
+                n = len(d) - (without < len(d))
+                middle = n // 2 + (n // 2 >= without)
+                if n:
+                    w = np.exp(-(d * d) / (d[middle] * d[middle]))
+                    kept = np.arange(len(d)) != without
+                    by = [(label, w[kept & (labels == label)]) for label in np.unique(labels[kept]).tolist()]
+                    total = sum(float(v.sum()) for _, v in by)
+                known[without] = [(label, float(v.sum()) / total) for label, v in by] if n else []
+            out.append(known[without])
+        return out
+
+
+def _shares_in_tasks(train: DataFrame, queries: DataFrame, k: int, key: str, vector: str, label: str, leave_out: bool) -> DataFrame | None:
+    """As ``shares_by_vector``: each task holds all rows' vectors and searches for its own queries, so that no neighbours are exchanged. None where the vectors are more than HELD_NUMBERS."""
+    n, width = train.agg(F.count("*"), F.max(F.size(vector))).first()
+    if not n or n * max(width, 1) > HELD_NUMBERS or not isinstance(train.schema[label].dataType, IntegralType):
+        return None
+    rows = numbered(train.select(key, vector, label), [key], "rank").checkpoint()
+    told = rows.select("rank", label, vector).toArrow()
+    x = _matrix(told.column(2), width)
+    fine = np.isfinite(x).all(1)
+    held = Neighbours(x[fine], told.column(1).to_numpy()[fine], told.column(0).to_numpy()[fine], k)
+    shipped = train.sparkSession.sparkContext.broadcast(held)
+    each = queries.select(key, vector)
+    each = each.join(rows.select(key, "rank"), key, "left") if leave_out else each.withColumn("rank", F.lit(None).cast("bigint"))
+    part = F.floor((F.row_number().over(Window.partitionBy(vector).orderBy(key)) - 1) / ASKED)
+    places = each.withColumn("part", part).groupBy(vector, "part").agg(F.collect_list(F.struct(key, "rank")).alias("asked")).select(vector, "asked").repartition(4 * train.sparkSession.sparkContext.defaultParallelism)
+    names = [f"query {queries.schema[key].dataType.simpleString()}", f"{label} {train.schema[label].dataType.simpleString()}", "p double"]
+    fields = queries.select(F.col(key).alias("query")).join(train.select(label), F.lit(True)).select("query", label, F.lit(0.0).alias("p")).schema
+    arrow = to_arrow_schema(fields)
+
+    def ask(batches):
+        held = shipped.value
+        for batch in batches:
+            x = _matrix(batch.column(0), held.x.shape[1])
+            fine = np.flatnonzero(np.isfinite(x).all(1))
+            out: list[tuple] = []
+            for i, found in zip(fine.tolist(), held.search(x[fine])):
+                asked = batch.column(1)[i].as_py()
+                for who, shares in zip(asked, held.shares(*found, [a["rank"] for a in asked])):
+                    out += [(who[key], *s) for s in shares]
+            columns = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return places.mapInArrow(ask, ", ".join(names))
+
+
 def shares_by_vector(train: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", label: str = "label", leave_out: bool = True) -> DataFrame:
     """As ``knn_shares``, for rows of which many have equal vectors: work is different vectors of queries x different vectors (and labels) of rows.
 
-    Of rows with one vector and label the k + 1 of smallest keys can be among k neighbours. Equal vectors of queries have the same k + 1 nearest rows, of which a query has all but one: itself if it is there, else the last.
+    While the rows' vectors fit a task (HELD_NUMBERS), each task searches all of them for its own queries (``_shares_in_tasks``). Of more, queries go round in passes, and then:
+    of rows with one vector and label the k + 1 of smallest keys can be among k neighbours. Equal vectors of queries have the same k + 1 nearest rows, of which a query has all but one: itself if it is there, else the last.
     """
+    train, queries = train.where(F.col(vector).isNotNull()), queries.where(F.col(vector).isNotNull())
+    found = _shares_in_tasks(train, queries, k, key, vector, label, leave_out)
+    if found is not None:
+        return found
     by_key = Window.partitionBy(vector, label).orderBy(key)
     members = train.where(F.col(vector).isNotNull()).select(key, label, vector, F.row_number().over(by_key).alias("nth"), F.first(key).over(by_key).alias("first")).where(F.col("nth") <= k + 1).checkpoint()
     spots = members.groupBy(F.col("first").alias(key), label).agg(F.first(vector).alias(vector), F.count("*").alias("m"))

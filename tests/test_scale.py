@@ -32,6 +32,33 @@ def test_shares_by_vector_against_shares_by_row(spark, k, leave_out):
     assert len({q for q, _ in want}) == 119 and got == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("nth", [None, 1])
+def test_neighbours_left_by_a_guess_are_all_neighbours(monkeypatch, nth):
+    """Products in single precision and a bound from a few rows leave out only what is farther, with ties and zeros; a bound that is too narrow (nth 1) is not believed."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 3)), rng.integers(-1, 2, (100, 3)).astype(float)])
+    labels, ranks = rng.integers(0, 3, 400), rng.permutation(400)
+    for name, value in (("GUESSED", 64), ("SCAN_ROWS", 50), ("SCAN_QUERIES", 7)):
+        monkeypatch.setattr(vectors, name, value)
+    held = vectors.Neighbours(x, labels, ranks, 6)
+    held.nth = nth or held.nth
+    looked = []
+    plain = held._exact
+    monkeypatch.setattr(held, "_exact", lambda at, *rest: (looked.append(at), plain(at, *rest))[1])
+    for q, (d, r, kinds) in zip(x, held.search(x)):
+        every = sorted(zip(np.maximum(1 - vectors._exact_cosine(x, np.broadcast_to(q, x.shape)), 1e-10).tolist(), ranks.tolist(), labels.tolist()))[:7]
+        assert [(b, c) for _, b, c in every] == list(zip(r.tolist(), kinds.tolist())) and np.allclose(d, [a for a, _, _ in every], atol=1e-12)
+    narrow = sum(not isinstance(at, slice) for at in looked)
+    assert len(looked) == 400 and (narrow > 300 if nth is None else narrow < 400)
+
+
+def test_neighbours_are_not_exchanged(spark):
+    """No row of the plan after the search is a neighbour: it ends in what each query is told."""
+    rows = spark.createDataFrame([(f"s{i}", [float(i % 7), 1.0], i % 3) for i in range(40)], "vec_id string, embedding array<double>, label int")
+    plan = vectors.shares_by_vector(rows, rows, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("MapInArrow") and plan.count("MapInArrow") == 1
+
+
 def test_propagation_goes_through_places(spark, monkeypatch):
     """A round multiplies different places, however many rows are there; the distributions are those of all pairs of rows."""
     from sessionloom.operators import learn
